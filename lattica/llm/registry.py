@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .packing import op1_best_fit_packing
+from .url_filter import OP6_SQL, op6_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_url_filter": op6_url_filter,
+    "op7_exact_dedup": op7_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": OP6_SQL,
+    "op7_exact_dedup": OP7_SQL,
+}
