@@ -86,7 +86,7 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[dict] | l
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 for columns in rows(batch.slice(at, size)):
-                    yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in out], schema=out)
+                    yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 

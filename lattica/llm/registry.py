@@ -7,18 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .language_id import op3_language_id
 from .packing import op1_best_fit_packing
+from .quality import op10_quality
 from .url_filter import OP6_SQL, op6_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_language_id": op3_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_language_id": op3_language_id,
     "op6_url_filter": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
