@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op3_language_id
+from .near_dedup import op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality
 from .url_filter import OP6_SQL, op6_url_filter
@@ -16,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
@@ -23,6 +25,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
     "op6_url_filter": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
