@@ -55,11 +55,8 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+    def table(self, name: str, df: DataFrame, compression: str = "zstd") -> DataFrame:
+        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

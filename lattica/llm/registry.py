@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op3_language_id
 from .near_dedup import op2_near_dedup
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_quality": op10_quality,
 }
 
