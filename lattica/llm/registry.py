@@ -13,6 +13,7 @@ from .near_dedup import op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality
 from .url_filter import OP6_SQL, op6_url_filter
+from .warc import OP5_SQL, op5_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
+    "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
+    "op5_warc": OP5_SQL,
     "op6_url_filter": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
