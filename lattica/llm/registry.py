@@ -12,6 +12,7 @@ from .language_id import op3_language_id
 from .near_dedup import op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality
+from .topk import OP9_SQL, op9_exact_top_k
 from .url_filter import OP6_SQL, op6_url_filter
 from .warc import OP5_SQL, op5_warc
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_quality": op10_quality,
 }
 
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op6_url_filter": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_exact_top_k": OP9_SQL,
 }
