@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op3_language_id
+from .licenses import op4_license_scan
 from .near_dedup import op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_warc": op5_warc,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
