@@ -96,3 +96,12 @@ def binary_rows(blocks: list[np.ndarray]) -> pa.Array:
 def held_out(column: str = "doc_id") -> Column:
     """The evaluation fold: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[int, list[Column]]:
+    """Columns `keep` for a worker and the place of the text among them, which is added
+    only where `keep` doesn't have it as a string."""
+    columns = [F.col(f"`{c}`") for c in keep]
+    if text in keep and docs.schema[text].dataType.typeName() == "string":
+        return keep.index(text), columns
+    return len(keep), [*columns, F.col(f"`{text}`").cast("string").alias("_text")]

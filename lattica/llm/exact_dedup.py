@@ -33,7 +33,7 @@ _HASHES = 4
 #: Characters that do not count: space, tab, newline, vertical tab, form feed, return.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 
-_RUN = "run long, digest binary, sha256 binary, best struct<odd:boolean,less:long,doc_id:long,run:long,pos:int>, n long, ids array<long>, body binary, filter binary"
+_RUN = "run long, digest binary, sha256 binary, best struct<odd:boolean,less:long,doc_id:long,run:long,pos:int>, n long, ids array<long>, marks array<long>, body binary, filter binary"
 
 
 def normalise(text: str) -> bytes:
@@ -65,17 +65,18 @@ class _Memtable:
         self.digest_bytes, self.rows, self.bytes = digest_bytes, 0, 0
         self.entries: dict[bytes, list[list]] = {}
 
-    def add(self, doc_id: int | None, text: str) -> None:
+    def add(self, doc_id: int | None, text: str, mark: int | None) -> None:
         body = normalise(text)
         sha = hashlib.sha256(body).digest()
         same = self.entries.setdefault(sha[: self.digest_bytes], [])
         entry = next((e for e in same if e[1] == body), None)  # the bytes decide, not the digest
         if entry is None:
-            same.append(entry := [sha, body, [], None])
+            same.append(entry := [sha, body, [], None, []])
             self.bytes += len(body)
         rank = (doc_id is None, -len(text), doc_id or 0, len(entry[2]))
         entry[3] = min(rank, entry[3] or rank)
         entry[2].append(doc_id)
+        entry[4].append(mark)
         self.rows += 1
 
     def flush(self, run: int) -> Iterator[dict]:
@@ -83,17 +84,18 @@ class _Memtable:
         bits = max(64, -(-len(digests) * RUN_FILTER_BITS // 8) * 8)
         rows, held = [], 0
         for n, digest in enumerate(digests):
-            for sha, body, ids, (odd, less, doc_id, pos) in self.entries[digest]:
+            for sha, body, ids, (odd, less, doc_id, pos), marks in self.entries[digest]:
                 best = {"odd": odd, "less": less, "doc_id": None if odd else doc_id, "run": run, "pos": pos}
-                rows.append({"run": run, "digest": digest, "sha256": sha, "best": best, "n": len(ids), "ids": ids, "body": body, "filter": None if n else build_filter(digests, bits)})
-                held += len(body) + 8 * len(ids)
+                rows.append({"run": run, "digest": digest, "sha256": sha, "best": best, "n": len(ids), "ids": ids, "marks": marks, "body": body, "filter": None if n else build_filter(digests, bits)})
+                held += len(body) + 16 * len(ids)
             if held > 4 << 20 or len(rows) >= 5000 or n == len(digests) - 1:
                 yield rows
                 rows, held = [], 0
 
 
-def flush_runs(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """Sorted runs of `docs` (doc_id, text): one row for each distinct text of a memtable."""
+def flush_runs(docs: DataFrame, digest_bytes: int = 32, mark: str | None = None) -> DataFrame:
+    """Sorted runs of `docs` (doc_id, text): one row for each distinct text of a memtable.
+    The column `mark`, a long, goes along with each id."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -102,8 +104,8 @@ def flush_runs(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, memtable = TaskContext.get().partitionId() << 32, _Memtable(digest_bytes)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                memtable.add(doc_id, text)
+            for doc_id, text, tag in zip(*(c.to_pylist() for c in batch.columns)):
+                memtable.add(doc_id, text, tag)
                 if memtable.rows >= MEMTABLE_ROWS or memtable.bytes >= MEMTABLE_BYTES:
                     for rows in memtable.flush(at):
                         yield pa.RecordBatch.from_pylist(rows, schema=out)
@@ -111,7 +113,7 @@ def flush_runs(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
         for rows in memtable.flush(at):
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, _RUN)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (F.col(mark) if mark else F.lit(None).cast("long")).alias("mark")).mapInArrow(run, _RUN)
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -153,9 +155,9 @@ def clashing(spark: SparkSession, runs: DataFrame, index: DataFrame) -> DataFram
     return across.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest").union(within).distinct()
 
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
+def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 32, mark: str | None = None) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, keep_id, group_size,
-    kept, text_sha256.
+    kept, text_sha256, and with `mark` (a long column of `docs`) also mark.
 
     Texts are equal when the same without white space (WHITE). Of equal ones the
     row with the most code points stays, then the smallest doc_id; of rows that
@@ -164,10 +166,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 3
     gives an empty result. Other columns are ignored, whatever their names.
     """
     space = Workspace(spark, "exact")
-    runs = space.table("runs", flush_runs(docs, digest_bytes))
+    runs = space.table("runs", flush_runs(docs, digest_bytes, mark))
     index = space.table("index", compact(runs))
     clashes = space.table("clashes", clashing(spark, runs, index))
-    rows = runs.select("run", "digest", "sha256", "ids")
+    rows = runs.select("run", "digest", "sha256", "ids", "marks")
     plain = index.select("digest", F.col("best").alias("keep"), F.col("n").alias("group_size"))
     if clashes.isEmpty():
         found = rows.join(plain, "digest")
@@ -176,15 +178,16 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 3
         apart = runs.join(clashes, "digest", "left_semi")
         groups = apart.groupBy("digest", "body").agg(F.min("best").alias("keep"), F.sum("n").alias("group_size"))
         found = rows.join(clashes, "digest", "left_anti").join(plain, "digest").unionByName(
-            apart.join(groups, ["digest", "body"]).select("digest", "run", "sha256", "ids", "keep", "group_size")
+            apart.join(groups, ["digest", "body"]).select("digest", "run", "sha256", "ids", "marks", "keep", "group_size")
         )
-    each = found.select("run", "sha256", "keep", "group_size", F.posexplode("ids").alias("pos", "doc_id"))
+    each = found.select("run", "sha256", "keep", "group_size", "marks", F.posexplode("ids").alias("pos", "doc_id"))
     return each.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
         ((F.col("run") == F.col("keep.run")) & (F.col("pos") == F.col("keep.pos"))).alias("kept"),
         F.lower(F.hex("sha256")).alias("text_sha256"),
+        *([F.get("marks", "pos").alias("mark")] if mark else []),
     )
 
 

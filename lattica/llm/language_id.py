@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import arrow_map, binary_rows, held_out, mix64
+from .common import arrow_map, binary_rows, held_out, mix64, with_text
 
 #: Hashed n-gram dimensions, n-gram orders, centroids for each language.
 DIMENSION_BITS = 12
@@ -149,7 +149,7 @@ def train(docs: DataFrame, keep: Column, per_language: int = SAMPLE_PER_LANGUAGE
     return fit_centroids(counts, [r["lang"] for r in picked])
 
 
-def identify(docs: DataFrame, model: Centroids, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Centroids, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Columns `keep` of every row of `docs` with lang_pred, score and rejected.
 
     The whole text is read. lang_pred is a learned language, or `und` where the
@@ -161,18 +161,19 @@ def identify(docs: DataFrame, model: Centroids, keep: list[str] | None = None) -
     keep = ["doc_id"] if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, rejected boolean"])
+    at, columns = with_text(docs, keep, text)
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch.column(len(keep)).to_pylist()
+        texts = batch.column(at).to_pylist()
         lang, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         told = [i for i, t in enumerate(texts) if t and has_letter(t)] if model.languages else []
-        for at in range(0, len(told), 128):
-            some = told[at : at + 128]
+        for n in range(0, len(told), 128):
+            some = told[n : n + 128]
             for i, own, cosine, far in zip(some, *(x.tolist() for x in model.predict([texts[i] for i in some]))):
                 lang[i], score[i], rejected[i] = model.languages[own], cosine, far
         yield {**{c: batch.column(n) for n, c in enumerate(keep)}, "lang_pred": lang, "score": score, "rejected": rejected}
 
-    return arrow_map(docs.select(*keep, F.col("text").cast("string").alias("_text")), rows, schema)
+    return arrow_map(docs.select(*columns), rows, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,15 +87,16 @@ def _fingerprint(elements: np.ndarray, weights: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes() + weights.tobytes())
 
 
-def sketches(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, cls, total, bands): the class of equal sets, the weight of the set,
+def sketches(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, words: int = WORDS, mark: str | None = None) -> DataFrame:
+    """(doc_id, mark, cls, total, bands): the class of equal sets, the weight of the set,
     and the band keys, which a worker gives with the first text of a class only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 1000).columns)
+                part = batch.slice(at, 1000)
+                texts = part.column(2).to_pylist()
                 cls, total, keys = [], [], []
                 for text in texts:
                     elements, weights = weighted_shingles(text, weighting, words)
@@ -113,9 +114,10 @@ def sketches(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows:
                         for r in range(rows):
                             key = mix64(key * GOLD + signature[:, r])
                     keys.append(key.view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.binary()), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "cls", "total", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls, pa.binary()), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "cls", "total", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, cls binary, total double, bands array<long>")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(mark) if mark else F.lit(None)).cast("long").alias("mark"), text_or_empty().alias("text"))
+    return some.mapInArrow(run, "doc_id long, mark long, cls binary, total double, bands array<long>")
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -206,9 +208,9 @@ def components(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, words: int = WORDS, mark: str | None = None) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, group_id, group_size,
-    links, kept. A group is what links of similarity `threshold` or more connect;
+    links, kept, and with `mark` (a long column of `docs`) also mark. A group is what links of similarity `threshold` or more connect;
     group_id is its smallest doc_id, whose row is kept; links counts the classes
     of different sets that the document's own class was confirmed to be linked to.
 
@@ -219,7 +221,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     empty result; other columns are ignored.
     """
     space = Workspace(spark, "near")
-    table = space.table("sketches", sketches(docs, weighting, bands, rows, words).withColumn("row", F.monotonically_increasing_id()))
+    table = space.table("sketches", sketches(docs, weighting, bands, rows, words, mark).withColumn("row", F.monotonically_increasing_id()))
     keys = table.where("bands is not null").select("cls", "total", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "size")
     members = space.table("members", keys.join(full, "key").distinct())
@@ -264,10 +266,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
         final = space.table("joined", components(space, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "all"))
     degree = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("a", "cls")
     classes = final.withColumnRenamed("node", "cls").join(degree, "cls", "left")
-    named = table.select("doc_id", "row", "cls").join(classes, "cls", "left").select("doc_id", "row", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    named = table.select("doc_id", "mark", "row", "cls").join(classes, "cls", "left").select("doc_id", "mark", "row", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     named = space.table("named", named)
     groups = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, "root").select("doc_id", F.col("best.doc_id").alias("group_id"), "group_size", "links", (F.col("row") == F.col("best.row")).alias("kept"))
+    return named.join(groups, "root").select("doc_id", F.col("best.doc_id").alias("group_id"), "group_size", "links", (F.col("row") == F.col("best.row")).alias("kept"), *(["mark"] if mark else []))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import arrow_map, binary_rows, held_out, mix64
+from .common import arrow_map, binary_rows, held_out, mix64, with_text
 
 #: The sample that the classifier is fitted on (the fit alone; every text is
 #: scored): positives, unlabelled texts.
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, positi
     return fit(p, u)
 
 
-def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Columns `keep` of every row of `docs` with score (0 to 1) and predicted (1 from
     THRESHOLD). The whole text is read; null counts as empty, and empty texts are
     scored like any other. Equal texts get equal scores; an empty table gives an
@@ -224,12 +224,13 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch.column(len(keep)).to_pylist()
+        texts = batch.column(at).to_pylist()
         score = model.score(np.stack([features(t or "") for t in texts])) if texts else np.zeros(0)
         yield {**{c: batch.column(n) for n, c in enumerate(keep)}, "score": score.tolist(), "predicted": (score >= THRESHOLD).astype(int).tolist()}
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double, predicted int"])
-    return arrow_map(docs.select(*keep, F.col("text").cast("string").alias("_text")), rows, schema)
+    at, columns = with_text(docs, keep, text)
+    return arrow_map(docs.select(*columns), rows, schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
