@@ -57,8 +57,23 @@ def binary_codes(vectors: DataFrame, widths: list[int]) -> DataFrame:
     return vectors.where("embedding is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, schema)
 
 
-def _masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in combinations(range(width), radius)]
+def _probes(active: DataFrame, widths: list[int], radius: int) -> DataFrame:
+    """The columns of active with segment and value: for every segment all values that
+    differ in exactly `radius` bits, made in blocks."""
+    names = [f"q{i}" for i in range(len(widths))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = [np.array([sum(1 << b for b in c) for c in combinations(range(w), radius)], np.int64) if radius <= w else np.zeros(0, np.int64) for w in widths]
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            for i, mask in enumerate(masks):
+                step = max(1, 200_000 // max(1, len(mask)))
+                for at in range(0, batch.num_rows if len(mask) else 0, step):
+                    part = [np.repeat(c[at : at + step], len(mask)) for c in columns]
+                    value = (columns[i][at : at + step, None] ^ mask[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array(np.full(len(value), i, np.int32)), pa.array(value)], names=[*names, "segment", "value"])
+
+    return active.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", segment int, value long")
 
 
 def _first_ids(codes: DataFrame, segments: list[str], most: int) -> DataFrame:
@@ -104,12 +119,12 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     best, done = spark.createDataFrame([], schema), []
     order = Window.partitionBy(*code).orderBy("distance", "id")
     for radius in range(max(widths) + 1):
-        masks = [F.array(*(F.lit(x).cast("long") for x in _masks(w, radius))) for w in widths]
-        probes = reduce(DataFrame.union, [active.select(*code, F.lit(i).alias("segment"), F.explode(mask).alias("mask")).select(*code, "segment", q[i].bitwiseXOR(F.col("mask")).alias("value")) for i, mask in enumerate(masks) if radius <= widths[i]])
+        probes = _probes(active, widths, radius)
         apart: list[Column] = [F.bit_count(q[i].bitwiseXOR(F.col(s))) for i, s in enumerate(names)]
         # First met here: no segment is nearer, and none before this one as near.
         first = reduce(lambda a, b: a & b, [(d > radius) | ((d == radius) & (F.col("segment") <= i)) for i, d in enumerate(apart)])
-        met = probes.join(postings, ["segment", "value"]).where(first).select(*code, sum(apart[1:], apart[0]).cast("int").alias("distance"), F.explode("ids").alias("id"))
+        # Neither side has a bound, and the planner can't see how many probes come of a query.
+        met = probes.join(postings.hint("merge"), ["segment", "value"]).where(first).select(*code, sum(apart[1:], apart[0]).cast("int").alias("distance"), F.explode("ids").alias("id"))
         ranked = best.join(active, code, "left_semi").unionByName(met).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
         state = space.table(f"best{radius}", ranked.drop("n"))
         if radius > 1:
