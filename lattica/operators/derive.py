@@ -108,7 +108,8 @@ def decorator_name(text: Column | str) -> Column:
 
 def decorate_edges(defs: DataFrame, maps: DataFrame, graph: Graph) -> DataFrame:
     """DECORATES from a definition to what its decorators name."""
-    refs = defs.select("project", F.col("qualified_name").alias("source_qn"), "module_qn", decorator_name(F.explode("decorators")).alias("callee")).where("callee <> ''")
+    rows = defs.select("project", F.col("qualified_name").alias("source_qn"), "module_qn", F.explode("decorators").alias("text"))
+    refs = rows.select("project", "source_qn", "module_qn", decorator_name("text").alias("callee")).where("callee <> ''")
     return reference_edges(refs, maps, graph, "DECORATES")
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ast
-import fnmatch
+import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import any_of, base_name
@@ -25,15 +28,30 @@ def ignored(rel: Column) -> Column:
 
 def discover(spark: SparkSession, root: str, project: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(project, rel_path, text, size, mtime_ns, sha256) of the text files below a
-    folder; ignore rules are filters on paths, so ignored files aren't read."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    rel = F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^[a-z0-9]+:/*", "/", base)) + "/", "")
-    rows = files.withColumn("rel_path", rel).where(~ignored(F.col("rel_path")) & (F.col("length") <= most_bytes))
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return rows.select(
-        F.lit(project).alias("project"), "rel_path", text.alias("text"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("sha256"),
-    ).where("text is not null")
+    folder. Spark's own file scans skip empty files and names that begin with _ or .,
+    so the folders are listed by pyarrow: the driver holds one repository's paths.
+    Ignore rules come first, workers read the rest."""
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    system, base = fs.FileSystem.from_uri(uri.rstrip("/"))
+    listed = system.get_file_info(fs.FileSelector(base, recursive=True))
+    rows = [(f.path[len(base) + 1 :], f.size, f.mtime_ns or 0) for f in listed if f.type == fs.FileType.File and f.size <= most_bytes]
+    paths = spark.createDataFrame(rows, "rel_path string, size long, mtime_ns long").where(~ignored(F.col("rel_path")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(uri.rstrip("/"))
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                with system.open_input_stream(f"{base}/{row['rel_path']}", compression=None) as file:
+                    data = file.read()
+                try:
+                    out.append({**row, "text": data.decode(), "sha256": hashlib.sha256(data).hexdigest()})
+                except UnicodeDecodeError:
+                    continue  # not a text
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("rel_path", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("text", pa.string()), ("sha256", pa.string())]))
+
+    found = paths.mapInArrow(read, "rel_path string, size long, mtime_ns long, text string, sha256 string")
+    return found.select(F.lit(project).alias("project"), "rel_path", "text", "size", "mtime_ns", "sha256")
 
 
 class IgnoreRules:
@@ -48,7 +66,8 @@ class IgnoreRules:
             keep, rule = rule.startswith("!"), rule.lstrip("!")
             folder, rule = rule.endswith("/"), rule.rstrip("/")
             rooted, rule = "/" in rule, rule.lstrip("/")
-            body = "".join("(?:.*/)?" if t == "**/" else "(?:/.*)?" if t == "/**" else ".*" if t == "**" else fnmatch.translate(t)[4:-2].replace(".*", "[^/]*") if t in "*?" else re.escape(t) for t in re.findall(r"\*\*/|/\*\*|\*\*|[*?]|[^*?]", rule))
+            wild = {"**/": "(?:.*/)?", "/**": "(?:/.*)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+            body = "".join(wild.get(t, re.escape(t)) for t in re.findall(r"\*\*/|/\*\*$|\*\*|[*?]|[^*?]", rule))
             self.rules.append((re.compile(("" if rooted else "(?:.*/)?") + body), keep, folder))
 
     def ignores(self, path: str) -> bool:
