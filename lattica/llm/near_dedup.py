@@ -10,7 +10,8 @@ Copies with equal sets are one class, and a bucket is not paired off: its member
 meet one hub, the member that most other texts share buckets with. Links join
 classes to components. Only in a bucket whose members are still in different
 components do the members outside its largest component meet the rest, less the
-pairs that sizes or the triangle inequality of the Jaccard distance rule out.
+pairs that sizes, the shingles that a member shares with any other, or the triangle
+inequality of the Jaccard distance rule out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ BANDS, ROWS = 30, 5
 #: texts through, and the joins stay exact.
 FILTER_BITS = 1 << 23
 
+#: An element of so many classes at most is rare: the classes that have it are paired.
+RARE = 5
+
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 
 
@@ -187,6 +191,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(wide, rows, "a binary, b binary, similarity double", 1000)
 
 
+def _elements(sets: DataFrame) -> DataFrame:
+    """(element, cls, weight): a row for each element of each set."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+        elements = [np.frombuffer(e, "<u4") for e in batch.column(1).to_pylist()]
+        weights = [np.ones(len(e)) if w is None else np.frombuffer(w, "<u4").astype(float) for e, w in zip(elements, batch.column(2).to_pylist())]
+        owner = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
+        yield {"element": pa.array(np.concatenate([*elements, np.zeros(0, "<u4")]).astype(np.int64)), "cls": batch.column(0).take(pa.array(owner)), "weight": pa.array(np.concatenate([*weights, np.zeros(0)]))}
+
+    return arrow_map(sets.select("cls", "elements", "weights"), rows, "element long, cls binary, weight double", 200)
+
+
 def components(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): alternating large and small stars;
     each round is written, so a lost executor costs a re-read."""
@@ -245,18 +261,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
         (1 - F.least("total", "b_total") / F.greatest("total", "b_total")).alias("least_far"),
     )
     mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+    # Two classes share a rare element, and are paired by it, or what they have in common
+    # is among their frequent elements: a pair of similarity t has t / (1 + t) of both
+    # totals in common, so classes with too little that is frequent are in no such pair.
     left = space.table("left", placed.join(mixed, "key", "left_semi"))
+    each = space.table("elements", _elements(sets.join(left.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")))
+    few = each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE)
+    rare = space.table("rare", each.join(few, "element"))
+    scarce = rare.groupBy(F.col("cls").alias("a")).agg(F.sum("weight").alias("scarce"))
+    about = left.select("a", "root", "total").distinct()
+    mate = rare.where("n > 1").select("element", "cls").join(about.withColumnRenamed("a", "cls"), "cls")
+    other = mate.select("element", F.col("cls").alias("x"), F.col("root").alias("x_root"), F.col("total").alias("x_total"))
+    fits = F.least("total", "x_total") >= threshold * F.greatest("total", "x_total")
+    by_rare = mate.join(other, "element").where((F.col("cls") > F.col("x")) & (F.col("root") != F.col("x_root")) & fits).select(F.col("cls").alias("a"), F.col("x").alias("b"))
+    left = left.join(scarce, "a", "left").withColumn("shared", F.col("total") - F.coalesce("scarce", F.lit(0.0)) + 1e-6)
+    part = threshold / (1 + threshold)
+    smallest = left.groupBy("key").agg(F.min("total").alias("smallest"))
+    left = space.table("able", left.join(smallest, "key").where(F.col("shared") >= part * (F.col("total") + F.greatest("smallest", threshold * F.col("total")))).drop("scarce", "smallest"))
+    bands_of = table.where("bands is not null").join(left.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").groupBy(F.col("cls").alias("a")).agg(F.first("bands").alias("own"))
     parts = left.groupBy("key", "root").count()
     main = parts.groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    outside = left.join(main, "key").where("root != main").select("key", F.col("a").alias("x"), F.col("root").alias("x_root"), F.col("total").alias("x_total"), F.col("far").alias("x_far"), F.col("least_far").alias("x_least"))
+    left = left.join(bands_of, "a")
+    outside = left.join(main, "key").where("root != main").select("key", F.col("a").alias("x"), F.col("root").alias("x_root"), F.col("total").alias("x_total"), F.col("shared").alias("x_shared"), F.col("far").alias("x_far"), F.col("least_far").alias("x_least"), F.col("own").alias("x_own"))
     reach = 1 - threshold + 1e-9
     rest = outside.join(left, "key").where(
         (F.col("root") != F.col("x_root"))
         & (F.least("total", "x_total") >= threshold * F.greatest("total", "x_total"))
+        & (F.least("shared", "x_shared") >= part * (F.col("total") + F.col("x_total")))
         # |d(x, hub) - d(a, hub)| is at most d(x, a); unmeasured distances have lower bounds.
         & (F.coalesce(F.abs(F.col("far") - F.col("x_far")), F.col("least_far") - F.col("x_far"), F.col("x_least") - F.col("far"), F.lit(0.0)) <= reach)
+        # Of the buckets that two members share, the first makes the pair.
+        & (F.array_position(F.zip_with("own", "x_own", lambda p, q: p == q), True) == F.array_position("own", F.col("key")))
     )
-    rest = rest.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b")).distinct()
+    rest = rest.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b")).union(by_rare).distinct()
     known = told.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = space.table("more", _verified(rest.join(known, ["a", "b"], "left_anti"), sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b"))
     both = links.union(more)
