@@ -30,6 +30,8 @@ MAX_LANGUAGES = 200
 #: A text is rejected where its cosine is below this share of the lowest cosine
 #: that a training text of the language had with its nearest centroid.
 REJECT_SHARE = 0.5
+#: Below so many characters a text may be farther away, by the root of its length.
+SHORT = 200
 _CHUNK = 1 << 21
 
 
@@ -83,7 +85,9 @@ class Centroids:
         cosine = vectors(texts, self.idf) @ self.vectors.T
         best = cosine.argmax(axis=1)
         score = cosine[np.arange(len(best)), best]
-        return self.owner[best], np.clip(score, 0, 1), score < self.least[best]
+        # A short text has few of a centroid's n-grams, so its cosine is small by nature.
+        reach = np.sqrt(np.minimum(1, np.array([len(t) for t in texts]) / SHORT))
+        return self.owner[best], np.clip(score, 0, 1), score < self.least[best] * reach
 
 
 def _clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
