@@ -47,4 +47,5 @@ def test_registry_names():
 
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert all(isinstance(x, str) for x in __spark_entry__.oracle_sql().values())
     assert set(ORACLE_SQL) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
