@@ -310,4 +310,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "group_id", "group_size", "kept")
+
+
+#: The exact groups, from all pairs that share a shingle: for small tables.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(0, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS g FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)
+  UNION ALL SELECT v.doc_id, (SELECT min(doc_id) FROM w WHERE len(w) = 0) FROM w v WHERE len(v.w) = 0
+), ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, ends.b FROM r JOIN ends ON ends.a = r.y),
+g AS (SELECT x AS doc_id, min(y) AS group_id FROM r GROUP BY x)
+SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, doc_id = group_id AS kept FROM g
+"""

@@ -10,7 +10,7 @@ from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op3_language_id
 from .licenses import op4_license_scan
-from .near_dedup import op2_near_dedup
+from .near_dedup import OP2_SQL, op2_near_dedup
 from .packing import op1_best_fit_packing
 from .quality import op10_quality
 from .topk import OP9_SQL, op9_exact_top_k
@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {
 #: The others are models, iterations or libraries' own results: their tests hold them
 #: against brute force, round trips and held-out rows.
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": OP2_SQL,
     "op5_warc": OP5_SQL,
     "op6_url_filter": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
