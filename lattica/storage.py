@@ -18,6 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends; until then results may read it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 class Cuts:
     """Intermediate tables of one traversal. A lost executor costs a re-read."""
 
@@ -30,4 +36,6 @@ class Cuts:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.mode("overwrite").parquet(path)
+        if self.count == 1:
+            delete_at_exit(self.spark, self.root)
         return self.spark.read.schema(df.schema).parquet(path)
