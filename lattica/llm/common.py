@@ -3,7 +3,6 @@ folder, null handling, and hashing on numpy arrays."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..storage import delete_at_exit, shared_dir
+
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
@@ -25,32 +26,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, local sessions) a temporary folder
-    is made and kept in the session's settings.
-    """
-    key = "spark.lattica.shared.dir"
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get(key, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set(key, found)
-    return found.rstrip("/")
-
-
 class Workspace:
-    """Tables and files of one run of an operator, in the shared folder.
+    """Tables and files of one run of an operator, in the folder that driver and
+    executors share, until the application ends; or below `root`, where they stay.
 
     A written table cuts the lineage: a lost executor costs a re-read, not a
     recomputation, and nothing depends on a disk of one machine.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/lattica-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.stays = spark, root is not None
+        self.root = root.rstrip("/") if root else f"{shared_dir(spark)}/lattica-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        if not self.stays:
+            path = self._path(self.root)
+            self._files(path).mkdirs(path)
+            delete_at_exit(spark, self.root)
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -61,10 +57,9 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables no later step reads, so that rounds don't fill the disk."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path = self._path(self.path(name))
+            self._files(path).delete(path, True)
 
 
 def text_or_empty(column: str = "text") -> Column:
