@@ -57,7 +57,7 @@ class Engine:
 
     @property
     def graph(self) -> Graph:
-        return Graph(self._table("nodes", NODE_SCHEMA), self._table("edges", EDGE_SCHEMA))
+        return Graph(self._table("nodes", NODE_SCHEMA), self._table("edges", EDGE_SCHEMA), closed=True)
 
     def _of(self, project: str | None) -> Graph:
         return self.graph.of(project) if project else self.graph

@@ -35,13 +35,15 @@ def json_number(properties: Column, name: str) -> Column:
 
 @dataclass(frozen=True)
 class Graph:
-    """nodes and edges; a column `project` tells graphs in one table apart."""
+    """nodes and edges; a column `project` tells graphs in one table apart. In a closed
+    graph every edge's ends are nodes, so a query may take an end's id from the edge."""
 
     nodes: DataFrame
     edges: DataFrame
+    closed: bool = False
 
     def of(self, project: str) -> Graph:
-        return Graph(self.nodes.where(F.col("project") == project), self.edges.where(F.col("project") == project))
+        return Graph(self.nodes.where(F.col("project") == project), self.edges.where(F.col("project") == project), self.closed)
 
     def labelled(self, label: str) -> DataFrame:
         return self.nodes.where(F.col("label") == label)

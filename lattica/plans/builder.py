@@ -152,27 +152,43 @@ def compile_query(graph: Graph, query: Query | str, max_rows: int | None = None)
     bound = _Binder(query)
     where = bound.where(query.where) if query.where is not None else None
     first = bound.node_names[0]
-    rows = _nodes(graph, query.nodes[0], first)
-    if where is not None and isinstance(query.where, (Condition, Logic)) and any(r.variable for r in query.rels):
+    bare = _bare(bound) if graph.closed else set()
+    rows = None if first in bare and query.rels and not query.rels[0].variable else _nodes(graph, query.nodes[0], first)
+    if where is not None and any(r.variable for r in query.rels):
         rows = _prefilter(bound, query.where, first, rows)
     for i, rel in enumerate(query.rels):
         here, there, name = bound.node_names[i], bound.node_names[i + 1], bound.edge_names[i]
-        target = _nodes(graph, query.nodes[i + 1], there)
         if rel.variable:
             types = rel.types or (DEFAULT_TYPE,)
             hops = reach(graph.edges, rows.select(F.col(f"{here}__id").alias("origin")).distinct(), types, rel.direction, MAX_HOPS if rel.high is None else rel.high)
             hops = hops.where(F.col("hop") >= max(rel.low, 1)).select("origin", F.col("node").alias("_to"))
             rows = rows.join(hops, F.col(f"{here}__id") == F.col("origin")).drop("origin")
+        elif rows is None:
+            rows = _edges(graph, rel, name, here).withColumnRenamed("_from", f"{here}__id")
         else:
             rows = rows.join(_edges(graph, rel, name, here), F.col(f"{here}__id") == F.col("_from")).drop("_from")
-        rows = rows.join(target, F.col("_to") == F.col(f"{there}__id")).drop("_to")
+        if there in bare:
+            rows = rows.withColumnRenamed("_to", f"{there}__id")
+        else:
+            rows = rows.join(_nodes(graph, query.nodes[i + 1], there), F.col("_to") == F.col(f"{there}__id")).drop("_to")
     if where is not None:
         rows = rows.where(where)
     return _project(bound, rows, max_rows)
 
 
-def _prefilter(bound: _Binder, tree: Condition | Logic, first: str, rows: DataFrame) -> DataFrame:
+def _bare(bound: _Binder) -> set[str]:
+    """Nodes of which nothing but the id is asked: no label, no property."""
+    query = bound.query
+    asked = {i.prop.var for i in (*query.items, *(k for k, _ in query.order)) if i.prop is not None and (i.prop.name or not i.count)}
+    asked |= _variables(query.where) if query.where is not None else set()
+    asked |= set() if query.items else set(bound.node_vars)
+    return {name for name, node in zip(bound.node_names, query.nodes) if not node.label and not node.props and name not in asked}
+
+
+def _prefilter(bound: _Binder, tree: Condition | Logic, first: str, rows: DataFrame | None) -> DataFrame | None:
     """Conjuncts over the first variable alone, before a frontier grows from it."""
+    if rows is None:
+        return None
     for part in tree.parts if isinstance(tree, Logic) and tree.op == "AND" else (tree,):
         if _variables(part) == {first}:
             rows = rows.where(bound.where(part))

@@ -77,7 +77,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _edge(t["lineitem"].select("l_partkey", "l_suppkey").distinct(), "SUPPLIED_BY", ("Part", "l_partkey"), ("Supplier", "l_suppkey")),
         _edge(chain, "NEXT", ("Event", "event_id"), ("Event", "next_id")),
     ]
-    return Graph(reduce(DataFrame.unionByName, nodes).select(*NODE_SCHEMA.names), reduce(DataFrame.unionByName, edges).select(*EDGE_SCHEMA.names))
+    return Graph(reduce(DataFrame.unionByName, nodes).select(*NODE_SCHEMA.names), reduce(DataFrame.unionByName, edges).select(*EDGE_SCHEMA.names), closed=True)
 
 
 def _sql_node(label: str, source: str, key: str, name: str, props: str = "'{}'") -> str:

@@ -98,3 +98,16 @@ def test_lexer_and_labels_like_keywords():
     assert [t.kind for t in lex("MATCH (a:Order) /* x */ 'it\\'s' 1.5 *1..3")] == ["keyword", "sign", "word", "sign", "keyword", "sign", "string", "number", "sign", "number", "sign", "number", "end"]
     assert parse("match (o:Order) return o.name").nodes[0].label == "Order"
     assert parse("MATCH (a)-[:T*]->(b)").rels[0].high is None and parse("MATCH (a)-[:T*..4]->(b)").rels[0].high == 4
+
+
+def test_closed_graphs_take_ids_from_edges(orders):
+    from lattica.model import Graph
+
+    closed = Graph(orders.nodes, orders.edges, closed=True)
+    for query in (
+        "MATCH (a)-[:CALLS]->(b)-[:CALLS]->(c) RETURN COUNT(c)", "MATCH (a)-[:CALLS]->(b) RETURN COUNT(DISTINCT b) AS n", "MATCH (a)-[:CALLS]-(b:Function) RETURN b.name, COUNT(a)", "MATCH ()-[r]->() RETURN r.type, COUNT(*)",
+        "MATCH (a)-[:CALLS]->(b)", "MATCH (a)-[:CALLS]->(b) RETURN a", "MATCH (a:Function)-[:CALLS*1..2]->(b) RETURN a.name, COUNT(b)", "MATCH (a)-[:CALLS]->(b) WHERE a.name = 'HandleOrder' RETURN COUNT(b)",
+    ):
+        assert rows(closed, query) == rows(orders, query), query
+    plan = lambda g: compile_query(g, "MATCH (a)-[:CALLS]->(b) RETURN COUNT(b)")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(closed).count("Join") == 0 < plan(orders).count("Join")
