@@ -87,6 +87,16 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
+def _digests(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, size) of each page's payload."""
+
+    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+        bodies = [b.encode() if b else b"" for b in batch.column(1).to_pylist()]
+        yield {"page_id": batch.column(0), "digest": [payload_digest(b) for b in bodies], "size": [len(b) for b in bodies]}
+
+    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), rows, "page_id long, digest string, size long", 512)
+
+
 def _encode(pages: DataFrame) -> DataFrame:
     """Each page with its key, digest and its record as a response."""
 
@@ -95,12 +105,12 @@ def _encode(pages: DataFrame) -> DataFrame:
         bodies = [b.encode() if b else b"" for b in bodies]
         digests = [payload_digest(b) for b in bodies]
         yield {
-            "page_id": ids, "url": urls, "key": [url_key(u) for u in urls], "digest": digests, "size": [len(b) for b in bodies],
+            "page_id": ids, "url": urls, "key": [url_key(u) for u in urls], "digest": digests,
             "record": [_record("response", *r, None) for r in zip(ids, urls, digests, bodies)],
         }
 
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return arrow_map(some, rows, "page_id long, url string, key string, digest string, size long, record binary", 256)
+    return arrow_map(some, rows, "page_id long, url string, key string, digest string, record binary", 256)
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -117,10 +127,12 @@ def write_archives(space: Workspace, pages: DataFrame, least_bytes: int = 0) ->
     url gives a record without target and an empty key; a row with a null page_id
     revisits where another row of its payload has an id.
     """
-    encoded = space.table("encoded", _encode(pages).withColumn("row", F.monotonically_increasing_id()), "none")
-    narrow = encoded.select("row", "digest", "size", "page_id")
+    # Narrow rows decide what revisits what; payloads are read once more, and only their
+    # compressed records are shuffled, by id and digest, which no hot payload crowds.
+    narrow = _digests(pages)
     latest = narrow.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    again = narrow.join(latest, "digest").where("size >= %d and not (page_id <=> refers_to)" % least_bytes).select("row", "refers_to")
+    again = narrow.join(latest, "digest").where(F.col("size") >= least_bytes).where("not (page_id <=> refers_to)").select(F.col("page_id").alias("a_id"), F.col("digest").alias("a_digest"), "refers_to").distinct()
+    encoded = _encode(pages)
     root = space.path("warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +157,9 @@ def write_archives(space: Workspace, pages: DataFrame, least_bytes: int = 0) ->
         if out is not None:
             out.close()
 
-    done = encoded.join(again, "row", "left").select("page_id", "url", "key", "digest", "record", "refers_to")
-    captures = space.table("captures", done.mapInArrow(write, "key string, page_id long, file string, offset long, length long"))
-    space.drop("encoded")
-    return captures
+    revisits = (F.col("digest") == F.col("a_digest")) & F.col("page_id").eqNullSafe(F.col("a_id"))
+    done = encoded.join(again, revisits, "left").select("page_id", "url", "key", "digest", "record", "refers_to")
+    return space.table("captures", done.mapInArrow(write, "key string, page_id long, file string, offset long, length long"))
 
 
 def build_index(space: Workspace, captures: DataFrame) -> list[tuple[str, str, str]]:
@@ -282,13 +293,13 @@ def look_up(space: Workspace, index: list[tuple[str, str, str]], urls: DataFrame
     return keys.groupBy("part").applyInPandas(search, "page_id long, url_key string, record_type string, payload_digest string, payload_bytes long, refers_to long")
 
 
-def archive_pages(spark: SparkSession, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def archive_pages(spark: SparkSession, pages: DataFrame, least_bytes: int = 0, root: str | None = None) -> DataFrame:
     """Write archives and index of every row of `pages`, look every url up again, and
     return per page: page_id, payload_bytes, payload_digest, record_type, refers_to.
     A revisit takes its size from the response it refers to. Other columns of
     `pages` are ignored; an empty table gives an empty result. See write_archives
-    for nulls, ties and repeated rows."""
-    space = Workspace(spark, "warc")
+    for nulls, ties and repeated rows. Files stay below `root` if one is given."""
+    space = Workspace(spark, "warc", root)
     index = build_index(space, write_archives(space, pages, least_bytes))
     read = space.table("read", look_up(space, index, pages.select("url").distinct()))
     sizes = read.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
