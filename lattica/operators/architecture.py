@@ -80,20 +80,18 @@ def services(graph: Graph, limit: int = 10, types: tuple[str, ...] = SERVICE_TYP
 def layers(graph: Graph, types: tuple[str, ...] = CALLS) -> DataFrame:
     """(package, layer, fan_in, fan_out, routes, entry): from all boundaries.
 
-    api holds routes; entry holds entry points and calls others only; core is called
-    and doesn't call, or is called three times as often as it calls; leaf calls
-    only; internal is the rest.
+    The first that fits: entry has entry points and only calls others; api has routes;
+    core is called more often than it calls, and more than three times; leaf is only
+    called; entry only calls; internal is the rest.
     """
     cross = boundaries(graph, None, types)
     ends = cross.select(F.explode(F.array(F.struct(F.col("to_package").alias("package"), F.col("calls").alias("i"), F.lit(0).cast("long").alias("o")), F.struct(F.col("from_package").alias("package"), F.lit(0).cast("long").alias("i"), F.col("calls").alias("o")))).alias("e"))
     flow = ends.groupBy("e.package").agg(F.sum("e.i").alias("fan_in"), F.sum("e.o").alias("fan_out"))
     marks = graph.nodes.select(package_of("qualified_name").alias("package"), "label", _flag("is_entry_point").alias("entry")).where("package <> ''").groupBy("package").agg(F.count_if(F.col("label") == "Route").alias("routes"), F.bool_or("entry").alias("entry"))
     rows = flow.join(marks.where("routes > 0 or entry"), "package", "full").select("package", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("fan_in", "fan_out", "routes")), F.coalesce("entry", F.lit(False)).alias("entry"))
-    layer = (
-        F.when(F.col("routes") > 0, "api").when(F.col("entry") & (F.col("fan_in") == 0), "entry")
-        .when((F.col("fan_in") > 0) & ((F.col("fan_out") == 0) | (F.col("fan_in") >= 3 * F.col("fan_out"))), "core")
-        .when((F.col("fan_in") == 0) & (F.col("fan_out") > 0), "leaf").otherwise("internal")
-    )
+    i, o = F.col("fan_in"), F.col("fan_out")
+    calls_only = (i == 0) & (o > 0)
+    layer = F.when(F.col("entry") & calls_only, "entry").when(F.col("routes") > 0, "api").when((i > o) & (i > 3), "core").when((o == 0) & (i > 0), "leaf").when(calls_only, "entry").otherwise("internal")
     return rows.withColumn("layer", layer)
 
 

@@ -7,12 +7,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.names import any_of, confidence_band
 from ..model import Graph
 
-#: Words that show a client call, and those of queues.
-CLIENT_WORDS = ("requests.", "httpx.", "fetch(", "axios", "http.Get", "http.Post", "http.NewRequest", "HttpClient", "RestTemplate", "WebClient", "urllib", "aiohttp", "reqwest", "Guzzle", "curl")
-ASYNC_WORDS = ("publish(", "send_message", "SendMessage", "enqueue", "CreateTask", "create_task(", "PubSub", "pubsub", "kafka", "rabbitmq", "sqs")
+#: Words that show an HTTP client, a queue, and a protocol of a handler.
+CLIENT_WORDS = (
+    "requests.get", "requests.post", "requests.put", "requests.delete", "requests.patch", "httpx.", "aiohttp.", "urllib.request",
+    "http.Get", "http.Post", "http.NewRequest", "client.Do(",
+    "fetch(", "axios.", ".ajax(",
+    "HttpClient", "RestTemplate", "WebClient", "OkHttpClient", "HttpURLConnection", "openConnection(",
+    "reqwest::", "hyper::", "surf::", "ureq::",
+    "curl_exec", "curl_init", "Guzzle", "Http::get", "Http::post",
+    "sttp.", "http4s", "wsClient",
+    "curl_easy", "cpr::Get", "cpr::Post", "httplib::",
+    "socket.http", "http.request", "curl.",
+    "RestClient", "HttpWebRequest",
+    "ktor.client",
+    "send_request", "http_client",
+)
+ASYNC_WORDS = ("CreateTask", "create_task", "topic.Publish", "publisher.publish", "topic.publish", "sqs.send_message", "sns.publish", "basic_publish", "producer.send", "producer.Send")
+SOCKET_WORDS = ("websocket.Upgrade", "websocket.Accept", "upgrader.Upgrade", 'ws.on("connection', 'io.on("connection', "new WebSocket(", "WebSocketSession", "wsHandler")
+EVENT_WORDS = ("text/event-stream", "EventSourceResponse", "SseEmitter", "ServerSentEvent", "event-stream")
 #: Domains whose URLs are not calls between services, and paths left out.
-EXTERNAL_DOMAINS = ("github.com", "googleapis.com", "google.com", "npmjs.org", "pypi.org", "w3.org", "schema.org", "example.com", "example.org", "example.net", "stackoverflow.com", "mozilla.org", "apache.org", "wikipedia.org")
-EXCLUDED_PATHS = ("/health", "/healthz", "/ready", "/readyz", "/metrics", "/ping")
+EXTERNAL_DOMAINS = ("googleapis.com", "google.com", "github.com", "gitlab.com", "docker.com", "docker.io", "npmjs.org", "pypi.org", "cloudflare.com", "sentry.io", "aws.amazon.com")
+EXCLUDED_PATHS = ("/health", "/healthz", "/ready", "/readyz", "/metrics", "/favicon.ico")
 LEAST_SCORE = 0.25
 _VERBS = "get|post|put|delete|patch|head|options"
 
@@ -133,7 +148,8 @@ def path_score(call: Column, route: Column) -> Column:
 
 def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> DataFrame:
     """Call sites (path, method, source_qualified_name, source_label, is_async) joined to
-    routes (path, method, qualified_name) with confidence and band.
+    routes (path, method, qualified_name) of other services with confidence and band;
+    routes of excluded paths don't match.
 
     No pair is tried that can't match: equal and wildcard matches have the same number
     of segments and agree on the first segment or one of them has * there, and a route
@@ -141,8 +157,7 @@ def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, exclu
     """
     s = sites.withColumn("call", normal_path("path")).select(F.col("path").alias("url_path"), "call", F.upper("method").alias("call_method"), "source_qualified_name", "source_label", "is_async").distinct()
     low = [p.rstrip("/") for p in excluded]
-    s = s.where(~F.lower(F.regexp_replace("url_path", "/+$", "")).isin(*low))
-    r = routes.withColumn("route", normal_path("path")).select(F.col("path").alias("route_path"), "route", F.upper("method").alias("route_method"), F.col("qualified_name").alias("route_qn")).where("route <> ''").distinct()
+    r = routes.withColumn("route", normal_path("path")).select(F.col("path").alias("route_path"), "route", F.upper("method").alias("route_method"), F.col("qualified_name").alias("route_qn")).where("route <> ''").where(~F.lower(F.regexp_replace("route_path", "/+$", "")).isin(*low)).distinct()
     n = lambda c: F.size(F.split(c, "/")).cast("string")
     head = lambda c: F.coalesce(F.get(F.split(c, "/"), 1), F.lit(""))
     by_shape = lambda c: F.concat_ws("|", F.lit("n"), n(c), head(c))
@@ -158,14 +173,21 @@ def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, exclu
     bonus = F.when((F.coalesce("call_method", F.lit("")) == "") | (F.coalesce("route_method", F.lit("")) == ""), 0.0).when(F.col("call_method") == F.col("route_method"), 0.10).otherwise(-0.15)
     base = path_score(F.col("call"), F.col("route"))
     scored = pairs.withColumn("base", base).where("base > 0").withColumn("confidence", F.least(F.lit(1.0), F.col("base") * weight + bonus))
-    out = scored.where((F.col("confidence") >= least) & (F.col("source_qualified_name") != F.col("route_qn")))
+    out = scored.where((F.col("confidence") >= least) & ~same_service(F.col("source_qualified_name"), F.col("route_qn")))
     return out.select("source_qualified_name", "route_qn", "url_path", "route_path", F.col("call_method").alias("method"), "confidence", confidence_band(F.col("confidence")).alias("band"), F.when(F.col("is_async"), "ASYNC_CALLS").otherwise("HTTP_CALLS").alias("type"))
 
 
 def same_service(a: Column, b: Column) -> Column:
-    """Whether two qualified names lie in one service: all parts but the last two agree."""
-    cut = lambda q: F.slice(F.split(q, r"\."), 1, F.greatest(F.size(F.split(q, r"\.")) - 2, F.lit(1)))
-    return cut(a) == cut(b)
+    """Whether two qualified names lie in one folder: what stands before their last two
+    parts, module and name, is the same, and there is something."""
+    folder = lambda q: F.regexp_extract(q, r"^(.+)\.[^.]*\.[^.]*$", 1)
+    return (folder(a) != "") & (folder(a) == folder(b))
+
+
+def protocol(text: Column | str) -> Column:
+    """ws or sse where a handler's source shows it, else empty."""
+    shown = lambda words: any_of([F.contains(F.col(text) if isinstance(text, str) else text, F.lit(w)) for w in words])
+    return F.when(shown(SOCKET_WORDS), "ws").when(shown(EVENT_WORDS), "sse").otherwise("")
 
 
 def link_edges(matches: DataFrame, graph: Graph) -> DataFrame:

@@ -78,7 +78,7 @@ SQL = {k: graph_query(v) for k, v in {
     "arch_hotspots": "SELECT n.id, n.name, n.qualified_name, count(*) AS fan_in FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.type = 'CONTAINS' GROUP BY ALL ORDER BY fan_in DESC, n.qualified_name LIMIT 10",
     "arch_boundaries": _CROSS + " SELECT f AS from_package, g AS to_package, count(*) AS calls FROM c WHERE f <> g AND type <> 'NEXT' GROUP BY ALL ORDER BY calls DESC, f, g LIMIT 10",
     "arch_services": _CROSS + " SELECT f AS from_package, g AS to_package, type, count(*) AS calls FROM c WHERE type IN ('PLACED', 'CONTAINS', 'NEXT') GROUP BY ALL",
-    "arch_layers": _CROSS + ", b AS (SELECT f, g FROM c WHERE f <> g AND type <> 'NEXT'), p AS (SELECT package, sum(i) AS fan_in, sum(o) AS fan_out FROM (SELECT g AS package, 1 AS i, 0 AS o FROM b UNION ALL SELECT f, 0, 1 FROM b) GROUP BY package) SELECT package, CAST(fan_in AS BIGINT) AS fan_in, CAST(fan_out AS BIGINT) AS fan_out, CAST(0 AS BIGINT) AS routes, false AS entry, CASE WHEN fan_in > 0 AND (fan_out = 0 OR fan_in >= 3 * fan_out) THEN 'core' WHEN fan_in = 0 AND fan_out > 0 THEN 'leaf' ELSE 'internal' END AS layer FROM p",
+    "arch_layers": _CROSS + ", b AS (SELECT f, g FROM c WHERE f <> g AND type <> 'NEXT'), p AS (SELECT package, sum(i) AS fan_in, sum(o) AS fan_out FROM (SELECT g AS package, 1 AS i, 0 AS o FROM b UNION ALL SELECT f, 0, 1 FROM b) GROUP BY package) SELECT package, CAST(fan_in AS BIGINT) AS fan_in, CAST(fan_out AS BIGINT) AS fan_out, CAST(0 AS BIGINT) AS routes, false AS entry, CASE WHEN fan_in > fan_out AND fan_in > 3 THEN 'core' WHEN fan_out = 0 AND fan_in > 0 THEN 'leaf' WHEN fan_in = 0 AND fan_out > 0 THEN 'entry' ELSE 'internal' END AS layer FROM p",
     "arch_packages": _CROSS + ", x AS (SELECT f, g FROM c WHERE f <> g AND type IN ('IN_NATION', 'PLACED', 'CONTAINS')), n AS (SELECT split_part(qualified_name, '.', 2) AS package, count(*) AS nodes FROM nodes WHERE label IN ('Customer', 'Order', 'Part', 'Nation') GROUP BY 1) SELECT package, nodes, (SELECT count(*) FROM x WHERE g = package) AS fan_in, (SELECT count(*) FROM x WHERE f = package) AS fan_out FROM n",
     "arch_languages": "SELECT CASE split_part(file_path, '/file', 2) WHEN '.tf' THEN 'HCL' WHEN '.go' THEN 'Go' WHEN '.py' THEN 'Python' WHEN '.js' THEN 'JavaScript' WHEN '.java' THEN 'Java' WHEN '.rs' THEN 'Rust' END AS language, count(DISTINCT file_path) AS files FROM nodes GROUP BY 1",
     "arch_file_tree": "WITH p AS (SELECT DISTINCT split_part(file_path, '/', 1) AS a, split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS b, file_path AS c FROM nodes) SELECT a AS path, 'dir' AS kind, count(DISTINCT b) AS children FROM p GROUP BY a UNION ALL SELECT b, 'dir', count(DISTINCT c) FROM p GROUP BY b UNION ALL SELECT DISTINCT c, 'file', CAST(0 AS BIGINT) FROM p",

@@ -189,8 +189,8 @@ WITH sites AS (
   SELECT DISTINCT * FROM (
     SELECT unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS path, '' AS m, 'page.' || page_id AS src, 1.0::DOUBLE AS w FROM pages
     UNION ALL SELECT regexp_extract(url, '://[^/?#]*([^?#]*)', 1), 'GET', 'caller.' || page_id, 0.85::DOUBLE FROM pages WHERE page_id % 5 = 0) WHERE path <> ''
-), s AS (SELECT DISTINCT {call} AS c, m, src, w, path FROM sites WHERE lower(regexp_replace(path, '/+$', '')) NOT IN ('/health', '/healthz', '/ready', '/readyz', '/metrics', '/ping')),
-r AS (SELECT DISTINCT {route} AS t, 'route.' || page_id AS dst, path FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)),
+), s AS (SELECT DISTINCT {call} AS c, m, src, w, path FROM sites),
+r AS (SELECT DISTINCT {route} AS t, 'route.' || page_id AS dst, path FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages) WHERE lower(regexp_replace(path, '/+$', '')) NOT IN ('/health', '/healthz', '/ready', '/readyz', '/metrics', '/favicon.ico')),
 x AS (
   SELECT *, CASE WHEN c = t THEN 0.95 WHEN ends_with(c, t) THEN 0.75
       WHEN len(string_split(c, '/')) = len(string_split(t, '/')) AND list_bool_and(list_transform(range(1, len(string_split(c, '/')) + 1), lambda i: string_split(c, '/')[i] = string_split(t, '/')[i] OR string_split(c, '/')[i] = '*' OR string_split(t, '/')[i] = '*')) THEN 0.55 ELSE 0 END::DOUBLE AS base,

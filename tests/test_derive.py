@@ -58,7 +58,7 @@ def test_match_equals_all_pairs(spark):
     routes = spark.createDataFrame([(p, m, f"r{i}") for i, p in enumerate(paths) for m in ("", "POST", "GET")], "path string, method string, qualified_name string")
     got = {(r["source_qualified_name"], r["route_qn"], r["method"], round(r["confidence"], 6)) for r in http.match(sites, routes).collect()}
     s, r = sites.withColumn("c", http.normal_path("path")), routes.select("qualified_name", F.col("method").alias("rm"), http.normal_path("path").alias("t"))
-    every = s.crossJoin(r).withColumn("b", http.path_score(F.col("c"), F.col("t"))).where("b > 0 and lower(path) <> '/health'")
+    every = s.crossJoin(r).withColumn("b", http.path_score(F.col("c"), F.col("t"))).where("b > 0 and t <> '/health'")
     bonus = F.when((F.col("method") == "") | (F.col("rm") == ""), 0.0).when(F.col("method") == F.col("rm"), 0.10).otherwise(-0.15)
     every = every.withColumn("k", F.least(F.lit(1.0), F.col("b") * F.when(F.col("source_label") == "Function", 1.0).otherwise(0.85) + bonus)).where("k >= 0.25")
     assert got == {(x["source_qualified_name"], x["qualified_name"], x["method"], round(x["k"], 6)) for x in every.collect()} and got
@@ -203,3 +203,11 @@ def test_structure_definitions_and_implements(spark, make_graph):
     implements, overrides = derive.implement_edges(g)
     assert [(r["source_qn"], r["target_qn"]) for r in implements.collect()] == [("t.A", "t.I")] and overrides.count() == 2
     assert [r["tags"] for r in derive.word_tags(spark.createDataFrame([(1, ["ab", "cd"]), (2, ["ab"])], "id long, w array<string>"), "id", F.col("w")).collect()] == [["ab"], ["ab"]]
+
+
+def test_same_service_and_protocol(spark):
+    pairs = [("a.b.c.mod.Func1", "a.b.c.mod.Func2", True), ("a.b.c.mod.Func1", "a.b.x.mod.Func2", False), ("short.x", "short.y", False), ("a.b", "a.b", False), ("a.b.c", "a.b.c", True), ("a.b.c", "x.b.c", False)]
+    df = spark.createDataFrame([p[:2] for p in pairs], "a string, b string")
+    assert [r[0] for r in df.select(http.same_service(F.col("a"), F.col("b"))).collect()] == [p[2] for p in pairs]
+    texts = spark.createDataFrame([("ws.on(\"connection\", f)",), ("yield EventSourceResponse()",), ("x",)], "t string")
+    assert [r[0] for r in texts.select(http.protocol("t")).collect()] == ["ws", "sse", ""]

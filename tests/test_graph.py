@@ -76,7 +76,7 @@ def test_architecture(make_graph):
     assert A.routes(g).first().asDict() == {"method": "POST", "path": "/api/orders", "handler": "HandleRequest"}
     assert A.hotspots(g).first()["name"] == "HandleRequest" and [r["name"] for r in A.entry_points(g).collect()] == ["main"]
     layers = {r["package"]: r["layer"] for r in A.layers(g).collect()}
-    assert layers["handler"] == "api" and layers["server"] == "entry" and layers["utils"] == "core"
+    assert layers["handler"] == "api" and layers["server"] == "entry" and layers["utils"] == "leaf"
     assert A.patterns(g).where("type = 'HANDLES'").first()["pattern"] == "(:Function)-[:HANDLES]->(:Route) [1x]"
     assert A.file_tree(g).count() == 5
 
