@@ -15,7 +15,7 @@ from ..functions.names import package_of
 from ..model import Graph
 
 TYPES = ("CALLS", "HTTP_CALLS", "ASYNC_CALLS")
-LABEL_PRIORITY = ("Class", "Interface", "Function", "Method")
+LABEL_PRIORITY = ("Class", "Interface", "Type", "Function", "Method")
 
 
 def louvain_labels(pairs: dict[tuple[int, int], float], rounds: int = 10) -> dict[int, int]:

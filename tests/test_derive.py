@@ -211,3 +211,20 @@ def test_same_service_and_protocol(spark):
     assert [r[0] for r in df.select(http.same_service(F.col("a"), F.col("b"))).collect()] == [p[2] for p in pairs]
     texts = spark.createDataFrame([("ws.on(\"connection\", f)",), ("yield EventSourceResponse()",), ("x",)], "t string")
     assert [r[0] for r in texts.select(http.protocol("t")).collect()] == ["ws", "sse", ""]
+
+
+def test_config_links(spark, make_graph):
+    from lattica.operators.config import configure_edges, with_env_urls
+
+    v = lambda k, name, qn, path, label="Variable": (k, label, name, qn, path, 1, 1, "{}")
+    g, ids = make_graph(
+        [v("k", "database_url", "t.conf.database_url", "app.toml"), v("short", "db_url", "t.conf.db_url", "app.toml"), v("f", "getDatabaseUrl", "t.m.getDatabaseUrl", "m.go", "Function"), v("d", "requests", "t.package.dependencies.requests", "package.json"), v("o", "version", "t.package.version", "package.json"),
+         v("m", "m", "t.m", "m.go", "Module"), v("r", "requests", "ext.requests", "", "Module"), v("c", "app", "t.app", "conf/app.toml", "Module")],
+        [("m", "r", "IMPORTS", "{}")],
+    )
+    strings = spark.createDataFrame([(ids["f"], "conf/app.toml"), (ids["m"], "other/app.toml"), (ids["m"], "x.toml")], "id long, value string")
+    got = {(r["source_id"], r["target_id"], json.loads(r["properties"])["confidence"]) for r in configure_edges(g, strings).collect()}
+    assert got == {(ids["k"], ids["f"], 0.75), (ids["d"], ids["m"], 0.95), (ids["c"], ids["f"], 0.9), (ids["c"], ids["m"], 0.7)}
+    constants = spark.createDataFrame([("p", "a.py", ["X = 1"])], "project string, rel_path string, constants array<string>")
+    urls = spark.createDataFrame([("p", "a.py", "U", "http://s"), ("p", "b.sh", "V", "http://t")], "project string, rel_path string, key string, value string")
+    assert {r["rel_path"]: r["constants"] for r in with_env_urls(constants, urls).collect()} == {"a.py": ["X = 1", "U = http://s"], "b.sh": ["V = http://t"]}
