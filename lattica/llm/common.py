@@ -26,6 +26,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Narrow rows that a task writes at least, where their number is known.
+FILE_ROWS = 100_000
+
+
+def sized(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """No more partitions than `rows` need, `each` to a task, but one for each core:
+    small tables become few files even where shuffles have many partitions."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 class Workspace:
     """Tables and files of one run of an operator, in the folder that driver and
     executors share, until the application ends; or below `root`, where they stay.
@@ -51,7 +61,10 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame, compression: str = "zstd") -> DataFrame:
+    def table(self, name: str, df: DataFrame, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+        """Write a table and read it again; `rows`, where known, sizes its files."""
+        if rows is not None:
+            df = sized(df, rows)
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

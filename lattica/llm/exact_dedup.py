@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, mix64, text_or_empty
+from .common import Workspace, mix64, sized, text_or_empty
 
 #: A memtable is flushed at so many rows or bytes of text.
 MEMTABLE_ROWS = 50_000
@@ -167,8 +167,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 3
     """
     space = Workspace(spark, "exact")
     runs = space.table("runs", flush_runs(docs, digest_bytes, mark))
-    index = space.table("index", compact(runs))
-    clashes = space.table("clashes", clashing(spark, runs, index))
+    n = runs.agg(F.sum("n")).first()[0] or 0
+    index = space.table("index", compact(runs), rows=n)
+    clashes = space.table("clashes", clashing(spark, runs, index), rows=0)
     rows = runs.select("run", "digest", "sha256", "ids", "marks")
     plain = index.select("digest", F.col("best").alias("keep"), F.col("n").alias("group_size"))
     if clashes.isEmpty():
@@ -181,7 +182,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 3
             apart.join(groups, ["digest", "body"]).select("digest", "run", "sha256", "ids", "marks", "keep", "group_size")
         )
     each = found.select("run", "sha256", "keep", "group_size", "marks", F.posexplode("ids").alias("pos", "doc_id"))
-    return each.select(
+    out = each.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
@@ -189,6 +190,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 3
         F.lower(F.hex("sha256")).alias("text_sha256"),
         *([F.get("marks", "pos").alias("mark")] if mark else []),
     )
+    return sized(out, n)
 
 
 def probe(spark: SparkSession, runs: DataFrame, batch: DataFrame) -> DataFrame:

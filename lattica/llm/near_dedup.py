@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import GOLD, Workspace, arrow_map, binary_rows, mix64, text_or_empty
+from .common import GOLD, Workspace, arrow_map, binary_rows, mix64, sized, text_or_empty
 from .shingles import WORDS, shingle_hashes
 
 THRESHOLD = 0.8
@@ -203,10 +203,10 @@ def _elements(sets: DataFrame) -> DataFrame:
     return arrow_map(sets.select("cls", "elements", "weights"), rows, "element long, cls binary, weight double", 200)
 
 
-def components(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
+def components(space: Workspace, edges: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): alternating large and small stars;
     each round is written, so a lost executor costs a re-read."""
-    current = space.table(f"{name}0", edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    current = space.table(f"{name}0", edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows=rows)
     state, turn = None, 0
     while True:
         found = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -218,7 +218,7 @@ def components(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        current = space.table(f"{name}{turn}", small)
+        current = space.table(f"{name}{turn}", small, rows=rows)
         if turn > 1:
             space.drop(f"{name}{turn - 2}")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -238,21 +238,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     """
     space = Workspace(spark, "near")
     table = space.table("sketches", sketches(docs, weighting, bands, rows, words, mark).withColumn("row", F.monotonically_increasing_id()))
+    n = table.count()
     keys = table.where("bands is not null").select("cls", "total", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").select("key", "size")
-    members = space.table("members", keys.join(full, "key").distinct())
+    members = space.table("members", keys.join(full, "key").distinct(), rows=bands * n)
     weight = members.groupBy("cls").agg(F.sum("size").alias("pull"))
     ranked = members.join(weight, "cls")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("pull", "cls", "total")).alias("h")).select("key", F.col("h.cls").alias("b"), F.col("h.total").alias("b_total"))
-    stars = space.table("stars", members.join(hubs, "key").select("key", F.col("cls").alias("a"), "total", "b", "b_total"))
+    stars = space.table("stars", members.join(hubs, "key").select("key", F.col("cls").alias("a"), "total", "b", "b_total"), rows=n)
     near = F.least("total", "b_total") >= threshold * F.greatest("total", "b_total")
     pairs = stars.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     # Ids of one text for each class that some pair needs.
     first = table.where("doc_id is not null").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = space.table("sets", _sets(docs, first.select("doc_id"), weighting, words).join(members.select("cls").distinct(), "cls", "left_semi"))
-    told = space.table("told", _verified(pairs, sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    sets = space.table("sets", _sets(docs, first.select("doc_id"), weighting, words).join(members.select("cls").distinct(), "cls", "left_semi"), rows=10 * n)
+    told = space.table("told", _verified(pairs, sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), rows=n)
     links = told.where(F.col("similarity") >= threshold).select("a", "b")
-    roots = space.table("roots", components(space, links, "star"))
+    roots = space.table("roots", components(space, links, "star", n), rows=n)
 
     # Buckets that still hold several components: their smaller part meets the rest.
     placed = stars.join(told, ["a", "b"], "left").join(roots.withColumnRenamed("node", "a"), "a", "left").select(
@@ -264,10 +265,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     # Two classes share a rare element, and are paired by it, or what they have in common
     # is among their frequent elements: a pair of similarity t has t / (1 + t) of both
     # totals in common, so classes with too little that is frequent are in no such pair.
-    left = space.table("left", placed.join(mixed, "key", "left_semi"))
-    each = space.table("elements", _elements(sets.join(left.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")))
+    left = space.table("left", placed.join(mixed, "key", "left_semi"), rows=n)
+    each = space.table("elements", _elements(sets.join(left.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")), rows=50 * n)
     few = each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE)
-    rare = space.table("rare", each.join(few, "element"))
+    rare = space.table("rare", each.join(few, "element"), rows=50 * n)
     scarce = rare.groupBy(F.col("cls").alias("a")).agg(F.sum("weight").alias("scarce"))
     about = left.select("a", "root", "total").distinct()
     mate = rare.where("n > 1").select("element", "cls").join(about.withColumnRenamed("a", "cls"), "cls")
@@ -277,7 +278,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     left = left.join(scarce, "a", "left").withColumn("shared", F.col("total") - F.coalesce("scarce", F.lit(0.0)) + 1e-6)
     part = threshold / (1 + threshold)
     smallest = left.groupBy("key").agg(F.min("total").alias("smallest"))
-    left = space.table("able", left.join(smallest, "key").where(F.col("shared") >= part * (F.col("total") + F.greatest("smallest", threshold * F.col("total")))).drop("scarce", "smallest"))
+    left = space.table("able", left.join(smallest, "key").where(F.col("shared") >= part * (F.col("total") + F.greatest("smallest", threshold * F.col("total")))).drop("scarce", "smallest"), rows=n)
     bands_of = table.where("bands is not null").join(left.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").groupBy(F.col("cls").alias("a")).agg(F.first("bands").alias("own"))
     parts = left.groupBy("key", "root").count()
     main = parts.groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
@@ -295,18 +296,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     )
     rest = rest.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b")).union(by_rare).distinct()
     known = told.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = space.table("more", _verified(rest.join(known, ["a", "b"], "left_anti"), sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b"))
+    more = space.table("more", _verified(rest.join(known, ["a", "b"], "left_anti"), sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b"), rows=n)
     both = links.union(more)
     if more.isEmpty():
         final = roots
     else:
-        final = space.table("joined", components(space, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "all"))
+        final = space.table("joined", components(space, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "all", n), rows=n)
     degree = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy("a").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("a", "cls")
     classes = final.withColumnRenamed("node", "cls").join(degree, "cls", "left")
     named = table.select("doc_id", "mark", "row", "cls").join(classes, "cls", "left").select("doc_id", "mark", "row", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    named = space.table("named", named)
+    named = space.table("named", named, rows=n)
     groups = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("odd"), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, "root").select("doc_id", F.col("best.doc_id").alias("group_id"), "group_size", "links", (F.col("row") == F.col("best.row")).alias("kept"), *(["mark"] if mark else []))
+    out = named.join(groups, "root").select("doc_id", F.col("best.doc_id").alias("group_id"), "group_size", "links", (F.col("row") == F.col("best.row")).alias("kept"), *(["mark"] if mark else []))
+    return sized(out, n)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

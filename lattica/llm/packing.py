@@ -22,17 +22,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Workspace, arrow_map, text_or_empty
+from .common import Workspace, arrow_map, sized, text_or_empty
 
 CAPACITY = 2048
 #: Documents and gaps that one partition of a sweep holds.
 SWEEP_ROWS = 400_000
 
 _EVENT = "kind tinyint, id long, size int"
-_SWEPT = "part int, kind string, id long, size int, rank int, bin long, gap int"
+_SWEPT = "part string, kind string, id long, size int, rank int, bin long, gap int"
 
 
 @lru_cache(maxsize=2)
@@ -94,12 +93,14 @@ def _sweep(capacity: int):
     it took; U: a document left over; G: a gap untouched; R: the rest of a gap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part = None  # the place of the range's first row among all: ranges sort by it
         stacks: list[list[tuple[int, bool]]] = [[] for _ in range(capacity + 1)]
         full = 0  # bit g: there is a gap of size g
         placed, left = [], []
         for batch in batches:
             for kind, key, size in zip(*(c.to_pylist() for c in batch.columns)):
+                if part is None:
+                    part = f"{capacity - size:010d}.{kind}.{key:020d}"
                 if kind == 0:
                     stacks[size].append((key, True))
                     full |= 1 << size
@@ -124,12 +125,12 @@ def _sweep(capacity: int):
         types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
         for at in range(0, len(rows), 50_000):
             columns = list(zip(*rows[at : at + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(columns[0]), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types))], names=["part", "kind", "id", "size", "rank", "bin", "gap"])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(columns[0]), pa.string()), *(pa.array(c, t) for c, t in zip(columns, types))], names=["part", "kind", "id", "size", "rank", "bin", "gap"])
 
     return run
 
 
-def _plan(counts: dict[tuple[int, str], int]) -> tuple[list[tuple], dict[int, int]]:
+def _plan(counts: dict[tuple[str, str], int]) -> tuple[list[tuple], dict[str, int]]:
     """Match leftover documents to leftover gaps across partitions, by rank.
 
     Gaps of a partition are larger than all sizes after it; the last of the
@@ -137,7 +138,7 @@ def _plan(counts: dict[tuple[int, str], int]) -> tuple[list[tuple], dict[int, in
     gap_part, top): document of rank r takes the gap of rank top - r; and how
     many documents of each partition find a gap.
     """
-    stack: list[list[int]] = []
+    stack: list[list] = []
     rows, found = [], {}
     for part in sorted({p for p, _ in counts}):
         at, n = 0, counts.get((part, "U"), 0)
@@ -203,11 +204,11 @@ def best_fit(space: Workspace, items: DataFrame, capacity: int = CAPACITY) -> Da
             events = events.unionByName(gaps.where(F.col("gap") > low).select(F.lit(0).cast("tinyint").alias("kind"), F.col("bin").alias("id"), F.col("gap").alias("size")))
         parts = max(spark.sparkContext.defaultParallelism, math.ceil((waiting[i] + n_gaps) / SWEEP_ROWS))
         order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-        swept = space.table(f"swept{i}", events.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT))
+        swept = space.table(f"swept{i}", events.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT), rows=waiting[i] + n_gaps)
         counts = {(r["part"], r["kind"]): r["count"] for r in swept.groupBy("part", "kind").count().collect()}
         plan, found = _plan(counts)
-        taken = F.broadcast(spark.createDataFrame(plan, "part int, low int, high int, gap_part int, top int"))  # at most two rows a partition
-        enough = F.broadcast(spark.createDataFrame(list(found.items()), "part int, found int"))
+        taken = F.broadcast(spark.createDataFrame(plan, "part string, low int, high int, gap_part string, top int"))  # at most two rows a partition
+        enough = F.broadcast(spark.createDataFrame(list(found.items()), "part string, found int"))
         left = swept.where("kind = 'U'").select("part", "id", "size", "rank")
         free = swept.where("kind = 'G'").select("part", F.col("id").alias("bin"), F.col("size").alias("gap"), "rank")
         asks = left.join(taken, (left["part"] == taken["part"]) & (left["rank"] >= taken["low"]) & (left["rank"] < taken["high"])).select("id", "size", F.col("gap_part").alias("part"), (F.col("top") - F.col("rank")).alias("rank"))
@@ -221,7 +222,7 @@ def best_fit(space: Workspace, items: DataFrame, capacity: int = CAPACITY) -> Da
         )
         if gaps is not None:
             after = after.unionByName(gaps.where(F.col("gap") <= low).select(F.lit(None).cast("long").alias("item"), "bin", F.lit(None).cast("int").alias("offset"), "gap"))
-        state = space.table(f"state{i}", after)
+        state = space.table(f"state{i}", after, rows=waiting[i] + n_gaps)
         space.drop(f"swept{i}")
         done.append(state.where(F.col("item").isNotNull()).select("item", "bin", "offset"))
         gaps = state.where(F.col("gap") > 0).select("bin", "gap")
@@ -248,7 +249,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACIT
     pieces = encode_pieces(docs, capacity, vocabulary).select("doc_id", "piece", "start", "length", *(c.alias(k) for k, c in carry.items()), F.monotonically_increasing_id().alias("item"))
     pieces = space.table("pieces", pieces)
     placed = best_fit(space, pieces, capacity)
-    return pieces.join(placed, "item").drop("item")
+    return sized(pieces.join(placed, "item").drop("item"), pieces.count())
 
 
 def packed_sequences(packed: DataFrame) -> DataFrame:

@@ -80,8 +80,8 @@ def test_packing_lengths(spark, sizes):
 def test_packing_sweep_plan_matches_in_order():
     from lattica.llm.packing import _plan
 
-    rows, found = _plan({(0, "G"): 3, (1, "U"): 2, (1, "G"): 1, (2, "U"): 5})
-    assert rows == [(1, 0, 2, 0, 2), (2, 0, 1, 1, 0), (2, 1, 2, 0, 1)] and found == {0: 0, 1: 2, 2: 2}
+    rows, found = _plan({("a", "G"): 3, ("b", "U"): 2, ("b", "G"): 1, ("c", "U"): 5})
+    assert rows == [("b", 0, 2, "a", 2), ("c", 0, 1, "b", 0), ("c", 1, 2, "a", 1)] and found == {"a": 0, "b": 2, "c": 2}
 
 
 def test_packing_empty_and_sequences(spark):
