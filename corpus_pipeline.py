@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattica.llm import exact_dedup, language_id, near_dedup, packing, quality
-from lattica.llm.common import Workspace, held_out
+from lattica.llm.common import Workspace, held_out, sized
 
 
 def _judged(docs: DataFrame, judge: Callable[[DataFrame, list[str], str], DataFrame], keeps: str) -> DataFrame:
@@ -36,6 +36,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _judged(docs, lambda d, keep, text: quality.score_documents(d, model, keep, text), "predicted = 1")
 
 
+#: Documents that a task writes at least.
+DOCUMENT_ROWS = 5_000
 _MARK, _ID = "_pipeline_mark", "_pipeline_id"
 
 
@@ -45,14 +47,15 @@ def _deduplicated(spark: SparkSession, docs: DataFrame, operator: Callable[[Data
     marked = docs.withColumn(_MARK, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     space = Workspace(spark, "pipeline")
     found = operator(marked.select("doc_id", "text", _MARK)).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("kept"))
-    found = space.table("judged", found.where("kept < rows").withColumnRenamed("doc_id", _ID))
+    n = docs.count()
+    found = space.table("judged", found.where("kept < rows").withColumnRenamed("doc_id", _ID), rows=n)
     here = lambda d: (F.col(_MARK) == d["mark"]) & F.col("doc_id").cast("long").eqNullSafe(d[_ID])
     gone, repeated = found.where("kept = 0"), found.where("kept > 0")
     left = marked.join(gone, here(gone), "left_anti")
     if not repeated.isEmpty():
         once = left.join(repeated, here(repeated), "left_semi").dropDuplicates(["doc_id", _MARK])
         left = left.join(repeated, here(repeated), "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+    return sized(left.select(*docs.columns), n, DOCUMENT_ROWS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
