@@ -28,7 +28,7 @@ def _connected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dead(spark: SparkSession, d: str) -> DataFrame:
-    return S.dead_code(star_graph(spark, d), ("Customer", "Order"), ("PLACED",)).where("label = 'Order' or start_line < 50").select("qualified_name")
+    return S.dead_code(star_graph(spark, d), ("Customer", "Order"), ("PLACED",)).select("qualified_name")
 
 
 def _louvain(spark: SparkSession, d: str) -> DataFrame:

@@ -20,7 +20,7 @@ def _node_upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 def _edge_upsert(s: SparkSession, d: str) -> DataFrame:
-    edges = star_graph(s, d).typed("CONTAINS").where("source_id % 10 = 1")
+    edges = star_graph(s, d).typed("CONTAINS")
     writes = edges.where("source_id % 20 = 1").withColumns({"properties": F.lit('{"note":"b","quantity":null}'), "seq": F.lit(1).cast("long")})
     done = upsert.upsert_edges(edges, writes)
     return done.select("source_id", "target_id", F.get_json_object("properties", "$.note").alias("note"), (F.get_json_object("properties", "$.quantity").cast("double")).alias("quantity"))
@@ -52,7 +52,7 @@ def _dependents(s: SparkSession, d: str) -> DataFrame:
     imports = graph.typed("CONTAINS").withColumn("type", F.lit("IMPORTS"))
     nodes = graph.nodes.withColumns({"qualified_name": F.when(F.col("label") == "Part", F.concat(F.lit("tpch.part."), (F.col("id") % 16).cast("string"), F.lit(".file"))).otherwise(F.col("qualified_name"))})
     changed = s.createDataFrame([(PROJECT, "part/3/file.js")], "project string, rel_path string")
-    return incremental.dependents(Graph(nodes, imports.where("source_id % 1000 < 10")), changed)
+    return incremental.dependents(Graph(nodes, imports), changed)
 
 
 def _overlap(s: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _hunks(s: SparkSession, d: str) -> DataFrame:
     """Documents as diffs: a line of an odd number opens a file, others are hunks."""
     from ..sources.text import git_hunks, lines
 
-    docs = table(s, d, "documents").where("doc_id < 200").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = lines(docs)
     content = F.when(F.col("line") % 2 == 1, F.concat(F.lit("+++ b/f"), F.length("content").cast("string"))).otherwise(F.concat(F.lit("@@ -1 +"), F.length("content").cast("string"), F.lit(",3 @@")))
     return git_hunks(rows.withColumn("content", content), "doc_id")
@@ -86,9 +86,9 @@ def _substring(s: SparkSession, d: str) -> DataFrame:
 
 
 def _config(s: SparkSession, d: str) -> DataFrame:
-    config = table(s, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    code = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.initcap("p_name"), F.lit(" Handler")).alias("name")).where("id % 3 = 0")
-    code = code.withColumn("name", F.translate("name", " ", "")).unionByName(config.where("id % 100 = 0"))
+    config = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    code = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.initcap("p_name"), F.lit(" Handler")).alias("name"))
+    code = code.withColumn("name", F.translate("name", " ", "")).unionByName(config)
     return joins.config_key_symbols(config, code)
 
 
@@ -143,7 +143,7 @@ def _ladder(s: SparkSession, d: str) -> DataFrame:
     part = table(s, d, "part")
     name = F.translate("p_name", " ", "_")
     known = part.select(F.lit(PROJECT).alias("project"), F.concat_ws(".", F.lit(PROJECT), F.translate("p_brand", "#", ""), name).alias("qualified_name"), name.alias("name"), F.lit("Function").alias("label")).distinct()
-    refs = part.where("p_partkey % 4 = 0").select(
+    refs = part.select(
         F.col("p_partkey").alias("ref_id"), F.lit(PROJECT).alias("project"), F.when(F.col("p_partkey") % 8 == 0, name).otherwise(F.concat(F.lit("m."), name)).alias("callee"),
         F.concat_ws(".", F.lit(PROJECT), F.lit("Brand1")).alias("module_qn"), F.create_map(F.lit("m"), F.concat(F.lit(f"{PROJECT}."), F.translate("p_brand", "#", ""))).alias("imports"),
     )
