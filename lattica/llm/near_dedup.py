@@ -250,7 +250,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     pairs = stars.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     # Ids of one text for each class that some pair needs.
     first = table.where("doc_id is not null").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = space.table("sets", _sets(docs, first.select("doc_id"), weighting, words).join(members.select("cls").distinct(), "cls", "left_semi"), rows=10 * n)
+    # Repeated rows and what passes the filter by chance give a class again: one of them stays.
+    sets = space.table("sets", _sets(docs, first.select("doc_id"), weighting, words).join(members.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), rows=10 * n)
     told = space.table("told", _verified(pairs, sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), rows=n)
     links = told.where(F.col("similarity") >= threshold).select("a", "b")
     roots = space.table("roots", components(space, links, "star", n), rows=n)

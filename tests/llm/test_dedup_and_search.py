@@ -134,6 +134,28 @@ def test_near_duplicates_empty_and_repeated(spark):
     assert sum(r["kept"] for r in out) == 2 and sorted(r["group_size"] for r in out) == [1, 2, 2]
 
 
+@pytest.mark.parametrize("same_id", [True, False])
+def test_near_duplicates_of_repeated_sets_in_mixed_buckets(spark, monkeypatch, same_id):
+    """Rows that repeat, and copies that a full filter of ids lets through, in buckets
+    whose hub is far from some of their members."""
+    from lattica.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "_id_filter", lambda ids: b"\xff" * (near_dedup.FILTER_BITS // 8))
+    rng = random.Random(5)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(124)]
+        other = base[:98] + [f"f{family}v{i}" for i in range(26)]
+        for words_, copies in ((base, 14), (other, 8)):
+            for at in rng.sample(range(5, 93), copies):
+                rows.append((len(rows), " ".join([*words_[:at], f"own{len(rows)}", *words_[at + 1 :]])))
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 24
+    repeated = [(i if same_id else i + 10_000 * k, t) for k in range(5) for i, t in rows]
+    out = near_dedup.near_duplicates(spark, docs(spark, repeated).repartition(5), bands=3, rows=1).collect()
+    assert len(out) == len(repeated) and all(r["group_id"] == want[r["doc_id"] % 10_000] for r in out)
+
+
 def test_dart_signature_estimates_weighted_jaccard():
     from lattica.llm.common import mix64
     from lattica.llm.near_dedup import dart_signature
