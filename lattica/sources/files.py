@@ -18,7 +18,8 @@ from ..functions.names import any_of, base_name
 #: Folders and suffixes that are never looked at.
 IGNORED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "vendor", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode", ".tox", ".mypy_cache", ".pytest_cache", "coverage", ".next", ".cache")
 IGNORED_SUFFIXES = (".min.js", ".min.css", ".map", ".lock", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".pdf", ".zip", ".gz", ".tar", ".jar", ".class", ".so", ".dll", ".exe", ".pyc", ".wasm", ".woff", ".woff2", ".ttf")
-MOST_BYTES = 1_000_000
+#: Bytes of files that a worker reads before it hands them on.
+READ_BYTES = 32_000_000
 
 
 def ignored(rel: Column) -> Column:
@@ -26,21 +27,23 @@ def ignored(rel: Column) -> Column:
     return F.exists(parts, lambda p: p.isin(*IGNORED_FOLDERS)) | any_of([F.endswith(F.lower(rel), F.lit(s)) for s in IGNORED_SUFFIXES])
 
 
-def discover(spark: SparkSession, root: str, project: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+def discover(spark: SparkSession, root: str, project: str, most_bytes: int | None = None) -> DataFrame:
     """(project, rel_path, text, size, mtime_ns, sha256) of the text files below a
     folder. Spark's own file scans skip empty files and names that begin with _ or .,
     so the folders are listed by pyarrow: the driver holds one repository's paths.
-    Ignore rules come first, workers read the rest."""
+    Ignore rules come first, workers read the rest; `most_bytes` leaves out larger files,
+    by default none."""
     uri = root if "://" in root else f"file://{os.path.abspath(root)}"
     system, base = fs.FileSystem.from_uri(uri.rstrip("/"))
     listed = system.get_file_info(fs.FileSelector(base, recursive=True))
-    rows = [(f.path[len(base) + 1 :], f.size, f.mtime_ns or 0) for f in listed if f.type == fs.FileType.File and f.size <= most_bytes]
+    rows = [(f.path[len(base) + 1 :], f.size, f.mtime_ns or 0) for f in listed if f.type == fs.FileType.File and (most_bytes is None or f.size <= most_bytes)]
     paths = spark.createDataFrame(rows, "rel_path string, size long, mtime_ns long").where(~ignored(F.col("rel_path")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(uri.rstrip("/"))
+        schema = pa.schema([("rel_path", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("text", pa.string()), ("sha256", pa.string())])
         for batch in batches:
-            out = []
+            out, held = [], 0
             for row in batch.to_pylist():
                 with system.open_input_stream(f"{base}/{row['rel_path']}", compression=None) as file:
                     data = file.read()
@@ -48,7 +51,11 @@ def discover(spark: SparkSession, root: str, project: str, most_bytes: int = MOS
                     out.append({**row, "text": data.decode(), "sha256": hashlib.sha256(data).hexdigest()})
                 except UnicodeDecodeError:
                     continue  # not a text
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("rel_path", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("text", pa.string()), ("sha256", pa.string())]))
+                held += len(data)
+                if held >= READ_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, held = [], 0
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     found = paths.mapInArrow(read, "rel_path string, size long, mtime_ns long, text string, sha256 string")
     return found.select(F.lit(project).alias("project"), "rel_path", "text", "size", "mtime_ns", "sha256")
