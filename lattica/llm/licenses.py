@@ -199,12 +199,13 @@ def _ngrams(words: Column) -> Column:
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row for each line of `docs` (doc_id, text) with an anchor word: doc_id,
+    """Rows for each line of `docs` (doc_id, text) with an anchor word: doc_id,
     paragraph (number of the line, from 0), family, probability, template,
-    similarity. A paragraph of more than WINDOW words is read in windows, the most
-    certain one counts. family is `unknown` where that class is the likeliest, or no
-    other has LEAST_PROBABILITY, or no template confirms it; probability is that of
-    the likeliest class.
+    similarity. A paragraph of more than WINDOW words is read in windows; it gives a row
+    for each family that a window shows, by its most certain window. A window's family
+    is `unknown` where that class is the likeliest, or no other has LEAST_PROBABILITY,
+    or no template confirms it; a paragraph gives `unknown` only where all its windows
+    do. probability is that of the likeliest class.
 
     Null text counts as empty, and such texts give no rows; repeated rows and ids
     are scanned each for itself; an empty table gives an empty result; other
@@ -230,17 +231,20 @@ def scan_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scores = [(F.col(n) + float(b)).alias(n) for n, b in zip(names, model.bias)]
     best = F.array_max(F.array(*(F.struct(s.alias("z"), F.lit(c).alias("class")) for s, c in zip(scores, model.classes))))
     told = summed.withColumn("best", best).withColumn("probability", 1 / sum((F.exp(s - F.col("best.z")) for s in scores[1:]), F.exp(scores[0] - F.col("best.z"))))
-    # The most certain window with a family, else the first.
-    certain = F.struct((F.col("best.class") != UNKNOWN).alias("any"), "probability", (-F.col("window")).alias("at"))
-    one = told.groupBy("item").agg(F.max_by(F.struct("doc_id", "paragraph", "grams", "probability", F.col("best.class").alias("family")), certain).alias("r")).select("r.*")
     common = lambda t: F.size(F.array_intersect(t["grams"], F.col("grams")))
     alike = F.array_max(F.transform("known", lambda t: F.struct((common(t) / F.least(F.size(t["grams"]), F.size("grams"))).alias("similarity"), common(t).alias("common"), t["text"].alias("text"))))
-    seen = one.join(patterns, "family", "left").withColumn("alike", alike)
+    seen = told.withColumn("class", F.col("best.class")).join(patterns.withColumnRenamed("family", "class"), "class", "left").withColumn("alike", alike)
     sure = F.coalesce((F.col("alike.similarity") >= CONFIRMED) & (F.col("probability") >= LEAST_PROBABILITY), F.lit(False))
-    return seen.select(
-        "doc_id", "paragraph", F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability",
+    read = seen.select(
+        "item", "window", "doc_id", "paragraph", F.when(sure, F.col("class")).otherwise(UNKNOWN).alias("family"), "probability", (F.col("class") != UNKNOWN).alias("any"),
         F.when(sure, F.col("alike.text")).alias("template"), F.coalesce("alike.similarity", F.lit(0.0)).alias("similarity"),
     )
+    # Of each family the most certain window; of the unknown class only where there is no other.
+    certain = F.struct("any", "probability", (-F.col("window")).alias("at"))
+    one = read.groupBy("item", "family").agg(F.max_by(F.struct("doc_id", "paragraph", "family", "probability", "template", "similarity"), certain).alias("r"))
+    rows = one.groupBy("item").agg(F.collect_list("r").alias("all"))  # one for each family at most
+    named = F.filter("all", lambda r: r["family"] != UNKNOWN)
+    return rows.select(F.explode(F.when(F.size(named) > 0, named).otherwise(F.col("all"))).alias("r")).select("r.*")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

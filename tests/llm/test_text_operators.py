@@ -182,6 +182,15 @@ def test_licenses(spark):
     assert scan_licenses(spark, empty(spark)).count() == 0
 
 
+def test_licenses_of_one_long_line(spark):
+    from lattica.llm.licenses import NOTICES, scan_licenses
+
+    rng = random.Random(7)
+    line = " ".join([words(rng, 300), NOTICES["MIT"][0], words(rng, 300), NOTICES["GPL"][0], words(rng, 300), "The license plate of the car was stolen.", words(rng, 300)])
+    out = scan_licenses(spark, docs(spark, [line, words(rng, 200) + " The license plate of the car was stolen. " + words(rng, 200)])).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in out) == [(0, 0, "GPL"), (0, 0, "MIT"), (1, 0, "unknown")]
+
+
 # Encoding
 
 
