@@ -6,8 +6,8 @@ examples left out of training calibrates its probabilities. A prediction counts
 only where the words of a template of that family confirm it.
 
 Training is a small computation on the driver over the templates below. Scanning
-uses DataFrame functions alone. Every feature holds an anchor word, so paragraphs
-without one have no features: leaving them out first changes no answer.
+uses DataFrame functions alone. Every feature holds an anchor word, so lines and blocks of
+lines without one have no features: leaving them out first changes no answer.
 """
 
 from __future__ import annotations
@@ -16,11 +16,14 @@ import random
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 UNKNOWN = "unknown"
 #: Words of a window that a longer paragraph is read in, and its step.
 WINDOW, STEP = 80, 40
+#: Words at a cut edge of a window whose anchors only the window beside it reads: the
+#: cut may go through a name, and no name is longer.
+EDGE = 8
 #: Least calibrated probability of a family.
 LEAST_PROBABILITY = 0.5
 #: Share of the smaller side's n-grams that a template must share with a paragraph.
@@ -86,6 +89,8 @@ ANCHORS = [
     "cc", "attribution", "sharealike", "noncommercial",
 ]
 _ANCHOR_PATTERN = r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"
+#: Between a line and a blank one after it.
+_BLANK_LINE = r"(?<=\n)(?=[ \t\r\f]*\n)"
 
 
 def words_of(text: str) -> list[str]:
@@ -204,8 +209,12 @@ def scan_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:
     similarity. A paragraph of more than WINDOW words is read in windows; it gives a row
     for each family that a window shows, by its most certain window. A window's family
     is `unknown` where that class is the likeliest, or no other has LEAST_PROBABILITY,
-    or no template confirms it; a paragraph gives `unknown` only where all its windows
-    do. probability is that of the likeliest class.
+    or no template confirms it. probability is that of the likeliest class.
+
+    Names and notices may break over lines: the lines between two blank ones are read
+    joined as well. A family that they show and none of them shows alone gives a row
+    with the number of the first of them. Lines give `unknown` only where nothing
+    between those blank lines shows a family.
 
     Null text counts as empty, and such texts give no rows; repeated rows and ids
     are scanned each for itself; an empty table gives an empty result; other
@@ -220,14 +229,26 @@ def scan_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:
     patterns = F.broadcast(spark.createDataFrame(list(known.items()), "family string, known array<struct<text:string,grams:array<string>>>"))  # of fixed size
 
     text = F.col("text").cast("string")
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(_ANCHOR_PATTERN))
-    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(_ANCHOR_PATTERN)).withColumn("item", F.monotonically_increasing_id())
-    words = lines.select("item", "doc_id", "paragraph", F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(text, _BLANK_LINE).alias("blocks"), text.alias("text")).where(F.col("text").rlike(_ANCHOR_PATTERN))
+    breaks = F.transform("blocks", lambda b: F.size(F.split(b, "\n")) - 1)
+    blocks = texts.select("doc_id", breaks.alias("breaks"), F.posexplode("blocks").alias("at", "block")).where(F.col("block").rlike(_ANCHOR_PATTERN)).withColumn("item", F.monotonically_increasing_id())
+    first = F.aggregate(F.slice("breaks", 1, F.col("at")), F.lit(0), lambda n, b: n + b)
+    cut = blocks.select("item", "doc_id", F.filter(F.transform(F.split("block", "\n"), lambda x, i: F.struct((first + i).alias("paragraph"), F.lit(False).alias("joined"), x.alias("line"))), lambda x: F.trim(x["line"]) != "").alias("lines"))
+    joined = F.struct(F.col("lines")[0]["paragraph"].alias("paragraph"), F.lit(True).alias("joined"), F.array_join(F.col("lines")["line"], " ").alias("line"))
+    units = F.concat(F.filter("lines", lambda x: x["line"].rlike(_ANCHOR_PATTERN)), F.when(F.size("lines") > 1, F.array(joined)).otherwise(F.slice("lines", 1, 0)))
+    words = cut.select("item", "doc_id", F.explode(units).alias("u")).select("item", "doc_id", "u.paragraph", "u.joined", F.filter(F.split(F.lower("u.line"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (WINDOW - STEP)), F.lit(STEP))
-    windows = words.select("item", "doc_id", "paragraph", F.posexplode(F.transform(starts, lambda i: F.slice("words", i, WINDOW))).alias("window", "words"))
-    grams = windows.select("item", "doc_id", "paragraph", "window", _ngrams(F.col("words")).alias("grams"))
-    hits = grams.select("item", "doc_id", "paragraph", "window", "grams", F.explode("grams").alias("gram")).join(features, "gram", "left")
-    summed = hits.groupBy("item", "window").agg(F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"), F.first("grams").alias("grams"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
+
+    def window(i: Column) -> Column:
+        cut = lambda j: ((i > 1) & (j < EDGE)) | ((i + (WINDOW - 1) < F.size("words")) & (j >= WINDOW - EDGE))
+        return F.transform(F.slice("words", i, WINDOW), lambda w, j: F.when(cut(j) & w.isin(ANCHORS), "").otherwise(w))
+
+    windows = words.select("item", "doc_id", "paragraph", "joined", F.posexplode(F.transform(starts, window)).alias("window", "words"))
+    # Others have no features; the first of a line stays, so that each line has one.
+    windows = windows.where(F.exists("words", lambda w: w.isin(ANCHORS)) | ~F.col("joined") & (F.col("window") == 0))
+    grams = windows.select("item", "doc_id", "paragraph", "joined", "window", _ngrams(F.col("words")).alias("grams"))
+    hits = grams.select("item", "doc_id", "paragraph", "joined", "window", "grams", F.explode("grams").alias("gram")).join(features, "gram", "left")
+    summed = hits.groupBy("item", "paragraph", "joined", "window").agg(F.first("doc_id").alias("doc_id"), F.first("grams").alias("grams"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
     scores = [(F.col(n) + float(b)).alias(n) for n, b in zip(names, model.bias)]
     best = F.array_max(F.array(*(F.struct(s.alias("z"), F.lit(c).alias("class")) for s, c in zip(scores, model.classes))))
     told = summed.withColumn("best", best).withColumn("probability", 1 / sum((F.exp(s - F.col("best.z")) for s in scores[1:]), F.exp(scores[0] - F.col("best.z"))))
@@ -236,15 +257,17 @@ def scan_licenses(spark: SparkSession, docs: DataFrame) -> DataFrame:
     seen = told.withColumn("class", F.col("best.class")).join(patterns.withColumnRenamed("family", "class"), "class", "left").withColumn("alike", alike)
     sure = F.coalesce((F.col("alike.similarity") >= CONFIRMED) & (F.col("probability") >= LEAST_PROBABILITY), F.lit(False))
     read = seen.select(
-        "item", "window", "doc_id", "paragraph", F.when(sure, F.col("class")).otherwise(UNKNOWN).alias("family"), "probability", (F.col("class") != UNKNOWN).alias("any"),
+        "item", "joined", "window", "doc_id", "paragraph", F.when(sure, F.col("class")).otherwise(UNKNOWN).alias("family"), "probability", (F.col("class") != UNKNOWN).alias("any"),
         F.when(sure, F.col("alike.text")).alias("template"), F.coalesce("alike.similarity", F.lit(0.0)).alias("similarity"),
     )
     # Of each family the most certain window; of the unknown class only where there is no other.
     certain = F.struct("any", "probability", (-F.col("window")).alias("at"))
-    one = read.groupBy("item", "family").agg(F.max_by(F.struct("doc_id", "paragraph", "family", "probability", "template", "similarity"), certain).alias("r"))
-    rows = one.groupBy("item").agg(F.collect_list("r").alias("all"))  # one for each family at most
-    named = F.filter("all", lambda r: r["family"] != UNKNOWN)
-    return rows.select(F.explode(F.when(F.size(named) > 0, named).otherwise(F.col("all"))).alias("r")).select("r.*")
+    one = read.groupBy("item", "paragraph", "joined", "family").agg(F.max_by(F.struct("doc_id", "probability", "template", "similarity"), certain).alias("r"))
+    # The joined lines count for families that no line shows alone; `unknown` where the block shows none.
+    block, named = Window.partitionBy("item"), F.col("family") != UNKNOWN
+    alone = one.withColumn("alone", F.collect_set(F.when(named & ~F.col("joined"), F.col("family"))).over(block)).withColumn("any", F.max(named).over(block))
+    kept = alone.where(F.when(named, ~F.col("joined") | ~F.array_contains("alone", F.col("family"))).otherwise(~F.col("joined") & ~F.col("any")))
+    return kept.select("r.doc_id", "paragraph", "family", "r.probability", "r.template", "r.similarity")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,37 @@ def test_licenses_of_one_long_line(spark):
     assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in out) == [(0, 0, "GPL"), (0, 0, "MIT"), (1, 0, "unknown")]
 
 
+def test_licenses_that_break_over_lines(spark):
+    from lattica.llm.licenses import NOTICES, scan_licenses
+
+    rng = random.Random(8)
+    notice = NOTICES["MIT"][0].split()
+    wrapped = "\n".join(" ".join(notice[i : i + 4]) for i in range(0, len(notice), 4))
+    cases = [
+        ("Released under the MIT\nLicense.", 3, "MIT"), ("This code is available under the ISC\nlicense", 3, "ISC"), ("Licensed under the Eclipse Public\r\nLicense 2.0", 3, "EPL"), (wrapped, 3, "MIT"),
+        ("Released under the MIT\n \nLicense.", 5, "unknown"), ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", None, None),
+    ]
+    texts = [f"{words(rng, 30)}\n\n\n{case}\n\n{words(rng, 30)}" for case, _, _ in cases]
+    got = {}
+    for r in scan_licenses(spark, docs(spark, texts)).collect():
+        got.setdefault(r["doc_id"], []).append((r["paragraph"], r["family"]))
+    for i, (_, line, family) in enumerate(cases[:-1]):
+        assert got[i] == [(line, family)], (i, got[i])
+    assert sorted(got[len(cases) - 1]) == [(3, "MIT"), (4, "Apache")]
+
+
+def test_licenses_cut_by_windows(spark):
+    from lattica.llm.licenses import scan_licenses
+
+    rng = random.Random(9)
+    cases = [(f"{words(rng, n)}{gap}{name}{gap}{words(rng, 60)}", family) for n in range(68, 82) for gap in (" ", "\n") for name, family in (("Licensed under CC BY-NC 4.0.", "CC-BY-NC"), ("under the GNU Lesser General Public License", "LGPL"))]
+    cases += [(f"{words(rng, n)} under the GNU Lesser General Public License {words(rng, 60)}", "LGPL") for n in range(34, 42)]
+    got = {}
+    for r in scan_licenses(spark, docs(spark, [t for t, _ in cases])).collect():
+        got.setdefault(r["doc_id"], []).append(r["family"])
+    assert got == {i: [family] for i, (_, family) in enumerate(cases)}
+
+
 # Encoding
 
 
