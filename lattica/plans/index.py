@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.names import module_qn
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, Graph
-from ..operators import derive
+from ..operators import community, derive
 from ..operators.resolve import edges_of, registry
 from ..operators.upsert import last_wins
 from ..sources.files import infra_facts, infra_nodes, python_facts
@@ -14,7 +14,7 @@ from ..sources.files import infra_facts, infra_nodes, python_facts
 
 def index(files: DataFrame, cut=lambda name, df: df) -> Graph:
     """The graph of files (project, rel_path, text). `cut` may write a table and give
-    it back; it is called for facts, nodes and edges, in this order."""
+    it back; it is called for facts, nodes, edges and members of communities, in this order."""
     facts = cut("facts", python_facts(files).join(files.select("project", "rel_path"), "rel_path"))
     of = lambda kind: facts.where(F.col("kind") == kind)
     defs = of("definition").select("project", "rel_path", "name", "qualified_name", "label", "start_line", "end_line", F.col("owner").alias("parent_class"), F.col("detail").alias("docstring"), F.col("extra").alias("decorators"))
@@ -49,4 +49,10 @@ def index(files: DataFrame, cut=lambda name, df: df) -> Graph:
     implements, overrides = derive.implement_edges(graph)
     late = edges_of(implements, graph, "IMPLEMENTS").unionByName(edges_of(overrides, graph, "OVERRIDE")).unionByName(edges_of(derive.test_edges(graph), graph, "TESTS"))
     tests = derive.test_file_edges(graph).withColumns({"source_qn": F.concat(module_qn("project", "source_path"), F.lit(".__file__")), "target_qn": F.concat(module_qn("project", "target_path"), F.lit(".__file__"))})
-    return Graph(nodes, edges.unionByName(late).unionByName(edges_of(tests, graph, "TESTS_FILE")).select(*EDGE_SCHEMA.names))
+    # Communities are of who calls whom, however often and in whichever direction.
+    ends = {"source_id": F.least("source_id", "target_id"), "target_id": F.greatest("source_id", "target_id")}
+    calls = Graph(nodes, graph.typed("CALLS").withColumns(ends).dropDuplicates(["source_id", "target_id"]))
+    members = cut("members", community.louvain(calls, ("CALLS",), None, 50, drop_singletons=True))
+    groups, member_of = community.community_graph(graph, members)
+    edges = edges.unionByName(late).unionByName(edges_of(tests, graph, "TESTS_FILE")).unionByName(member_of)
+    return Graph(nodes.unionByName(groups).select(*NODE_SCHEMA.names), edges.select(*EDGE_SCHEMA.names))

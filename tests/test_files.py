@@ -16,3 +16,19 @@ def test_large_files_are_indexed(spark, tmp_path):
     assert engine.index_repository(str(source), "p") == {"new": 2}
     names = {r["name"] for r in engine.graph.labelled("Function").select("name").collect()}
     assert names == {"small", "large"}
+
+
+def test_communities_are_indexed(spark, tmp_path):
+    from lattica.api import Engine
+
+    source = tmp_path / "source"
+    source.mkdir()
+    (source / "a.py").write_text("def a1():\n    a2()\n\ndef a2():\n    a3()\n\ndef a3():\n    a1()\n")
+    (source / "b.py").write_text("def b1():\n    b2()\n\ndef b2():\n    b1()\n\ndef alone():\n    pass\n")
+    engine = Engine(spark, str(tmp_path / "graphs"))
+    engine.index_repository(str(source), "p")
+    rows = engine.query_graph("MATCH (f)-[:MEMBER_OF]->(c:Community) RETURN f.name, c.name", "p").collect()
+    groups = {}
+    for name, community in map(tuple, rows):
+        groups.setdefault(community, set()).add(name)
+    assert sorted(map(sorted, groups.values())) == [["a1", "a2", "a3"], ["b1", "b2"]]
