@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import heapq
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,17 +31,24 @@ LONG = 48
 NONE = 1 << 40
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
-#: Unicode's white space.
-_WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: The classes that the pattern of the rank files names.
+_NAMED = {LETTER: r"\p{L}", NUMBER: r"\p{N}", SPACE: r"\s"}
 _BLOCK = 64
 
 
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
-    """The class of every codepoint: letter, number, other, white space."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-    table[_WHITE] = SPACE
+    """The class of every codepoint: letter, number, other, white space. Python's own
+    tables are of another Unicode version than tiktoken's, so tiktoken is asked once, by
+    an encoding of single bytes for each class, which leaves out all other codepoints."""
+    import tiktoken
+
+    table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    for kind, pattern in _NAMED.items():
+        probe = tiktoken.Encoding(f"class-{kind}", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        found = probe.encode_to_numpy(every, disallowed_special=()).astype(np.uint8).tobytes()
+        table[np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)] = kind
     return table
 
 

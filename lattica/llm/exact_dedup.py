@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, mix64, sized, text_or_empty
+from .common import Workspace, map_arrow, mix64, sized, text_or_empty
 
 #: A memtable is flushed at so many rows or bytes of text.
 MEMTABLE_ROWS = 50_000

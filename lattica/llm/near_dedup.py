@@ -8,10 +8,11 @@ the signature bring candidates together, and every link is confirmed on the sets
 
 Copies with equal sets are one class, and a bucket is not paired off: its members
 meet one hub, the member that most other texts share buckets with. Links join
-classes to components. Only in a bucket whose members are still in different
-components do the members outside its largest component meet the rest, less the
-pairs that sizes, the shingles that a member shares with any other, or the triangle
-inequality of the Jaccard distance rule out.
+classes to components. Members of buckets that still hold several components are
+compared by their scarcest shingles: with shingles ordered from scarce to frequent,
+two sets of the threshold's similarity share one of the first few of each, however
+large a bucket is. Of the classes that have such a shingle, those outside the largest
+component meet the rest.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import GOLD, Workspace, arrow_map, binary_rows, mix64, sized, text_or_empty
+from .common import GOLD, Workspace, arrow_map, binary_rows, map_arrow, mix64, sized, text_or_empty
 from .shingles import WORDS, shingle_hashes
 
 THRESHOLD = 0.8
@@ -35,9 +37,6 @@ BANDS, ROWS = 30, 5
 #: texts through, and the joins stay exact.
 FILTER_BITS = 1 << 23
 
-#: An element of so many classes at most is rare: the classes that have it are paired.
-RARE = 5
-
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 
 
@@ -121,7 +120,7 @@ def sketches(docs: DataFrame, weighting: str = "set", bands: int = BANDS, rows:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls, pa.binary()), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "cls", "total", "bands"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(mark) if mark else F.lit(None)).cast("long").alias("mark"), text_or_empty().alias("text"))
-    return some.mapInArrow(run, "doc_id long, mark long, cls binary, total double, bands array<long>")
+    return map_arrow(some, run, "doc_id long, mark long, cls binary, total double, bands array<long>")
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -139,15 +138,14 @@ def _id_filter(ids: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["bits"])
 
     total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.coalesce(8).mapInArrow(partial, "bits binary").collect():
+    for row in map_arrow(ids.coalesce(8), partial, "bits binary").collect():
         total |= np.frombuffer(bytes(row["bits"]), np.uint8)
     return total.tobytes()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, weighting: str, words: int) -> DataFrame:
-    """(cls, elements, weights) of the texts whose id is in `wanted`, or passes for it:
-    shingles as 32-bit fingerprints, sorted."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+def _sets(docs: DataFrame, bloom: Broadcast, weighting: str, words: int) -> DataFrame:
+    """(cls, elements, weights) of the texts whose id passes a filter of those wanted:
+    sorted distinct shingles, 64 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(np.frombuffer(bloom.value, np.uint8)).astype(bool)
@@ -157,21 +155,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, weighting: str, words: int) -> Dat
             for at in range(0, batch.num_rows, 500):
                 sets = [weighted_shingles(t, weighting, words) for t in batch.column(1).slice(at, 500).to_pylist()]
                 names = [_fingerprint(e, w) for e, w in sets]
-                counts = [None if weighting == "set" else w[np.argsort(e >> np.uint64(32), kind="stable")].astype("<u4").tobytes() for e, w in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), binary_rows([np.sort((e >> np.uint64(32)).astype("<u4")) for e, _ in sets]), pa.array(counts, pa.binary())], names=["cls", "elements", "weights"])
+                counts = [None if weighting == "set" else w.astype("<u4").tobytes() for _, w in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), binary_rows([e.astype("<u8") for e, _ in sets]), pa.array(counts, pa.binary())], names=["cls", "elements", "weights"])
 
     some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return some.mapInArrow(run, "cls binary, elements binary, weights binary")
+    return map_arrow(some, run, "cls binary, elements binary, weights binary")
 
 
 def _similarity(e1: bytes, w1: bytes | None, e2: bytes, w2: bytes | None) -> float:
-    a, b = np.frombuffer(e1, "<u4"), np.frombuffer(e2, "<u4")
+    a, b = np.frombuffer(e1, "<u8"), np.frombuffer(e2, "<u8")
     if w1 is None:
         both = np.concatenate([a, b])
-        both.sort()
+        both.sort(kind="stable")  # two sorted runs are merged
         common = int((both[1:] == both[:-1]).sum())
         return common / (len(a) + len(b) - common)
-    _, i, j = np.intersect1d(a, b, return_indices=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     x, y = np.frombuffer(w1, "<u4"), np.frombuffer(w2, "<u4")
     common = float(np.minimum(x[i], y[j]).sum())
     return common / (float(x.sum()) + float(y.sum()) - common)
@@ -192,17 +190,44 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _elements(sets: DataFrame) -> DataFrame:
-    """(element, cls, weight): a row for each element of each set."""
+    """(element, cls, weight): a row for each element of each set, by the upper half of its
+    bits. Elements that are alike there only bring more classes together."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        elements = [np.frombuffer(e, "<u4") for e in batch.column(1).to_pylist()]
+        elements = [np.frombuffer(e, "<u8") >> np.uint64(32) for e in batch.column(1).to_pylist()]
         weights = [np.ones(len(e)) if w is None else np.frombuffer(w, "<u4").astype(float) for e, w in zip(elements, batch.column(2).to_pylist())]
         owner = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
-        yield {"element": pa.array(np.concatenate([*elements, np.zeros(0, "<u4")]).astype(np.int64)), "cls": batch.column(0).take(pa.array(owner)), "weight": pa.array(np.concatenate([*weights, np.zeros(0)]))}
+        yield {"element": pa.array(np.concatenate([*elements, np.zeros(0, np.uint64)]).astype(np.int64)), "cls": batch.column(0).take(pa.array(owner)), "weight": pa.array(np.concatenate([*weights, np.zeros(0)]))}
 
     return arrow_map(sets.select("cls", "elements", "weights"), rows, "element long, cls binary, weight double", 200)
 
 
+def _by_scarce_elements(space: Workspace, sets: DataFrame, left: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Pairs (a, b) of the classes `left` (cls, total, root) of different roots that may have
+    a similarity of `threshold`: all that do, and others that share a scarce element.
+
+    Elements are ordered from scarce to frequent. What two similar sets have in common
+    weighs `threshold` of either at least, so the first common element lies where this
+    much of both sets still follows. Elements of one class alone come first of all and
+    pair nothing off.
+    """
+    each = space.table("elements", _elements(sets.join(left.select("cls"), "cls", "left_semi")), rows=50 * n)
+    held = each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = space.table("common", each.join(held, "element"), rows=50 * n)
+    met = common.groupBy("cls").agg(F.sum("weight").alias("met"))
+    able = left.join(met, "cls").where(F.col("met") + 1e-6 >= threshold * F.col("total")).select("cls", "total", "root")
+    follows = F.sum("weight").over(Window.partitionBy("cls").orderBy(F.desc("n"), F.desc("element")).rowsBetween(Window.unboundedPreceding, 0))
+    first = common.join(able, "cls").withColumn("follows", follows).where(F.col("follows") + 1e-6 >= threshold * F.col("total"))
+    rows = space.table("scarce", first.select("element", "cls", "total", "root"), rows=10 * n)
+    space.drop("elements", "common")
+    parts = rows.groupBy("element", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = parts.groupBy("element").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("element", F.col("m.root").alias("main"))
+    outside = rows.join(main, "element").where("root != main").select("element", F.col("cls").alias("x"), F.col("total").alias("x_total"), F.col("root").alias("x_root"))
+    fits = F.least("total", "x_total") >= threshold * F.greatest("total", "x_total")
+    met = outside.join(rows, "element").where((F.col("root") != F.col("x_root")) & fits)
+    return met.select(F.greatest("x", "cls").alias("a"), F.least("x", "cls").alias("b")).distinct()
+
+
 def components(space: Workspace, edges: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): alternating large and small stars;
     each round is written, so a lost executor costs a re-read."""
@@ -226,8 +251,8 @@ def components(space: Workspace, edges: DataFrame, name: str, rows: int | None =
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, weighting: str = "set", bands: int = BANDS, rows: int = ROWS, words: int = WORDS, mark: str | None = None) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, group_id, group_size,
-    links, kept, and with `mark` (a long column of `docs`) also mark. A group is what links of similarity `threshold` or more connect;
-    group_id is its smallest doc_id, whose row is kept; links counts the classes
+    links, kept, and with `mark` (a long column of `docs`) also mark. A group is what
+    links of similarity `threshold` or more, counted on 64-bit shingles, connect; group_id is its smallest doc_id, whose row is kept; links counts the classes
     of different sets that the document's own class was confirmed to be linked to.
 
     Words are lower-cased runs of letters and digits; a text of fewer words than a
@@ -251,51 +276,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     # Ids of one text for each class that some pair needs.
     first = table.where("doc_id is not null").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     # Repeated rows and what passes the filter by chance give a class again: one of them stays.
-    sets = space.table("sets", _sets(docs, first.select("doc_id"), weighting, words).join(members.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), rows=10 * n)
+    bloom = spark.sparkContext.broadcast(_id_filter(first.select("doc_id")))
+    sets = space.table("sets", _sets(docs, bloom, weighting, words).join(members.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), rows=10 * n)
+    bloom.destroy()
     told = space.table("told", _verified(pairs, sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), rows=n)
     links = told.where(F.col("similarity") >= threshold).select("a", "b")
     roots = space.table("roots", components(space, links, "star", n), rows=n)
 
-    # Buckets that still hold several components: their smaller part meets the rest.
-    placed = stars.join(told, ["a", "b"], "left").join(roots.withColumnRenamed("node", "a"), "a", "left").select(
-        "key", "a", "total", F.coalesce("root", "a").alias("root"),
-        F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("similarity")).alias("far"),
-        (1 - F.least("total", "b_total") / F.greatest("total", "b_total")).alias("least_far"),
-    )
+    # Buckets that still hold several components may hide links between them.
+    placed = stars.join(roots.withColumnRenamed("node", "a"), "a", "left").select("key", F.col("a").alias("cls"), "total", F.coalesce("root", "a").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-    # Two classes share a rare element, and are paired by it, or what they have in common
-    # is among their frequent elements: a pair of similarity t has t / (1 + t) of both
-    # totals in common, so classes with too little that is frequent are in no such pair.
-    left = space.table("left", placed.join(mixed, "key", "left_semi"), rows=n)
-    each = space.table("elements", _elements(sets.join(left.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")), rows=50 * n)
-    few = each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE)
-    rare = space.table("rare", each.join(few, "element"), rows=50 * n)
-    scarce = rare.groupBy(F.col("cls").alias("a")).agg(F.sum("weight").alias("scarce"))
-    about = left.select("a", "root", "total").distinct()
-    mate = rare.where("n > 1").select("element", "cls").join(about.withColumnRenamed("a", "cls"), "cls")
-    other = mate.select("element", F.col("cls").alias("x"), F.col("root").alias("x_root"), F.col("total").alias("x_total"))
-    fits = F.least("total", "x_total") >= threshold * F.greatest("total", "x_total")
-    by_rare = mate.join(other, "element").where((F.col("cls") > F.col("x")) & (F.col("root") != F.col("x_root")) & fits).select(F.col("cls").alias("a"), F.col("x").alias("b"))
-    left = left.join(scarce, "a", "left").withColumn("shared", F.col("total") - F.coalesce("scarce", F.lit(0.0)) + 1e-6)
-    part = threshold / (1 + threshold)
-    smallest = left.groupBy("key").agg(F.min("total").alias("smallest"))
-    left = space.table("able", left.join(smallest, "key").where(F.col("shared") >= part * (F.col("total") + F.greatest("smallest", threshold * F.col("total")))).drop("scarce", "smallest"), rows=n)
-    bands_of = table.where("bands is not null").join(left.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").groupBy(F.col("cls").alias("a")).agg(F.first("bands").alias("own"))
-    parts = left.groupBy("key", "root").count()
-    main = parts.groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    left = left.join(bands_of, "a")
-    outside = left.join(main, "key").where("root != main").select("key", F.col("a").alias("x"), F.col("root").alias("x_root"), F.col("total").alias("x_total"), F.col("shared").alias("x_shared"), F.col("far").alias("x_far"), F.col("least_far").alias("x_least"), F.col("own").alias("x_own"))
-    reach = 1 - threshold + 1e-9
-    rest = outside.join(left, "key").where(
-        (F.col("root") != F.col("x_root"))
-        & (F.least("total", "x_total") >= threshold * F.greatest("total", "x_total"))
-        & (F.least("shared", "x_shared") >= part * (F.col("total") + F.col("x_total")))
-        # |d(x, hub) - d(a, hub)| is at most d(x, a); unmeasured distances have lower bounds.
-        & (F.coalesce(F.abs(F.col("far") - F.col("x_far")), F.col("least_far") - F.col("x_far"), F.col("x_least") - F.col("far"), F.lit(0.0)) <= reach)
-        # Of the buckets that two members share, the first makes the pair.
-        & (F.array_position(F.zip_with("own", "x_own", lambda p, q: p == q), True) == F.array_position("own", F.col("key")))
-    )
-    rest = rest.select(F.greatest("x", "a").alias("a"), F.least("x", "a").alias("b")).union(by_rare).distinct()
+    left = space.table("left", placed.join(mixed, "key", "left_semi").select("cls", "total", "root").distinct(), rows=n)
+    rest = _by_scarce_elements(space, sets, left, threshold, n)
     known = told.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = space.table("more", _verified(rest.join(known, ["a", "b"], "left_anti"), sets).groupBy("a", "b").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= threshold).select("a", "b"), rows=n)
     both = links.union(more)

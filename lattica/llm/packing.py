@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Workspace, arrow_map, sized, text_or_empty
+from .common import Workspace, arrow_map, map_arrow, sized, text_or_empty
 
 CAPACITY = 2048
 #: Documents and gaps that one partition of a sweep holds.
@@ -35,12 +35,15 @@ _SWEPT = "part string, kind string, id long, size int, rank int, bin long, gap i
 
 
 @lru_cache(maxsize=2)
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: str, special_as_text: bool):
     """text -> ids, from a tokenizers file of a byte-level BPE.
 
     In such a file each byte is written as one printable character, and ids are
     ranks of merges; the same vocabulary and merges run here by tiktoken, several
     times faster than by the library of the file, with the same ids (see tests).
+    A string of the file's added tokens is cut out of a text first and becomes its own
+    id, as the library does by itself, or is text like any other (`special_as_text`,
+    the library's encode_special_tokens).
     """
     import public_tokenizers
     import tiktoken
@@ -49,10 +52,13 @@ def _encoder(vocabulary: str):
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     with open(vocabulary, encoding="utf-8") as file:
         tokenizer = json.load(file)
-    special = {t["content"] for t in tokenizer.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in tokenizer.get("added_tokens", ())}
+    if any(t.get(k) for t in tokenizer.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{vocabulary}: added tokens that take the space beside them aren't handled")
     ranks = {bytes(byte[c] for c in token): rank for token, rank in tokenizer["model"]["vocab"].items() if token not in special}
-    encoding = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    own = {} if special_as_text else special
+    encoding = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=own)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special=set(own), disallowed_special=())
 
 
 def default_vocabulary() -> str:
@@ -61,7 +67,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
+def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, special_as_text: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids followed by
     `end_id`, cut into pieces of `capacity` ids where it is longer.
 
@@ -75,7 +81,7 @@ def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | N
     width = 4 * capacity
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        encode = _encoder(vocabulary)
+        encode = _encoder(vocabulary, special_as_text)
         doc, piece, start, length, ids = [], [], [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             packed = encode(text).astype("<u4").tobytes() + end
@@ -96,8 +102,15 @@ def _sweep(capacity: int):
         part = None  # the place of the range's first row among all: ranges sort by it
         stacks: list[list[tuple[int, bool]]] = [[] for _ in range(capacity + 1)]
         full = 0  # bit g: there is a gap of size g
-        placed, left = [], []
+        unplaced = 0
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, types))], names=["part", "kind", "id", "size", "rank", "bin", "gap"])
+
         for batch in batches:
+            rows = []
             for kind, key, size in zip(*(c.to_pylist() for c in batch.columns)):
                 if part is None:
                     part = f"{capacity - size:010d}.{kind}.{key:020d}"
@@ -105,27 +118,29 @@ def _sweep(capacity: int):
                     stacks[size].append((key, True))
                     full |= 1 << size
                 elif not (above := full >> size):
-                    left.append((key, size))
+                    rows.append(("U", key, size, unplaced, None, None))
+                    unplaced += 1
                 else:
                     gap = size + (above & -above).bit_length() - 1
                     bin_, _ = stacks[gap].pop()
                     if not stacks[gap]:
                         full &= ~(1 << gap)
-                    placed.append((key, size, bin_, gap))
+                    rows.append(("D", key, size, None, bin_, gap))
                     if rest := gap - size:
                         stacks[rest].append((bin_, False))
                         full |= 1 << rest
-        untouched = [(b, g) for g in range(capacity, 0, -1) for b, fresh in stacks[g] if fresh]
-        rests = [(b, g) for g in range(capacity, 0, -1) for b, fresh in stacks[g] if not fresh]
-        n = None
-        rows = [("D", k, s, n, b, g) for k, s, b, g in placed]
-        rows += [("U", k, s, r, n, n) for r, (k, s) in enumerate(left)]
-        rows += [("G", b, g, r, n, n) for r, (b, g) in enumerate(untouched)]
-        rows += [("R", b, g, n, n, n) for b, g in rests]
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        for at in range(0, len(rows), 50_000):
-            columns = list(zip(*rows[at : at + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(columns[0]), pa.string()), *(pa.array(c, t) for c, t in zip(columns, types))], names=["part", "kind", "id", "size", "rank", "bin", "gap"])
+            if rows:
+                yield out(rows)
+        rows, untouched = [], 0
+        for g in range(capacity, 0, -1):
+            for bin_, fresh in stacks[g]:
+                rows.append(("G", bin_, g, untouched, None, None) if fresh else ("R", bin_, g, None, None, None))
+                untouched += fresh
+                if len(rows) >= 20_000:
+                    yield out(rows)
+                    rows = []
+        if rows:
+            yield out(rows)
 
     return run
 
@@ -204,7 +219,7 @@ def best_fit(space: Workspace, items: DataFrame, capacity: int = CAPACITY) -> Da
             events = events.unionByName(gaps.where(F.col("gap") > low).select(F.lit(0).cast("tinyint").alias("kind"), F.col("bin").alias("id"), F.col("gap").alias("size")))
         parts = max(spark.sparkContext.defaultParallelism, math.ceil((waiting[i] + n_gaps) / SWEEP_ROWS))
         order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-        swept = space.table(f"swept{i}", events.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT), rows=waiting[i] + n_gaps)
+        swept = space.table(f"swept{i}", map_arrow(events.repartitionByRange(parts, *order).sortWithinPartitions(*order), _sweep(capacity), _SWEPT), rows=waiting[i] + n_gaps)
         counts = {(r["part"], r["kind"]): r["count"] for r in swept.groupBy("part", "kind").count().collect()}
         plan, found = _plan(counts)
         taken = F.broadcast(spark.createDataFrame(plan, "part string, low int, high int, gap_part string, top int"))  # at most two rows a partition
@@ -234,7 +249,7 @@ def best_fit(space: Workspace, items: DataFrame, capacity: int = CAPACITY) -> Da
     return out.select("item", F.col("bin").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, carry: dict[str, Column] | None = None, special_as_text: bool = True) -> DataFrame:
     """Pack every row of `docs` (doc_id, text) into sequences of at most `capacity`
     ids. Returns per piece doc_id, piece, start, length, the columns of `carry`
     (expressions over encode_pieces' columns; by default ids itself),
@@ -243,10 +258,12 @@ def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACIT
     Null text counts as empty; an empty document is one piece of the end id.
     Repeated rows and ties of doc_id are packed each for itself. An empty table
     gives an empty result. Other columns are ignored, whatever their names.
+    Strings of the vocabulary's added tokens are ordinary text, or with
+    `special_as_text` false the ids of those tokens.
     """
     space = Workspace(spark, "packing")
     carry = carry or {"ids": F.col("ids")}
-    pieces = encode_pieces(docs, capacity, vocabulary).select("doc_id", "piece", "start", "length", *(c.alias(k) for k, c in carry.items()), F.monotonically_increasing_id().alias("item"))
+    pieces = encode_pieces(docs, capacity, vocabulary, special_as_text=special_as_text).select("doc_id", "piece", "start", "length", *(c.alias(k) for k, c in carry.items()), F.monotonically_increasing_id().alias("item"))
     pieces = space.table("pieces", pieces)
     placed = best_fit(space, pieces, capacity)
     return sized(pieces.join(placed, "item").drop("item"), pieces.count())
@@ -261,4 +278,4 @@ def packed_sequences(packed: DataFrame) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(spark, docs, carry={"ids_crc32": F.crc32("ids")}).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(spark, docs, carry={"ids_crc32": F.crc32("ids")}, special_as_text=False).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import Workspace
+from .common import Workspace, map_arrow
 
 #: Neighbours of a query, and every how many ids one is a query (op9).
 K = 10
@@ -54,7 +54,8 @@ def binary_codes(vectors: DataFrame, widths: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, segments)], names=["vec_id", *(f"s{i}" for i in range(len(widths)))])
 
     schema = "vec_id long, " + ", ".join(f"s{i} long" for i in range(len(widths)))
-    return vectors.where("embedding is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, schema)
+    some = vectors.where("embedding is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return map_arrow(some, run, schema)
 
 
 def _probes(active: DataFrame, widths: list[int], radius: int) -> DataFrame:
@@ -73,7 +74,7 @@ def _probes(active: DataFrame, widths: list[int], radius: int) -> DataFrame:
                     value = (columns[i][at : at + step, None] ^ mask[None, :]).ravel()
                     yield pa.RecordBatch.from_arrays([*map(pa.array, part), pa.array(np.full(len(value), i, np.int32)), pa.array(value)], names=[*names, "segment", "value"])
 
-    return active.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", segment int, value long")
+    return map_arrow(active, run, ", ".join(f"{n} long" for n in names) + ", segment int, value long")
 
 
 def _first_ids(codes: DataFrame, segments: list[str], most: int) -> DataFrame:
@@ -92,7 +93,7 @@ def _first_ids(codes: DataFrame, segments: list[str], most: int) -> DataFrame:
             kept = order[at < most]
             yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=["vec_id", *segments])
 
-    slim = codes.mapInArrow(run, codes.schema)
+    slim = map_arrow(codes, run, codes.schema)
     some = slim.groupBy(*segments, F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, most).alias("ids"))
     return some.groupBy(*segments).agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
 

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Workspace, arrow_map
+from .common import Workspace, arrow_map, map_arrow
 
 #: Lines of an index block, captures of an index file, bytes of an archive file.
 BLOCK_LINES = 1000
@@ -159,7 +159,7 @@ def write_archives(space: Workspace, pages: DataFrame, least_bytes: int = 0) ->
 
     revisits = (F.col("digest") == F.col("a_digest")) & F.col("page_id").eqNullSafe(F.col("a_id"))
     done = encoded.join(again, revisits, "left").select("page_id", "url", "key", "digest", "record", "refers_to")
-    return space.table("captures", done.mapInArrow(write, "key string, page_id long, file string, offset long, length long"))
+    return space.table("captures", map_arrow(done, write, "key string, page_id long, file string, offset long, length long"))
 
 
 def build_index(space: Workspace, captures: DataFrame) -> list[tuple[str, str, str]]:
@@ -200,7 +200,8 @@ def build_index(space: Workspace, captures: DataFrame) -> list[tuple[str, str, s
 
     parts = max(1, ceil(captures.count() / PART_LINES), min(spark.sparkContext.defaultParallelism, captures.count() // BLOCK_LINES))
     order = ["key", "page_id", "file", "offset"]
-    files = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "file", "offset", "length").mapInArrow(write, "file string, first string, last string")
+    ordered = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "file", "offset", "length")
+    files = map_arrow(ordered, write, "file string, first string, last string")
     return sorted((r["first"], r["last"], r["file"]) for r in space.table("parts", files).collect())
 
 
