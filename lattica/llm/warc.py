@@ -87,14 +87,19 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
+def _proof(payload: bytes) -> bytes:
+    """A second digest: payloads can be made that share a SHA-1."""
+    return hashlib.sha256(payload).digest()[:16]
+
+
 def _digests(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, size) of each page's payload."""
+    """(page_id, digest, size, proof) of each page's payload."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         bodies = [b.encode() if b else b"" for b in batch.column(1).to_pylist()]
-        yield {"page_id": batch.column(0), "digest": [payload_digest(b) for b in bodies], "size": [len(b) for b in bodies]}
+        yield {"page_id": batch.column(0), "digest": [payload_digest(b) for b in bodies], "size": [len(b) for b in bodies], "proof": [_proof(b) for b in bodies]}
 
-    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), rows, "page_id long, digest string, size long", 512)
+    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")), rows, "page_id long, digest string, size long, proof binary", 512)
 
 
 def _encode(pages: DataFrame) -> DataFrame:
@@ -105,12 +110,12 @@ def _encode(pages: DataFrame) -> DataFrame:
         bodies = [b.encode() if b else b"" for b in bodies]
         digests = [payload_digest(b) for b in bodies]
         yield {
-            "page_id": ids, "url": urls, "key": [url_key(u) for u in urls], "digest": digests,
+            "page_id": ids, "url": urls, "key": [url_key(u) for u in urls], "digest": digests, "proof": [_proof(b) for b in bodies],
             "record": [_record("response", *r, None) for r in zip(ids, urls, digests, bodies)],
         }
 
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return arrow_map(some, rows, "page_id long, url string, key string, digest string, record binary", 256)
+    return arrow_map(some, rows, "page_id long, url string, key string, digest string, proof binary, record binary", 256)
 
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
@@ -130,8 +135,8 @@ def write_archives(space: Workspace, pages: DataFrame, least_bytes: int = 0) ->
     # Narrow rows decide what revisits what; payloads are read once more, and only their
     # compressed records are shuffled, by id and digest, which no hot payload crowds.
     narrow = _digests(pages)
-    latest = narrow.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    again = narrow.join(latest, "digest").where(F.col("size") >= least_bytes).where("not (page_id <=> refers_to)").select(F.col("page_id").alias("a_id"), F.col("digest").alias("a_digest"), "refers_to").distinct()
+    latest = narrow.where(F.col("size") >= least_bytes).groupBy("digest", "proof").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
+    again = narrow.join(latest, ["digest", "proof"]).where(F.col("size") >= least_bytes).where("not (page_id <=> refers_to)").select(F.col("page_id").alias("a_id"), F.col("digest").alias("a_digest"), F.col("proof").alias("a_proof"), "refers_to").distinct()
     encoded = _encode(pages)
     root = space.path("warc")
 
@@ -157,7 +162,7 @@ def write_archives(space: Workspace, pages: DataFrame, least_bytes: int = 0) ->
         if out is not None:
             out.close()
 
-    revisits = (F.col("digest") == F.col("a_digest")) & F.col("page_id").eqNullSafe(F.col("a_id"))
+    revisits = (F.col("digest") == F.col("a_digest")) & (F.col("proof") == F.col("a_proof")) & F.col("page_id").eqNullSafe(F.col("a_id"))
     done = encoded.join(again, revisits, "left").select("page_id", "url", "key", "digest", "record", "refers_to")
     return space.table("captures", map_arrow(done, write, "key string, page_id long, file string, offset long, length long"))
 
@@ -261,7 +266,8 @@ def look_up(space: Workspace, index: list[tuple[str, str, str]], urls: DataFrame
     payload_digest, payload_bytes, refers_to; from the records themselves, whose
     payloads are checked against their digests. payload_bytes of a revisit is null.
 
-    A group is one index file's keys, PART_LINES at most.
+    A group is one index file's keys, PART_LINES at most. Groups are dealt out by number:
+    their rows are tiny, but each stands for a payload that its task reads.
     """
     firsts, lasts = [x[0] for x in index], [x[1] for x in index]
     warc_root, index_root = space.path("warc"), space.path("index")
@@ -291,7 +297,7 @@ def look_up(space: Workspace, index: list[tuple[str, str, str]], urls: DataFrame
         return pd.DataFrame(out, columns=["page_id", "url_key", "record_type", "payload_digest", "payload_bytes", "refers_to"]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
     keys = arrow_map(urls.select(F.col("url").cast("string").alias("url")), place, "key string, part int", 4096).distinct()
-    return keys.groupBy("part").applyInPandas(search, "page_id long, url_key string, record_type string, payload_digest string, payload_bytes long, refers_to long")
+    return keys.repartition(max(1, 2 * len(index)), "part").groupBy("part").applyInPandas(search, "page_id long, url_key string, record_type string, payload_digest string, payload_bytes long, refers_to long")
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, least_bytes: int = 0, root: str | None = None) -> DataFrame:
@@ -303,8 +309,8 @@ def archive_pages(spark: SparkSession, pages: DataFrame, least_bytes: int = 0, r
     space = Workspace(spark, "warc", root)
     index = build_index(space, write_archives(space, pages, least_bytes))
     read = space.table("read", look_up(space, index, pages.select("url").distinct()))
-    sizes = read.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
-    return read.join(sizes, "payload_digest", "left").select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    sizes = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
+    return read.join(sizes, ["refers_to", "payload_digest"], "left").select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
