@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
-from math import ceil, log2
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .common import Workspace, map_arrow
 K = 10
 QUERY_EVERY = 20
 _SALTS = 64
+#: Probes that a task makes, about.
+_TASK_PROBES = 250_000
 
 
 def segment_widths(bits: int, rows: int) -> list[int]:
@@ -49,7 +51,7 @@ def binary_codes(vectors: DataFrame, widths: list[int]) -> DataFrame:
             grid = np.zeros((batch.num_rows, bits), bool)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            grid[owner, place] = flat > 0
+            grid[owner, place] = flat > 0  # false for null, which is NaN here
             segments = [grid[:, a:b] @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, segments)], names=["vec_id", *(f"s{i}" for i in range(len(widths)))])
 
@@ -103,7 +105,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     (the same columns) by Hamming distance of their sign codes: vec_id, rank,
     neighbour_id, distance. Exact; ties go to the smaller id; a query's own id is
     not its neighbour. Fewer than k others give fewer rows. Null ids or embeddings
-    are neither found nor answered; of queries that repeat an id and a code one
+    are neither found nor answered; null values and NaN within one count as not
+    positive, as do those that a shorter embedding lacks; of queries that repeat an id and a code one
     is answered. Empty tables give an empty result; other columns are ignored."""
     space = Workspace(spark, "topk")
     shape = vectors.select("embedding").union(queries.select("embedding")).agg(F.max(F.size("embedding")).alias("bits"), F.count(F.lit(1)).alias("n")).first()
@@ -118,9 +121,11 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     code = [f"q{i}" for i in range(len(widths))]
     schema = active.withColumns({"distance": F.lit(0), "id": F.lit(0).cast("long")}).schema
     best, done = spark.createDataFrame([], schema), []
+    n_active = active.count()
     order = Window.partitionBy(*code).orderBy("distance", "id")
     for radius in range(max(widths) + 1):
-        probes = _probes(active, widths, radius)
+        each = sum(comb(w, radius) for w in widths)
+        probes = _probes(active.repartition(max(1, ceil(n_active * each / _TASK_PROBES))), widths, radius)
         apart: list[Column] = [F.bit_count(q[i].bitwiseXOR(F.col(s))) for i, s in enumerate(names)]
         # First met here: no segment is nearer, and none before this one as near.
         first = reduce(lambda a, b: a & b, [(d > radius) | ((d == radius) & (F.col("segment") <= i)) for i, d in enumerate(apart)])
@@ -137,7 +142,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         if last:
             break
         active, best = space.table(f"active{radius}", active.join(proven, code, "left_anti")), state
-        if active.isEmpty():
+        n_active = active.count()
+        if not n_active:
             break
     found = reduce(DataFrame.unionByName, done)
     for i, s in enumerate(names):
