@@ -8,11 +8,13 @@ decides nothing.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
 import re
+import shutil
 import struct
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,7 +29,7 @@ from .common import arrow_map
 #: The rules of op6, in the order given: (verdict, host and path).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
-_MAGIC = b"LURL0001"
+_MAGIC = b"LURL0002"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 
@@ -43,15 +45,17 @@ def digest(text: str) -> int:
 
 
 def write_rules(path: str, rules: Iterable[tuple[str, str]], key=digest) -> None:
-    """The rule file: magic, number of rules, path lengths in use, then sorted keys,
-    offsets into the strings, verdicts and strings. Of equal rules the last holds."""
+    """The rule file: magic, number of rules, lengths of hosts and of paths in use, then
+    sorted keys, offsets into the strings, verdicts and strings. Of equal rules the last
+    holds."""
     last = {rule: verdict for verdict, rule in rules}
     found = sorted((key(rule), rule, verdict) for rule, verdict in last.items())
     strings = [rule.encode() for _, rule, _ in found]
+    hosts = sorted({len(rule.partition("/")[0]) for rule in last})
     spans = sorted({len(rule) - rule.find("/") if "/" in rule else 0 for rule in last})
     with open(path, "wb") as out:
-        out.write(_MAGIC + struct.pack("<QQ", len(found), len(spans)))
-        out.write(np.array(spans, "<u4").tobytes() + b"\0" * (-4 * len(spans) % 8))
+        out.write(_MAGIC + struct.pack("<QQQ", len(found), len(hosts), len(spans)))
+        out.write(np.array(hosts + spans, "<u4").tobytes() + b"\0" * (-4 * len(hosts + spans) % 8))
         out.write(np.array([k for k, _, _ in found], "<u8").tobytes())
         out.write(np.cumsum([0, *map(len, strings)]).astype("<u8").tobytes())
         out.write(bytes(v == "block" for _, _, v in found))
@@ -65,10 +69,11 @@ class RuleArray:
         self.key = key
         data = np.memmap(path, np.uint8, "r")
         assert data[:8].tobytes() == _MAGIC, path
-        n, spans = struct.unpack("<QQ", data[8:24].tobytes())
-        at = 24
-        self.spans = data[at : at + 4 * spans].view("<u4").tolist()
-        at += 4 * spans + (-4 * spans % 8)
+        n, hosts, spans = struct.unpack("<QQQ", data[8:32].tobytes())
+        at, sizes = 32, 4 * (hosts + spans)
+        both = data[at : at + sizes].view("<u4").tolist()
+        self.hosts, self.spans = both[:hosts], both[hosts:]
+        at += sizes + (-sizes % 8)
         self.keys = data[at : at + 8 * n].view("<u8")
         at += 8 * n
         self.offsets = data[at : at + 8 * (n + 1)].view("<u8")
@@ -76,10 +81,11 @@ class RuleArray:
         self.block, self.strings = data[at : at + n], data[at + n :]
 
     def candidates(self, host: str, path: str) -> list[str]:
-        """Every rule that could fit: a suffix of the host at a label, with a prefix
-        of the path of a length some rule has. Longest first."""
-        labels = host.split(".")
-        hosts = [".".join(labels[i:]) for i in range(len(labels))] if host else []
+        """Every rule that could fit: a suffix of the host at a label and a prefix of the
+        path, both of a length that some rule has, whatever the host's number of
+        labels. Longest first."""
+        n = len(host)
+        hosts = [host[n - k :] for k in self.hosts if 0 < k == n or 0 < k < n and host[n - k - 1] == "."]
         found = {h + path[:s] for h in hosts for s in self.spans if len(path) >= s}
         return sorted(found, key=lambda c: (-len(c), c))
 
@@ -106,6 +112,23 @@ class RuleArray:
         return out
 
 
+_sent: dict[tuple[str, str], str] = {}
+
+
+def _distributed(spark: SparkSession, rules: list[tuple[str, str]]) -> str:
+    """The name of the rules' file among Spark's files; equal rules are sent once. The
+    driver serves it from a folder of its own, which goes when the driver ends."""
+    key = spark.sparkContext.applicationId, hashlib.sha256(repr(rules).encode()).hexdigest()
+    if key not in _sent:
+        folder = tempfile.mkdtemp(prefix="lattica-rules-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        name = f"rules-{key[1][:32]}.bin"
+        write_rules(os.path.join(folder, name), rules)
+        spark.sparkContext.addFile(os.path.join(folder, name))
+        _sent[key] = name
+    return _sent[key]
+
+
 @lru_cache(maxsize=4)
 def _opened(name: str) -> RuleArray:
     return RuleArray(SparkFiles.get(name))
@@ -121,11 +144,7 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Iterable[tuple[str
     rows are judged each; an empty table gives an empty result; other columns are
     ignored. The rule file travels to each executor once, through Spark's files.
     """
-    name = f"rules-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="lattica-rules-")
-    path = os.path.join(folder, name)
-    write_rules(path, rules)
-    spark.sparkContext.addFile(path)
+    name = _distributed(spark, list(rules))
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         pairs = [split_url(url) for url in batch.column(1).to_pylist()]
