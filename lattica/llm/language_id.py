@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import arrow_map, binary_rows, held_out, mix64, with_text
 
@@ -23,15 +23,17 @@ DIMENSIONS = 1 << DIMENSION_BITS
 ORDERS = (1, 2, 3)
 CENTROIDS = 4
 #: The sample that the classifier is fitted on (the fit alone; every text is
-#: classified): texts of one language, texts in all, and languages.
+#: classified): rows of one language, and rows in all.
 SAMPLE_PER_LANGUAGE = 800
 SAMPLE_TOTAL = 8000
-MAX_LANGUAGES = 200
-#: A text is rejected where its cosine is below this share of the lowest cosine
-#: that a training text of the language had with its nearest centroid.
-REJECT_SHARE = 0.5
-#: Below so many characters a text may be farther away, by the root of its length.
-SHORT = 200
+#: A text is rejected where its cosine is below this share of a low quantile of the
+#: cosines that training texts of its length class had with their nearest centroid.
+REJECT_SHARE, LOW = 0.75, 0.01
+#: Length classes end at so many characters: a short text has few of a centroid's
+#: n-grams, so its cosine is small by nature. A class of fewer training texts than
+#: CLASS_TEXTS takes SHORTER of the next longer class's limit.
+LENGTHS = (25, 50, 100, 200)
+CLASS_TEXTS, SHORTER = 30, 0.7
 _CHUNK = 1 << 21
 
 
@@ -52,14 +54,18 @@ def term_counts(text: str) -> np.ndarray:
     other characters than letters folded to one space."""
     total = np.zeros(DIMENSIONS, np.float32)
     lowered = " " + text.lower() + " "
-    for at in range(0, len(lowered), _CHUNK):  # pieces of a very long text overlap by the longest n-gram
-        codes = np.frombuffer(lowered[at : at + _CHUNK + max(ORDERS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+    before, seen = np.zeros(0, np.uint64), False  # the last codes of the piece before; whether it ended in a letter
+    for at in range(0, len(lowered), _CHUNK):
+        codes = np.frombuffer(lowered[at : at + _CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = ((codes >= 97) & (codes <= 122)) | (codes >= 0xAA)
         codes = np.where(letter, codes, 32)
-        codes = codes[np.concatenate(([True], letter[1:] | letter[:-1]))].astype(np.uint64)
-        for order in ORDERS:
-            if len(codes) >= order:
-                total += np.bincount(_buckets(codes, order), minlength=DIMENSIONS)
+        fresh = codes[np.concatenate(([at == 0 or seen or bool(letter[0])], letter[1:] | letter[:-1]))].astype(np.uint64)
+        seen = bool(letter[-1])
+        for order in ORDERS:  # n-grams that end in this piece
+            own = np.concatenate([before[len(before) - min(len(before), order - 1) :], fresh])
+            if len(own) >= order:
+                total += np.bincount(_buckets(own, order), minlength=DIMENSIONS)
+        before = np.concatenate([before, fresh])[-(max(ORDERS) - 1) :]
     return total
 
 
@@ -78,16 +84,15 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray  # centroids, unit length
     owner: np.ndarray  # language of each centroid
-    least: np.ndarray  # lowest cosine that each centroid accepts
+    least: np.ndarray  # lowest cosine that is accepted, by length class
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, cosine, and whether the distance rejects the text."""
         cosine = vectors(texts, self.idf) @ self.vectors.T
         best = cosine.argmax(axis=1)
         score = cosine[np.arange(len(best)), best]
-        # A short text has few of a centroid's n-grams, so its cosine is small by nature.
-        reach = np.sqrt(np.minimum(1, np.array([len(t) for t in texts]) / SHORT))
-        return self.owner[best], np.clip(score, 0, 1), score < self.least[best] * reach
+        kind = np.searchsorted(LENGTHS, [len(t) for t in texts], "right")
+        return self.owner[best], np.clip(score, 0, 1), score < self.least[kind]
 
 
 def _clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -106,51 +111,69 @@ def _clusters(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def fit_centroids(counts: np.ndarray, languages: list[str], k: int = CENTROIDS) -> Centroids:
-    """Fit on the term counts of a sample; idf comes from the sample too."""
+def limits(cosine: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The lowest cosine that is accepted in each length class, from those of training texts."""
+    kind = np.searchsorted(LENGTHS, lengths, "right")
+    least = np.full(len(LENGTHS) + 1, REJECT_SHARE * np.quantile(cosine, LOW))
+    for k in reversed(range(len(least))):
+        if (kind == k).sum() >= CLASS_TEXTS:
+            least[k] = REJECT_SHARE * np.quantile(cosine[kind == k], LOW)
+        elif k < len(LENGTHS):
+            least[k] = SHORTER * least[k + 1]
+    return least
+
+
+def fit_centroids(counts: np.ndarray, languages: list[str], lengths: np.ndarray, k: int = CENTROIDS) -> Centroids:
+    """Fit on the term counts and text lengths of a sample; idf comes from the sample too."""
     names = sorted(set(languages))
     if not names:
-        return Centroids([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
+        return Centroids([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(len(LENGTHS) + 1))
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     rows = np.log1p(counts) * idf
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
     tags = np.array(languages)
-    centers, owner, least = [], [], []
+    centers, owner, cosine = [], [], np.zeros(len(rows))
     for n, name in enumerate(names):
         own = rows[tags == name]
         found = _clusters(own, k)
-        cosine = own @ found.T
-        nearest = cosine.argmax(axis=1)
-        for c in range(len(found)):
-            if (nearest == c).any():
-                centers.append(found[c]), owner.append(n), least.append(REJECT_SHARE * cosine.max(axis=1).min())
-    return Centroids(names, idf, np.stack(centers).astype(np.float32), np.array(owner), np.array(least))
-
-
-def train(docs: DataFrame, keep: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> Centroids:
-    """Fit on rows of `docs` that pass `keep` and have a letter in their text and a
-    lang. A hash of the id picks about `per_language` texts of each language; of
-    more than MAX_LANGUAGES languages those with the fewest rows are not learned.
-    Workers count the n-grams, so the driver gets vectors, not texts."""
+        near = own @ found.T
+        cosine[tags == name] = near.max(axis=1)
+        used = sorted(set(near.argmax(axis=1).tolist()))
+        centers += [found[c] for c in used]
+        owner += [n] * len(used)
+    return Centroids(names, idf, np.stack(centers).astype(np.float32), np.array(owner), limits(cosine, lengths))
+
+
+def train(docs: DataFrame, keep: Column, per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_TOTAL) -> Centroids:
+    """Fit on rows of `docs` that pass `keep` and have a letter in their text and a lang.
+
+    The sample has `per_language` rows of each language at most, fewer where there are
+    so many languages that they would be more than `total` in all, but one row of each
+    at least; of more than `total` languages, so many are learned, by a hash of
+    their names. A hash of id and text picks and orders the rows, so rows that repeat an
+    id, or have none, are picked each by its text, and of equal rows no more than the
+    bound. Workers count the n-grams, so the driver gets vectors, not texts."""
     usable = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    each = min(per_language, SAMPLE_TOTAL // max(1, len(sizes)))
-    share = F.lit(-1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, each / n).otherwise(share)
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("lang"), "lang").limit(total).collect()
+    each = max(1, min(per_language, total // max(1, len(sizes))))
+    # More than are wanted, so that hardly a language falls short by chance.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * each + 30) / r["n"])) for r in sizes], "lang string, share double")
+    unit = F.pmod(F.col("h"), F.lit(1_000_003)) / 1_000_003.0
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
-        found = [(h, lang, term_counts(text)) for h, lang, text in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(text)]
-        nonzero = [np.flatnonzero(v).astype("<u2") for _, _, v in found]
-        yield {"h": [h for h, _, _ in found], "lang": [x for _, x, _ in found], "at": binary_rows(nonzero), "tf": binary_rows([v[i].astype("<f4") for (_, _, v), i in zip(found, nonzero)])}
-
-    picked = arrow_map(usable.where(unit < share).select(F.xxhash64("doc_id").alias("h"), "lang", "text"), rows, "h long, lang string, at binary, tf binary", 64).collect()
-    picked.sort(key=lambda r: (r["lang"], r["h"], bytes(r["at"]), bytes(r["tf"])))
+        found = [(h, lang, len(text), term_counts(text)) for h, lang, text in zip(*(c.to_pylist() for c in batch.columns)) if has_letter(text)]
+        nonzero = [np.flatnonzero(v).astype("<u2") for *_, v in found]
+        yield {"h": [f[0] for f in found], "lang": [f[1] for f in found], "size": [f[2] for f in found], "at": binary_rows(nonzero), "tf": binary_rows([f[3][i].astype("<f4") for f, i in zip(found, nonzero)])}
+
+    some = usable.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(shares), "lang").where(unit < F.col("share"))  # `total` rows at most
+    counted = arrow_map(some.select("h", "lang", "text"), rows, "h long, lang string, size long, at binary, tf binary", 64)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = counted.withColumn("k", rank).where(F.col("k") <= each).drop("k").collect()
+    picked.sort(key=lambda r: (r["lang"], r["h"]))
     counts = np.zeros((len(picked), DIMENSIONS), np.float32)
     for n, r in enumerate(picked):
         counts[n, np.frombuffer(bytes(r["at"]), "<u2")] = np.frombuffer(bytes(r["tf"]), "<f4")
-    return fit_centroids(counts, [r["lang"] for r in picked])
+    return fit_centroids(counts, [r["lang"] for r in picked], np.array([r["size"] for r in picked]))
 
 
 def identify(docs: DataFrame, model: Centroids, keep: list[str] | None = None, text: str = "text") -> DataFrame:

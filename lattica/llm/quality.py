@@ -70,7 +70,8 @@ def features(text: str) -> np.ndarray:
                 key = np.full(len(kind) - order + 1, order, np.uint64)
                 for i in range(order):
                     key = (key << np.uint64(6)) | kind[i : len(kind) - order + 1 + i]
-                shape += np.bincount((mix64(key) >> np.uint64(64 - SHAPE_BITS)).astype(np.int64), minlength=1 << SHAPE_BITS)
+                # Pieces overlap by two characters; an n-gram counts where it begins.
+                shape += np.bincount((mix64(key[:_CHUNK]) >> np.uint64(64 - SHAPE_BITS)).astype(np.int64), minlength=1 << SHAPE_BITS)
     np.sqrt(shape / n, out=shape)
     words = text.split()
     m = len(words)
@@ -158,6 +159,20 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(qu[used][best] / qp[used][best], 0.05, 0.98))
 
 
+def risk_of_positives(p: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """The share of positives times their log loss as such, with its gradient by w and b."""
+    sp = _sigmoid(p @ w + b)
+    return float(-prior * np.log(np.maximum(sp, 1e-12)).mean()), prior * (p.T @ (sp - 1)) / len(p), float(prior * (sp - 1).mean())
+
+
+def risk_of_negatives(p: np.ndarray, u: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """The unbiased risk of negatives, with its gradient: the log loss of unlabelled rows as
+    negatives, less what the positives among them, by the prior, add to it."""
+    sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
+    risk = -np.log1p(-np.minimum(su, 1 - 1e-6)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-6)).mean()
+    return float(risk), u.T @ su / len(u) - prior * (p.T @ sp) / len(p), float(su.mean() - prior * sp.mean())
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, l2: float = 1e-3, steps: int = 250) -> Model:
     """Fit on feature rows. Without positives or unlabelled texts every score is 1."""
     if not len(positive) or not len(unlabelled):
@@ -172,46 +187,47 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         prior = estimate_prior(p[~half[0]] @ w + b, u[~half[1]] @ w + b) if min(len(p), len(u)) > 1 else 0.5
 
     def gradient(w, b):
-        sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
-        risk = -np.log1p(-np.minimum(su, 1 - 1e-6)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-6)).mean()
-        dw, db = u.T @ su / len(u) - prior * (p.T @ sp) / len(p), su.mean() - prior * sp.mean()
-        if risk < 0:  # the unbiased risk of negatives went below zero: step back
-            dw, db = -dw, -db
-            return dw + l2 * w, db
-        gp = prior * (sp - 1)
-        return dw + p.T @ gp / len(p) + l2 * w, db + gp.mean()
+        below, dw, db = risk_of_negatives(p, u, prior, w, b)
+        if below < 0:  # the unbiased risk of negatives went below zero: step back
+            return l2 * w - dw, -db
+        _, pw, pb = risk_of_positives(p, prior, w, b)
+        return dw + pw + l2 * w, db + pb
 
     w, b = _descend(gradient, p.shape[1], steps)
     return Model(mean, scale, w, float(b), prior)
 
 
-def _rows(docs: DataFrame) -> np.ndarray:
-    """Feature rows of a bounded sample (h, text), counted by workers, in a fixed order."""
+def _rows(docs: DataFrame, most: int) -> np.ndarray:
+    """Feature rows of `most` rows of a sample (h, text) at most, the first by h, in this
+    order. Workers compute the features; the driver gets those alone."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"h": batch.column(0), "x": binary_rows([features(t) for t in batch.column(1).to_pylist()])}
 
-    found = [(r["h"], bytes(r["x"])) for r in arrow_map(docs, rows, "h long, x binary", 64).collect()]
-    found.sort()
-    return np.stack([np.frombuffer(x, np.float32) for _, x in found]) if found else np.zeros((0, (1 << SHAPE_BITS) + STATS), np.float32)
+    found = [bytes(r["x"]) for r in arrow_map(docs, rows, "h long, x binary", 64).orderBy("h").limit(most).collect()]
+    return np.stack([np.frombuffer(x, np.float32) for x in found]) if found else np.zeros((0, (1 << SHAPE_BITS) + STATS), np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> Model:
     """Fit on rows of `docs` (doc_id, text) that pass `keep` (by default all outside
-    the evaluation fold): about `positives` of those that `labels` marks with
-    quality 1, and about `unlabelled` of all, whatever their label. A hash of the
-    id picks them; workers compute the features, the driver gets those alone."""
+    the evaluation fold): `positives` of those that `labels` marks with quality 1, and
+    `unlabelled` of all, whatever their label, at most. A hash of id and text picks
+    and orders the rows, so rows that repeat an id are picked each by its text, and of
+    equal rows no more than the bound. Rows without id or text are not learned from."""
     keep = ~held_out() if keep is None else keep
-    unit = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
-    usable = docs.where(keep & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    good = labels.where((F.col("quality") == 1) & ~held_out()).select("doc_id").distinct()
-    n_good, n_all = good.count(), usable.select("doc_id").count()
+    unit = lambda seed: F.pmod(F.xxhash64(F.col("h"), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    usable = docs.where(keep & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    good = labels.where((F.col("quality") == 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    n_all, n_good = usable.select("doc_id").count(), usable.select("doc_id").join(good, "doc_id", "left_semi").count()
     if not n_good or not n_all:
         return fit(np.zeros((0, 0)), np.zeros((0, 0)))
-    picked = F.broadcast(good.where(unit < positives / n_good))  # about `positives` ids, whatever the size of labels
-    hashed = F.xxhash64("doc_id").alias("h")
-    p = _rows(usable.where(unit < positives / n_good).join(picked, "doc_id", "left_semi").select(hashed, "text"))
-    u = _rows(usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(11)), F.lit(1_000_003)) / 1_000_003.0 < unlabelled / n_all).select(hashed, "text"))
+    hashed = usable.withColumn("h", F.xxhash64("doc_id", "text"))
+    some = lambda rows, seed, most, n: rows.where(unit(seed) < (1.2 * most + 50) / n).select("h", "text")  # noqa: E731  some more than are wanted
+    # Only what a sample of all rows needs is looked up among the labels, ids first.
+    share = min(1.0, (1.2 * positives + 50) / n_good)
+    picked = hashed.where(unit(7) < share).select("h", "doc_id").join(good, "doc_id", "left_semi").select("h").distinct().orderBy("h").limit(positives)
+    p = _rows(hashed.where(unit(7) < share).join(F.broadcast(picked), "h", "left_semi").select("h", "text"), positives)  # `positives` rows at most
+    u = _rows(some(hashed, 11, unlabelled, n_all), unlabelled)
     return fit(p, u)
 
 

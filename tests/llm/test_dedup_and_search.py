@@ -156,6 +156,43 @@ def test_near_duplicates_of_repeated_sets_in_mixed_buckets(spark, monkeypatch, s
     assert len(out) == len(repeated) and all(r["group_id"] == want[r["doc_id"] % 10_000] for r in out)
 
 
+def test_near_duplicates_of_one_large_bucket(spark, monkeypatch):
+    """All texts share a bucket and most of their words, but are in many components: pairs
+    are made of those that share a scarce shingle, not of all."""
+    from lattica.llm import near_dedup
+
+    rng = random.Random(6)
+    shared, rows = [f"s{i}" for i in range(70)], []
+    for family in range(300):
+        own = [f"f{family}w{i}" for i in range(60)]
+        rows.append((len(rows), " ".join(shared + own)))
+        if family % 10 == 0:
+            own[rng.randrange(60)] = "changed"
+            rows.append((len(rows), " ".join(shared + own)))
+    made = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, sets: made.append(pairs.count()) or verified(pairs, sets))
+    monkeypatch.setattr(near_dedup, "dart_signature", lambda e, w, size, seed=1: np.ones(size, np.uint64))
+    df = docs(spark, rows)
+    keys = near_dedup.sketches
+    monkeypatch.setattr(near_dedup, "sketches", lambda *a, **k: keys(*a, **k).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(1).cast("long")))))
+    out = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(spark, df, bands=1, rows=1).collect()}
+    assert out == brute_groups(rows) and len(set(out.values())) == 300
+    assert sum(made) < 3 * len(rows), made
+
+
+def test_similarity_of_long_sets():
+    from lattica.llm.common import mix64
+    from lattica.llm.near_dedup import _similarity
+
+    a = np.sort(mix64(np.arange(1_000_000, dtype=np.uint64)))
+    b = np.sort(mix64(np.arange(111_112, 1_111_112, dtype=np.uint64)))
+    assert _similarity(a.tobytes(), None, a.tobytes(), None) == 1.0
+    assert _similarity(a.tobytes(), None, b.tobytes(), None) == 888_888 / 1_111_112 < 0.8
+    w = np.ones(len(a), "<u4").tobytes()
+    assert _similarity(a.tobytes(), w, b.tobytes(), w) == 888_888 / 1_111_112
+
+
 def test_dart_signature_estimates_weighted_jaccard():
     from lattica.llm.common import mix64
     from lattica.llm.near_dedup import dart_signature
@@ -236,6 +273,8 @@ def test_url_rules(spark, tmp_path):
     write_rules(str(tmp_path / "e"), [])
     assert RuleArray(str(tmp_path / "e")).match([("a", "/")]) == [(None, False)]
     assert filter_urls(spark, df.limit(0), RULES).count() == 0
+    junk = ".".join(["a"] * 200_000)  # suffixes of some rule's length alone are looked up
+    assert RuleArray(str(tmp_path / "r"), key=lambda s: len(s) % 3).match([(junk + ".net", "/es/x"), (junk, "/")]) == [("net/es/", True), (None, False)]
 
 
 # Archives

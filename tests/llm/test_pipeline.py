@@ -41,6 +41,21 @@ def test_stages_keep_clean_documents_and_drop_the_rest(spark, tmp_path):
     assert sorted(set(kept["packing"])) == kept["near_dedup"]
 
 
+def test_run_of_few_and_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)).capitalize() + "."
+    rows = [(i, text(), "xx", "s", 0) for i in range(80)] + [(100, None, None, None, None), (None, text(), "xx", "s", 0)]
+    for name, some in (("few", rows + rows[:3]), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(i, 1, 0) for i in range(0, 80, 2)][: len(some)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    out = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "few")).collect()]
+    assert len(out) == len(set(out)) and set(range(80)) - set(out) == set() and 100 not in out
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_registry_names():
     import __spark_entry__
     from lattica.llm.registry import ORACLE_SQL, QUERIES
