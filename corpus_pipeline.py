@@ -70,7 +70,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the rest into sequences; one row for each piece."""
-    packed = packing.pack_documents(spark, docs, carry={"ids_crc32": F.crc32("ids")})
+    packed = packing.pack_documents(spark, docs, carry={"ids_crc32": F.crc32("ids")}, special_as_text=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
