@@ -69,7 +69,7 @@ SQL = {k: graph_query(v) for k, v in {
     "search_basic": _degrees() + "SELECT qualified_name, in_degree, out_degree FROM f WHERE label = 'Supplier' AND file_path ILIKE 'supplier/1%'",
     "search_regex_ci": "SELECT qualified_name, name FROM nodes WHERE label = 'Part' AND regexp_matches(name, '(?i)^RED')",
     "search_degree_range": _degrees("PLACED") + "SELECT qualified_name, out_degree FROM f WHERE label = 'Customer' AND out_degree BETWEEN 8 AND 12",
-    "search_dead_code": "SELECT qualified_name FROM nodes WHERE label IN ('Customer', 'Order') AND id NOT IN (SELECT target_id FROM edges WHERE type = 'PLACED') AND (label = 'Order' OR start_line < 50)",
+    "search_dead_code": "SELECT qualified_name FROM nodes WHERE label IN ('Customer', 'Order') AND id NOT IN (SELECT target_id FROM edges WHERE type = 'PLACED')",
     "search_relevance_page": _degrees() + "SELECT qualified_name, in_degree, out_degree, total FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY name = 'red' DESC, starts_with(name, 'red') DESC, in_degree + out_degree DESC, qualified_name) AS k FROM f WHERE label = 'Part' AND name LIKE '%red%' AND in_degree + out_degree >= 1) WHERE k BETWEEN 6 AND 15",
     "search_connected_names": "WITH p AS (SELECT source_id AS id, target_id AS o FROM edges WHERE type IN ('IN_NATION', 'SUPPLIED_BY') UNION SELECT target_id, source_id FROM edges WHERE type IN ('IN_NATION', 'SUPPLIED_BY')), q AS (SELECT DISTINCT p.id, x.name FROM p JOIN nodes s ON s.id = p.id AND s.label = 'Supplier' JOIN nodes x ON x.id = p.o), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY name) AS k FROM q) SELECT id, string_agg(name, '|' ORDER BY name) AS names FROM r WHERE k <= 10 GROUP BY id",
     "schema_labels": "SELECT label, count(*) AS count FROM nodes GROUP BY label",

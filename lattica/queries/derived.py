@@ -206,17 +206,17 @@ SELECT src AS source_qualified_name, dst AS route_qn, round(confidence::DOUBLE,
 
 SQL = {
     "node_upsert_last_wins": graph_query("SELECT qualified_name, CASE WHEN start_line % 6 = 0 THEN 'newer new ' || name WHEN start_line % 3 = 0 THEN 'new ' || name ELSE name END AS name, properties->>'$.segment' AS segment FROM nodes WHERE label = 'Customer'"),
-    "edge_upsert_merge": graph_query("SELECT source_id, target_id, CASE WHEN source_id % 20 = 1 THEN 'b' END AS note, CAST(properties->>'$.quantity' AS DOUBLE) AS quantity FROM edges WHERE type = 'CONTAINS' AND source_id % 10 = 1"),
+    "edge_upsert_merge": graph_query("SELECT source_id, target_id, CASE WHEN source_id % 20 = 1 THEN 'b' END AS note, CAST(properties->>'$.quantity' AS DOUBLE) AS quantity FROM edges WHERE type = 'CONTAINS'"),
     "delete_cascade": graph_query("WITH gone AS (SELECT id FROM nodes WHERE label = 'Order' AND start_line < 500) SELECT type, count(*) AS count FROM edges WHERE type IN ('PLACED', 'CONTAINS') AND source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone) GROUP BY type"),
     "semi_delete": graph_query("SELECT type, count(*) AS count FROM edges WHERE type IN ('PLACED', 'IN_NATION') AND source_id NOT IN (SELECT id FROM nodes WHERE file_path = 'customer/3/file.go') GROUP BY type"),
     "anti_removed": _HASHES + "SELECT rel_path FROM st WHERE rel_path NOT IN (SELECT rel_path FROM cu)",
     "incremental_classify": _HASHES + "SELECT coalesce(cu.rel_path, st.rel_path) AS rel_path, CASE WHEN cu.rel_path IS NULL THEN 'removed' WHEN st.rel_path IS NULL THEN 'new' WHEN (cu.m = st.m AND cu.z = st.z) OR cu.h = st.h THEN 'unchanged' ELSE 'changed' END AS status FROM cu FULL JOIN st ON cu.rel_path = st.rel_path",
-    "dependents": graph_query("SELECT DISTINCT 'tpch' AS project, o.file_path AS rel_path FROM edges e JOIN nodes o ON o.id = e.source_id JOIN nodes p ON p.id = e.target_id WHERE e.type = 'CONTAINS' AND e.source_id % 1000 < 10 AND p.id % 16 = 3"),
+    "dependents": graph_query("SELECT DISTINCT 'tpch' AS project, o.file_path AS rel_path FROM edges e JOIN nodes o ON o.id = e.source_id JOIN nodes p ON p.id = e.target_id WHERE e.type = 'CONTAINS' AND p.id % 16 = 3"),
     "overlap_join": graph_query("WITH h AS (SELECT * FROM (VALUES ('part/3/file.js', 100, 130), ('part/5/file.js', 7, 7), ('3/file.py', 1, 40), ('file.py', 10, 12)) t(p, a, b)) SELECT qualified_name, p AS hunk_path, CAST(a AS INT) AS hunk_start FROM nodes JOIN h ON (file_path = p OR ends_with(file_path, '/' || p)) AND start_line <= b AND end_line >= a WHERE label IN ('Part', 'Supplier')"),
-    "hunk_carry_forward": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS c, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents WHERE doc_id < 200) SELECT h.doc_id, 'f' || length(f.c) AS path, CAST(length(h.c) AS INT) AS start_line, CAST(length(h.c) + 2 AS INT) AS end_line FROM l h JOIN l f ON f.doc_id = h.doc_id AND f.n = h.n - 1 WHERE h.n % 2 = 0",
+    "hunk_carry_forward": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS c, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents) SELECT h.doc_id, 'f' || length(f.c) AS path, CAST(length(h.c) AS INT) AS start_line, CAST(length(h.c) + 2 AS INT) AS end_line FROM l h JOIN l f ON f.doc_id = h.doc_id AND f.n = h.n - 1 WHERE h.n % 2 = 0",
     "relational_division": "WITH have AS (SELECT DISTINCT o_custkey AS owner, p_brand AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey), need AS (SELECT * FROM (VALUES ('a', 'Brand#1'), ('a', 'Brand#2'), ('a', 'Brand#3'), ('b', 'Brand#11'), ('b', 'Brand#12')) t(grp, item)) SELECT owner, grp FROM have JOIN need USING (item) GROUP BY owner, grp HAVING count(*) = (SELECT count(*) FROM need n WHERE n.grp = need.grp)",
     "substring_join": "WITH k AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS key FROM part) SELECT p_partkey AS id, key FROM part, k WHERE contains('_' || replace(p_name, ' ', '_') || '_', '_' || key || '_')",
-    "config_key_match": "WITH c AS (SELECT p_partkey AS id, p_name AS n FROM part WHERE p_partkey % 50 = 0 AND len(string_split(p_name, ' ')) >= 2 AND len(list_filter(string_split(p_name, ' '), lambda w: length(w) < 3)) = 0), s AS (SELECT p_partkey AS id, p_name || ' handler' AS n FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 100 = 0) SELECT c.id AS config_id, s.id AS code_id, CAST(CASE WHEN c.n = s.n THEN 0.85 ELSE 0.75 END AS DOUBLE) AS confidence FROM c JOIN s ON contains('_' || replace(s.n, ' ', '_') || '_', '_' || replace(c.n, ' ', '_') || '_')",
+    "config_key_match": "WITH c AS (SELECT p_partkey AS id, p_name AS n FROM part WHERE len(string_split(p_name, ' ')) >= 2 AND len(list_filter(string_split(p_name, ' '), lambda w: length(w) < 3)) = 0), s AS (SELECT p_partkey AS id, p_name || ' handler' AS n FROM part UNION ALL SELECT p_partkey, p_name FROM part) SELECT c.id AS config_id, s.id AS code_id, CAST(CASE WHEN c.n = s.n THEN 0.85 ELSE 0.75 END AS DOUBLE) AS confidence FROM c JOIN s ON contains('_' || replace(s.n, ' ', '_') || '_', '_' || replace(c.n, ' ', '_') || '_')",
     "http_route_match": _SCORE,
     "url_extract": "SELECT page_id, regexp_extract(url, '://[^/]*(/[A-Za-z0-9_./{}:-]*)', 1) AS path FROM pages WHERE regexp_matches(url, '://[^/]*/[^/?#]')",
     "change_coupling": "WITH c AS (SELECT DISTINCT user_id || '|' || strftime(ts, '%Y-%m-%d') AS h, event_type AS f FROM events), n AS (SELECT f, count(*) AS t FROM c GROUP BY f), p AS (SELECT a.f AS fa, b.f AS fb, count(*) AS k FROM c a JOIN c b ON a.h = b.h AND a.f < b.f GROUP BY ALL HAVING count(*) >= 3) SELECT fa AS file_a, fb AS file_b, k AS changes, round(k / least(x.t, y.t), 9) AS score FROM p JOIN n x ON x.f = fa JOIN n y ON y.f = fb WHERE k / least(x.t, y.t) >= 0.3",
@@ -225,7 +225,7 @@ SQL = {
     "decorator_tags": "WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS word FROM part), c AS (SELECT word FROM w WHERE length(word) > 1 GROUP BY word HAVING count(*) >= 2) SELECT id, string_agg(word, '|' ORDER BY word) AS tags FROM w JOIN c USING (word) GROUP BY id",
     "resolve_ladder": """WITH known AS (SELECT DISTINCT 'tpch.' || replace(p_brand, '#', '') || '.' || replace(p_name, ' ', '_') AS qn, replace(p_name, ' ', '_') AS name FROM part),
 sizes AS (SELECT name, count(*) AS n FROM known GROUP BY name),
-refs AS (SELECT p_partkey AS ref_id, replace(p_name, ' ', '_') AS name, 'tpch.' || replace(p_brand, '#', '') AS reach, p_partkey % 8 = 0 AS bare FROM part WHERE p_partkey % 4 = 0),
+refs AS (SELECT p_partkey AS ref_id, replace(p_name, ' ', '_') AS name, 'tpch.' || replace(p_brand, '#', '') AS reach, p_partkey % 8 = 0 AS bare FROM part),
 pick AS (SELECT ref_id, bare, r.name, n, reach, 'tpch.Brand1.' || r.name AS same, EXISTS (SELECT 1 FROM known WHERE qn = 'tpch.Brand1.' || r.name) AS in_module FROM refs r JOIN sizes s ON s.name = r.name)
 SELECT ref_id, CASE WHEN NOT bare THEN reach || '.' || name WHEN in_module THEN same ELSE reach || '.' || name END AS target_qn,
   CASE WHEN NOT bare THEN 'import_map' WHEN in_module THEN 'same_module' WHEN n = 1 THEN 'unique_name' ELSE 'suffix_match' END AS strategy,

@@ -42,6 +42,6 @@ SQL = {
     "code_search_literal": _LINES + "SELECT file, line FROM l WHERE contains(lower(c), 'license')",
     "code_search_regex": _LINES + r"SELECT file, line FROM l WHERE regexp_matches(c, '[Tt]he [a-z]{4} [a-z]+\.$') AND regexp_matches(file, '^src1[^/]*/')",
     "code_search_page": _LINES + "SELECT file, line, total, total > 45 AS has_more FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY file, line) AS k FROM l WHERE contains(c, 'the')) WHERE k BETWEEN 21 AND 45",
-    "snippet_lines": "WITH d AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id % 3 = 0) SELECT id, CASE WHEN len(l) >= 2 THEN '   2 | ' || l[2] || chr(10) ELSE '' END || CASE WHEN len(l) >= 3 THEN '   3 | ' || l[3] || chr(10) ELSE '' END AS code FROM d",
-    "string_similarity": f"WITH p AS (SELECT a.p_partkey, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey - 1 = a.p_partkey WHERE a.p_partkey <= 300 AND b.p_partkey <= 300) SELECT p_partkey, CAST(levenshtein(a, b) AS INT) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity, round(len(list_intersect({_GRAMS.format(x='a')}, {_GRAMS.format(x='b')})) / least(len({_GRAMS.format(x='a')}), len({_GRAMS.format(x='b')})), 6) AS overlap FROM p",
+    "snippet_lines": "WITH d AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) SELECT id, CASE WHEN len(l) >= 2 THEN '   2 | ' || l[2] || chr(10) ELSE '' END || CASE WHEN len(l) >= 3 THEN '   3 | ' || l[3] || chr(10) ELSE '' END AS code FROM d",
+    "string_similarity": f"WITH p AS (SELECT a.p_partkey, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey - 1 = a.p_partkey) SELECT p_partkey, CAST(levenshtein(a, b) AS INT) AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity, round(len(list_intersect({_GRAMS.format(x='a')}, {_GRAMS.format(x='b')})) / least(len({_GRAMS.format(x='a')}), len({_GRAMS.format(x='b')})), 6) AS overlap FROM p",
 }
