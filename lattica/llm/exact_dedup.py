@@ -3,10 +3,12 @@
 Each task keeps a memtable of digests and flushes it as a run sorted by digest,
 with a Bloom filter. A run holds one row for each distinct text it saw, with the
 ids of its rows, so copies within a memtable are byte-compared and folded before
-anything is shuffled. Compaction merges runs by digest and keeps the smallest
-identifier. A digest met in several runs is a hit: the bytes of those run rows
-are compared too, and texts that only share a digest part ways. A filter of the
-hits lets all other rows keep their bytes out of the shuffle.
+anything is shuffled. Compaction merges all runs by ranges of the digest: a range is
+read in order of digest, and of each digest the smallest identifier is kept. The result
+is the next level, sorted by digest. A digest met in several runs is a hit: the bytes of
+those run rows are compared too, and texts that only share a digest part ways. A filter
+of the hits lets all other rows keep their bytes out of the shuffle. Filters of runs
+decide in which runs later texts are looked up (`probe`).
 """
 
 from __future__ import annotations
@@ -24,10 +26,15 @@ from .common import Workspace, map_arrow, mix64, sized, text_or_empty
 #: A memtable is flushed at so many rows or bytes of text.
 MEMTABLE_ROWS = 50_000
 MEMTABLE_BYTES = 32 << 20
-#: Bits of a run's filter for each entry, and bits of the filter of hits, a fixed
-#: size: beyond its reach it lets more rows through, and the join stays exact.
+#: Rows of runs in a range of digests that one task merges, about.
+RANGE_ROWS = 50_000
+#: Digests that are looked up in the filters of runs at a time.
+PROBE_ROWS = 4096
+#: Bits of a filter for each entry. The filter of hits is broadcast and has between
+#: the two numbers of bits below (4 MiB at most): where there are more hits than these
+#: are for it lets more rows through, and the join stays exact.
 RUN_FILTER_BITS = 12
-HIT_FILTER_BITS = 1 << 23
+LEAST_HIT_BITS, MOST_HIT_BITS = 1 << 20, 1 << 25
 _HASHES = 4
 
 #: Characters that do not count: space, tab, newline, vertical tab, form feed, return.
@@ -113,35 +120,43 @@ def flush_runs(docs: DataFrame, digest_bytes: int = 32, mark: str | None = None)
         for rows in memtable.flush(at):
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (F.col(mark) if mark else F.lit(None).cast("long")).alias("mark")).mapInArrow(run, _RUN)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (F.col(mark) if mark else F.lit(None).cast("long")).alias("mark"))
+    return map_arrow(some, run, _RUN)
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Runs merged by digest: the smallest identifier, the rows, and how many runs met it."""
-    return runs.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("runs"))
+def compact(runs: DataFrame, rows: int) -> DataFrame:
+    """All runs merged into one level, sorted by digest: the smallest identifier, the
+    rows, and how many runs met it. `rows`, of the runs, tells the number of ranges.
+
+    A run has a digest once, so a range gets no more rows of it than there are runs,
+    whatever the number of copies.
+    """
+    ranges = runs.select("digest", "best", "n").repartitionByRange(max(1, -(-rows // RANGE_ROWS)), "digest").sortWithinPartitions("digest")
+    return ranges.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("runs"))
 
 
 def _hit_filter(hits: DataFrame) -> np.ndarray:
-    """A filter of the digests of `hits`, of fixed size; tasks send their bits, not digests."""
+    """A filter of the digests of `hits`; tasks send their bits, not digests."""
+    bits = min(MOST_HIT_BITS, max(LEAST_HIT_BITS, 1 << (RUN_FILTER_BITS * hits.count()).bit_length()))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(HIT_FILTER_BITS, bool)
+        flags = np.zeros(bits, bool)
         for batch in batches:
             if batch.num_rows:
-                flags[filter_positions(batch.column(0).to_pylist(), HIT_FILTER_BITS).ravel()] = True
+                flags[filter_positions(batch.column(0).to_pylist(), bits).ravel()] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["bits"])
 
-    bloom = np.zeros(HIT_FILTER_BITS // 8, np.uint8)
-    for row in hits.select("digest").coalesce(8).mapInArrow(partial, "bits binary").collect():
+    bloom = np.zeros(bits // 8, np.uint8)
+    for row in map_arrow(hits.select("digest").coalesce(8), partial, "bits binary").collect():
         bloom |= np.frombuffer(bytes(row["bits"]), np.uint8)
     return bloom
 
 
-def clashing(spark: SparkSession, runs: DataFrame, index: DataFrame) -> DataFrame:
+def clashing(space: Workspace, runs: DataFrame, index: DataFrame) -> DataFrame:
     """Digests of several runs that stand for more than one text, by comparing the
     bytes of their run rows. Each run sends a text once, whatever its copies."""
     hits = index.where("runs > 1").select("digest")
-    bloom = spark.sparkContext.broadcast(_hit_filter(hits).tobytes())
+    bloom = space.spark.sparkContext.broadcast(_hit_filter(hits).tobytes())
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bloom.value, np.uint8)
@@ -149,10 +164,13 @@ def clashing(spark: SparkSession, runs: DataFrame, index: DataFrame) -> DataFram
             if batch.num_rows:
                 yield batch.filter(pa.array(may_contain(bits, batch.column(0).to_pylist())))
 
-    shipped = runs.select("digest", "body").mapInArrow(passing, "digest binary, body binary").join(hits, "digest", "left_semi")
+    shipped = map_arrow(runs.select("digest", "body"), passing, "digest binary, body binary").join(hits, "digest", "left_semi")
     across = shipped.groupBy("digest", "body").agg(F.lit(1).alias("one"))
     within = runs.groupBy("run", "digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest")
-    return across.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest").union(within).distinct()
+    found = across.groupBy("digest").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("digest").union(within).distinct()
+    found = space.table("clashes", found, rows=0)
+    bloom.destroy()
+    return found
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 32, mark: str | None = None) -> DataFrame:
@@ -167,9 +185,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, digest_bytes: int = 3
     """
     space = Workspace(spark, "exact")
     runs = space.table("runs", flush_runs(docs, digest_bytes, mark))
-    n = runs.agg(F.sum("n")).first()[0] or 0
-    index = space.table("index", compact(runs), rows=n)
-    clashes = space.table("clashes", clashing(spark, runs, index), rows=0)
+    n, entries = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    index = space.table("index", compact(runs, entries))
+    clashes = clashing(space, runs, index)
     rows = runs.select("run", "digest", "sha256", "ids", "marks")
     plain = index.select("digest", F.col("best").alias("keep"), F.col("n").alias("group_size"))
     if clashes.isEmpty():
@@ -197,11 +215,16 @@ def probe(spark: SparkSession, runs: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of `batch` (doc_id, text) whose text some run of `runs` holds: doc_id,
     keep_id. Run filters decide which runs a digest is looked up in; bytes confirm.
 
-    Digests go to the filters in blocks, so a task holds one block and one filter.
+    The batch is a stated set of queries: its digests meet every filter in blocks of
+    PROBE_ROWS, so a task holds one block and one filter.
     """
     fresh = flush_runs(batch).select(F.col("digest").alias("asked"), F.col("body").alias("asked_body"), F.explode("ids").alias("doc_id"))
     filters = runs.where("filter is not null").select("run", "filter")
-    blocks = fresh.select("asked").distinct().groupBy(F.col("asked").substr(1, 2).alias("block")).agg(F.collect_list("asked").alias("asked"))
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PROBE_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).slice(at, PROBE_ROWS).to_pylist()], pa.list_(pa.binary()))], names=["asked"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +232,8 @@ def probe(spark: SparkSession, runs: DataFrame, batch: DataFrame) -> DataFrame:
                 found = [d for d, hit in zip(asked, may_contain(np.frombuffer(bloom, np.uint8), asked)) if hit]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([run] * len(found), pa.int64())], names=["asked", "run"])
 
-    maybe = blocks.select("asked").crossJoin(filters).mapInArrow(test, "asked binary, run long")
+    blocks = map_arrow(fresh.select("asked").distinct(), block, "asked array<binary>")
+    maybe = map_arrow(blocks.crossJoin(filters), test, "asked binary, run long")
     held = runs.select("run", F.col("digest").alias("asked"), "body", "best").join(maybe, ["run", "asked"], "left_semi")
     hits = fresh.join(held.withColumnRenamed("asked", "digest"), (F.col("asked") == F.col("digest")) & (F.col("asked_body") == F.col("body")))
     return hits.groupBy("doc_id").agg(F.min("best").alias("best")).select("doc_id", F.col("best.doc_id").alias("keep_id"))
