@@ -193,9 +193,9 @@ def _open(capacity: int):
 
 
 def levels(capacity: int) -> list[int]:
-    """Lower bounds of the lengths that each round places: half the capacity, then
-    down by the square root of two, the last open."""
-    return [*dict.fromkeys(int(capacity / 2 * 2 ** (-i / 2)) for i in range(9)), 0] if capacity > 1 else [0]
+    """Lower bounds of the lengths that each round places: as many as two, three, five and
+    ten of which fill a sequence, the last open."""
+    return [*dict.fromkeys([capacity // k for k in (2, 3, 5, 10) if capacity // k]), 0]
 
 
 def best_fit(space: Workspace, items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
