@@ -29,6 +29,8 @@ from .common import Workspace, arrow_map, map_arrow, sized, text_or_empty
 CAPACITY = 2048
 #: Documents and gaps that one partition of a sweep holds.
 SWEEP_ROWS = 400_000
+#: And how many at least, where there are cores for more: each opens sequences of its own.
+LEAST_ROWS = 5_000
 
 _EVENT = "kind tinyint, id long, size int"
 _SWEPT = "part string, kind string, id long, size int, rank int, bin long, gap int"
@@ -217,9 +219,10 @@ def best_fit(space: Workspace, items: DataFrame, capacity: int = CAPACITY) -> Da
         events = items.where((F.col("size") > low) & (F.col("size") < high)).select(F.lit(1).cast("tinyint").alias("kind"), F.col("item").alias("id"), "size")
         if gaps is not None:
             events = events.unionByName(gaps.where(F.col("gap") > low).select(F.lit(0).cast("tinyint").alias("kind"), F.col("bin").alias("id"), F.col("gap").alias("size")))
-        parts = max(spark.sparkContext.defaultParallelism, math.ceil((waiting[i] + n_gaps) / SWEEP_ROWS))
+        rows = waiting[i] + n_gaps
+        parts = max(1, min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS), math.ceil(rows / SWEEP_ROWS))
         order = [F.col("size").desc(), F.col("kind"), F.col("id")]
-        swept = space.table(f"swept{i}", map_arrow(events.repartitionByRange(parts, *order).sortWithinPartitions(*order), _sweep(capacity), _SWEPT), rows=waiting[i] + n_gaps)
+        swept = space.table(f"swept{i}", map_arrow(events.repartitionByRange(parts, *order).sortWithinPartitions(*order), _sweep(capacity), _SWEPT), rows=rows)
         counts = {(r["part"], r["kind"]): r["count"] for r in swept.groupBy("part", "kind").count().collect()}
         plan, found = _plan(counts)
         taken = F.broadcast(spark.createDataFrame(plan, "part string, low int, high int, gap_part string, top int"))  # at most two rows a partition
@@ -237,7 +240,7 @@ def best_fit(space: Workspace, items: DataFrame, capacity: int = CAPACITY) -> Da
         )
         if gaps is not None:
             after = after.unionByName(gaps.where(F.col("gap") <= low).select(F.lit(None).cast("long").alias("item"), "bin", F.lit(None).cast("int").alias("offset"), "gap"))
-        state = space.table(f"state{i}", after, rows=waiting[i] + n_gaps)
+        state = space.table(f"state{i}", after, rows=rows)
         space.drop(f"swept{i}")
         done.append(state.where(F.col("item").isNotNull()).select("item", "bin", "offset"))
         gaps = state.where(F.col("gap") > 0).select("bin", "gap")
