@@ -207,9 +207,10 @@ def _by_scarce_elements(space: Workspace, sets: DataFrame, left: DataFrame, thre
     a similarity of `threshold`: all that do, and others that share a scarce element.
 
     Elements are ordered from scarce to frequent. What two similar sets have in common
-    weighs `threshold` of either at least, so the first common element lies where this
-    much of both sets still follows. Elements of one class alone come first of all and
-    pair nothing off.
+    weighs t / (1 + t) of their totals at least, t being the threshold, and never less
+    than t of either; it all lies from their first common element on, so there this much
+    of both sets still follows. Elements of one class alone come first of all and pair
+    nothing off.
     """
     each = space.table("elements", _elements(sets.join(left.select("cls"), "cls", "left_semi")), rows=50 * n)
     held = each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -218,12 +219,12 @@ def _by_scarce_elements(space: Workspace, sets: DataFrame, left: DataFrame, thre
     able = left.join(met, "cls").where(F.col("met") + 1e-6 >= threshold * F.col("total")).select("cls", "total", "root")
     follows = F.sum("weight").over(Window.partitionBy("cls").orderBy(F.desc("n"), F.desc("element")).rowsBetween(Window.unboundedPreceding, 0))
     first = common.join(able, "cls").withColumn("follows", follows).where(F.col("follows") + 1e-6 >= threshold * F.col("total"))
-    rows = space.table("scarce", first.select("element", "cls", "total", "root"), rows=10 * n)
+    rows = space.table("scarce", first.select("element", "cls", "total", "root", "follows"), rows=10 * n)
     space.drop("elements", "common")
     parts = rows.groupBy("element", "root").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("element").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("element", F.col("m.root").alias("main"))
-    outside = rows.join(main, "element").where("root != main").select("element", F.col("cls").alias("x"), F.col("total").alias("x_total"), F.col("root").alias("x_root"))
-    fits = F.least("total", "x_total") >= threshold * F.greatest("total", "x_total")
+    outside = rows.join(main, "element").where("root != main").select("element", F.col("cls").alias("x"), F.col("total").alias("x_total"), F.col("root").alias("x_root"), F.col("follows").alias("x_follows"))
+    fits = (F.least("total", "x_total") >= threshold * F.greatest("total", "x_total")) & (F.least("follows", "x_follows") + 1e-6 >= threshold / (1 + threshold) * (F.col("total") + F.col("x_total")))
     met = outside.join(rows, "element").where((F.col("root") != F.col("x_root")) & fits)
     return met.select(F.greatest("x", "cls").alias("a"), F.least("x", "cls").alias("b")).distinct()
 
