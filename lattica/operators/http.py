@@ -88,12 +88,16 @@ def with_prefixes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
     return routes.join(p, "router_variable", "left").withColumn("path", F.concat(F.coalesce(F.rtrim(F.lit("/"), "prefix"), F.lit("")), "path")).drop("prefix")
 
 
-def route_nodes(routes: DataFrame, project: str) -> DataFrame:
-    """Route nodes of (qualified_name, method, path, protocol)."""
-    method = F.when(F.col("method") == "", "ANY").otherwise(F.col("method"))
-    qn = F.concat(F.lit(f"{project}.__route__."), method, F.lit("."), "path")
-    rows = routes.groupBy("method", "path").agg(F.min("protocol").alias("protocol"))
-    return rows.select(F.xxhash64(F.lit(project), qn).alias("id"), F.lit(project).alias("project"), F.lit("Route").alias("label"), F.concat_ws(" ", method, "path").alias("name"), qn.alias("qualified_name"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.to_json(F.struct("method", "path", "protocol")).alias("properties"))
+def route_qn(project: Column | str, method: Column | str, path: Column | str) -> Column:
+    method = F.col(method) if isinstance(method, str) else method
+    return F.concat(project, F.lit(".__route__."), F.when(method == "", "ANY").otherwise(method), F.lit("."), path)
+
+
+def route_nodes(routes: DataFrame) -> DataFrame:
+    """Route nodes of (project, method, path, protocol)."""
+    method, qn = F.when(F.col("method") == "", "ANY").otherwise(F.col("method")), route_qn("project", "method", "path")
+    rows = routes.groupBy("project", "method", "path").agg(F.min("protocol").alias("protocol"))
+    return rows.select(F.xxhash64("project", qn).alias("id"), "project", F.lit("Route").alias("label"), F.concat_ws(" ", method, "path").alias("name"), qn.alias("qualified_name"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.to_json(F.struct("method", "path", "protocol")).alias("properties"))
 
 
 def urls_in(text: Column | str) -> Column:

@@ -6,22 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.names import module_qn
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, Graph
-from ..operators import community, derive
+from ..operators import community, derive, http
 from ..operators.resolve import edges_of, registry
 from ..operators.upsert import last_wins
 from ..sources.files import infra_facts, infra_nodes, python_facts
 
 
+def _sources(files: DataFrame, defs: DataFrame) -> DataFrame:
+    """(project, qualified_name, label, marks, body): decorators and lines of definitions."""
+    lines = files.select("project", "rel_path", F.split("text", "\n").alias("lines"))
+    body = F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1)), "\n")
+    marks = F.array_join(F.transform("decorators", lambda d: F.concat(F.lit("@"), d)), "\n")
+    return defs.join(lines, ["project", "rel_path"]).select("project", "qualified_name", "label", marks.alias("marks"), body.alias("body"))
+
+
 def index(files: DataFrame, cut=lambda name, df: df) -> Graph:
     """The graph of files (project, rel_path, text). `cut` may write a table and give
-    it back; it is called for facts, nodes, edges and members of communities, in this order."""
+    it back; it is called for facts, routes, nodes, edges and members of communities, in this order."""
     facts = cut("facts", python_facts(files).join(files.select("project", "rel_path"), "rel_path"))
     of = lambda kind: facts.where(F.col("kind") == kind)
     defs = of("definition").select("project", "rel_path", "name", "qualified_name", "label", "start_line", "end_line", F.col("owner").alias("parent_class"), F.col("detail").alias("docstring"), F.col("extra").alias("decorators"))
+    functions = _sources(files, defs.where("label in ('Function', 'Method')"))
+    marked = functions.select("qualified_name", F.lit("python").alias("language"), F.col("marks").alias("text"))
+    routes = cut("routes", http.extract_routes(marked).join(functions.select("project", "qualified_name"), "qualified_name"))
+    handlers = routes.select("project", "qualified_name").distinct().withColumn("is_entry_point", F.lit(True))
+    defs = defs.join(handlers, ["project", "qualified_name"], "left")
     base_nodes, contains = derive.structure(files.select("project", "rel_path"))
     def_nodes, defines = derive.definitions(defs)
     infra = infra_nodes(infra_facts(files))
-    nodes = base_nodes.unionByName(def_nodes).unionByName(infra).withColumn("seq", F.length("properties").cast("long"))
+    nodes = base_nodes.unionByName(def_nodes).unionByName(infra).unionByName(http.route_nodes(routes)).withColumn("seq", F.length("properties").cast("long"))
     nodes = cut("nodes", last_wins(nodes, ["project", "qualified_name"], "seq").select(*NODE_SCHEMA.names))
     graph = Graph(nodes, nodes.sparkSession.createDataFrame([], EDGE_SCHEMA))
 
@@ -33,7 +46,15 @@ def index(files: DataFrame, cut=lambda name, df: df) -> Graph:
     typed = derive.method_calls(refs("call"), types, registry(graph))
     structure = contains.unionByName(defines)
     edges = edges_of(structure.withColumnRenamed("type", "kind"), graph, F.col("kind"))
+    handles = routes.select("project", F.col("qualified_name").alias("source_qn"), http.route_qn("project", "method", "path").alias("target_qn")).distinct()
+    called = http.match(http.call_sites(functions.select("qualified_name", "label", F.col("body").alias("text"))), routes)
+    # What a function names without calling it.
+    named = graph.nodes.where("label in ('Function', 'Method', 'Class')").select(F.col("name").alias("callee")).distinct()
+    used = refs("read").join(refs("call").select("project", "source_qn", "callee").distinct(), ["project", "source_qn", "callee"], "left_anti").join(named, "callee", "left_semi")
     for more in (
+        edges_of(handles, graph, "HANDLES"),
+        http.link_edges(called, graph),
+        derive.reference_edges(used, maps, graph, "USAGE", fuzzy=False),
         derive.import_edges(imports, graph),
         edges_of(typed, graph, "CALLS", "source_qn", F.to_json(F.struct(F.col("strategy").alias("resolution_strategy"), "confidence"))),
         derive.reference_edges(refs("call"), maps, graph, "CALLS"),

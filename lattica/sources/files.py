@@ -31,12 +31,18 @@ def discover(spark: SparkSession, root: str, project: str, most_bytes: int | Non
     """(project, rel_path, text, size, mtime_ns, sha256) of the text files below a
     folder. Spark's own file scans skip empty files and names that begin with _ or .,
     so the folders are listed by pyarrow: the driver holds one repository's paths.
-    Ignore rules come first, workers read the rest; `most_bytes` leaves out larger files,
-    by default none."""
+    Ignore rules come first, those of each .gitignore for its own folder, workers read the
+    rest; `most_bytes` leaves out larger files, by default none."""
     uri = root if "://" in root else f"file://{os.path.abspath(root)}"
     system, base = fs.FileSystem.from_uri(uri.rstrip("/"))
     listed = system.get_file_info(fs.FileSelector(base, recursive=True))
     rows = [(f.path[len(base) + 1 :], f.size, f.mtime_ns or 0) for f in listed if f.type == fs.FileType.File and (most_bytes is None or f.size <= most_bytes)]
+    rules = {}
+    for path, _, _ in rows:
+        if path == ".gitignore" or path.endswith("/.gitignore"):
+            with system.open_input_stream(f"{base}/{path}", compression=None) as file:
+                rules[path.removesuffix(".gitignore")] = IgnoreRules(file.read().decode(errors="replace").split("\n"))
+    rows = [r for r in rows if not any(r[0].startswith(folder) and own.ignores(r[0][len(folder) :]) for folder, own in rules.items())]
     paths = spark.createDataFrame(rows, "rel_path string, size long, mtime_ns long").where(~ignored(F.col("rel_path")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
