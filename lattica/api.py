@@ -64,8 +64,10 @@ class Engine:
 
     # Indexing and projects.
 
-    def index_repository(self, path: str, project: str | None = None) -> dict[str, int]:
-        """Index a folder of files; where none has changed since, nothing is done."""
+    def index_repository(self, path: str, project: str | None = None, log: str | None = None) -> dict[str, int]:
+        """Index a folder of files; where none has changed since, nothing is done. `log`
+        is the text of `git log --name-only --pretty=format:COMMIT:%H`; without it files
+        that change together aren't linked."""
         project = project or project_name(path)
         found = files_source.discover(self.spark, path, project)
         current = found.select(*FILE_HASH_SCHEMA.names)
@@ -76,7 +78,8 @@ class Engine:
             from .storage import Cuts
 
             cuts = Cuts(self.spark, "index")
-            graph, rest = index(found, lambda _, df: cuts.cut(df)), upsert.delete_project(self.graph, project)
+            history = None if log is None else text.numbered(self.spark, log).withColumn("project", F.lit(project))
+            graph, rest = index(found, lambda _, df: cuts.cut(df), history), upsert.delete_project(self.graph, project)
             self._keep("edges", rest.edges.unionByName(graph.edges))
             self._keep("nodes", rest.nodes.unionByName(graph.nodes))
             self._keep("file_hashes", stored.where(F.col("project") != project).unionByName(current))

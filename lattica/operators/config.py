@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.names import base_name, extension
+from ..functions.names import base_name, extension, module_qn
 from ..model import EDGE_SCHEMA, Graph
+from ..sources.text import carried, lines
 from .joins import config_file_refs, config_key_symbols, dependency_imports
 
 #: Extensions of configuration files; manifests and their sections.
@@ -51,11 +52,37 @@ def configure_edges(graph: Graph, strings: DataFrame | None = None) -> DataFrame
     return best.select(F.xxhash64(F.lit("CONFIGURES"), "source_id", "target_id").alias("id"), "project", "source_id", "target_id", F.lit("CONFIGURES").alias("type"), "properties").select(*EDGE_SCHEMA.names)
 
 
-def with_env_urls(constants: DataFrame, bindings: DataFrame, most: int = 50) -> DataFrame:
+def with_env_urls(constants: DataFrame, bindings: DataFrame, most: int | None = 50) -> DataFrame:
     """(project, rel_path, constants): module constants (project, rel_path, constants
     array) with the URLs that environment files set (project, rel_path, key, value),
-    as KEY = URL, `most` new ones of a file at most, by key."""
-    new = bindings.groupBy("project", "rel_path").agg(F.slice(F.array_sort(F.collect_set(F.concat_ws(" = ", "key", "value"))), 1, most).alias("new"))
+    as KEY = URL, `most` new ones of a file at most, by key; None takes all."""
+    found = F.array_sort(F.collect_set(F.concat_ws(" = ", "key", "value")))
+    new = bindings.groupBy("project", "rel_path").agg((found if most is None else F.slice(found, 1, most)).alias("new"))
     rows = constants.join(new, ["project", "rel_path"], "full")
     nothing = F.array().cast("array<string>")
     return rows.select("project", "rel_path", F.array_union(F.coalesce("constants", nothing), F.coalesce("new", nothing)).alias("constants"))
+
+
+def config_variables(files: DataFrame) -> DataFrame:
+    """(project, rel_path, name, qualified_name, start_line, value) of the keys that
+    configuration files (project, rel_path, text) set line by line, under their
+    section, and of the dependencies of JSON manifests."""
+    rows = lines(files.where(is_config("rel_path") & ~extension("rel_path").isin(".json", ".xml")).select("project", "rel_path", "text"))
+    section = F.nullif(F.regexp_extract("content", r"^\s*\[+([^\[\]]+)\]+\s*$", 1), F.lit(""))
+    rows = rows.withColumn("section", carried(section, "line", "project", "rel_path"))
+    pattern = r"""^\s*(?:-\s+)?(?:export\s+)?["']?([A-Za-z_][\w.\-]*)["']?\s*[=:]\s*["']?([^"'#]*)"""
+    keys = rows.select("project", "rel_path", "section", F.regexp_extract("content", pattern, 1).alias("name"), F.col("line").cast("int").alias("start_line"), F.trim(F.regexp_extract("content", pattern, 2)).alias("value")).where("name <> ''")
+    kinds = [s for s in SECTIONS if "-" not in s]
+    tree = F.from_json("text", ", ".join(f"{k} map<string,string>" for k in kinds))
+    some = files.where(base_name("rel_path").isin(*(m for m in MANIFESTS if m.endswith(".json")))).withColumn("tree", tree)
+    for k in kinds:
+        more = some.select("project", "rel_path", F.lit(k).alias("section"), F.explode(f"tree.{k}").alias("name", "value")).select("project", "rel_path", "section", "name", F.lit(0).alias("start_line"), "value")
+        keys = keys.unionByName(more)
+    qn = F.concat_ws(".", module_qn("project", "rel_path"), "section", "name")
+    return keys.select("project", "rel_path", "name", qn.alias("qualified_name"), "start_line", "value").dropDuplicates(["project", "qualified_name"])
+
+
+def file_names_in(texts: DataFrame) -> DataFrame:
+    """(id, value): names of configuration files that stand in quotes in texts (id, text)."""
+    found = F.regexp_extract_all("text", F.lit(r"[\"']([\w./\-]+\.(?:toml|ini|ya?ml|cfg|properties|json|xml|conf|env))[\"']"), F.lit(1))
+    return texts.select("id", F.explode(F.array_distinct(found)).alias("value"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import base_name, camel_words, folder_qn, is_test_name, is_test_path, module_qn, parent_name, simple_name
-from ..model import Graph, json_property
+from ..model import EDGE_SCHEMA, Graph, json_property
+from .joins import covering
 from .resolve import edges_of, registry, resolve
 
 #: Files that make a folder a package.
@@ -75,42 +76,32 @@ def import_edges(imports: DataFrame, graph: Graph) -> DataFrame:
     return edges_of(rows, graph, "IMPORTS", "module_qn", F.to_json(F.struct(F.col("local_name").alias("alias"))))
 
 
-def reference_edges(refs: DataFrame, maps: DataFrame, graph: Graph, kind: str | Column, fuzzy: bool = True) -> DataFrame:
-    """Edges of a type from references (project, source_qn, module_qn, callee): CALLS,
-    USAGE, READS, WRITES, USES_TYPE, THROWS and the like, with strategy and confidence."""
-    r = refs.join(maps, ["project", "module_qn"], "left").withColumn("ref_id", F.xxhash64("project", "source_qn", "module_qn", "callee")).dropDuplicates(["ref_id"])
-    found = resolve(r, registry(graph), fuzzy).join(r.select("ref_id", "project", "source_qn", "callee"), "ref_id")
+def reference_edges(refs: DataFrame, maps: DataFrame, graph: Graph) -> DataFrame:
+    """Edges from references (project, source_qn, module_qn, callee, kind, fuzzy) with
+    strategy and confidence, `kind` being CALLS, USAGE, READS, WRITES, USES_TYPE, THROWS
+    and the like: all are resolved in one go."""
+    ids = F.xxhash64("project", "source_qn", "module_qn", "callee", "kind")
+    r = refs.join(maps, ["project", "module_qn"], "left").withColumn("ref_id", ids).dropDuplicates(["ref_id"])
+    found = resolve(r, registry(graph), "fuzzy").join(r.select("ref_id", "project", "source_qn", "kind"), "ref_id")
     props = F.to_json(F.struct(F.col("strategy").alias("resolution_strategy"), F.round("confidence", 4).alias("confidence")))
-    return edges_of(found, graph, kind, "source_qn", props)
+    return edges_of(found, graph, F.col("kind"), "source_qn", props)
 
 
-def is_checked_exception(name: Column | str) -> Column:
-    """Names that end in Exception, but for those of run time."""
+def throw_kind(name: Column | str) -> Column:
+    """THROWS for checked exceptions, whose names end in Exception, but for those of run
+    time; RAISES for others."""
     short = simple_name(name)
-    return short.endswith("Exception") & ~F.contains(short, F.lit("Runtime"))
-
-
-def throw_edges(refs: DataFrame, maps: DataFrame, graph: Graph) -> DataFrame:
-    """THROWS for checked exceptions, RAISES for others."""
-    checked = is_checked_exception("callee")
-    return reference_edges(refs.where(checked), maps, graph, "THROWS").unionByName(reference_edges(refs.where(~checked), maps, graph, "RAISES"))
-
-
-def inherit_edges(classes: DataFrame, maps: DataFrame, graph: Graph) -> DataFrame:
-    """INHERITS from base_classes of (project, qualified_name, module_qn, base_classes)."""
-    refs = classes.select("project", F.col("qualified_name").alias("source_qn"), "module_qn", F.explode("base_classes").alias("callee"))
-    return reference_edges(refs, maps, graph, "INHERITS")
+    return F.when(short.endswith("Exception") & ~F.contains(short, F.lit("Runtime")), "THROWS").otherwise("RAISES")
 
 
 def decorator_name(text: Column | str) -> Column:
     return F.regexp_extract(text, r"^\s*[@#\[]*\s*([A-Za-z_][\w.:]*)", 1)
 
 
-def decorate_edges(defs: DataFrame, maps: DataFrame, graph: Graph) -> DataFrame:
-    """DECORATES from a definition to what its decorators name."""
+def decorations(defs: DataFrame) -> DataFrame:
+    """(project, source_qn, module_qn, callee): what the decorators of definitions name."""
     rows = defs.select("project", F.col("qualified_name").alias("source_qn"), "module_qn", F.explode("decorators").alias("text"))
-    refs = rows.select("project", "source_qn", "module_qn", decorator_name("text").alias("callee")).where("callee <> ''")
-    return reference_edges(refs, maps, graph, "DECORATES")
+    return rows.select("project", "source_qn", "module_qn", decorator_name("text").alias("callee")).where("callee <> ''")
 
 
 def word_tags(rows: DataFrame, key: str, text: Column, least: int = 2) -> DataFrame:
@@ -133,21 +124,20 @@ def implement_edges(graph: Graph) -> tuple[DataFrame, DataFrame]:
     methods = owned.join(ids.select(F.col("id").alias("target_id"), F.col("name").alias("method"), F.col("qualified_name").alias("method_qn")), "target_id")
     owners = ids.select(F.col("id").alias("source_id"), "project", F.col("label").alias("owner_label"), F.col("qualified_name").alias("owner_qn"))
     rows = methods.join(owners, "source_id").select("project", "owner_label", "owner_qn", "method", "method_qn").distinct()
-    need = rows.where("owner_label = 'Interface'").select("project", F.col("owner_qn").alias("interface_qn"), "method", F.col("method_qn").alias("interface_method"))
-    have = rows.where("owner_label in ('Class', 'Type')").select("project", F.col("owner_qn").alias("class_qn"), "method", F.col("method_qn").alias("class_method"))
-    sizes = need.groupBy("project", "interface_qn").agg(F.count_distinct("method").alias("needed"))
-    met = have.join(need, ["project", "method"])
-    whole = met.groupBy("project", "class_qn", "interface_qn").agg(F.count_distinct("method").alias("met")).join(sizes, ["project", "interface_qn"]).where("met = needed")
-    implements = whole.select("project", F.col("class_qn").alias("source_qn"), F.col("interface_qn").alias("target_qn"))
-    over = met.join(whole.select("project", "class_qn", "interface_qn"), ["project", "class_qn", "interface_qn"]).select("project", F.col("class_method").alias("source_qn"), F.col("interface_method").alias("target_qn"))
+    key = F.struct("project", "method").alias("item")
+    need = rows.where("owner_label = 'Interface'").select("project", F.col("owner_qn").alias("interface_qn"), key, F.struct("project", "owner_qn").alias("interface"), F.col("method_qn").alias("interface_method"))
+    have = rows.where("owner_label in ('Class', 'Type')").select(F.col("owner_qn").alias("class_qn"), key, F.struct("project", "owner_qn").alias("class"), F.col("method_qn").alias("class_method"))
+    whole = covering(have, need, "class", "interface", "item")
+    implements = whole.select("interface.project", F.col("class.owner_qn").alias("source_qn"), F.col("interface.owner_qn").alias("target_qn"))
+    over = whole.join(need, "interface").join(have, ["class", "item"]).select("project", F.col("class_method").alias("source_qn"), F.col("interface_method").alias("target_qn"))
     return implements, over.distinct()
 
 
-def explicit_implement_edges(classes: DataFrame, maps: DataFrame, graph: Graph) -> DataFrame:
-    """IMPLEMENTS from declared bases that resolve to interfaces."""
-    edges = inherit_edges(classes, maps, graph)
+def explicit_implement_edges(graph: Graph) -> DataFrame:
+    """IMPLEMENTS from declared bases, as INHERITS edges have them, that are interfaces."""
     interfaces = graph.labelled("Interface").select(F.col("id").alias("target_id"))
-    return edges.join(interfaces, "target_id", "left_semi").withColumn("type", F.lit("IMPLEMENTS")).withColumn("id", F.xxhash64("type", "source_id", "target_id")).select(*edges.columns)
+    rows = graph.typed("INHERITS").join(interfaces, "target_id", "left_semi").withColumn("type", F.lit("IMPLEMENTS"))
+    return rows.withColumn("id", F.xxhash64("type", "source_id", "target_id")).select(*EDGE_SCHEMA.names)
 
 
 def test_edges(graph: Graph) -> DataFrame:
@@ -186,7 +176,7 @@ def is_env_name(name: Column | str) -> Column:
     return (F.col(name) if isinstance(name, str) else name).rlike(r"^[A-Z][A-Z0-9_]{2,}$")
 
 
-def configure_edges(env_reads: DataFrame, constants: DataFrame, graph: Graph) -> DataFrame:
+def env_edges(env_reads: DataFrame, constants: DataFrame, graph: Graph) -> DataFrame:
     """CONFIGURES from modules and configuration variables that set a name to functions
     that read it from the environment. `env_reads` has project, source_qn and name;
     `constants` has project, module_qn and text (KEY = VALUE)."""

@@ -82,10 +82,30 @@ def group_prefixes(sources: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def with_prefixes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Routes (router_variable, path, ...) with the prefix of their router before the path."""
-    p = prefixes.groupBy(F.col("variable").alias("router_variable")).agg(F.min("prefix").alias("prefix"))
-    return routes.join(p, "router_variable", "left").withColumn("path", F.concat(F.coalesce(F.rtrim(F.lit("/"), "prefix"), F.lit("")), "path")).drop("prefix")
+def route_routers(sources: DataFrame) -> DataFrame:
+    """(qualified_name, path, router_variable): which variable's decorator gives a route."""
+    pattern = rf"@(\w+)\.(?:{_VERBS}|route|websocket)\(\s*[\"']([^\"']+)[\"']"
+    pairs = F.zip_with(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)), lambda v, p: F.struct(v.alias("variable"), p.alias("path")))
+    path = F.when(F.startswith("p.path", F.lit("/")), F.col("p.path")).otherwise(F.concat(F.lit("/"), F.col("p.path")))
+    return sources.select("qualified_name", F.explode(pairs).alias("p")).groupBy("qualified_name", path.alias("path")).agg(F.min("p.variable").alias("router_variable"))
+
+
+def mounted(prefixes: DataFrame, maps: DataFrame) -> DataFrame:
+    """(project, router, prefix): what the variables of (project, module_qn, variable,
+    prefix) mean: what a module imports under this name, else its own."""
+    rows = prefixes.join(maps, ["project", "module_qn"], "left")
+    own = F.concat_ws(".", "module_qn", "variable")
+    return rows.groupBy("project", F.coalesce(F.try_element_at("imports", F.col("variable")), own).alias("router")).agg(F.min("prefix").alias("prefix"))
+
+
+def with_prefixes(routes: DataFrame, mounts: DataFrame) -> DataFrame:
+    """Routes (project, module_qn, router_variable, path, ...) with the prefix under which
+    their router, or else their whole module, is mounted (project, router, prefix)."""
+    mine = lambda c, name: mounts.select("project", F.col("router").alias(c), F.col("prefix").alias(name))
+    rows = routes.withColumn("router", F.concat_ws(".", "module_qn", "router_variable"))
+    rows = rows.join(mine("router", "_own"), ["project", "router"], "left").join(mine("module_qn", "_all"), ["project", "module_qn"], "left")
+    prefix = F.coalesce(F.rtrim(F.coalesce("_own", "_all"), F.lit("/")), F.lit(""))
+    return rows.withColumn("path", F.concat(prefix, "path")).drop("_own", "_all", "router")
 
 
 def route_qn(project: Column | str, method: Column | str, path: Column | str) -> Column:
@@ -150,33 +170,51 @@ def path_score(call: Column, route: Column) -> Column:
     return F.least(F.lit(1.0), kind * (0.5 * jaccard + 0.5 * F.least(F.lit(1.0), F.size(_segments(route)) / 3.0)))
 
 
+def _fitting(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """(call, route, base): different normalised paths that fit, and how well.
+
+    No pair is tried that can't match: equal and wildcard matches have the same number
+    of segments and agree on the first and the last of them, or one has * there; a
+    route that ends a call is what follows one of the call's slashes, or, where it
+    doesn't begin with a slash itself, ends a segment and has the same rest after it.
+    Each is an equi-key.
+    """
+    parts = lambda c: F.split(c, "/")
+    # Whoever has a name meets it and *; whoever has * meets all, marked as such.
+    ends = lambda c: (F.coalesce(F.get(parts(c), 1), F.lit("")), F.get(parts(c), F.size(parts(c)) - 1))
+    join = lambda c, head, tail: F.concat_ws("|", F.lit("n"), F.size(parts(c)).cast("string"), head, tail)
+    seen = lambda x: F.when(x == "*", F.array(F.lit("~"))).otherwise(F.array(x, F.lit("*")))
+    held = lambda x: F.when(x == "*", F.array(F.lit("*"), F.lit("~"))).otherwise(F.array(x, F.lit("~")))
+    pairs = lambda c, side: F.flatten(F.transform(side(ends(c)[0]), lambda h: F.transform(side(ends(c)[1]), lambda t: join(c, h, t))))
+    after = lambda c: F.transform(F.sequence(F.lit(2), F.size(parts(c))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/")))
+    tails = F.when(F.size(parts("call")) > 1, after("call")).otherwise(F.array().cast("array<string>"))
+    last = F.substring_index("call", "/", -1)
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(last))), lambda i: F.substring(last, i, F.length(last)))
+    keys = F.concat(pairs("call", seen), F.transform(tails, lambda t: F.concat(F.lit("s|"), t)), F.transform(letters, lambda t: F.concat(F.lit("e|"), t)))
+    slash = F.locate("/", F.col("route"))
+    rest = F.when(slash == 0, "").otherwise(F.substring("route", slash, F.length("route")))
+    end = F.when(rest == "", F.concat(F.lit("e|"), "route")).otherwise(F.concat(F.lit("s|"), rest))
+    c = calls.withColumn("key", F.explode(F.array_distinct(keys)))
+    r = routes.withColumn("key", F.explode(F.array_distinct(F.concat(pairs("route", held), F.array(end)))))
+    met = c.join(r, "key").select("call", "route").distinct()
+    return met.withColumn("base", path_score(F.col("call"), F.col("route"))).where("base > 0")
+
+
 def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> DataFrame:
     """Call sites (path, method, source_qualified_name, source_label, is_async) joined to
     routes (path, method, qualified_name) of other services with confidence and band;
     routes of excluded paths don't match.
 
-    No pair is tried that can't match: equal and wildcard matches have the same number
-    of segments and agree on the first segment or one of them has * there, and a route
-    that ends a call is among the call's own suffixes; each is an equi-key.
+    Paths are scored once for each two different ones, whoever calls or serves them.
     """
     s = sites.withColumn("call", normal_path("path")).select(F.col("path").alias("url_path"), "call", F.upper("method").alias("call_method"), "source_qualified_name", "source_label", "is_async").distinct()
     low = [p.rstrip("/") for p in excluded]
     r = routes.withColumn("route", normal_path("path")).select(F.col("path").alias("route_path"), "route", F.upper("method").alias("route_method"), F.col("qualified_name").alias("route_qn")).where("route <> ''").where(~F.lower(F.regexp_replace("route_path", "/+$", "")).isin(*low)).distinct()
-    n = lambda c: F.size(F.split(c, "/")).cast("string")
-    head = lambda c: F.coalesce(F.get(F.split(c, "/"), 1), F.lit(""))
-    by_shape = lambda c: F.concat_ws("|", F.lit("n"), n(c), head(c))
-    open_head = lambda c: F.concat_ws("|", F.lit("n"), n(c), F.lit("*"))
-    # A head meets its equal and a wildcard; a call's wildcard meets every head.
-    any_head = lambda c: F.concat_ws("|", F.lit("w"), n(c))
-    ends = F.transform(F.sequence(F.lit(1), F.length("call")), lambda i: F.substring("call", i, F.length("call")))
-    suffix = F.transform(F.filter(ends, lambda e: e != F.col("call")), lambda e: F.concat(F.lit("s|"), e))
-    sk = s.withColumn("key", F.explode(F.array_distinct(F.concat(F.when(head("call") == "*", F.array(any_head("call"))).otherwise(F.array(by_shape("call"), open_head("call"))), suffix))))
-    rk = r.withColumn("key", F.explode(F.array(by_shape("route"), any_head("route"), F.concat(F.lit("s|"), "route"))))
-    pairs = sk.join(rk, "key").drop("key").distinct()
+    fitting = _fitting(s.select("call").where("call <> ''").distinct(), r.select("route").distinct())
+    scored = s.join(fitting, "call").join(r, "route")
     weight = F.when(F.col("source_label").isin("Function", "Method"), 1.0).otherwise(0.85)
     bonus = F.when((F.coalesce("call_method", F.lit("")) == "") | (F.coalesce("route_method", F.lit("")) == ""), 0.0).when(F.col("call_method") == F.col("route_method"), 0.10).otherwise(-0.15)
-    base = path_score(F.col("call"), F.col("route"))
-    scored = pairs.withColumn("base", base).where("base > 0").withColumn("confidence", F.least(F.lit(1.0), F.col("base") * weight + bonus))
+    scored = scored.withColumn("confidence", F.least(F.lit(1.0), F.col("base") * weight + bonus))
     out = scored.where((F.col("confidence") >= least) & ~same_service(F.col("source_qualified_name"), F.col("route_qn")))
     return out.select("source_qualified_name", "route_qn", "url_path", "route_path", F.col("call_method").alias("method"), "confidence", confidence_band(F.col("confidence")).alias("band"), F.when(F.col("is_async"), "ASYNC_CALLS").otherwise("HTTP_CALLS").alias("type"))
 

@@ -18,6 +18,8 @@ CONFIDENCE = {"import_map": 0.95, "import_map_suffix": 0.85, "same_module": 0.90
 LEAST = 0.10
 #: Candidates beyond so many lower the confidence in proportion.
 FREE_CANDIDATES = 3
+#: A name of more candidates than this can't reach LEAST but by what is imported.
+MOST_CANDIDATES = int(FREE_CANDIDATES * CONFIDENCE["suffix_match"] / LEAST)
 
 
 def registry(graph: Graph) -> DataFrame:
@@ -44,17 +46,21 @@ def reachable(qn: Column, imports: Column) -> Column:
     return imports.isNull() | F.exists(imports, lambda m: (qn == m) | qn.startswith(F.concat(m, F.lit("."))) | m.startswith(F.concat(qn, F.lit("."))))
 
 
-def resolve(refs: DataFrame, known: DataFrame, fuzzy: bool = True) -> DataFrame:
+def resolve(refs: DataFrame, known: DataFrame, fuzzy: bool | str = True) -> DataFrame:
     """`refs` (ref_id, project, callee, module_qn, imports map<string,string>) with
     target_qn, strategy, confidence and candidates; unresolved ones are left out.
 
-    `imports` maps local names to qualified names; null means unknown.
+    `imports` maps local names to qualified names; null means unknown. A reference meets
+    the definitions of its short name only where those are few enough to count; of
+    others it meets those below what it imports, by the imported name. Without `fuzzy`,
+    or where the column of this name is false, a short name alone isn't enough.
     """
     r = refs.select(
         "ref_id", "project", "callee", "module_qn", F.map_values("imports").alias("reach"),
         F.substring_index("callee", ".", 1).alias("head"),
         F.when(F.contains("callee", F.lit(".")), F.regexp_replace("callee", r"^[^.]*\.", "")).otherwise("").alias("rest"),
         F.try_element_at("imports", F.substring_index("callee", ".", 1)).alias("imported"),
+        (F.lit(fuzzy) if isinstance(fuzzy, bool) else F.col(fuzzy)).alias("loose"),
     )
     names = known.select("project", F.col("qualified_name").alias("qn"), "name").distinct()
     exact = F.array_compact(
@@ -67,7 +73,13 @@ def resolve(refs: DataFrame, known: DataFrame, fuzzy: bool = True) -> DataFrame:
     direct = r.select("ref_id", "project", F.explode(exact).alias("e")).select("ref_id", "project", "e.tier", "e.qn").join(names.select("project", "qn"), ["project", "qn"]).select("ref_id", "qn", "tier", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("weight"), F.lit(0).alias("prefix"))
     sizes = names.groupBy("project", "name").agg(F.count(F.lit(1)).alias("n"))
     wanted = F.when(F.col("rest") != "", F.col("rest")).otherwise(F.col("callee"))
-    named = r.withColumn("name", simple_name(wanted)).join(names.join(sizes, ["project", "name"]), ["project", "name"])
+    short, sized = r.withColumn("name", simple_name(wanted)), names.join(sizes, ["project", "name"])
+    parts = F.split("qn", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    many = sized.where((F.col("n") > MOST_CANDIDATES) & F.contains("qn", F.lit("."))).withColumn("imported", F.explode(above))
+    below = short.where(F.col("imported").isNotNull() & (F.col("rest") != "")).join(many, ["project", "name", "imported"])
+    named = short.join(sized.where(F.col("n") <= MOST_CANDIDATES), ["project", "name"])
+    named = named.unionByName(below.select(*named.columns))
     seen = reachable(F.col("qn"), F.col("reach"))
     whole, tail = F.col("qn").endswith(F.concat(F.lit("."), "callee")), F.col("qn").endswith(F.concat(F.lit("."), wanted))
     tier = (
@@ -75,9 +87,7 @@ def resolve(refs: DataFrame, known: DataFrame, fuzzy: bool = True) -> DataFrame:
         .when(F.col("n") == 1, 5).when((F.col("rest") != "") & whole, 6).when((F.col("rest") != "") & tail & seen, 7).when(seen, 8).otherwise(9)
     )
     weight = F.when(F.col("reach").isNotNull() & ~seen & (tier != 2), 0.5).otherwise(1.0)
-    by_name = named.select("ref_id", "qn", tier.alias("tier"), "n", weight.alias("weight"), common_parts(F.col("qn"), F.col("module_qn")).alias("prefix"))
-    if not fuzzy:
-        by_name = by_name.where("tier <= 7")
+    by_name = named.select("ref_id", "qn", tier.alias("tier"), "n", weight.alias("weight"), common_parts(F.col("qn"), F.col("module_qn")).alias("prefix"), "loose").where("tier <= 7 or loose").drop("loose")
     best = direct.unionByName(by_name).groupBy("ref_id").agg(F.min(F.struct("tier", (-F.col("prefix")).alias("far"), "qn", "n", "weight")).alias("b"))
     strategy = F.when(F.col("b.tier") == 1, "import_map").when(F.col("b.tier") == 2, "import_map_suffix").when(F.col("b.tier") <= 4, "same_module").when(F.col("b.tier") == 5, "unique_name").otherwise("suffix_match")
     base = F.when(F.col("b.tier") == 1, CONFIDENCE["import_map"]).when(F.col("b.tier") == 2, CONFIDENCE["import_map_suffix"]).when(F.col("b.tier") <= 4, CONFIDENCE["same_module"]).when(F.col("b.tier") == 5, CONFIDENCE["unique_name"]).otherwise(CONFIDENCE["suffix_match"])
@@ -98,12 +108,11 @@ def fuzzy_resolve(refs: DataFrame, known: DataFrame) -> DataFrame:
     return best.select("ref_id", F.col("b.qn").alias("target_qn"), F.lit("fuzzy").alias("strategy"), (base * F.when(F.col("within") == 0, 0.5).otherwise(1.0) * count_penalty(F.col("candidates"))).alias("confidence"), "candidates")
 
 
-def prefer_typed(resolved: DataFrame, typed: DataFrame) -> DataFrame:
-    """Calls resolved by types (caller_qn, target_qn, strategy, confidence) and, of the
-    others, those whose caller and short name the typed ones don't have."""
-    short = lambda d: d.withColumn("short", simple_name("target_qn"))
-    t = typed.dropDuplicates(["caller_qn", "target_qn"])
-    return t.unionByName(short(resolved).join(short(t).select("caller_qn", "short").distinct(), ["caller_qn", "short"], "left_anti").select(*t.columns))
+def without_typed(refs: DataFrame, typed: DataFrame) -> DataFrame:
+    """References (project, source_qn, callee) but for those whose source and short name
+    types have resolved (project, source_qn, target_qn)."""
+    known = typed.select("project", "source_qn", simple_name("target_qn").alias("_short")).distinct()
+    return refs.withColumn("_short", simple_name("callee")).join(known, ["project", "source_qn", "_short"], "left_anti").drop("_short")
 
 
 def edges_of(resolved: DataFrame, graph: Graph, kind: str | Column, source: str = "source_qn", props: Column | None = None) -> DataFrame:

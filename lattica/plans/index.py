@@ -2,66 +2,111 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.names import module_qn
+from ..functions.names import base_name, module_qn, simple_name
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, Graph
-from ..operators import community, derive, http
-from ..operators.resolve import edges_of, registry
+from ..operators import community, config, derive, http, joins
+from ..operators.resolve import edges_of, registry, resolve, without_typed
 from ..operators.upsert import last_wins
 from ..sources.files import infra_facts, infra_nodes, python_facts
+from ..sources.text import env_bindings, git_log
+
+
+#: Names of files whose lines set URLs.
+SETS_URLS = r"^dockerfile|\.dockerfile$|^\.env|\.(env|ya?ml|hcl|tf|sh|bash|toml|properties)$"
 
 
 def _sources(files: DataFrame, defs: DataFrame) -> DataFrame:
-    """(project, qualified_name, label, marks, body): decorators and lines of definitions."""
+    """(project, module_qn, qualified_name, label, marks, body): decorators and lines of definitions."""
     lines = files.select("project", "rel_path", F.split("text", "\n").alias("lines"))
     body = F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1)), "\n")
     marks = F.array_join(F.transform("decorators", lambda d: F.concat(F.lit("@"), d)), "\n")
-    return defs.join(lines, ["project", "rel_path"]).select("project", "qualified_name", "label", marks.alias("marks"), body.alias("body"))
+    return defs.join(lines, ["project", "rel_path"]).select("project", module_qn("project", "rel_path").alias("module_qn"), "qualified_name", "label", marks.alias("marks"), body.alias("body"))
+
 
+def _registrations(functions: DataFrame, maps: DataFrame, known: DataFrame) -> DataFrame:
+    """(project, source_qn, target_qn, path): functions that hand a path and a handler to a call."""
+    refs = http.handler_refs(functions.select("qualified_name", F.col("body").alias("text"))).join(functions.select("project", "qualified_name", "module_qn"), "qualified_name")
+    refs = refs.withColumnRenamed("handler", "callee").join(maps, ["project", "module_qn"], "left").withColumn("ref_id", F.xxhash64("project", "qualified_name", "path", "callee"))
+    found = resolve(refs, known.where("label in ('Function', 'Method')"), fuzzy=False)
+    return found.join(refs.select("ref_id", "project", F.col("qualified_name").alias("source_qn"), "path"), "ref_id").select("project", "source_qn", "target_qn", "path")
 
-def index(files: DataFrame, cut=lambda name, df: df) -> Graph:
-    """The graph of files (project, rel_path, text). `cut` may write a table and give
-    it back; it is called for facts, routes, nodes, edges and members of communities, in this order."""
+
+def index(files: DataFrame, cut=lambda name, df: df, log: DataFrame | None = None) -> Graph:
+    """The graph of files (project, rel_path, text). `cut` may write a table and give it
+    back; it is called for files, facts, registrations, routes, nodes, edges and members
+    of communities, in this order. `log` has the lines (project, line, content) of
+    `git log --name-only --pretty=format:COMMIT:%H`."""
+    files = cut("files", files.select("project", "rel_path", "text"))
     facts = cut("facts", python_facts(files).join(files.select("project", "rel_path"), "rel_path"))
     of = lambda kind: facts.where(F.col("kind") == kind)
     defs = of("definition").select("project", "rel_path", "name", "qualified_name", "label", "start_line", "end_line", F.col("owner").alias("parent_class"), F.col("detail").alias("docstring"), F.col("extra").alias("decorators"))
-    functions = _sources(files, defs.where("label in ('Function', 'Method')"))
+    sources = _sources(files, defs.where("label in ('Function', 'Method', 'Variable')"))
+    functions = sources.where("label <> 'Variable'")
+    imports = of("import").select("project", F.col("owner").alias("module_qn"), F.col("name").alias("local_name"), F.col("qualified_name").alias("module_path"))
+    maps = derive.import_maps(imports)
+
+    # Routes: decorators below the prefix of their router, and registrations.
     marked = functions.select("qualified_name", F.lit("python").alias("language"), F.col("marks").alias("text"))
-    routes = cut("routes", http.extract_routes(marked).join(functions.select("project", "qualified_name"), "qualified_name"))
+    modules = files.where(F.endswith("rel_path", F.lit(".py"))).select("project", module_qn("project", "rel_path").alias("qualified_name"), "text")
+    prefixes = http.group_prefixes(modules).join(modules.select("project", "qualified_name"), "qualified_name").withColumnRenamed("qualified_name", "module_qn")
+    routes = http.extract_routes(marked).join(http.route_routers(marked), ["qualified_name", "path"], "left").join(functions.select("project", "qualified_name", "module_qn"), "qualified_name")
+    routes = http.with_prefixes(routes, http.mounted(prefixes, maps)).select("project", "qualified_name", "method", "path", "protocol")
+    registered = cut("registrations", _registrations(functions, maps, defs.select("project", "qualified_name", "name", "label")))
+    routes = cut("routes", routes.unionByName(registered.select("project", F.col("target_qn").alias("qualified_name"), F.lit("").alias("method"), "path", F.lit("http").alias("protocol"))).distinct())
+
     handlers = routes.select("project", "qualified_name").distinct().withColumn("is_entry_point", F.lit(True))
-    defs = defs.join(handlers, ["project", "qualified_name"], "left")
+    set_keys = config.config_variables(files)
+    none = F.array().cast("array<string>")
+    keys = set_keys.select("project", "rel_path", "name", "qualified_name", F.lit("Variable").alias("label"), "start_line", F.col("start_line").alias("end_line"), F.lit("").alias("parent_class"), F.lit("").alias("docstring"), none.alias("decorators"))
     base_nodes, contains = derive.structure(files.select("project", "rel_path"))
-    def_nodes, defines = derive.definitions(defs)
+    def_nodes, defines = derive.definitions(defs.unionByName(keys).join(handlers, ["project", "qualified_name"], "left"))
     infra = infra_nodes(infra_facts(files))
     nodes = base_nodes.unionByName(def_nodes).unionByName(infra).unionByName(http.route_nodes(routes)).withColumn("seq", F.length("properties").cast("long"))
     nodes = cut("nodes", last_wins(nodes, ["project", "qualified_name"], "seq").select(*NODE_SCHEMA.names))
     graph = Graph(nodes, nodes.sparkSession.createDataFrame([], EDGE_SCHEMA))
 
-    imports = of("import").select("project", F.col("owner").alias("module_qn"), F.col("name").alias("local_name"), F.col("qualified_name").alias("module_path"))
-    maps = derive.import_maps(imports)
     refs = lambda kind: of(kind).select("project", F.col("owner").alias("source_qn"), F.col("detail").alias("module_qn"), F.col("name").alias("callee"))
-    bases = of("base").select("project", F.col("owner").alias("source_qn"), F.col("detail").alias("module_qn"), F.col("name").alias("callee"))
+    named = lambda *labels: graph.nodes.where(F.col("label").isin(*labels)).select(F.col("name").alias("short")).distinct()
+    only = lambda rows, *labels: rows.withColumn("short", simple_name("callee")).join(named(*labels), "short", "left_semi").drop("short")
     types = derive.type_map(of("assign").select("project", F.col("detail").alias("module_qn"), F.col("name").alias("variable"), F.col("qualified_name").alias("type_name")), registry(graph))
     typed = derive.method_calls(refs("call"), types, registry(graph))
-    structure = contains.unionByName(defines)
-    edges = edges_of(structure.withColumnRenamed("type", "kind"), graph, F.col("kind"))
     handles = routes.select("project", F.col("qualified_name").alias("source_qn"), http.route_qn("project", "method", "path").alias("target_qn")).distinct()
-    called = http.match(http.call_sites(functions.select("qualified_name", "label", F.col("body").alias("text"))), routes)
-    # What a function names without calling it.
-    named = graph.nodes.where("label in ('Function', 'Method', 'Class')").select(F.col("name").alias("callee")).distinct()
-    used = refs("read").join(refs("call").select("project", "source_qn", "callee").distinct(), ["project", "source_qn", "callee"], "left_anti").join(named, "callee", "left_semi")
+
+    # Call sites: bodies of functions, constants of modules, URLs that other files set.
+    urls = env_bindings(files.where(F.lower(base_name("rel_path")).rlike(SETS_URLS))).join(files.select("project", "rel_path"), "rel_path").select("project", F.concat(module_qn("project", "rel_path"), F.lit(".__file__")).alias("qualified_name"), F.concat_ws(" = ", "key", "value").alias("text"))
+    constants = sources.where("label = 'Variable'").select("project", F.col("module_qn").alias("qualified_name"), F.col("body").alias("text"))
+    sites = functions.select("qualified_name", "label", F.col("body").alias("text")).unionByName(constants.unionByName(urls).select("qualified_name", F.lit("Module").alias("label"), "text"))
+    called = http.match(http.call_sites(sites), routes)
+
+    # References of all kinds are resolved together; those by a short name alone only where
+    # it is a call, a base, an exception or a decorator. USAGE is what isn't called.
+    calls_ = refs("call")
+    used = refs("read").join(calls_.select("project", "source_qn", "callee").distinct(), ["project", "source_qn", "callee"], "left_anti")
+    kinds = [
+        (without_typed(calls_, typed), F.lit("CALLS"), True), (refs("base"), F.lit("INHERITS"), True), (refs("raise"), derive.throw_kind("callee"), True),
+        (derive.decorations(defs.withColumn("module_qn", module_qn("project", "rel_path"))), F.lit("DECORATES"), True),
+        (only(used, "Function", "Method", "Class"), F.lit("USAGE"), False), (only(refs("read"), "Variable"), F.lit("READS"), False),
+        (only(refs("write"), "Variable"), F.lit("WRITES"), False), (only(refs("type"), "Class", "Type", "Interface", "Enum"), F.lit("USES_TYPE"), False),
+    ]
+    every = reduce(DataFrame.unionByName, (rows.select("project", "source_qn", "module_qn", "callee", kind.alias("kind"), F.lit(loose).alias("fuzzy")) for rows, kind, loose in kinds))
+
+    env_reads = of("env").select("project", F.col("owner").alias("source_qn"), "name")
+    exact = [
+        (contains.unionByName(defines).withColumnRenamed("type", "kind"), F.lit("{}")), (handles.withColumn("kind", F.lit("HANDLES")), F.lit("{}")),
+        (registered.withColumn("kind", F.lit("CALLS")), F.to_json(F.struct(F.lit("route_registration").alias("via")))),
+        (typed.withColumn("kind", F.lit("CALLS")), F.to_json(F.struct(F.col("strategy").alias("resolution_strategy"), "confidence"))),
+    ]
+    named_edges = reduce(DataFrame.unionByName, (rows.select("project", "source_qn", "target_qn", "kind", props.alias("props")) for rows, props in exact))
+    edges = edges_of(named_edges, graph, F.col("kind"), "source_qn", F.col("props"))
     for more in (
-        edges_of(handles, graph, "HANDLES"),
+        derive.reference_edges(every, maps, graph),
         http.link_edges(called, graph),
-        derive.reference_edges(used, maps, graph, "USAGE", fuzzy=False),
         derive.import_edges(imports, graph),
-        edges_of(typed, graph, "CALLS", "source_qn", F.to_json(F.struct(F.col("strategy").alias("resolution_strategy"), "confidence"))),
-        derive.reference_edges(refs("call"), maps, graph, "CALLS"),
-        derive.reference_edges(bases, maps, graph, "INHERITS"),
-        derive.throw_edges(refs("raise"), maps, graph),
-        derive.reference_edges(refs("read").join(graph.labelled("Variable").select(F.col("name").alias("callee")).distinct(), "callee", "left_semi"), maps, graph, "READS", fuzzy=False),
-        derive.decorate_edges(defs.withColumn("module_qn", module_qn("project", "rel_path")), maps, graph),
+        derive.env_edges(env_reads, constants.unionByName(urls).withColumnRenamed("qualified_name", "module_qn"), graph),
     ):
         edges = edges.unionByName(more)
     one = edges.groupBy("source_id", "target_id", "type").agg(F.min_by(F.struct("id", "project", "properties"), F.length("properties")).alias("r"))
@@ -69,6 +114,14 @@ def index(files: DataFrame, cut=lambda name, df: df) -> Graph:
     graph = Graph(nodes, edges)
     implements, overrides = derive.implement_edges(graph)
     late = edges_of(implements, graph, "IMPLEMENTS").unionByName(edges_of(overrides, graph, "OVERRIDE")).unionByName(edges_of(derive.test_edges(graph), graph, "TESTS"))
+    declared = derive.explicit_implement_edges(graph)
+    texts = functions.select("project", "qualified_name", F.col("body").alias("text")).join(nodes.select("project", "qualified_name", "id"), ["project", "qualified_name"])
+    configured = config.configure_edges(graph, config.file_names_in(texts))
+    late = late.unionByName(declared).unionByName(configured).dropDuplicates(["id"])
+    late = late.join(edges.select("id"), "id", "left_anti").select(*EDGE_SCHEMA.names)
+    if log is not None:
+        changes = joins.change_coupling(git_log(log, "project"), limit=None)
+        late = late.unionByName(joins.coupling_edges(graph, changes))
     tests = derive.test_file_edges(graph).withColumns({"source_qn": F.concat(module_qn("project", "source_path"), F.lit(".__file__")), "target_qn": F.concat(module_qn("project", "target_path"), F.lit(".__file__"))})
     # Communities are of who calls whom, however often and in whichever direction.
     ends = {"source_id": F.least("source_id", "target_id"), "target_id": F.greatest("source_id", "target_id")}

@@ -100,8 +100,9 @@ FACTS = "rel_path string, kind string, name string, qualified_name string, label
 
 
 def _facts(rel_path: str, project: str, text: str) -> Iterator[tuple]:
-    """Facts of one Python file: definitions, calls, imports, raises, reads, writes,
-    environment reads, type assignments."""
+    """Facts of one Python file: definitions, calls, imports, raises, reads, writes of
+    what a function declares global or reaches by an attribute, environment reads, type
+    assignments and annotations. Variables are those of modules, fields those of classes."""
     module = re.sub(r"(^|/)(__init__)$", "", re.sub(r"\.[^./]*$", "", rel_path)).replace("/", ".").strip(".")
     module = f"{project}.{module}" if module else project
     try:
@@ -110,7 +111,17 @@ def _facts(rel_path: str, project: str, text: str) -> Iterator[tuple]:
         return
     name_of = lambda n: ast.unparse(n) if isinstance(n, (ast.Name, ast.Attribute)) else ""
 
-    def visit(node: ast.AST, owner: str, inside: str | None) -> Iterator[tuple]:
+    def types(node: ast.AST | None, owner: str) -> Iterator[tuple]:
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            try:
+                node = ast.parse(node.value, mode="eval").body
+            except (SyntaxError, ValueError, RecursionError):
+                return
+        for part in ast.walk(node) if node is not None else ():
+            if name_of(part):
+                yield rel_path, "type", name_of(part), owner, "", getattr(part, "lineno", 0), 0, owner, module, []
+
+    def visit(node: ast.AST, owner: str, inside: str | None, shared: frozenset[str] = frozenset()) -> Iterator[tuple]:
         for child in ast.iter_child_nodes(node):
             line, end = getattr(child, "lineno", 0), getattr(child, "end_lineno", 0) or 0
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -119,8 +130,21 @@ def _facts(rel_path: str, project: str, text: str) -> Iterator[tuple]:
                 yield rel_path, "definition", child.name, qn, label, line, end, owner if inside == "class" else "", ast.get_docstring(child) or "", [ast.unparse(d) for d in child.decorator_list]
                 if isinstance(child, ast.ClassDef):
                     yield from ((rel_path, "base", name_of(b), qn, "", line, end, qn, module, []) for b in child.bases if name_of(b))
-                yield from visit(child, qn, "class" if isinstance(child, ast.ClassDef) else "function")
+                else:
+                    a = child.args
+                    for one in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg):
+                        yield from types(one.annotation if one else None, qn)
+                    yield from types(child.returns, qn)
+                own = frozenset(n for g in ast.walk(child) if isinstance(g, ast.Global) for n in g.names)
+                yield from visit(child, qn, "class" if isinstance(child, ast.ClassDef) else "function", own)
                 continue
+            if inside in (None, "class") and isinstance(child, (ast.Assign, ast.AnnAssign)):
+                label = "Field" if inside else "Variable"
+                for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
+                    if isinstance(t, ast.Name):
+                        yield rel_path, "definition", t.id, f"{owner}.{t.id}", label, line, end, owner if inside else "", "", []
+            if isinstance(child, ast.AnnAssign):
+                yield from types(child.annotation, owner)
             if isinstance(child, ast.Import):
                 yield from ((rel_path, "import", a.asname or a.name.split(".")[0], f"{project}.{a.name}", "", line, end, module, module, []) for a in child.names)
             elif isinstance(child, ast.ImportFrom):
@@ -138,9 +162,13 @@ def _facts(rel_path: str, project: str, text: str) -> Iterator[tuple]:
                     yield rel_path, "raise", name_of(target), owner, "", line, end, owner, module, []
             elif isinstance(child, ast.Assign) and isinstance(child.value, ast.Call) and name_of(child.value.func):
                 yield from ((rel_path, "assign", t.id, name_of(child.value.func), "", line, end, owner, module, []) for t in child.targets if isinstance(t, ast.Name))
-            elif isinstance(child, ast.Name):
-                yield rel_path, "write" if isinstance(child.ctx, ast.Store) else "read", child.id, owner, "", line, end, owner, module, []
-            yield from visit(child, owner, inside)
+            elif isinstance(child, ast.Name) and not isinstance(child.ctx, ast.Store):
+                yield rel_path, "read", child.id, owner, "", line, end, owner, module, []
+            elif isinstance(child, ast.Name) and child.id in shared:
+                yield rel_path, "write", child.id, owner, "", line, end, owner, module, []
+            elif isinstance(child, ast.Attribute) and isinstance(child.ctx, ast.Store) and name_of(child).split(".")[0] not in ("", "self", "cls"):
+                yield rel_path, "write", name_of(child), owner, "", line, end, owner, module, []
+            yield from visit(child, owner, inside, shared)
 
     yield from visit(tree, module, None)
 
@@ -157,8 +185,9 @@ def python_facts(files: DataFrame) -> DataFrame:
     return files.where(F.endswith(base_name("rel_path"), F.lit(".py"))).select("project", "rel_path", "text").mapInPandas(run, FACTS)
 
 
-def json_urls(text: str, depth: int = 20, most: int = 20) -> list[tuple[str, str]]:
-    """(key path, URL) of a JSON text, by keys that name addresses; bounded in depth."""
+def json_urls(text: str, depth: int = 20, most: int | None = 20) -> list[tuple[str, str]]:
+    """(key path, URL) of a JSON text, by keys that name addresses; bounded in
+    depth, and in number unless `most` is None."""
     import json
 
     try:
@@ -168,7 +197,7 @@ def json_urls(text: str, depth: int = 20, most: int = 20) -> list[tuple[str, str
     out: list[tuple[str, str]] = []
 
     def walk(value: object, path: str, left: int) -> None:
-        if left < 0 or len(out) >= most:
+        if left < 0 or (most is not None and len(out) >= most):
             return
         if isinstance(value, dict):
             for k, v in value.items():
