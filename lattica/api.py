@@ -6,7 +6,6 @@ here, at the edge, and nowhere before.
 
 from __future__ import annotations
 
-import re
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -208,12 +207,3 @@ class Engine:
         confirmed = Cuts(self.spark, "traces").cut(confirmed)
         self._keep("edges", graph.edges.join(confirmed.select("id"), "id", "left_anti").select(*EDGE_SCHEMA.names).unionByName(confirmed.select(*EDGE_SCHEMA.names)))
         return {"processed": spans.count(), "validated": confirmed.count()}
-
-
-def safe_pattern(pattern: str) -> str:
-    """A regular expression, or the text itself where it isn't one."""
-    try:
-        re.compile(pattern)
-        return pattern
-    except re.error:
-        return re.escape(pattern)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, Graph
 from ..operators import architecture, derive, http, joins, resolve, search, traverse
 from ..sources import otlp
-from ..sources.star import PROJECT, graph_query, node_id, star_graph, table
+from ..sources.star import PROJECT, graph_query, star_graph, table
 from ..sources.text import is_secret
 from .derived import SQL as DERIVED_SQL, _page_sites
 
@@ -100,12 +100,10 @@ def _test_files(s: SparkSession, d: str) -> DataFrame:
     return derive.test_file_edges(Graph(files.unionByName(tests), _edges(rows, "IMPORTS", 2 * F.col("k") + 1, 2 * F.col("k")))).select("source_path", "target_path")
 
 
-_PATH = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
-
-
 def _by_url(s: SparkSession, d: str) -> DataFrame:
     pages = table(s, d, "pages")
-    edges = _edges(pages, "HTTP_CALLS", F.col("page_id"), F.col("page_id"), F.to_json(F.struct(_PATH.alias("url_path"))))
+    path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
+    edges = _edges(pages, "HTTP_CALLS", F.col("page_id"), F.col("page_id"), F.to_json(F.struct(path.alias("url_path"))))
     return search.edges_by_url(edges, "/es/").select("source_id")
 
 
