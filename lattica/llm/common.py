@@ -125,6 +125,24 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[dict] | l
     return map_arrow(df, run, schema)
 
 
+def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a string or binary array without nulls, and where each
+    value starts; one offset more is the end."""
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many bytes of a column, or of one row."""
+    _, offsets = bytes_of(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def binary_rows(blocks: list[np.ndarray]) -> pa.Array:
     """Numeric arrays as binary values, little-endian."""
     return pa.array([b.tobytes() for b in blocks], pa.binary())

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Workspace, arrow_map, text_or_empty
+from .common import Workspace, arrow_map, byte_slices, bytes_of, text_or_empty
 
 SENTINELS = ("<P>", "<S>", "<M>")
 #: Bytes of a chunk of the scan within a task.
@@ -181,23 +181,6 @@ class Scanned:
         return out
 
 
-def _bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all values of a string or binary array without nulls, and their offsets."""
-    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
-    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def _slices(batch: pa.RecordBatch, column: str):
-    """A batch in slices of some BATCH_BYTES of the column."""
-    _, offsets = _bytes_of(batch.column(column))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def draws(key: str, seed: int) -> list[Column]:
     """Four numbers below 2**32 of a document: groups of the sha256 of seed and id."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
@@ -220,8 +203,8 @@ def _small(docs: DataFrame, carried: list, unit: str, words: tuple[str, ...]) ->
 
     def cut(batch: pa.RecordBatch):
         machine, guard = units(unit), sentinels(words)
-        for some in _slices(batch, "text"):
-            data, offsets = _bytes_of(some.column("text"))
+        for some in byte_slices(batch, batch.schema.get_field_index("text"), BATCH_BYTES):
+            data, offsets = bytes_of(some.column("text"))
             scanned = Scanned(data, offsets, machine)
             first, second = _cuts(*(some.column(h).to_numpy() for h in ("h1", "h2")), scanned.units())
             made = {"n": scanned.units(), "first_unit": first, "second_unit": second, "first_byte": scanned.select(first), "second_byte": scanned.select(second)}
@@ -245,7 +228,7 @@ def _giant(spark: SparkSession, space: Workspace, docs: DataFrame, carried: list
 
     def functions_of(batch: pa.RecordBatch):
         machine, guard = units(unit), sentinels(words)
-        data, offsets = _bytes_of(batch.column("bytes"))
+        data, offsets = bytes_of(batch.column("bytes"))
         one, two = Scanned(data, offsets, machine), Scanned(data, offsets, guard)
         yield {"row": batch.column("row"), "part": batch.column("part"), "ends": one.end.T.astype(np.int64).tolist(), "counts": one.count.T.tolist(), "guard": two.end.T.astype(np.int64).tolist()}
 
@@ -271,7 +254,7 @@ def _giant(spark: SparkSession, space: Workspace, docs: DataFrame, carried: list
 
     def find(batch: pa.RecordBatch):
         machine = units(unit)
-        data, offsets = _bytes_of(batch.column("bytes"))
+        data, offsets = bytes_of(batch.column("bytes"))
         at = Scanned(data, offsets, machine, batch.column("entry").to_numpy()).select(batch.column("unit").to_numpy())
         yield {"row": batch.column("row"), "cut": batch.column("cut"), "byte": pa.array(at + batch.column("part").to_numpy().astype(np.int64) * part_bytes)}
 

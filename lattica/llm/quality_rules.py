@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Workspace, arrow_map, text_or_empty
+from .common import Workspace, arrow_map, byte_slices, text_or_empty
 
 #: A line is removed from a host's documents where more distinct texts than this hold it ...
 MOST_DOCUMENTS = 50
@@ -27,6 +27,8 @@ MOST_SHARE = 0.005
 #: Words and share of its words that must be left to a document.
 LEAST_WORDS = 10
 LEAST_SHARE = 0.5
+#: Bytes of texts that a task measures at once, but for one text.
+BATCH_BYTES = 4 << 20
 #: Windows that show repetition.
 WINDOW = 5
 #: Lines above the limits that are sent to all tasks; more are joined by shuffles.
@@ -150,9 +152,10 @@ def line_rules(spark: SparkSession, docs: DataFrame, keep: list[str], text: str
     at = plain.columns.index("text")
 
     def measure(batch: pa.RecordBatch):
-        yield {f.name: batch.column(f.name) for f in held} | _measures(batch.column(at).to_pylist())
+        for some in byte_slices(batch, at, BATCH_BYTES):
+            yield {f.name: some.column(f.name) for f in held} | _measures(some.column(at).to_pylist())
 
-    read = space.table("measured", arrow_map(plain, measure, schema).withColumn("row", F.monotonically_increasing_id()))
+    read = space.table("measured", arrow_map(plain, measure, schema, size=4096).withColumn("row", F.monotonically_increasing_id()))
     pairs = F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words")))
     lines = read.select("row", "host", "text_hash", pairs.alias("pair")).select("row", "host", "text_hash", "pair.*").toDF("row", "host", "text_hash", "line", "words")
     found = space.table("frequent", frequent_lines(lines, read, most, share))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Workspace, map_arrow, text_or_empty
+from .common import Workspace, bytes_of, map_arrow, text_or_empty
 
 #: A block ends at this many documents, or after the document that reaches this many terms.
 BLOCK_DOCUMENTS = 16_384
@@ -45,23 +45,18 @@ _TERM_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 _FOLD = bytes(b + 32 if 65 <= b < 91 else b if _TERM_BYTE[b] else 32 for b in range(256))
 
 
-def _bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all strings of an array without nulls, and where each starts."""
-    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
-    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def term_counts(texts: pa.Array) -> np.ndarray:
     """The number of terms of each text."""
-    data, offsets = _bytes_of(texts)
+    data, offsets = bytes_of(texts)
     inside = _TERM_BYTE[data]
     starts = inside.copy()
     starts[1:] &= 1 - inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     starts[first] = inside[first]  # a text's first byte doesn't continue the text before
-    total = np.concatenate([[0], np.cumsum(starts, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out = np.zeros(len(texts), np.int64)
+    if len(first):
+        out[offsets[:-1] < offsets[1:]] = np.add.reduceat(starts, first, dtype=np.int64)
+    return out
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -168,7 +163,7 @@ def build_index(spark: SparkSession, docs: DataFrame, space: Workspace, key: str
                 yield from block.rows(number, documents, terms).to_batches(20_000)
 
         for batch in batches:
-            data, offsets = _bytes_of(batch.column(1))
+            data, offsets = bytes_of(batch.column(1))
             for at, doc in enumerate(batch.column(0).to_pylist()):
                 block.add(doc, data[offsets[at] : offsets[at + 1]].tobytes())
                 if block.full():
@@ -198,23 +193,42 @@ def _add(total: np.ndarray, slices: np.ndarray, shift: int = 0) -> None:
             total[s], carry = total[s] ^ carry, total[s] & carry
 
 
-def _times(slices: np.ndarray, factor: int) -> np.ndarray:
-    """slices * factor: one shifted addition for each bit of the factor."""
-    out = np.zeros((len(slices) + factor.bit_length(), *slices.shape[1:]), np.uint64)
-    for s in range(factor.bit_length()):
-        if factor >> s & 1:
-            _add(out, slices, s)
+def _ranges(starts: list[int], sizes: list[int]) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1]) + np.repeat(np.array(starts) - (ends - sizes), sizes)
+
+
+def times(slices: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Each column of slices times its factor: a shifted addition for each bit of factors,
+    of the columns whose factor has that bit."""
+    bits = int(factors.max(initial=0)).bit_length()
+    out = np.zeros((len(slices) + bits, slices.shape[1]), np.uint64)
+    for s in range(bits):
+        has = -((factors >> s) & 1).astype(np.int64)
+        _add(out, slices & has.view(np.uint64), s)
     return out
 
 
-def _spread(places: bytes, slices: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-document words that hold any of the places, and the bitmaps over them."""
-    at = np.frombuffer(places, np.uint16).astype(np.int64)
-    bits = np.unpackbits(np.frombuffer(slices, np.uint8).reshape(IMPACT_BITS, -1), axis=1, count=count, bitorder="little")
-    words, row = np.unique(at >> 6, return_inverse=True)
-    out = np.zeros((IMPACT_BITS, 64 * len(words)), np.uint8)
-    out[:, 64 * row + (at & 63)] = bits
-    return words, np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+def spread(places: list[bytes], slices: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms' postings laid over the documents of a block: for each term the words of 64
+    documents that it touches. Gives each word's term and number, and its bitmaps."""
+    at = np.frombuffer(b"".join(places), np.uint16).astype(np.int64)
+    count = np.array([len(p) // 2 for p in places])
+    width = -(-count // 8)
+    owner, first = np.repeat(np.arange(len(count)), width), np.cumsum(width) - width
+    home = IMPACT_BITS * first[owner] + np.arange(len(owner)) - first[owner]
+    packed = np.frombuffer(b"".join(slices), np.uint8)
+    term = np.repeat(np.arange(len(count)), count)
+    posting = np.arange(len(at)) + (8 * first - (np.cumsum(count) - count))[term]
+    words, row = np.unique((term << 10) | (at >> 6), return_inverse=True)
+    target = 64 * row + (at & 63)
+    out = np.empty((IMPACT_BITS, len(words)), np.uint64)
+    for s in range(IMPACT_BITS):
+        bits = np.zeros(64 * len(words), np.uint8)
+        bits[target] = np.unpackbits(packed[home + s * width[owner]], bitorder="little")[posting]
+        out[s] = np.packbits(bits, bitorder="little").view(np.uint64)
+    return words >> 10, words & 1023, out
 
 
 def best(total: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,44 +247,52 @@ _FOUND = "item long, doc_id long, score long"
 
 
 def _answers(rows: pa.Table, k: int) -> pa.Table:
-    """The best k documents of one block for each item of a group."""
+    """The best k documents of one block for each item of a group. Each round adds one term
+    to every item that has terms left, the most frequent first."""
     empty = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
     terms, asked = rows.column("term").to_pylist(), rows.column("asked").to_pylist()
     head = terms.index(HEADER)
-    rows = rows.select(["places", "slices", "documents"]).to_pylist()
-    items = {item: n for n, item in enumerate(sorted({a["item"] for n, some in enumerate(asked) if n != head for a in some}))}
-    if not items:
+    places, slices, documents = (rows.column(c).to_pylist() for c in ("places", "slices", "documents"))
+    by_item: dict[int, list[tuple[int, int]]] = {}
+    for n in sorted((n for n in range(len(terms)) if n != head), key=lambda n: (-documents[n], terms[n])):
+        for a in asked[n]:
+            by_item.setdefault(a["item"], []).append((n, a["factor"]))
+    if not by_item:
         return empty.empty_table()
-    most = [0] * len(items)
-    for n, some in enumerate(asked):
-        for a in some if n != head else ():
-            most[items[a["item"]]] += a["factor"]
-    ids, known = np.frombuffer(rows[head]["places"], np.int64), np.frombuffer(rows[head]["slices"], np.uint8)
-    total = np.zeros(((max(most) << IMPACT_BITS).bit_length(), len(items), -(-len(ids) // 64)), np.uint64)
-    for n, some in enumerate(asked):
-        if n == head:
-            continue
-        words, slices = _spread(rows[n]["places"], rows[n]["slices"], rows[n]["documents"])
-        by_factor: dict[int, list[int]] = {}
-        for a in some:
-            by_factor.setdefault(a["factor"], []).append(items[a["item"]])
-        for factor, who in by_factor.items():
-            where = (slice(None), *np.ix_(who, words))
-            here = total[where]
-            _add(here, _times(slices, factor)[:, None, :])
-            total[where] = here
+    ids, known = np.frombuffer(places[head], np.int64), np.frombuffer(slices[head], np.uint8)
+    n_words = -(-len(ids) // 64)
+    most = max(sum(factor for _, factor in some) for some in by_item.values()) << IMPACT_BITS
+    items = sorted(by_item)
+    total = np.zeros((most.bit_length(), len(items) * n_words), np.uint64)
+    for turn in range(max(map(len, by_item.values()))):
+        here = [(i, *by_item[item][turn]) for i, item in enumerate(items) if turn < len(by_item[item])]
+        used = sorted({n for _, n, _ in here})
+        owner, word, bitmaps = spread([places[n] for n in used], [slices[n] for n in used])
+        begin = dict(zip(used, np.searchsorted(owner, np.arange(len(used) + 1)).tolist()))
+        size = dict(zip(used, np.bincount(owner).tolist()))
+        products, width = {}, 0  # a term with its factor is multiplied once, however many items ask for it
+        for _, n, factor in here:
+            if (n, factor) not in products:
+                products[n, factor], width = width, width + size[n]
+        source = _ranges([begin[n] for n, _ in products], [size[n] for n, _ in products])
+        product = times(bitmaps[:, source], np.repeat([factor for _, factor in products], [size[n] for n, _ in products]))
+        sizes = [size[n] for _, n, _ in here]
+        column = _ranges([products[n, factor] for _, n, factor in here], sizes)
+        target = np.repeat([i * n_words for i, _, _ in here], sizes) + word[source[column]]
+        sums = total[:, target]
+        _add(sums, product[:, column])
+        total[:, target] = sums
+    total = total.reshape(len(total), len(items), n_words)
     sure, left = best(total, k)
-    out: list[tuple[int, np.ndarray]] = []
     unpack = lambda row: np.flatnonzero(np.unpackbits(row.view(np.uint8), bitorder="little"))
-    for item, n in items.items():
+    columns: dict[str, list] = {"item": [], "doc_id": [], "score": []}
+    for n, item in enumerate(items):
         first = unpack(sure[n])
-        out.append((item, np.concatenate([first, unpack(left[n])[: k - len(first)]])))
-    columns = {"item": [], "doc_id": [], "score": []}
-    for (item, at), n in zip(out, items.values()):
-        digits = (total[:, n, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+        found = np.concatenate([first, unpack(left[n])[: k - len(first)]])
+        digits = (total[:, n, found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)
         columns["score"].extend((digits << np.arange(len(total), dtype=np.uint64)[:, None]).sum(axis=0).astype(np.int64).tolist())
-        columns["doc_id"].extend(int(ids[a]) if known[a] else None for a in at)
-        columns["item"].extend([item] * len(at))
+        columns["doc_id"].extend(int(ids[a]) if known[a] else None for a in found)
+        columns["item"].extend([item] * len(found))
     return pa.table(columns, schema=empty)
 
 
