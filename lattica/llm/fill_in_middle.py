@@ -18,6 +18,7 @@ name. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -295,9 +296,9 @@ def fill_in_middle(
 
 
 def restored(output: Column, form: Column, words: tuple[str, str, str] = SENTINELS) -> Column:
-    """The text that an output was made of."""
-    p, s, m = (w.replace("\\", "\\\\") for w in words)
-    parts = F.split(output, "|".join(f"\\Q{w}\\E" for w in (p, s, m)), -1)
+    """The text that an output was made of. Sentinels begin and end with different
+    characters, so none arises where a text and a sentinel meet."""
+    parts = F.split(output, "|".join(re.sub(r"([^A-Za-z0-9])", r"\\\1", w) for w in words), -1)
     psm, spm = F.concat(parts[1], parts[3], parts[2]), F.concat(parts[2], parts[3], parts[1])
     return F.when(form == "plain", output).when(form == "psm", psm).otherwise(spm)
 

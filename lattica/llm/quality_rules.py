@@ -130,17 +130,18 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, most: int = MOST_DOCUMENT
     return counted.join(limits, "host").where(F.col("documents") > share * F.col("texts")).drop("texts")
 
 
-def _in_frequent(lines: DataFrame, frequent: DataFrame, rows: int, n_lines: int) -> DataFrame:
-    """Rows of lines that are in the table of frequent ones."""
+def _in_frequent(lines: DataFrame, frequent: DataFrame, small: bool, hot: int) -> DataFrame:
+    """Rows of lines that are in the table of frequent ones, which is sent to all tasks where
+    it is small. Else only lines of more than `hot` texts are, so that no key is heavy."""
     on = ["host", "line"]
-    if rows <= BROADCAST_LINES:
+    if small:
         return lines.join(F.broadcast(frequent.select(*on)), on, "left_semi")
-    hot = F.broadcast(frequent.where(F.col("documents") > n_lines // HOT_PART).select(*on))  # fewer than HOT_PART rows
-    rest = frequent.where(F.col("documents") <= n_lines // HOT_PART).select(*on)
-    return lines.join(hot, on, "left_semi").unionByName(lines.join(hot, on, "left_anti").join(rest.hint("merge"), on, "left_semi"))
+    most = F.broadcast(frequent.where(F.col("documents") > hot).select(*on))
+    rest = frequent.where(F.col("documents") <= hot).select(*on)
+    return lines.join(most, on, "left_semi").unionByName(lines.join(most, on, "left_anti").join(rest.hint("merge"), on, "left_semi"))
 
 
-def line_rules(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS, share: float = MOST_SHARE, clean: bool = False) -> DataFrame:
+def line_rules(spark: SparkSession, docs: DataFrame, keep: list[str], text: str = "text", host: str = "source", most: int = MOST_DOCUMENTS, share: float = MOST_SHARE, clean: bool = False, broadcast_lines: int = BROADCAST_LINES, hot_part: int = HOT_PART) -> DataFrame:
     """Rows of docs with columns `keep`, the counts, base_failed, removed_words,
     removed_lines (hashes) and kept; with `clean` also clean_text, the text without the
     lines removed. Rows that fail the base rules count for lines like all others."""
@@ -159,9 +160,9 @@ def line_rules(spark: SparkSession, docs: DataFrame, keep: list[str], text: str
     pairs = F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words")))
     lines = read.select("row", "host", "text_hash", pairs.alias("pair")).select("row", "host", "text_hash", "pair.*").toDF("row", "host", "text_hash", "line", "words")
     found = space.table("frequent", frequent_lines(lines, read, most, share))
-    sizes = found.agg(F.count(F.lit(1)), F.lit(0)).first()[0]
-    n_lines = int(read.agg(F.sum(F.size("lines"))).first()[0] or 0)
-    gone = _in_frequent(lines, found, sizes, n_lines).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))  # a document's own lines
+    small = found.count() <= broadcast_lines
+    hot = 0 if small else int(read.agg(F.sum(F.size("lines"))).first()[0] or 0) // hot_part
+    gone = _in_frequent(lines, found, small, hot).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))  # a document's own lines
     judged = read.drop("lines", "line_words", "host", "text_hash").join(gone, "row", "left")
     left = F.col("n_words") - F.col("removed_words")
     judged = judged.withColumns({"base_failed": base_failed(), "removed_words": F.coalesce("removed_words", F.lit(0))})

@@ -86,9 +86,6 @@ class _Block:
             self.sizes.append(len(found))
             self.terms += len(found)
 
-    def full(self) -> bool:
-        return len(self.ids) >= BLOCK_DOCUMENTS or self.terms >= BLOCK_TERMS
-
     def rows(self, block: int, documents: int, terms: int) -> pa.Table:
         known = np.array([i is not None for i in self.ids], np.uint8)
         ids, sizes = np.array([i or 0 for i in self.ids], np.int64), np.array(self.sizes, np.int64)
@@ -142,7 +139,7 @@ class LexicalIndex:
     terms: int
 
 
-def build_index(spark: SparkSession, docs: DataFrame, space: Workspace, key: str = "doc_id", text: str = "text") -> LexicalIndex:
+def build_index(spark: SparkSession, docs: DataFrame, space: Workspace, key: str = "doc_id", text: str = "text", block_documents: int = BLOCK_DOCUMENTS, block_terms: int = BLOCK_TERMS) -> LexicalIndex:
     """Index every text of docs into the table `index` of the workspace. Two scans: one
     counts, one writes; nothing is shuffled."""
     plain = docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_or_empty(f"`{text}`").alias("text"))
@@ -166,7 +163,7 @@ def build_index(spark: SparkSession, docs: DataFrame, space: Workspace, key: str
             data, offsets = bytes_of(batch.column(1))
             for at, doc in enumerate(batch.column(0).to_pylist()):
                 block.add(doc, data[offsets[at] : offsets[at + 1]].tobytes())
-                if block.full():
+                if len(block.ids) >= block_documents or block.terms >= block_terms:
                     yield from done()
                     number, block = number + 1, _Block()
         yield from done()
@@ -296,11 +293,11 @@ def _answers(rows: pa.Table, k: int) -> pa.Table:
     return pa.table(columns, schema=empty)
 
 
-def search(spark: SparkSession, index: LexicalIndex, items: DataFrame, k: int = 20, key: str = "item_id", text: str = "text") -> DataFrame:
+def search(spark: SparkSession, index: LexicalIndex, items: DataFrame, k: int = 20, key: str = "item_id", text: str = "text", group_items: int = GROUP_ITEMS) -> DataFrame:
     """The k best documents for each item: item_id, rank, doc_id, score, for scores above 0."""
     asked = items.select(F.col(f"`{key}`").alias("item_id"), text_or_empty(f"`{text}`").alias("text"))
     asked = asked.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").distinct()
-    groups = max(1, -(-asked.count() // GROUP_ITEMS))
+    groups = max(1, -(-asked.count() // group_items))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +312,7 @@ def search(spark: SparkSession, index: LexicalIndex, items: DataFrame, k: int =
     weights = weights.select("term", F.floor(1000 * F.log(ratio)).cast("long").alias("weight")).where("weight > 0")
     wanted = terms.join(weights, "term").groupBy(F.pmod("item", F.lit(groups)).cast("int").alias("grp"), "term").agg(
         F.collect_list(F.struct("item", (F.col("weight") * F.col("times")).alias("factor"))).alias("asked")
-    )  # at most GROUP_ITEMS items ask for a term in a group, but for the chance of hashing
+    )  # some group_items ask for a term in a group
     rows = index.rows.where(F.col("term") != HEADER).join(wanted, "term")
     heads = index.rows.where(F.col("term") == HEADER).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     rows = rows.unionByName(heads.withColumn("asked", F.lit(None).cast(wanted.schema["asked"].dataType)))
