@@ -12,7 +12,8 @@ classes to components. Members of buckets that still hold several components are
 compared by their scarcest shingles: with shingles ordered from scarce to frequent,
 two sets of the threshold's similarity share one of the first few of each, however
 large a bucket is. Of the classes that have such a shingle, those outside the largest
-component meet the rest.
+component meet the rest; where these are many, as among letters of one form, the next
+shingles they share tell them apart first.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ THRESHOLD = 0.8
 #: Bands and coordinates of a band. A pair of similarity 0.8 shares no band with
 #: probability (1 - 0.8**5)**30 = 7e-6.
 BANDS, ROWS = 30, 5
+#: Classes outside the largest component of a key that meet all of its rows; the units that
+#: keys of more are told apart by, at most.
+FEW, DEPTH = 8, 16
 #: Bits of the filter of candidate ids, a fixed size: beyond its reach it lets more
 #: texts through, and the joins stay exact.
 FILTER_BITS = 1 << 23
@@ -202,31 +206,54 @@ def _elements(sets: DataFrame) -> DataFrame:
     return arrow_map(sets.select("cls", "elements", "weights"), rows, "element long, cls binary, weight double", 200)
 
 
-def _by_scarce_elements(space: Workspace, sets: DataFrame, left: DataFrame, threshold: float, n: int) -> DataFrame:
+def _by_scarce_elements(space: Workspace, sets: DataFrame, left: DataFrame, threshold: float, n: int, few: int = FEW, depth: int = DEPTH) -> DataFrame:
     """Pairs (a, b) of the classes `left` (cls, total, root) of different roots that may have
-    a similarity of `threshold`: all that do, and others that share a scarce element.
-
-    Elements are ordered from scarce to frequent. What two similar sets have in common
-    weighs t / (1 + t) of their totals at least, t being the threshold, and never less
-    than t of either; it all lies from their first common element on, so there this much
-    of both sets still follows. Elements of one class alone come first of all and pair
-    nothing off.
+    a similarity of `threshold`: all that do, and others that share their first units.
+
+    Elements that the same classes hold are one unit, and units are ordered from scarce to
+    frequent; those of one class alone come first of all and pair nothing off. What two
+    similar sets have in common weighs t / (1 + t) of their totals at least, t being the
+    threshold, and never less than t of either; so little of a set lies before its first
+    common unit, and between that and the next ones. A key is a run of units taken to be
+    the first common ones: a pair meets only at the key of those that really are. Keys that
+    many classes of several roots share, as form letters do, are told apart by one more
+    unit, where that makes fewer rows than pairing them off.
     """
     each = space.table("elements", _elements(sets.join(left.select("cls"), "cls", "left_semi")), rows=50 * n)
-    held = each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    common = space.table("common", each.join(held, "element"), rows=50 * n)
-    met = common.groupBy("cls").agg(F.sum("weight").alias("met"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("cls", F.lit(seed)))
+    held = each.groupBy("element").agg(F.count(F.lit(1)).alias("n"), mark(1).alias("x"), mark(2).alias("y")).where("n > 1")
+    common = each.join(held.select("element", "n", F.xxhash64("n", "x", "y").alias("unit")), "element")
+    common = space.table("common", common.groupBy("cls", "unit").agg(F.sum("weight").alias("w"), F.first("n").alias("n")), rows=50 * n)
+    met = common.groupBy("cls").agg(F.sum("w").alias("met"))
     able = left.join(met, "cls").where(F.col("met") + 1e-6 >= threshold * F.col("total")).select("cls", "total", "root")
-    follows = F.sum("weight").over(Window.partitionBy("cls").orderBy(F.desc("n"), F.desc("element")).rowsBetween(Window.unboundedPreceding, 0))
-    first = common.join(able, "cls").withColumn("follows", follows).where(F.col("follows") + 1e-6 >= threshold * F.col("total"))
-    rows = space.table("scarce", first.select("element", "cls", "total", "root", "follows"), rows=10 * n)
+    order = Window.partitionBy("cls").orderBy("n", "unit")
+    units = common.join(able, "cls").withColumns({"at": F.row_number().over(order), "follows": F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    enough = lambda most: most + 1e-6 >= threshold * F.col("total")
+    units = units.withColumn("reach", F.count_if(enough(F.col("follows"))).over(Window.partitionBy("cls")))
+    units = space.table("units", units.select("unit", "cls", "total", "root", "at", "follows", (F.col("follows") - F.col("w")).alias("rest"), "reach"), rows=10 * n)
+    rows = units.where(enough(F.col("follows"))).withColumnsRenamed({"unit": "key", "follows": "most"})
+    pairs, turn = None, 0
+    while True:
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("reach").alias("reach"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("size"), F.sum("reach").alias("reach")).where("roots > 1")
+        outside = F.col("size") - F.col("m.size")
+        deeper = (outside > few) & (F.col("reach") < outside * F.col("size")) & F.lit(turn + 1 < depth)
+        keys = space.table(f"keys{turn}", keys.select("key", F.col("m.root").alias("main"), deeper.alias("deeper")), rows=n)
+        now = rows.join(keys.where("not deeper"), "key")
+        outsiders = now.where("root != main").select("key", F.col("cls").alias("x"), F.col("total").alias("x_total"), F.col("root").alias("x_root"), F.col("most").alias("x_most"))
+        fits = (F.least("total", "x_total") >= threshold * F.greatest("total", "x_total")) & (F.least("most", "x_most") + 1e-6 >= threshold / (1 + threshold) * (F.col("total") + F.col("x_total")))
+        found = outsiders.join(rows, "key").where((F.col("root") != F.col("x_root")) & fits).select(F.greatest("x", "cls").alias("a"), F.least("x", "cls").alias("b"))
+        pairs = found if pairs is None else pairs.union(found)
+        if keys.where("deeper").isEmpty():
+            break
+        after = units.select("cls", F.col("unit").alias("next"), F.col("at").alias("next_at"), "follows", F.col("rest").alias("next_rest"))
+        most = F.col("most") - F.col("rest") + F.col("follows")  # what lies between the two is no longer in common
+        longer = rows.join(keys.where("deeper").select("key"), "key", "left_semi").join(after, "cls").where((F.col("next_at") > F.col("at")) & enough(most))
+        longer = longer.select(F.xxhash64("key", "next").alias("key"), "cls", "total", "root", F.col("next_at").alias("at"), most.alias("most"), F.col("next_rest").alias("rest"), "reach")
+        turn += 1
+        rows = space.table(f"longer{turn}", longer, rows=10 * n)
     space.drop("elements", "common")
-    parts = rows.groupBy("element", "root").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("element").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("element", F.col("m.root").alias("main"))
-    outside = rows.join(main, "element").where("root != main").select("element", F.col("cls").alias("x"), F.col("total").alias("x_total"), F.col("root").alias("x_root"), F.col("follows").alias("x_follows"))
-    fits = (F.least("total", "x_total") >= threshold * F.greatest("total", "x_total")) & (F.least("follows", "x_follows") + 1e-6 >= threshold / (1 + threshold) * (F.col("total") + F.col("x_total")))
-    met = outside.join(rows, "element").where((F.col("root") != F.col("x_root")) & fits)
-    return met.select(F.greatest("x", "cls").alias("a"), F.least("x", "cls").alias("b")).distinct()
+    return pairs.distinct()
 
 
 def components(space: Workspace, edges: DataFrame, name: str, rows: int | None = None) -> DataFrame:

@@ -181,6 +181,65 @@ def test_near_duplicates_of_one_large_bucket(spark, monkeypatch):
     assert sum(made) < 3 * len(rows), made
 
 
+def form_letters(rng, n, slots=9, values=12, copies=0.1):
+    """Texts of 150 words, nine of which have one of twelve values each; of some texts a
+    few values change, which is a near copy while these are three at most."""
+    fixed, at = [f"fixed{i}" for i in range(150)], [8 + 16 * i for i in range(slots)]
+    chosen = []
+    for _ in range(n):
+        if chosen and rng.random() < copies:
+            new = list(rng.choice(chosen))
+            for i in rng.sample(range(slots), rng.randrange(1, 6)):
+                new[i] = rng.randrange(values)
+        else:
+            new = [rng.randrange(values) for _ in range(slots)]
+        chosen.append(new)
+    texts = []
+    for values_ in chosen:
+        words_ = list(fixed)
+        for i, v in zip(at, values_):
+            words_[i] = f"slot{i}value{v}"
+        texts.append(" ".join(words_))
+    return np.array(chosen), list(enumerate(texts))
+
+
+def slot_groups(chosen):
+    """The least text of each text's group: 146 shingles, of which a slot changes five."""
+    root = list(range(len(chosen)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(1, len(chosen)):
+        for j in np.flatnonzero((chosen[:i] != chosen[i]).sum(axis=1) <= 3):
+            a, b = sorted((find(i), find(int(j))))
+            root[b] = a
+    return {i: find(i) for i in range(len(chosen))}
+
+
+def test_near_duplicates_of_form_letters(spark, monkeypatch):
+    """All letters share a bucket and two thirds of their shingles; pairs grow with the
+    letters, not with their square."""
+    from lattica.llm import near_dedup
+
+    made, verified, keys = [], near_dedup._verified, near_dedup.sketches
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, sets: made.append(pairs.count()) or verified(pairs, sets))
+    monkeypatch.setattr(near_dedup, "sketches", lambda *a, **k: keys(*a, **k).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(1).cast("long")))))
+    total = {}
+    for n in (200, 1000, 4000):
+        chosen, rows = form_letters(random.Random(n), n)
+        want = slot_groups(chosen)
+        if n == 200:
+            assert want == brute_groups(rows)
+        made.clear()
+        out = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(spark, docs(spark, rows), bands=1, rows=1).collect()}
+        assert out == want
+        total[n] = sum(made)
+    assert total[4000] < total[1000] * 4**1.2 and total[4000] < 4000 * 4000 / 80, total
+
+
 def test_similarity_of_long_sets():
     from lattica.llm.common import mix64
     from lattica.llm.near_dedup import _similarity
