@@ -37,6 +37,8 @@ BANDS, ROWS = 30, 5
 #: Classes outside the largest component of a key that meet all of its rows; the units that
 #: keys of more are told apart by, at most.
 FEW, DEPTH = 8, 16
+#: Pairs to try that aren't worth another unit; keys on which it is tried whether one is.
+LEAST_WORK, TRIED = 1_000_000, 64
 #: Bits of the filter of candidate ids, a fixed size: beyond its reach it lets more
 #: texts through, and the joins stay exact.
 FILTER_BITS = 1 << 23
@@ -217,7 +219,7 @@ def _by_scarce_elements(space: Workspace, sets: DataFrame, left: DataFrame, thre
     common unit, and between that and the next ones. A key is a run of units taken to be
     the first common ones: a pair meets only at the key of those that really are. Keys that
     many classes of several roots share, as form letters do, are told apart by one more
-    unit, where that makes fewer rows than pairing them off.
+    unit, where that is less work than pairing them off.
     """
     each = space.table("elements", _elements(sets.join(left.select("cls"), "cls", "left_semi")), rows=50 * n)
     mark = lambda seed: F.bit_xor(F.xxhash64("cls", F.lit(seed)))
@@ -231,28 +233,45 @@ def _by_scarce_elements(space: Workspace, sets: DataFrame, left: DataFrame, thre
     enough = lambda most: most + 1e-6 >= threshold * F.col("total")
     units = units.withColumn("reach", F.count_if(enough(F.col("follows"))).over(Window.partitionBy("cls")))
     units = space.table("units", units.select("unit", "cls", "total", "root", "at", "follows", (F.col("follows") - F.col("w")).alias("rest"), "reach"), rows=10 * n)
+    space.drop("elements", "common")
     rows = units.where(enough(F.col("follows"))).withColumnsRenamed({"unit": "key", "follows": "most"})
+    after = units.select("cls", F.col("unit").alias("next"), F.col("at").alias("next_at"), "follows", F.col("rest").alias("next_rest"))
+
+    def longer(keys: DataFrame) -> DataFrame:
+        """Rows of these keys with one more unit; what lies between the two is no longer in common."""
+        most = F.col("most") - F.col("rest") + F.col("follows")
+        more = rows.join(keys.select("key"), "key", "left_semi").join(after, "cls").where((F.col("next_at") > F.col("at")) & enough(most))
+        return more.select(F.xxhash64("key", "next").alias("key"), "cls", "total", "root", F.col("next_at").alias("at"), most.alias("most"), F.col("next_rest").alias("rest"), "reach")
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("reach").alias("reach"))
+        keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("size"), F.sum("reach").alias("reach"))
+        return keys.withColumn("outside", F.col("size") - F.col("m.size"))
+
     pairs, turn = None, 0
     while True:
-        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("reach").alias("reach"))
-        keys = parts.groupBy("key").agg(F.max(F.struct("size", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("size"), F.sum("reach").alias("reach")).where("roots > 1")
-        outside = F.col("size") - F.col("m.size")
-        deeper = (outside > few) & (F.col("reach") < outside * F.col("size")) & F.lit(turn + 1 < depth)
-        keys = space.table(f"keys{turn}", keys.select("key", F.col("m.root").alias("main"), deeper.alias("deeper")), rows=n)
-        now = rows.join(keys.where("not deeper"), "key")
-        outsiders = now.where("root != main").select("key", F.col("cls").alias("x"), F.col("total").alias("x_total"), F.col("root").alias("x_root"), F.col("most").alias("x_most"))
+        keys = sizes(rows).where("roots > 1").withColumn("work", F.col("outside") * F.col("size"))
+        deeper = (F.col("outside") > few) & (4 * F.col("reach") < F.col("work")) & F.lit(turn + 1 < depth)
+        keys = space.table(f"keys{turn}", keys.select("key", F.col("m.root").alias("main"), "work", deeper.alias("deeper")), rows=n)
+        hot = keys.where("deeper")
+        many, work = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("work"), F.lit(0))).first()
+        go_on = work > LEAST_WORK
+        if go_on:
+            # Whether it pays is told by some of the keys; either way gives all pairs.
+            some = hot if many < 16 * TRIED else hot.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(16)) == 0)
+            now = some.agg(F.coalesce(F.sum("work"), F.lit(0))).first()[0]
+            made, then = sizes(longer(some)).agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("outside") * F.col("size")), F.lit(0))).first()
+            go_on = 1.5 * (3 * made + then) < now
+        paired = keys.where("not deeper") if go_on else keys
+        here = rows.join(paired.select("key", "main"), "key")
+        outsiders = here.where("root != main").select("key", F.col("cls").alias("x"), F.col("total").alias("x_total"), F.col("root").alias("x_root"), F.col("most").alias("x_most"))
         fits = (F.least("total", "x_total") >= threshold * F.greatest("total", "x_total")) & (F.least("most", "x_most") + 1e-6 >= threshold / (1 + threshold) * (F.col("total") + F.col("x_total")))
         found = outsiders.join(rows, "key").where((F.col("root") != F.col("x_root")) & fits).select(F.greatest("x", "cls").alias("a"), F.least("x", "cls").alias("b"))
         pairs = found if pairs is None else pairs.union(found)
-        if keys.where("deeper").isEmpty():
+        if not go_on:
             break
-        after = units.select("cls", F.col("unit").alias("next"), F.col("at").alias("next_at"), "follows", F.col("rest").alias("next_rest"))
-        most = F.col("most") - F.col("rest") + F.col("follows")  # what lies between the two is no longer in common
-        longer = rows.join(keys.where("deeper").select("key"), "key", "left_semi").join(after, "cls").where((F.col("next_at") > F.col("at")) & enough(most))
-        longer = longer.select(F.xxhash64("key", "next").alias("key"), "cls", "total", "root", F.col("next_at").alias("at"), most.alias("most"), F.col("next_rest").alias("rest"), "reach")
         turn += 1
-        rows = space.table(f"longer{turn}", longer, rows=10 * n)
-    space.drop("elements", "common")
+        rows = space.table(f"longer{turn}", longer(hot), rows=10 * n)
     return pairs.distinct()
 
 
