@@ -251,7 +251,7 @@ def _by_scarce_elements(space: Workspace, sets: DataFrame, left: DataFrame, thre
     pairs, turn = None, 0
     while True:
         keys = sizes(rows).where("roots > 1").withColumn("work", F.col("outside") * F.col("size"))
-        deeper = (F.col("outside") > few) & (4 * F.col("reach") < F.col("work")) & F.lit(turn + 1 < depth)
+        deeper = (F.col("outside") > few) & (F.col("reach") < F.col("work")) & F.lit(turn + 1 < depth)
         keys = space.table(f"keys{turn}", keys.select("key", F.col("m.root").alias("main"), "work", deeper.alias("deeper")), rows=n)
         hot = keys.where("deeper")
         many, work = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("work"), F.lit(0))).first()
