@@ -9,14 +9,17 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .functions import adr
 from .functions.names import project_name
-from .model import FILE_HASH_SCHEMA, NODE_SCHEMA, PROJECT_SCHEMA, SUMMARY_SCHEMA, EDGE_SCHEMA, Graph
-from .operators import architecture as A, code_search, community, incremental, joins, search as S, traverse, upsert
+from .model import FILE_HASH_SCHEMA, NODE_SCHEMA, PROJECT_SCHEMA, SUMMARY_SCHEMA, EDGE_SCHEMA, Graph, schema_of
+from .operators import architecture as A, code_search, community, derive, incremental, joins, search as S, traverse
 from .plans.builder import compile_query
-from .plans.index import index
+from .plans import facts as facts_table, index as plan
 from .sources import files as files_source, otlp, text
+from .storage import Cuts
+from .store import BUCKETS, Store, Version
 
 MAX_ROWS = 200
 HARD_ROWS = 10_000
@@ -28,75 +31,127 @@ def as_json(df: DataFrame, most: int = HARD_ROWS) -> str:
     return "[" + ",".join(r[0] for r in df.limit(most).select(F.to_json(F.struct(*df.columns))).collect()) + "]"
 
 
+REFERENCE_SCHEMA = schema_of(plan.REFERENCES)
+#: Bytes of files that the fast mode leaves out.
+FAST_BYTES = 512_000
+
+
 class Engine:
-    """Graphs of projects, kept as Parquet below `root` and partitioned by project."""
+    """Graphs of projects, kept in a store below `root`. Each method reads one version of
+    the store, and what it writes becomes one new version."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.store = Store(spark, self.root)
+        #: What the last index did: files read, files whose references were resolved.
+        self.work: dict[str, int] = {}
 
-    # Storage: a version is a folder; the pointer moves when the version is whole.
-
-    def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def _table(self, name: str, schema) -> DataFrame:
-        if not self._exists(f"{name}.at"):
-            return self.spark.createDataFrame([], schema)
-        at = self.spark.read.text(f"{self.root}/{name}.at").first()[0]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{at}")
+    def _rows(self, version: Version, name: str, schema: StructType, project: str | None = None) -> DataFrame:
+        return self.store.table(version, name, schema, project)
 
-    def _keep(self, name: str, df: DataFrame) -> None:
-        at = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-        writer = df.write.mode("overwrite")
-        if "project" in df.columns:
-            writer = writer.partitionBy("project")
-        writer.parquet(f"{self.root}/{name}/{at}")
-        self.spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}.at")
+    def _graph(self, version: Version, project: str | None = None) -> Graph:
+        return Graph(self._rows(version, "nodes", NODE_SCHEMA, project), self._rows(version, "edges", EDGE_SCHEMA, project), closed=True)
 
     @property
     def graph(self) -> Graph:
-        return Graph(self._table("nodes", NODE_SCHEMA), self._table("edges", EDGE_SCHEMA), closed=True)
+        return self._graph(self.store.read())
 
     def _of(self, project: str | None) -> Graph:
-        return self.graph.of(project) if project else self.graph
+        return self._graph(self.store.read(), project)
 
     # Indexing and projects.
 
-    def index_repository(self, path: str, project: str | None = None, log: str | None = None) -> dict[str, int]:
-        """Index a folder of files; where none has changed since, nothing is done. `log`
-        is the text of `git log --name-only --pretty=format:COMMIT:%H`; without it files
-        that change together aren't linked."""
+    def index_repository(self, path: str, project: str | None = None, log: str | None = None, mode: str = "full") -> dict[str, int]:
+        """Index a folder of files: how many are new, changed, unchanged and removed. Files
+        of the size and time that the store has aren't read; of a changed file only its own
+        facts are made anew, and only references that it may concern are resolved again. The
+        graph is that of a whole index. `log` is the text of `git log --name-only
+        --pretty=format:COMMIT:%H`; without it files that change together aren't linked. The
+        mode `fast` leaves out files of more than FAST_BYTES."""
+        if mode not in ("full", "fast"):
+            raise ValueError(f"no such mode: {mode}")
         project = project or project_name(path)
-        found = files_source.discover(self.spark, path, project)
-        current = found.select(*FILE_HASH_SCHEMA.names)
-        stored = self._table("file_hashes", FILE_HASH_SCHEMA)
-        changes = incremental.classify(current, stored.where(F.col("project") == project)).groupBy("status").count()
-        counts = {r["status"]: r["count"] for r in changes.collect()}
+        version, cuts = self.store.read(), Cuts(self.spark, "index")
+        stored = self._rows(version, "file_hashes", FILE_HASH_SCHEMA, project)
+        listed = files_source.list_files(self.spark, path, FAST_BYTES if mode == "fast" else None)
+        same = ["rel_path", "size", "mtime_ns"]
+        fresh = cuts.cut(files_source.read_texts(path, listed.join(stored.select(*same), same, "left_anti"))).withColumn("project", F.lit(project))
+        kept = stored.join(listed.select(*same), same, "left_semi")
+        current = cuts.cut(fresh.select(*FILE_HASH_SCHEMA.names).unionByName(kept.select(*FILE_HASH_SCHEMA.names)))
+        changes = cuts.cut(incremental.classify(current, stored))
+        counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
+        self.work = {"read": fresh.count(), "resolved": 0}
         if set(counts) - {"unchanged"}:
-            from .storage import Cuts
-
-            cuts = Cuts(self.spark, "index")
+            changed = changes.where("status in ('new', 'changed')").select("project", "rel_path")
+            texts = fresh.join(changed, ["project", "rel_path"], "left_semi")
             history = None if log is None else text.numbered(self.spark, log).withColumn("project", F.lit(project))
-            graph, rest = index(found, lambda _, df: cuts.cut(df), history), upsert.delete_project(self.graph, project)
-            self._keep("edges", rest.edges.unionByName(graph.edges))
-            self._keep("nodes", rest.nodes.unionByName(graph.nodes))
-            self._keep("file_hashes", stored.where(F.col("project") != project).unionByName(current))
-            now = self.spark.createDataFrame([(project, datetime.now(timezone.utc).isoformat(), path)], PROJECT_SCHEMA)
-            self._keep("projects", self._table("projects", PROJECT_SCHEMA).where(F.col("name") != project).unionByName(now))
+            new = cuts.cut(facts_table.extract(texts, lambda _, df: cuts.cut(df)))
+            self._derive(version, cuts, project, new, changes, path, history, current)
         return counts
 
+    def index_facts(self, facts: DataFrame, project: str, log: str | None = None) -> None:
+        """Index facts of any extractor (see plans/facts.py) in place of a project's old
+        ones. Facts are checked first; those of other projects are an error."""
+        cuts, version = Cuts(self.spark, "index"), self.store.read()
+        facts = cuts.cut(facts_table.checked(facts))
+        if facts.where(F.col("project") != project).first():
+            raise ValueError(f"facts of other projects than {project}")
+        new = cuts.cut(facts_table.with_code(facts, lambda _, df: cuts.cut(df)))
+        gone = self._rows(version, "facts", facts_table.FACT_SCHEMA, project).where("kind = 'file'").select("project", "rel_path")
+        here = new.where("kind = 'file'").select("project", "rel_path").distinct()
+        changes = gone.join(here, ["project", "rel_path"], "left_anti").withColumn("status", F.lit("removed")).unionByName(here.withColumn("status", F.lit("changed")))
+        history = None if log is None else text.numbered(self.spark, log).withColumn("project", F.lit(project))
+        self._derive(version, cuts, project, new, cuts.cut(changes), "", history, None)
+
+    def _derive(self, version: Version, cuts: Cuts, project: str, new: DataFrame, changes: DataFrame, path: str, history: DataFrame | None, hashes: DataFrame | None) -> None:
+        """The project's graph from the facts of changed files (`new`) and the stored facts of
+        all others, as one new version."""
+        cut, key = (lambda _, df: cuts.cut(df)), ["project", "rel_path"]
+        touched = changes.where("status <> 'unchanged'").select(*key)
+        old = self._rows(version, "facts", facts_table.FACT_SCHEMA, project)
+        whole = not version.folders("facts", project)
+        if whole:
+            graph, refs = plan.graph_of_facts(new, cut, history)
+            self.work["resolved"] = new.where("kind = 'file'").count()
+            writes = {("facts", project): self.store.write(new, "facts", "rel_path"), ("references", project): self.store.write(refs, "references", "rel_path")}
+        else:
+            every = cuts.cut(old.join(touched, key, "left_anti").unionByName(new))
+            names = plan.changed_names(old.join(touched, key, "left_semi"), new, every)
+            affected = cuts.cut(plan.affected_files(every, changes.where("status in ('new', 'changed')"), names))
+            facts = plan.Facts(every)
+            maps, known = cuts.cut(derive.import_maps(facts.imports())), cuts.cut(facts.known())
+            again = plan.Facts(cuts.cut(every.join(affected, key, "left_semi")))
+            resolved = cuts.cut(plan.references(again, facts, known, maps, cut))
+            outdated = affected.unionByName(touched).distinct()
+            stored = self._rows(version, "references", REFERENCE_SCHEMA, project)
+            refs = stored.join(outdated, key, "left_anti").unionByName(resolved)
+            graph = plan.derive_graph(facts, refs, maps, known, cut, history)
+            self.work["resolved"] = affected.count()
+            writes = {("facts", project): self._buckets(version, "facts", project, every, touched), ("references", project): self._buckets(version, "references", project, refs, outdated)}
+        writes["nodes", project], writes["edges", project] = self.store.write(graph.nodes, "nodes"), self.store.write(graph.edges, "edges")
+        if hashes is not None:
+            writes["file_hashes", project] = self.store.write(hashes, "file_hashes")
+        now = self.spark.createDataFrame([(project, datetime.now(timezone.utc).isoformat(), path)], PROJECT_SCHEMA)
+        writes["projects", project] = self.store.write(now.coalesce(1), "projects")
+        self.store.commit(version, writes)
+
+    def _buckets(self, version: Version, name: str, project: str, rows: DataFrame, files: DataFrame) -> dict[str, str]:
+        """Folders by bucket: those that hold any of `files` written whole, the others as they are."""
+        bucket = F.pmod(F.xxhash64("rel_path"), F.lit(BUCKETS)).cast("int")
+        hit = [r["b"] for r in files.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
+        held = {b: p for (_, b), p in version.folders(name, project).items() if int(b) not in hit}
+        return held | (self.store.write(rows.where(bucket.isin(*hit)), name, "rel_path") if hit else {})
+
     def list_projects(self) -> DataFrame:
-        graph = self.graph
+        version = self.store.read()
+        graph = self._graph(version)
         nodes, edges = (d.groupBy(F.col("project").alias("name")).agg(F.count(F.lit(1)).alias(n)) for d, n in ((graph.nodes, "nodes"), (graph.edges, "edges")))
-        return self._table("projects", PROJECT_SCHEMA).join(nodes, "name", "left").join(edges, "name", "left").orderBy("name")
+        return self._rows(version, "projects", PROJECT_SCHEMA).join(nodes, "name", "left").join(edges, "name", "left").orderBy("name")
 
     def delete_project(self, project: str) -> None:
-        graph = upsert.delete_project(self.graph, project)
-        for name, df in (("edges", graph.edges), ("nodes", graph.nodes)):
-            self._keep(name, df)
-        for name, schema, key in (("file_hashes", FILE_HASH_SCHEMA, "project"), ("projects", PROJECT_SCHEMA, "name"), ("summaries", SUMMARY_SCHEMA, "project")):
-            self._keep(name, self._table(name, schema).where(F.col(key) != project))
+        """All tables of a project go in one version; no other project is written."""
+        version = self.store.read()
+        self.store.commit(version, {(table, project): {} for table, held in version.parts.items() if project in held})
 
     def index_status(self, project: str) -> DataFrame:
         """One row: node and edge counts and the share of calls that types resolved."""
@@ -178,15 +233,14 @@ class Engine:
 
     def manage_adr(self, mode: str, project: str, content: str = "", sections: dict[str, str] | None = None) -> str | None:
         """get, store (a whole text), update (some sections) or delete."""
-        table = self._table("summaries", SUMMARY_SCHEMA)
-        row = table.where(F.col("project") == project).first()
+        version = self.store.read()
+        row = self._rows(version, "summaries", SUMMARY_SCHEMA, project).first()
         if mode == "get":
             return row["summary"] if row else None
         if mode not in ("store", "update", "delete"):
             raise ValueError(f"no such mode: {mode}")
-        kept = table.where(F.col("project") != project)
         if mode == "delete":
-            self._keep("summaries", kept)
+            self.store.commit(version, {("summaries", project): {}})
             return None
         if mode == "update" and row is None:
             raise ValueError("there is no text to update")
@@ -194,16 +248,15 @@ class Engine:
         if wrong := adr.validate(new):
             raise ValueError("; ".join(wrong))
         now = datetime.now(timezone.utc).isoformat()
-        self._keep("summaries", kept.unionByName(self.spark.createDataFrame([(project, new, row["created_at"] if row else now, now)], SUMMARY_SCHEMA)))
+        rows = self.spark.createDataFrame([(project, new, row["created_at"] if row else now, now)], SUMMARY_SCHEMA)
+        self.store.commit(version, {("summaries", project): self.store.write(rows.coalesce(1), "summaries")})
         return new
 
     def ingest_traces(self, path: str, project: str) -> dict[str, int]:
         """Confirm HTTP edges by the spans of an export."""
-        spans = otlp.read_spans(self.spark, path)
-        graph = self.graph
-        confirmed = otlp.enrich(graph.of(project).edges, otlp.span_stats(spans))
-        from .storage import Cuts
-
-        confirmed = Cuts(self.spark, "traces").cut(confirmed)
-        self._keep("edges", graph.edges.join(confirmed.select("id"), "id", "left_anti").select(*EDGE_SCHEMA.names).unionByName(confirmed.select(*EDGE_SCHEMA.names)))
+        version, spans = self.store.read(), otlp.read_spans(self.spark, path)
+        edges = self._rows(version, "edges", EDGE_SCHEMA, project)
+        confirmed = Cuts(self.spark, "traces").cut(otlp.enrich(edges, otlp.span_stats(spans)))
+        rows = edges.join(confirmed.select("id"), "id", "left_anti").select(*EDGE_SCHEMA.names).unionByName(confirmed.select(*EDGE_SCHEMA.names))
+        self.store.commit(version, {("edges", project): self.store.write(rows, "edges")})
         return {"processed": spans.count(), "validated": confirmed.count()}

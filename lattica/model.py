@@ -5,11 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+_KINDS = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "array<string>": ArrayType(StringType())}
+
 
 def _schema(**columns: str) -> StructType:
-    kinds = {"string": StringType(), "long": LongType(), "int": IntegerType()}
-    return StructType([StructField(name, kinds[kind]) for name, kind in columns.items()])
+    return StructType([StructField(name, _KINDS[kind]) for name, kind in columns.items()])
+
+
+def schema_of(ddl: str) -> StructType:
+    """The schema of columns `name type, ...`, without a session."""
+    return _schema(**dict(column.split() for column in ddl.split(", ")))
 
 
 NODE_SCHEMA = _schema(id="long", project="string", label="string", name="string", qualified_name="string", file_path="string", start_line="int", end_line="int", properties="string")

@@ -1,96 +1,93 @@
 """Communities by the Louvain method, and what they hold.
 
-Local moving needs the whole of one project's graph in one place, so a project is a
-group of applyInPandas: its edges must fit a worker. Projects run side by side; the
-edges are summed to weights between pairs before they get there. Order and seed
-are fixed, so results repeat.
+Local moving is bulk-synchronous: in a round every node weighs the communities of its
+neighbours by the volumes of the round before, and of those that would move a half, drawn by
+hash, does, so that neighbours don't swap places for ever. When no node would move,
+communities become nodes, and again. Each round is a join, two sums and a written table;
+nothing of a project is in one place. Draws depend on ids alone, so results repeat.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.names import package_of
 from ..model import Graph
+from ..storage import cutter
 
 TYPES = ("CALLS", "HTTP_CALLS", "ASYNC_CALLS")
 LABEL_PRIORITY = ("Class", "Interface", "Type", "Function", "Method")
 
 
-def louvain_labels(pairs: dict[tuple[int, int], float], rounds: int = 10) -> dict[int, int]:
-    """Community of each node of an undirected weighted graph, as its least node.
-
-    Nodes move, in order of id, to the neighbouring community of the best gain until
-    none moves; communities become nodes, and again, until nothing changes.
-    """
-    weights: dict[int, dict[int, float]] = {}
-    for (a, b), w in pairs.items():
-        weights.setdefault(a, {})[b] = weights.setdefault(a, {}).get(b, 0) + w
-        if a != b:
-            weights.setdefault(b, {})[a] = weights.setdefault(b, {}).get(a, 0) + w
-    member = {v: v for v in weights}
-    total = sum(sum(x.values()) + x.get(v, 0) for v, x in weights.items())
-    while total:
-        own = {v: v for v in weights}
-        degree = {v: sum(x.values()) + x.get(v, 0) for v, x in weights.items()}
-        volume = dict(degree)
-        moved_any = False
-        for _ in range(rounds):
-            moved = False
-            for v in sorted(weights):
-                volume[own[v]] -= degree[v]
-                near: dict[int, float] = {own[v]: 0.0}
-                for u, w in weights[v].items():
-                    if u != v:
-                        near[own[u]] = near.get(own[u], 0) + w
-                best = max(sorted(near), key=lambda c: (near[c] - degree[v] * volume[c] / total, c == own[v]))
-                volume[best] += degree[v]
-                if best != own[v]:
-                    own[v], moved, moved_any = best, True, True
-            if not moved:
-                break
-        if not moved_any:
-            break
-        name: dict[int, int] = {}
-        for v, c in own.items():
-            name[c] = min(name.get(c, v), v)
-        own = {v: name[c] for v, c in own.items()}
-        member = {v: own[c] for v, c in member.items()}
-        merged: dict[int, dict[int, float]] = {}
-        for v, x in weights.items():
-            row = merged.setdefault(own[v], {})
-            for u, w in x.items():
-                if own[u] == own[v]:
-                    row[own[v]] = row.get(own[v], 0) + (w if u == v else w / 2)
-                else:
-                    row[own[u]] = row.get(own[u], 0) + w
-        weights = merged
-    least: dict[int, int] = {}
-    for v, c in member.items():
-        least[c] = min(least.get(c, v), v)
-    return {v: least[c] for v, c in member.items()}
-
-
-def louvain(graph: Graph, types: tuple[str, ...] = TYPES, labels: tuple[str, ...] | None = ("Function", "Method"), rounds: int = 10, drop_singletons: bool = False) -> DataFrame:
+#: Levels of communities of communities.
+LEVELS = 8
+
+
+def _moved(links: DataFrame, state: DataFrame, turn: int) -> DataFrame:
+    """The state (project, id, community, degree, total, wants, moved) after one round."""
+    volume = state.groupBy("community").agg(F.sum("degree").alias("volume"))
+    near = links.join(state.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
+    own = state.select("id", F.col("community").alias("own"), "degree", "total")
+    mine = F.col("community") == F.col("own")
+    gain = F.col("w") - F.col("degree") * (F.col("volume") - F.when(mine, F.col("degree")).otherwise(0.0)) / F.col("total")
+    weighed = near.join(own, "id").join(volume, "community").withColumn("gain", gain)
+    best = weighed.groupBy("id").agg(F.max(F.when(~mine, F.struct("gain", (-F.col("community")).alias("to")))).alias("best"), F.max(F.when(mine, F.col("gain"))).alias("stay"))
+    # A node without a neighbour in its own community still weighs the others there.
+    rows = state.join(best, "id", "left").join(volume, "community")
+    stay = F.coalesce("stay", -F.col("degree") * (F.col("volume") - F.col("degree")) / F.col("total"))
+    wants = F.coalesce(F.col("best.gain") > stay + 1e-9, F.lit(False))
+    drawn = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+    rows = rows.withColumns({"wants": wants, "moved": F.col("moved") | (wants & drawn)})
+    return rows.select("project", "id", F.when(F.col("wants") & drawn, -F.col("best.to")).otherwise(F.col("community")).alias("community"), "degree", "total", "wants", "moved")
+
+
+def louvain(graph: Graph, types: tuple[str, ...] = TYPES, labels: tuple[str, ...] | None = ("Function", "Method"), rounds: int = 10, drop_singletons: bool = False, cut: Callable[[str, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(project, id, community): community is its least node's id. Nodes without an
-    edge of the types are not in any. Fifty rounds over CALLS alone with singletons
-    dropped is the form that index runs use."""
+    edge of the types are not in any. A level has `rounds` rounds at most, twice over, as a
+    half of the nodes moves in each. Fifty rounds over CALLS alone with singletons dropped
+    is the form that index runs use. `cut` writes a table and gives it back."""
+    cut = cut or cutter(graph.nodes.sparkSession, "louvain")
     edges = graph.typed(*types).select("project", "source_id", "target_id")
     if labels:
         keep = graph.nodes.where(F.col("label").isin(*labels)).select("id")
         edges = edges.join(keep.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(keep.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
-    weighted = edges.groupBy("project", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        found = louvain_labels({(a, b): w for a, b, w in zip(rows["a"].tolist(), rows["b"].tolist(), rows["w"].tolist())}, rounds)
-        return pd.DataFrame({"project": rows["project"].iloc[0] if len(rows) else None, "id": list(found), "community": list(found.values())})
-
-    out = weighted.groupBy("project").applyInPandas(cluster, "project string, id long, community long")
-    if drop_singletons:
-        big = out.groupBy("community").count().where("count > 1").select("community")
-        out = out.join(big, "community", "left_semi").select("project", "id", "community")
-    return out
+    pairs = cut("pairs", edges.groupBy("project", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w")))
+    member = None
+    for level in range(LEVELS):
+        links = cut("links", pairs.where("a <> b").select("a", "b", "w").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+        each = pairs.select("project", F.explode(F.array("a", "b")).alias("id"), "w")  # a loop counts twice
+        degree = each.groupBy("project", "id").agg(F.sum("w").alias("degree"))
+        total = each.groupBy("project").agg(F.sum("w").alias("total"))
+        state = degree.join(total, "project").select("project", "id", F.col("id").alias("community"), "degree", "total", F.lit(True).alias("wants"), F.lit(False).alias("moved"))
+        state = cut("state", state)
+        for turn in range(2 * rounds):
+            state = cut("state", _moved(links, state, turn))
+            if not state.agg(F.coalesce(F.max("wants"), F.lit(False))).first()[0]:
+                break
+        now = state.select("project", "id", "community")
+        member = now if member is None else member.withColumnRenamed("community", "_at").join(now.select(F.col("id").alias("_at"), "community"), "_at").select("project", "id", "community")
+        if not state.agg(F.coalesce(F.max("moved"), F.lit(False))).first()[0]:
+            break
+        member = cut("member", member)
+        at = lambda name: now.select(F.col("id").alias(name), F.col("community").alias(f"_{name}"))
+        ends = {"a": F.least("_a", "_b"), "b": F.greatest("_a", "_b")}
+        pairs = cut("pairs", pairs.join(at("a"), "a").join(at("b"), "b").withColumns(ends).groupBy("project", "a", "b").agg(F.sum("w").alias("w")))
+    sizes = member.groupBy("community").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size"))
+    out = member.join(sizes, "community")
+    return (out.where("size > 1") if drop_singletons else out).select("project", "id", F.col("least").alias("community"))
+
+
+def modularity(graph: Graph, members: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
+    """(project, modularity) of communities (project, id, community) over the edges among
+    their members."""
+    m = members.select("id", "community")
+    edges = graph.typed(*types).select("project", "source_id", "target_id").join(m.select(F.col("id").alias("source_id"), F.col("community").alias("ca")), "source_id").join(m.select(F.col("id").alias("target_id"), F.col("community").alias("cb")), "target_id")
+    total = edges.groupBy("project").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("ca") == F.col("cb")).alias("inside"))
+    volume = edges.select("project", F.explode(F.array("ca", "cb")).alias("c")).groupBy("project", "c").agg(F.count(F.lit(1)).alias("d"))
+    squares = volume.groupBy("project").agg(F.sum(F.col("d").cast("double") * F.col("d")).alias("s"))
+    return total.join(squares, "project").select("project", (F.col("inside") / F.col("m") - F.col("s") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
 def cluster_summary(graph: Graph, members: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:

@@ -13,6 +13,8 @@ from .joins import config_file_refs, config_key_symbols, dependency_imports
 CONFIG_EXTENSIONS = (".env", ".toml", ".ini", ".yaml", ".yml", ".cfg", ".properties", ".json", ".xml", ".conf")
 MANIFESTS = ("Cargo.toml", "package.json", "go.mod", "requirements.txt", "Gemfile", "build.gradle", "pom.xml", "composer.json")
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "dev-dependencies", "build-dependencies")
+#: Names of configuration files in quotes.
+FILE_NAMES = r"[\"']([\w./\-]+\.(?:toml|ini|ya?ml|cfg|properties|json|xml|conf|env))[\"']"
 CODE_LABELS = ("Function", "Variable", "Class")
 
 
@@ -80,9 +82,3 @@ def config_variables(files: DataFrame) -> DataFrame:
         keys = keys.unionByName(more)
     qn = F.concat_ws(".", module_qn("project", "rel_path"), "section", "name")
     return keys.select("project", "rel_path", "name", qn.alias("qualified_name"), "start_line", "value").dropDuplicates(["project", "qualified_name"])
-
-
-def file_names_in(texts: DataFrame) -> DataFrame:
-    """(id, value): names of configuration files that stand in quotes in texts (id, text)."""
-    found = F.regexp_extract_all("text", F.lit(r"[\"']([\w./\-]+\.(?:toml|ini|ya?ml|cfg|properties|json|xml|conf|env))[\"']"), F.lit(1))
-    return texts.select("id", F.explode(F.array_distinct(found)).alias("value"))

@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import base_name, camel_words, folder_qn, is_test_name, is_test_path, module_qn, parent_name, simple_name
 from ..model import EDGE_SCHEMA, Graph, json_property
+from ..storage import cutter
 from .joins import covering
 from .resolve import edges_of, registry, resolve
 
+CLASS_LABELS = ("Class", "Type", "Interface")
+#: Calls that a chain of assignments is followed through at most.
+RETURN_ROUNDS = 5
 #: Files that make a folder a package.
 PACKAGE_FILES = ("__init__.py", "go.mod", "package.json", "Cargo.toml", "pom.xml", "build.gradle", "composer.json", "setup.py", "pyproject.toml")
 
@@ -66,25 +70,28 @@ def import_maps(imports: DataFrame) -> DataFrame:
     return imports.groupBy("project", "module_qn").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("local_name", "module_path")))).alias("imports"))
 
 
-def import_edges(imports: DataFrame, graph: Graph) -> DataFrame:
-    """IMPORTS edges with their alias: to the name as written, else to the name that a
-    path stands for, within the project."""
-    names = graph.nodes.select("project", F.col("qualified_name").alias("target_qn"), F.lit(True).alias("found"))
+def import_rows(imports: DataFrame, names: DataFrame) -> DataFrame:
+    """Imports with target_qn: the name as written, else the name that a path stands for,
+    within the project. `names` has project and qualified_name."""
+    names = names.select("project", F.col("qualified_name").alias("target_qn"), F.lit(True).alias("found"))
     path = F.concat_ws(".", "project", F.translate(F.regexp_replace("module_path", r"^[./]+|\.[A-Za-z]+$", ""), "/", "."))
     rows = imports.withColumn("target_qn", F.col("module_path")).join(names, ["project", "target_qn"], "left")
-    rows = rows.withColumn("target_qn", F.when(F.col("found"), F.col("module_path")).when(F.startswith("module_path", F.concat("project", F.lit("."))), F.col("module_path")).otherwise(path))
-    return edges_of(rows, graph, "IMPORTS", "module_qn", F.to_json(F.struct(F.col("local_name").alias("alias"))))
+    return rows.withColumn("target_qn", F.when(F.col("found"), F.col("module_path")).when(F.startswith("module_path", F.concat("project", F.lit("."))), F.col("module_path")).otherwise(path)).drop("found")
+
+
+def import_edges(imports: DataFrame, graph: Graph) -> DataFrame:
+    """IMPORTS edges with their alias."""
+    return edges_of(import_rows(imports, graph.nodes), graph, "IMPORTS", "module_qn", F.to_json(F.struct(F.col("local_name").alias("alias"))))
 
 
-def reference_edges(refs: DataFrame, maps: DataFrame, graph: Graph) -> DataFrame:
-    """Edges from references (project, source_qn, module_qn, callee, kind, fuzzy) with
-    strategy and confidence, `kind` being CALLS, USAGE, READS, WRITES, USES_TYPE, THROWS
-    and the like: all are resolved in one go."""
-    ids = F.xxhash64("project", "source_qn", "module_qn", "callee", "kind")
+def resolved_references(refs: DataFrame, maps: DataFrame, known: DataFrame) -> DataFrame:
+    """References (project, rel_path, source_qn, module_qn, callee, kind, fuzzy) with
+    target_qn, strategy and confidence, `kind` being CALLS, USAGE, READS, WRITES, USES_TYPE,
+    THROWS and the like: all are resolved in one go."""
+    ids = F.xxhash64("project", "rel_path", "source_qn", "module_qn", "callee", "kind")
     r = refs.join(maps, ["project", "module_qn"], "left").withColumn("ref_id", ids).dropDuplicates(["ref_id"])
-    found = resolve(r, registry(graph), "fuzzy").join(r.select("ref_id", "project", "source_qn", "kind"), "ref_id")
-    props = F.to_json(F.struct(F.col("strategy").alias("resolution_strategy"), F.round("confidence", 4).alias("confidence")))
-    return edges_of(found, graph, F.col("kind"), "source_qn", props)
+    found = resolve(r, known, "fuzzy").join(r.select("ref_id", "project", "rel_path", "source_qn", "kind"), "ref_id")
+    return found.select("project", "rel_path", "source_qn", "target_qn", "kind", "strategy", F.round("confidence", 4).alias("confidence"))
 
 
 def throw_kind(name: Column | str) -> Column:
@@ -99,9 +106,10 @@ def decorator_name(text: Column | str) -> Column:
 
 
 def decorations(defs: DataFrame) -> DataFrame:
-    """(project, source_qn, module_qn, callee): what the decorators of definitions name."""
-    rows = defs.select("project", F.col("qualified_name").alias("source_qn"), "module_qn", F.explode("decorators").alias("text"))
-    return rows.select("project", "source_qn", "module_qn", decorator_name("text").alias("callee")).where("callee <> ''")
+    """(project, rel_path, source_qn, module_qn, callee): what the decorators of definitions
+    name."""
+    rows = defs.select("project", "rel_path", F.col("qualified_name").alias("source_qn"), "module_qn", F.explode("decorators").alias("text"))
+    return rows.select("project", "rel_path", "source_qn", "module_qn", decorator_name("text").alias("callee")).where("callee <> ''")
 
 
 def word_tags(rows: DataFrame, key: str, text: Column, least: int = 2) -> DataFrame:
@@ -176,31 +184,71 @@ def is_env_name(name: Column | str) -> Column:
     return (F.col(name) if isinstance(name, str) else name).rlike(r"^[A-Z][A-Z0-9_]{2,}$")
 
 
-def env_edges(env_reads: DataFrame, constants: DataFrame, graph: Graph) -> DataFrame:
-    """CONFIGURES from modules and configuration variables that set a name to functions
-    that read it from the environment. `env_reads` has project, source_qn and name;
-    `constants` has project, module_qn and text (KEY = VALUE)."""
-    key = F.regexp_extract("text", r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*[:=]", 1)
-    set_in = constants.select("project", F.col("module_qn").alias("setter_qn"), key.alias("name")).where(is_env_name("name"))
-    variables = graph.labelled("Variable").where(is_env_name("name")).select("project", F.col("qualified_name").alias("setter_qn"), "name")
-    rows = env_reads.join(set_in.unionByName(variables).distinct(), ["project", "name"])
-    return edges_of(rows.select("project", "setter_qn", F.col("source_qn").alias("target_qn"), "name"), graph, "CONFIGURES", "setter_qn", F.to_json(F.struct(F.col("name").alias("env_key"))))
+def set_key(text: Column | str) -> Column:
+    """The name that KEY = VALUE or KEY: VALUE sets; empty for other texts."""
+    return F.regexp_extract(text, r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*[:=]", 1)
+
+
+def env_rows(env_reads: DataFrame, setters: DataFrame) -> DataFrame:
+    """(project, source_qn, target_qn, name): from modules and variables that set a name
+    (project, setter_qn, name) to functions that read it from the environment
+    (project, source_qn, name)."""
+    read = env_reads.select("project", "name", F.col("source_qn").alias("target_qn"))
+    return read.join(setters.distinct(), ["project", "name"]).select("project", F.col("setter_qn").alias("source_qn"), "target_qn", "name").distinct()
 
 
 def type_map(assigns: DataFrame, known: DataFrame) -> DataFrame:
     """(project, module_qn, variable, class_qn): variables whose assigned type is a
     class of the registry; of several the least name."""
-    classes = known.where("label in ('Class', 'Type', 'Interface')").select("project", "name", F.col("qualified_name").alias("class_qn"))
+    classes = known.where(F.col("label").isin(*CLASS_LABELS)).select("project", "name", F.col("qualified_name").alias("class_qn"))
     rows = assigns.select("project", "module_qn", "variable", simple_name("type_name").alias("name")).join(classes, ["project", "name"])
     return rows.groupBy("project", "module_qn", "variable").agg(F.min("class_qn").alias("class_qn"))
 
 
+def variable_types(assigns: DataFrame, returns: DataFrame, known: DataFrame, maps: DataFrame, cut=None, rounds: int = RETURN_ROUNDS) -> DataFrame:
+    """(project, module_qn, variable, class_qn): type_map, and variables that hold what a
+    call returns: of a function, or of a method of a variable whose class is known by then.
+
+    `assigns` has project, module_qn, variable and type_name (the callee as written),
+    `returns` project, qualified_name and type_name. Each round of joins follows chains of
+    assignments one call further; it ends when a round finds nothing. A function is the one
+    that the module imports by that name, else one of the module, else the only one of
+    the name. Classes are found by their simple name, the least of several. `cut` writes a
+    table and gives it back.
+    """
+    cut = cut or cutter(assigns.sparkSession, "types")
+    classes = known.where(F.col("label").isin(*CLASS_LABELS)).groupBy("project", "name").agg(F.min("qualified_name").alias("class_qn"))
+    returned = returns.select("project", "qualified_name", simple_name("type_name").alias("name")).join(classes, ["project", "name"]).groupBy("project", "qualified_name").agg(F.min("class_qn").alias("class_qn"))
+    returned = cut("returned", returned.withColumn("short", simple_name("qualified_name")))
+    found = type_map(assigns, known)
+    calls = assigns.select("project", "module_qn", "variable", F.col("type_name").alias("callee")).distinct()
+    # Functions: their candidates are those that return a known class.
+    counts = returned.groupBy("project", "short").agg(F.count(F.lit(1)).alias("n"))
+    plain = calls.withColumn("short", simple_name("callee")).join(maps, ["project", "module_qn"], "left").join(returned.join(counts, ["project", "short"]), ["project", "short"])
+    head, rest = F.substring_index("callee", ".", 1), F.when(F.contains("callee", F.lit(".")), F.regexp_replace("callee", r"^[^.]*\.", ""))
+    meant = F.concat_ws(".", F.try_element_at("imports", head), rest)
+    tier = F.when(F.col("qualified_name") == meant, 1).when(F.col("qualified_name") == F.concat_ws(".", "module_qn", "callee"), 2).when((F.col("n") == 1) & ~F.contains("callee", F.lit(".")), 3)
+    direct = plain.withColumn("tier", tier).where("tier is not null").groupBy("project", "module_qn", "variable").agg(F.min(F.struct("tier", "class_qn"))["class_qn"].alias("class_qn"))
+    key = ["project", "module_qn", "variable"]
+    found = cut("types0", found.unionByName(direct.join(found.select(*key), key, "left_anti")))
+    dotted = calls.where(F.col("callee").rlike(r"^[^.()]+\.[^.]+$")).withColumns({"holder": F.substring_index("callee", ".", 1), "method": F.substring_index("callee", ".", -1)})
+    for turn in range(1, rounds + 1):
+        held = found.select("project", "module_qn", F.col("variable").alias("holder"), F.col("class_qn").alias("held"))
+        met = dotted.join(found.select(*key), key, "left_anti").join(held, ["project", "module_qn", "holder"]).withColumn("qualified_name", F.concat_ws(".", "held", "method"))
+        new = cut(f"types{turn}", met.join(returned.select("project", "qualified_name", "class_qn"), ["project", "qualified_name"]).groupBy(*key).agg(F.min("class_qn").alias("class_qn")))
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+    return found
+
+
 def method_calls(refs: DataFrame, types: DataFrame, known: DataFrame) -> DataFrame:
     """Calls on self or on a variable of a known class (project, source_qn, module_qn,
     callee) that the class defines: project, source_qn, target_qn, confidence 0.90."""
-    r = refs.where(F.contains("callee", F.lit("."))).withColumns({"variable": F.substring_index("callee", ".", 1), "method": F.substring_index("callee", ".", -1)})
+    r = refs.where(F.contains("callee", F.lit(".")) & ~F.startswith("callee", F.lit("()"))).withColumns({"variable": F.substring_index("callee", ".", 1), "method": F.substring_index("callee", ".", -1)})
     own = r.where("variable in ('self', 'this', 'cls')").withColumn("class_qn", parent_name("source_qn"))
     other = r.join(types, ["project", "module_qn", "variable"]).select(*own.columns)
     names = known.select("project", F.col("qualified_name").alias("target_qn"))
     both = own.unionByName(other).withColumn("target_qn", F.concat_ws(".", "class_qn", "method"))
-    return both.join(names, ["project", "target_qn"], "left_semi").select("project", "source_qn", "target_qn", F.lit("type_dispatch").alias("strategy"), F.lit(0.90).alias("confidence"))
+    rest = [c for c in ("rel_path",) if c in refs.columns]
+    return both.join(names, ["project", "target_qn"], "left_semi").select("project", *rest, "source_qn", "target_qn", F.lit("type_dispatch").alias("strategy"), F.lit(0.90).alias("confidence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import any_of, confidence_band
@@ -31,63 +33,80 @@ EXCLUDED_PATHS = ("/health", "/healthz", "/ready", "/readyz", "/metrics", "/favi
 LEAST_SCORE = 0.25
 _VERBS = "get|post|put|delete|patch|head|options"
 
-#: Route patterns by language: (regular expression, group of the method, of the path).
+_QUOTED = r"""(?:[rbfu]{0,2})(["'`])((?:(?!\%d)[^\n])*)\%d"""
+
+
+def _quoted(group: int) -> str:
+    """A string literal whose quote is this group; the next one is what stands in it."""
+    return _QUOTED % (group, group)
+
+
+#: Routes by language: (pattern, groups of the receiver, the method and the path; 0 for none).
+#: A path may be empty, arguments may be named, and a call may go over lines.
 ROUTES = {
-    "python": [(rf"@\w+\.({_VERBS}|route|websocket)\(\s*[\"']([^\"']+)[\"']", 1, 2)],
-    "go": [(r"\.(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Get|Post|Put|Delete|Patch|Head|Options)\(\s*\"([^\"]+)\"", 1, 2), (r"\.(HandleFunc|Handle)\(\s*\"([^\"]+)\"", 0, 2)],
-    "javascript": [(rf"\b(?:app|router|server|api|route|koa|fastify)\.({_VERBS})\(\s*[\"'`]([^\"'`]+)[\"'`]\s*,", 1, 2)],
-    "java": [(r"@(Get|Post|Put|Delete|Patch)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]+)\"", 1, 2), (r"@(RequestMapping)\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]+)\"", 0, 2), (r"@(MessageMapping)\(\s*\"([^\"]+)\"", 1, 2)],
-    "rust": [(rf"#\[({_VERBS})\(\s*\"([^\"]+)\"", 1, 2)],
-    "php": [(rf"Route::({_VERBS})\(\s*[\"']([^\"']+)[\"']", 1, 2)],
-    "csharp": [(r"\[Http(Get|Post|Put|Delete|Patch)\(\s*\"([^\"]+)\"", 1, 2), (r"\[(Route)\(\s*\"([^\"]+)\"", 0, 2)],
-    "kotlin": [(rf"\b({_VERBS}|webSocket)\(\s*\"([^\"]+)\"", 1, 2)],
+    "python": [(rf"@\s*([\w.]+)\.({_VERBS}|route|api_route|websocket)\(\s*(?:(?:path|rule)\s*=\s*)?" + _quoted(3), 1, 2, 4)],
+    "go": [(r"(\w+)\.((?i:get|post|put|delete|patch|head|options)|HandleFunc|Handle|Any)\(\s*" + _quoted(3) + r"\s*,", 1, 2, 4)],
+    "javascript": [(rf"\b(app|router|server|api|route|routes|koa|fastify)\.({_VERBS}|all)\(\s*" + _quoted(3) + r"\s*,", 1, 2, 4)],
+    "java": [(r"@(Get|Post|Put|Delete|Patch|Request|Message)Mapping\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*" + _quoted(2), 0, 1, 3)],
+    "rust": [(rf"#\[\s*({_VERBS})\(\s*" + _quoted(2), 0, 1, 3)],
+    "php": [(rf"\bRoute::({_VERBS}|any)\(\s*" + _quoted(2), 0, 1, 3)],
+    "csharp": [(r"\[\s*(HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch|Route)\(\s*" + _quoted(2), 0, 1, 3)],
+    "kotlin": [(rf"(?<![\w.])({_VERBS}|webSocket)\(\s*" + _quoted(2) + r"\s*\)\s*\{", 0, 1, 3)],
 }
+#: Words that stand for any method, and those for sockets.
+_ANY_METHOD = ("ROUTE", "API_ROUTE", "HANDLE", "HANDLEFUNC", "ANY", "ALL", "REQUEST")
+_SOCKET_METHOD = ("WEBSOCKET", "MESSAGE")
 
 
-def _both(text: Column, pattern: str, method: int, path: int) -> Column:
-    paths = F.regexp_extract_all(text, F.lit(pattern), F.lit(path))
-    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if method else F.transform(paths, lambda p: F.lit(""))
-    return F.zip_with(words, paths, lambda m, p: F.struct(m.alias("method"), p.alias("path")))
+def _found(text: Column, pattern: str, receiver: int, method: int, path: int) -> Column:
+    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = lambda x, n: F.regexp_extract(x, pattern, n) if n else F.lit("")
+    return F.transform(every, lambda x: F.struct(part(x, receiver).alias("router"), F.regexp_replace(F.upper(part(x, method)), "^HTTP", "").alias("method"), part(x, path).alias("path")))
 
 
 def extract_routes(sources: DataFrame) -> DataFrame:
-    """Routes in texts (qualified_name, language, text; decorators and bodies alike):
-    qualified_name, method (upper case, WS for sockets, empty for any), path, protocol."""
-    out = None
+    """Routes in texts (qualified_name, language, text; decorators and bodies alike): the
+    other columns, method (upper case, WS for sockets, empty for any), path, router (the
+    variable before the method, where there is one) and protocol. An empty path stays
+    empty; others begin with a slash."""
+    found = F.array().cast("array<struct<router:string,method:string,path:string>>")
     for language, patterns in ROUTES.items():
-        found = F.concat(*(_both(F.col("text"), *p) for p in patterns))
-        rows = sources.where(F.col("language") == language).select("qualified_name", F.explode(found).alias("r"))
-        out = rows if out is None else out.unionByName(rows)
-    word = F.upper(F.col("r.method"))
-    socket = word.isin("WEBSOCKET", "MESSAGEMAPPING")
-    method = F.when(socket, "WS").when(word.isin("ROUTE", "HANDLE", "HANDLEFUNC"), "").otherwise(word)
-    path = F.when(F.startswith(F.col("r.path"), F.lit("/")), F.col("r.path")).otherwise(F.concat(F.lit("/"), F.col("r.path")))
-    return out.select("qualified_name", method.alias("method"), path.alias("path"), F.when(socket, "ws").otherwise("http").alias("protocol")).distinct()
+        found = F.when(F.col("language") == language, F.concat(*(_found(F.col("text"), *p) for p in patterns))).otherwise(found)
+    rest = [c for c in sources.columns if c not in ("language", "text")]
+    rows = sources.where(F.col("language").isin(*ROUTES)).select(*rest, F.explode(found).alias("r"))
+    socket = F.col("r.method").isin(*_SOCKET_METHOD)
+    method = F.when(socket, "WS").when(F.col("r.method").isin(*_ANY_METHOD), "").otherwise(F.col("r.method"))
+    path = F.when((F.col("r.path") == "") | F.startswith(F.col("r.path"), F.lit("/")), F.col("r.path")).otherwise(F.concat(F.lit("/"), F.col("r.path")))
+    return rows.select(*rest, method.alias("method"), path.alias("path"), F.col("r.router").alias("router"), F.when(socket, "ws").otherwise("http").alias("protocol")).distinct()
 
 
 def handler_refs(sources: DataFrame) -> DataFrame:
-    """(path, handler): the last argument of a route call, for frameworks that name it."""
+    """The other columns of texts (text), path and handler: the last argument of a route
+    call, for frameworks that name it."""
     call = r"\(\s*[\"'`](/[^\"'`]*)[\"'`]\s*,\s*(?:[^()\n]*,\s*)?([A-Za-z_][\w.]*)\s*\)"
     pairs = F.zip_with(F.regexp_extract_all("text", F.lit(call), F.lit(1)), F.regexp_extract_all("text", F.lit(call), F.lit(2)), lambda p, h: F.struct(p.alias("path"), h.alias("handler")))
-    return sources.select("qualified_name", F.explode(pairs).alias("p")).select("qualified_name", "p.path", "p.handler").distinct()
+    rest = [c for c in sources.columns if c != "text"]
+    return sources.select(*rest, F.explode(pairs).alias("p")).select(*rest, "p.path", "p.handler").distinct()
 
 
-def group_prefixes(sources: DataFrame) -> DataFrame:
-    """(qualified_name, variable, prefix): groups and mounted routers of a text."""
-    out = None
-    for pattern, var, prefix in ((r"(\w+)\s*:?=\s*\w+\.Group\(\s*\"([^\"]+)\"", 1, 2), (r"include_router\(\s*(\w+)[^)]*prefix\s*=\s*[\"']([^\"']+)[\"']", 1, 2), (r"\.use\(\s*[\"'`]([^\"'`]+)[\"'`]\s*,\s*(\w+)", 2, 1)):
-        pairs = F.zip_with(F.regexp_extract_all("text", F.lit(pattern), F.lit(var)), F.regexp_extract_all("text", F.lit(pattern), F.lit(prefix)), lambda v, p: F.struct(v.alias("variable"), p.alias("prefix")))
-        rows = sources.select("qualified_name", F.explode(pairs).alias("p")).select("qualified_name", "p.variable", "p.prefix")
-        out = rows if out is None else out.unionByName(rows)
-    return out.distinct()
+#: Where a router gets a prefix: (pattern, group of the variable, of the prefix).
+MOUNTS = [
+    (r"(\w+)\s*:?=\s*\w+\.Group\(\s*" + _quoted(2), 1, 3),
+    (r"include_router\(\s*([\w.]+)\s*,(?:[^()]|\([^()]*\))*?\bprefix\s*=\s*" + _quoted(2), 1, 3),
+    (r"\.use\(\s*" + _quoted(1) + r"\s*,\s*(?:[^()\n]*,\s*)?(\w+)\s*\)", 3, 2),
+]
+
 
+def _mount(pattern: str, variable: int, prefix: int) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.regexp_extract(x, pattern, variable).alias("variable"), F.regexp_extract(x, pattern, prefix).alias("prefix"))
 
-def route_routers(sources: DataFrame) -> DataFrame:
-    """(qualified_name, path, router_variable): which variable's decorator gives a route."""
-    pattern = rf"@(\w+)\.(?:{_VERBS}|route|websocket)\(\s*[\"']([^\"']+)[\"']"
-    pairs = F.zip_with(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)), lambda v, p: F.struct(v.alias("variable"), p.alias("path")))
-    path = F.when(F.startswith("p.path", F.lit("/")), F.col("p.path")).otherwise(F.concat(F.lit("/"), F.col("p.path")))
-    return sources.select("qualified_name", F.explode(pairs).alias("p")).groupBy("qualified_name", path.alias("path")).agg(F.min("p.variable").alias("router_variable"))
+
+def group_prefixes(sources: DataFrame) -> DataFrame:
+    """The other columns of texts (qualified_name, text, perhaps language), variable and
+    prefix: groups and mounted routers."""
+    rest = [c for c in sources.columns if c not in ("language", "text")]
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), _mount(p, v, q)) for p, v, q in MOUNTS]
+    return sources.select(*rest, F.explode(F.concat(*found)).alias("p")).select(*rest, "p.variable", "p.prefix").distinct()
 
 
 def mounted(prefixes: DataFrame, maps: DataFrame) -> DataFrame:
@@ -105,7 +124,8 @@ def with_prefixes(routes: DataFrame, mounts: DataFrame) -> DataFrame:
     rows = routes.withColumn("router", F.concat_ws(".", "module_qn", "router_variable"))
     rows = rows.join(mine("router", "_own"), ["project", "router"], "left").join(mine("module_qn", "_all"), ["project", "module_qn"], "left")
     prefix = F.coalesce(F.rtrim(F.coalesce("_own", "_all"), F.lit("/")), F.lit(""))
-    return rows.withColumn("path", F.concat(prefix, "path")).drop("_own", "_all", "router")
+    full = F.concat(prefix, "path")
+    return rows.withColumn("path", F.when(full == "", "/").otherwise(full)).drop("_own", "_all", "router")
 
 
 def route_qn(project: Column | str, method: Column | str, path: Column | str) -> Column:
@@ -133,13 +153,14 @@ def urls_in(text: Column | str) -> Column:
 
 
 def call_sites(sources: DataFrame) -> DataFrame:
-    """HTTP call sites in texts (qualified_name, label, text): path, method, source and
-    whether they go through a queue. Functions need a client's or a queue's word;
+    """HTTP call sites in texts (qualified_name, label, text): the other columns, path,
+    method, source and whether they go through a queue. Functions need a client's or a queue's word;
     modules give their constants."""
     sync, queue = (any_of([F.contains("text", F.lit(w)) for w in words]) for words in (CLIENT_WORDS, ASYNC_WORDS))
     rows = sources.withColumns({"sync": sync, "queue": queue}).where((F.col("label") == "Module") | F.col("sync") | F.col("queue"))
     method = F.upper(F.regexp_extract("text", rf"(?i)(?:requests|httpx|axios|client|http)\.({_VERBS})\(|method\s*[:=]\s*[\"'](\w+)", 1))
-    return rows.select(F.explode(urls_in("text")).alias("path"), method.alias("method"), F.col("qualified_name").alias("source_qualified_name"), F.col("label").alias("source_label"), (F.col("queue") & ~F.col("sync")).alias("is_async"))
+    rest = [c for c in sources.columns if c not in ("qualified_name", "label", "text")]
+    return rows.select(*rest, F.explode(urls_in("text")).alias("path"), method.alias("method"), F.col("qualified_name").alias("source_qualified_name"), F.col("label").alias("source_label"), (F.col("queue") & ~F.col("sync")).alias("is_async"))
 
 
 def normal_path(path: Column | str) -> Column:

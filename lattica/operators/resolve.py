@@ -98,14 +98,33 @@ def resolve(refs: DataFrame, known: DataFrame, fuzzy: bool | str = True) -> Data
 
 def fuzzy_resolve(refs: DataFrame, known: DataFrame) -> DataFrame:
     """By the simple name alone: 0.40 for one candidate (or one within reach), 0.30 for
-    the nearest of several; half of it where none is within reach."""
+    the nearest of several; half of it where none is within reach.
+
+    A name may have very many definitions, so no reference meets them all. Of the
+    definitions of a name below each prefix their number and the least are kept; a module
+    looks up its own prefixes, of which the longest that is there has the nearest ones, and
+    an import looks up itself and the module's prefixes below it. Of imports that lie below
+    one another the uppermost counts.
+    """
     names = known.select("project", F.col("qualified_name").alias("qn"), "name").distinct()
-    sizes = names.groupBy("project", "name").agg(F.count(F.lit(1)).alias("n"))
-    r = refs.select("ref_id", "project", "module_qn", F.map_values("imports").alias("reach"), simple_name("callee").alias("name"))
-    rows = r.join(names.join(sizes, ["project", "name"]), ["project", "name"]).withColumn("seen", reachable(F.col("qn"), F.col("reach"))).withColumn("prefix", common_parts(F.col("qn"), F.col("module_qn")))
-    best = rows.groupBy("ref_id").agg(F.max("n").alias("candidates"), F.count_if("seen").alias("within"), F.min(F.struct((~F.col("seen")).alias("out"), (-F.col("prefix")).alias("far"), "qn")).alias("b"))
-    base = F.when((F.col("candidates") == 1) | (F.col("within") == 1), 0.40).otherwise(0.30)
-    return best.select("ref_id", F.col("b.qn").alias("target_qn"), F.lit("fuzzy").alias("strategy"), (base * F.when(F.col("within") == 0, 0.5).otherwise(1.0) * count_penalty(F.col("candidates"))).alias("confidence"), "candidates")
+    sizes = names.groupBy("project", "name").agg(F.count(F.lit(1)).alias("n"), F.min("qn").alias("least"))
+    r = refs.select("ref_id", "project", "module_qn", F.map_values("imports").alias("reach"), simple_name("callee").alias("name")).join(sizes, ["project", "name"])
+    heads = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, r"\."))), lambda i: F.array_join(F.slice(F.split(c, r"\."), 1, i), "."))
+    below = names.select("project", "name", "qn", F.explode(heads("qn")).alias("prefix")).groupBy("project", "name", "prefix").agg(F.count(F.lit(1)).alias("here"), F.min("qn").alias("qn"))
+    closest = lambda qn: F.min(F.struct((-common_parts(qn, F.col("module_qn"))).alias("far"), qn.alias("qn")))["qn"]
+    near = r.select("ref_id", "project", "name", "module_qn", F.explode(heads("module_qn")).alias("prefix")).join(below, ["project", "name", "prefix"]).groupBy("ref_id").agg(closest(F.col("qn")).alias("near"))
+    under = lambda a, b: a.startswith(F.concat(b, F.lit(".")))
+    top = F.filter(F.array_distinct("reach"), lambda m: ~F.exists("reach", lambda o: under(m, o)))
+    asked = r.where("reach is not null").select("ref_id", "project", "name", "module_qn", F.explode(top).alias("import"))
+    inside = asked.withColumn("prefix", F.explode(F.array_union(F.array("import"), F.filter(heads("module_qn"), lambda p: under(p, F.col("import")))))).join(below, ["project", "name", "prefix"])
+    inside = inside.select("ref_id", "module_qn", "qn", F.when(F.col("prefix") == F.col("import"), F.col("here")).otherwise(0).alias("here"))
+    above = asked.withColumn("qn", F.explode(heads("import"))).where("qn <> import").select("ref_id", "project", "name", "module_qn", "qn").distinct().join(names, ["project", "name", "qn"]).select("ref_id", "module_qn", "qn", F.lit(1).cast("long").alias("here"))
+    seen = inside.unionByName(above).groupBy("ref_id").agg(F.sum("here").alias("within"), closest(F.col("qn")).alias("reached"))
+    rows = r.join(seen, "ref_id", "left").join(near, "ref_id", "left")
+    within = F.when(F.col("reach").isNull(), F.col("n")).otherwise(F.coalesce("within", F.lit(0)))
+    rows = rows.withColumns({"within": within, "qn": F.coalesce("reached", "near", "least")})
+    base = F.when((F.col("n") == 1) | (F.col("within") == 1), 0.40).otherwise(0.30)
+    return rows.select("ref_id", F.col("qn").alias("target_qn"), F.lit("fuzzy").alias("strategy"), (base * F.when(F.col("within") == 0, 0.5).otherwise(1.0) * count_penalty(F.col("n"))).alias("confidence"), F.col("n").alias("candidates"))
 
 
 def without_typed(refs: DataFrame, typed: DataFrame) -> DataFrame:
@@ -127,11 +146,15 @@ def edges_of(resolved: DataFrame, graph: Graph, kind: str | Column, source: str
     return one.select(F.xxhash64("type", "source_id", "target_id").alias("id"), "project", "source_id", "target_id", "type", "properties")
 
 
-def with_stubs(graph: Graph, targets: DataFrame) -> Graph:
-    """With a node for each target (project, target_qn) that has none: a Method where
-    its name has two dots or more, else a Function."""
-    ids = graph.nodes.select("project", F.col("qualified_name").alias("target_qn"))
-    new = targets.select("project", "target_qn").distinct().join(ids, ["project", "target_qn"], "left_anti")
+def stub_rows(targets: DataFrame, names: DataFrame) -> DataFrame:
+    """Nodes for targets (project, target_qn) that `names` (project, qualified_name) lacks: a
+    Method where the name has two dots or more, else a Function."""
+    known = names.select("project", F.col("qualified_name").alias("target_qn"))
+    new = targets.select("project", "target_qn").distinct().join(known, ["project", "target_qn"], "left_anti")
     label = F.when(F.size(F.split("target_qn", r"\.")) >= 3, "Method").otherwise("Function")
-    rows = new.select(F.xxhash64("project", "target_qn").alias("id"), "project", label.alias("label"), simple_name("target_qn").alias("name"), F.col("target_qn").alias("qualified_name"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit('{"stub":true}').alias("properties"))
-    return Graph(graph.nodes.unionByName(rows), graph.edges)
+    return new.select(F.xxhash64("project", "target_qn").alias("id"), "project", label.alias("label"), simple_name("target_qn").alias("name"), F.col("target_qn").alias("qualified_name"), F.lit("").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit('{"stub":true}').alias("properties"))
+
+
+def with_stubs(graph: Graph, targets: DataFrame) -> Graph:
+    """With a node for each target (project, target_qn) that has none."""
+    return Graph(graph.nodes.unionByName(stub_rows(targets, graph.nodes)), graph.edges)

@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import architecture, derived, links, patterns, text
+    from . import architecture, derived, links, patterns, sources, text
 
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (patterns, architecture, derived, links, text):
+    for module in (patterns, architecture, derived, links, sources, text):
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql

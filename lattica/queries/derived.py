@@ -98,7 +98,7 @@ def _page_sites(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sites = links.select("path", F.lit("").alias("method"), F.concat(F.lit("page."), F.col("page_id").cast("string")).alias("source_qualified_name"), F.lit("Function").alias("source_label"), F.lit(False).alias("is_async"))
     path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
     routes = pages.select(path.alias("path"), F.lit("GET").alias("method"), F.concat(F.lit("route."), F.col("page_id").cast("string")).alias("qualified_name"))
-    own = pages.select(path.alias("path"), F.lit("GET").alias("method"), F.concat(F.lit("caller."), F.col("page_id").cast("string")).alias("source_qualified_name"), F.lit("Module").alias("source_label"), F.lit(False).alias("is_async")).where("page_id % 5 = 0")
+    own = pages.select(path.alias("path"), F.lit("GET").alias("method"), F.concat(F.lit("caller."), F.col("page_id").cast("string")).alias("source_qualified_name"), F.lit("Module").alias("source_label"), F.lit(False).alias("is_async"))
     return sites.unionByName(own), routes
 
 
@@ -188,7 +188,7 @@ _SCORE = """
 WITH sites AS (
   SELECT DISTINCT * FROM (
     SELECT unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS path, '' AS m, 'page.' || page_id AS src, 1.0::DOUBLE AS w FROM pages
-    UNION ALL SELECT regexp_extract(url, '://[^/?#]*([^?#]*)', 1), 'GET', 'caller.' || page_id, 0.85::DOUBLE FROM pages WHERE page_id % 5 = 0) WHERE path <> ''
+    UNION ALL SELECT regexp_extract(url, '://[^/?#]*([^?#]*)', 1), 'GET', 'caller.' || page_id, 0.85::DOUBLE FROM pages) WHERE path <> ''
 ), s AS (SELECT DISTINCT {call} AS c, m, src, w, path FROM sites),
 r AS (SELECT DISTINCT {route} AS t, 'route.' || page_id AS dst, path FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages) WHERE lower(regexp_replace(path, '/+$', '')) NOT IN ('/health', '/healthz', '/ready', '/readyz', '/metrics', '/favicon.ico')),
 x AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -11,9 +12,10 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.names import any_of, base_name
+from ..functions.names import base_name
+from ..storage import Cuts
 
 #: Folders and suffixes that are never looked at.
 IGNORED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "vendor", "__pycache__", ".venv", "venv", "dist", "build", "target", ".idea", ".vscode", ".tox", ".mypy_cache", ".pytest_cache", "coverage", ".next", ".cache")
@@ -22,48 +24,99 @@ IGNORED_SUFFIXES = (".min.js", ".min.css", ".map", ".lock", ".png", ".jpg", ".jp
 READ_BYTES = 32_000_000
 
 
-def ignored(rel: Column) -> Column:
-    parts = F.split(rel, "/")
-    return F.exists(parts, lambda p: p.isin(*IGNORED_FOLDERS)) | any_of([F.endswith(F.lower(rel), F.lit(s)) for s in IGNORED_SUFFIXES])
+#: Entries that a worker lists before it hands the folders left on to other workers.
+LISTED_ENTRIES = 20_000
+#: Bytes at a file's start in which a zero byte shows that it is no text.
+SNIFF_BYTES = 8192
+IGNORE_FILE = ".gitignore"
 
 
-def discover(spark: SparkSession, root: str, project: str, most_bytes: int | None = None) -> DataFrame:
-    """(project, rel_path, text, size, mtime_ns, sha256) of the text files below a
-    folder. Spark's own file scans skip empty files and names that begin with _ or .,
-    so the folders are listed by pyarrow: the driver holds one repository's paths.
-    Ignore rules come first, those of each .gitignore for its own folder, workers read the
-    rest; `most_bytes` leaves out larger files, by default none."""
-    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
-    system, base = fs.FileSystem.from_uri(uri.rstrip("/"))
-    listed = system.get_file_info(fs.FileSelector(base, recursive=True))
-    rows = [(f.path[len(base) + 1 :], f.size, f.mtime_ns or 0) for f in listed if f.type == fs.FileType.File and (most_bytes is None or f.size <= most_bytes)]
-    rules = {}
-    for path, _, _ in rows:
-        if path == ".gitignore" or path.endswith("/.gitignore"):
-            with system.open_input_stream(f"{base}/{path}", compression=None) as file:
-                rules[path.removesuffix(".gitignore")] = IgnoreRules(file.read().decode(errors="replace").split("\n"))
-    rows = [r for r in rows if not any(r[0].startswith(folder) and own.ignores(r[0][len(folder) :]) for folder, own in rules.items())]
-    paths = spark.createDataFrame(rows, "rel_path string, size long, mtime_ns long").where(~ignored(F.col("rel_path")))
+def _uri(root: str) -> str:
+    return (root if "://" in root else f"file://{os.path.abspath(root)}").rstrip("/")
+
+
+def list_files(spark: SparkSession, root: str, most_bytes: int | None = None, entries: int = LISTED_ENTRIES) -> DataFrame:
+    """(rel_path, size, mtime_ns) of the files below a folder, without what ignore rules
+    name. Workers list folders, and hand those left after `entries` entries on; each folder
+    carries the rules of the folders above it, so an ignored folder is never entered. The
+    driver holds counts only."""
+    uri = _uri(root)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(uri)
+        schema = pa.schema([("rel_path", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("rules", pa.string())])
+        for batch in batches:
+            open_ = [(r["rel_path"], json.loads(r["rules"])) for r in batch.to_pylist()]
+            out, seen = [], 0
+            while open_ and seen < entries:
+                folder, texts = open_.pop()
+                inside = f"{folder}/" if folder else ""
+                found = system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
+                seen += len(found)
+                if any(f.base_name == IGNORE_FILE for f in found):
+                    with system.open_input_stream(f"{base}/{inside}{IGNORE_FILE}", compression=None) as file:
+                        texts = [*texts, [inside, file.read().decode(errors="replace")]]
+                rules = [(at, IgnoreRules(text.split("\n"))) for at, text in texts]
+                for f in found:
+                    path, is_folder = inside + f.base_name, f.type == fs.FileType.Directory
+                    if f.base_name in IGNORED_FOLDERS if is_folder else f.base_name.lower().endswith(IGNORED_SUFFIXES):
+                        continue
+                    if any(own.hides(path[len(at) :], is_folder) for at, own in rules):
+                        continue
+                    if is_folder:
+                        open_.append((path, texts))
+                    elif most_bytes is None or f.size <= most_bytes:
+                        out.append({"rel_path": path, "size": f.size, "mtime_ns": f.mtime_ns or 0, "rules": None})
+            out += [{"rel_path": folder, "size": None, "mtime_ns": None, "rules": json.dumps(texts)} for folder, texts in open_]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    cuts, files = Cuts(spark, "discover"), None
+    folders = spark.createDataFrame([("", "[]")], "rel_path string, rules string")
+    while True:
+        listed = cuts.cut(folders.mapInArrow(walk, "rel_path string, size long, mtime_ns long, rules string"))
+        here = listed.where("rules is null").drop("rules")
+        files = here if files is None else files.unionByName(here)
+        folders = listed.where("rules is not null").select("rel_path", "rules")
+        left = folders.count()
+        if not left:
+            return files
+        folders = folders.repartition(min(left, 4 * spark.sparkContext.defaultParallelism))
+
+
+def read_texts(root: str, paths: DataFrame) -> DataFrame:
+    """(rel_path, text, size, mtime_ns, sha256) of files (rel_path, size, mtime_ns). What
+    isn't UTF-8 is read with replacement characters; files that hold zero bytes at their
+    start are no texts and are left out, as are files that are gone."""
+    uri = _uri(root)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(uri.rstrip("/"))
+        system, base = fs.FileSystem.from_uri(uri)
         schema = pa.schema([("rel_path", pa.string()), ("size", pa.int64()), ("mtime_ns", pa.int64()), ("text", pa.string()), ("sha256", pa.string())])
         for batch in batches:
             out, held = [], 0
             for row in batch.to_pylist():
-                with system.open_input_stream(f"{base}/{row['rel_path']}", compression=None) as file:
-                    data = file.read()
                 try:
-                    out.append({**row, "text": data.decode(), "sha256": hashlib.sha256(data).hexdigest()})
-                except UnicodeDecodeError:
-                    continue  # not a text
+                    with system.open_input_stream(f"{base}/{row['rel_path']}", compression=None) as file:
+                        data = file.read()
+                except FileNotFoundError:
+                    continue
+                if b"\0" in data[:SNIFF_BYTES]:
+                    continue
+                out.append({**row, "text": data.decode(errors="replace"), "sha256": hashlib.sha256(data).hexdigest()})
                 held += len(data)
                 if held >= READ_BYTES:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
                     out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    found = paths.mapInArrow(read, "rel_path string, size long, mtime_ns long, text string, sha256 string")
+    found = paths.select("rel_path", "size", "mtime_ns").mapInArrow(read, "rel_path string, size long, mtime_ns long, text string, sha256 string")
+    return found.select("rel_path", "text", "size", "mtime_ns", "sha256")
+
+
+def discover(spark: SparkSession, root: str, project: str, most_bytes: int | None = None) -> DataFrame:
+    """(project, rel_path, text, size, mtime_ns, sha256) of the text files below a folder;
+    `most_bytes` leaves out larger files, by default none."""
+    found = read_texts(root, list_files(spark, root, most_bytes))
     return found.select(F.lit(project).alias("project"), "rel_path", "text", "size", "mtime_ns", "sha256")
 
 
@@ -83,98 +136,149 @@ class IgnoreRules:
             body = "".join(wild.get(t, re.escape(t)) for t in re.findall(r"\*\*/|/\*\*$|\*\*|[*?]|[^*?]", rule))
             self.rules.append((re.compile(("" if rooted else "(?:.*/)?") + body), keep, folder))
 
+    def hides(self, path: str, is_folder: bool) -> bool:
+        """Whether a file's or a folder's own path is ignored, whatever it lies in."""
+        out = False
+        for pattern, keep, folder in self.rules:
+            if (is_folder or not folder) and pattern.fullmatch(path):
+                out = not keep
+        return out
+
     def ignores(self, path: str) -> bool:
         """Whether a file's path, or a folder that it lies in, is ignored."""
         parts = path.split("/")
-        for n in range(1, len(parts) + 1):
-            out = False
-            for pattern, keep, folder in self.rules:
-                if (not folder or n < len(parts)) and pattern.fullmatch("/".join(parts[:n])):
-                    out = not keep
-            if out:
-                return True
-        return False
+        return any(self.hides("/".join(parts[:n]), n < len(parts)) for n in range(1, len(parts) + 1))
+
+
+#: A fact of a file. What each kind holds is told in plans/facts.py.
+FACTS = "project string, rel_path string, kind string, name string, qualified_name string, label string, start_line int, end_line int, owner string, detail string, extra array<string>"
+
+
+def _name_of(node: ast.AST | None) -> str:
+    """The dotted name of a name or an attribute, however deep; of an attribute of anything
+    else () and what follows; empty for others."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    if isinstance(node, ast.Name):
+        return ".".join([node.id, *reversed(parts)])
+    return ".".join(["()", *reversed(parts)]) if parts else ""
 
 
-FACTS = "rel_path string, kind string, name string, qualified_name string, label string, start_line int, end_line int, owner string, detail string, extra array<string>"
+def _written(node: ast.AST) -> str:
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return ""
+
+
+def _parsed(text: str) -> ast.AST | None:
+    """An annotation in quotes, as an expression."""
+    try:
+        return ast.parse(text, mode="eval").body
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def _type_names(node: ast.AST | None) -> Iterator[tuple[str, int]]:
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        node = _parsed(node.value)
+    for part in ast.walk(node) if node is not None else ():
+        if _name_of(part):
+            yield _name_of(part), getattr(part, "lineno", 0)
+
+
+def _return_type(node: ast.AST | None) -> str:
+    """The one class that a return annotation names: X, "X", Optional[X] or X | None."""
+    while node is not None:
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            node = _parsed(node.value)
+        elif isinstance(node, ast.Subscript) and _name_of(node.value).split(".")[-1] == "Optional":
+            node = node.slice
+        elif isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
+            sides = [x for x in (node.left, node.right) if not (isinstance(x, ast.Constant) and x.value is None)]
+            node = sides[0] if len(sides) == 1 else None
+        else:
+            return _name_of(node)
+    return ""
 
 
 def _facts(rel_path: str, project: str, text: str) -> Iterator[tuple]:
-    """Facts of one Python file: definitions, calls, imports, raises, reads, writes of
-    what a function declares global or reaches by an attribute, environment reads, type
-    assignments and annotations. Variables are those of modules, fields those of classes."""
+    """Facts of one Python file: definitions with their bodies, calls, imports, raises,
+    reads, writes of what a function declares global or reaches by an attribute,
+    environment reads, assignments of calls, annotations and returned types. Variables are
+    those of modules, fields those of classes. The tree is walked by a list of open nodes,
+    so its depth has no bound."""
     module = re.sub(r"(^|/)(__init__)$", "", re.sub(r"\.[^./]*$", "", rel_path)).replace("/", ".").strip(".")
     module = f"{project}.{module}" if module else project
+    fact = lambda kind, name="", qn="", label="", line=0, end=0, owner="", detail="", extra=(): (project, rel_path, kind, name, qn, label, line, end, owner, detail, list(extra))
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as wrong:
+        yield fact("error", type(wrong).__name__, detail=str(wrong)[:200])
         return
-    name_of = lambda n: ast.unparse(n) if isinstance(n, (ast.Name, ast.Attribute)) else ""
-
-    def types(node: ast.AST | None, owner: str) -> Iterator[tuple]:
-        if isinstance(node, ast.Constant) and isinstance(node.value, str):
-            try:
-                node = ast.parse(node.value, mode="eval").body
-            except (SyntaxError, ValueError, RecursionError):
-                return
-        for part in ast.walk(node) if node is not None else ():
-            if name_of(part):
-                yield rel_path, "type", name_of(part), owner, "", getattr(part, "lineno", 0), 0, owner, module, []
-
-    def visit(node: ast.AST, owner: str, inside: str | None, shared: frozenset[str] = frozenset()) -> Iterator[tuple]:
-        for child in ast.iter_child_nodes(node):
-            line, end = getattr(child, "lineno", 0), getattr(child, "end_lineno", 0) or 0
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                qn = f"{owner}.{child.name}"
-                label = "Class" if isinstance(child, ast.ClassDef) else "Method" if inside == "class" else "Function"
-                yield rel_path, "definition", child.name, qn, label, line, end, owner if inside == "class" else "", ast.get_docstring(child) or "", [ast.unparse(d) for d in child.decorator_list]
-                if isinstance(child, ast.ClassDef):
-                    yield from ((rel_path, "base", name_of(b), qn, "", line, end, qn, module, []) for b in child.bases if name_of(b))
-                else:
-                    a = child.args
-                    for one in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg):
-                        yield from types(one.annotation if one else None, qn)
-                    yield from types(child.returns, qn)
-                own = frozenset(n for g in ast.walk(child) if isinstance(g, ast.Global) for n in g.names)
-                yield from visit(child, qn, "class" if isinstance(child, ast.ClassDef) else "function", own)
-                continue
-            if inside in (None, "class") and isinstance(child, (ast.Assign, ast.AnnAssign)):
+    lines = text.split("\n")
+    body = lambda qn, label, line, end, marks: fact("body", "python", qn, label, line, end, module, "\n".join(lines[line - 1 : max(line, end)]), marks)
+    open_: list[tuple[ast.AST, str, str | None, frozenset[str]]] = [(child, module, None, frozenset()) for child in ast.iter_child_nodes(tree)]
+    while open_:
+        node, owner, inside, shared = open_.pop()
+        line, end = getattr(node, "lineno", 0), getattr(node, "end_lineno", 0) or 0
+        below = (owner, inside, shared)
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            qn, is_class = f"{owner}.{node.name}", isinstance(node, ast.ClassDef)
+            label = "Class" if is_class else "Method" if inside == "class" else "Function"
+            marks = [_written(d) for d in node.decorator_list]
+            yield fact("definition", node.name, qn, label, line, end, owner if inside == "class" else "", ast.get_docstring(node) or "", marks)
+            if is_class:
+                yield from (fact("base", _name_of(b), line=line, end=end, owner=qn, detail=module) for b in node.bases if _name_of(b))
+            else:
+                yield body(qn, label, line, end, [f"@{m}" for m in marks])
+                a = node.args
+                for one in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg, node):
+                    annotation = (one.returns if one is node else one.annotation) if one else None
+                    yield from (fact("type", name, line=at, owner=qn, detail=module) for name, at in _type_names(annotation))
+                if returned := _return_type(node.returns):
+                    yield fact("returns", returned, qn, line=line, owner=qn, detail=module)
+            below = (qn, "class" if is_class else "function", frozenset(n for g in ast.walk(node) if isinstance(g, ast.Global) for n in g.names))
+        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+            if inside in (None, "class"):
                 label = "Field" if inside else "Variable"
-                for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
+                for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
                     if isinstance(t, ast.Name):
-                        yield rel_path, "definition", t.id, f"{owner}.{t.id}", label, line, end, owner if inside else "", "", []
-            if isinstance(child, ast.AnnAssign):
-                yield from types(child.annotation, owner)
-            if isinstance(child, ast.Import):
-                yield from ((rel_path, "import", a.asname or a.name.split(".")[0], f"{project}.{a.name}", "", line, end, module, module, []) for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                up = module.split(".")[: -child.level] if child.level else [project]
-                base = ".".join([*up, *([child.module] if child.module else [])])
-                yield from ((rel_path, "import", a.asname or a.name, f"{base}.{a.name}", "", line, end, module, module, []) for a in child.names)
-            elif isinstance(child, ast.Call) and name_of(child.func):
-                callee = name_of(child.func)
-                yield rel_path, "call", callee, owner, "", line, end, owner, module, []
-                if callee in ("os.getenv", "os.environ.get") and child.args and isinstance(child.args[0], ast.Constant):
-                    yield rel_path, "env", str(child.args[0].value), owner, "", line, end, owner, module, []
-            elif isinstance(child, ast.Raise) and child.exc is not None:
-                target = child.exc.func if isinstance(child.exc, ast.Call) else child.exc
-                if name_of(target):
-                    yield rel_path, "raise", name_of(target), owner, "", line, end, owner, module, []
-            elif isinstance(child, ast.Assign) and isinstance(child.value, ast.Call) and name_of(child.value.func):
-                yield from ((rel_path, "assign", t.id, name_of(child.value.func), "", line, end, owner, module, []) for t in child.targets if isinstance(t, ast.Name))
-            elif isinstance(child, ast.Name) and not isinstance(child.ctx, ast.Store):
-                yield rel_path, "read", child.id, owner, "", line, end, owner, module, []
-            elif isinstance(child, ast.Name) and child.id in shared:
-                yield rel_path, "write", child.id, owner, "", line, end, owner, module, []
-            elif isinstance(child, ast.Attribute) and isinstance(child.ctx, ast.Store) and name_of(child).split(".")[0] not in ("", "self", "cls"):
-                yield rel_path, "write", name_of(child), owner, "", line, end, owner, module, []
-            yield from visit(child, owner, inside, shared)
-
-    yield from visit(tree, module, None)
-
-
-def python_facts(files: DataFrame) -> DataFrame:
-    """Facts of Python files (project, rel_path, text), file by file in workers."""
+                        yield fact("definition", t.id, f"{owner}.{t.id}", label, line, end, owner if inside else "")
+                        if not inside:
+                            yield body(f"{owner}.{t.id}", label, line, end, ())
+            if isinstance(node, ast.AnnAssign):
+                yield from (fact("type", name, line=at, owner=owner, detail=module) for name, at in _type_names(node.annotation))
+            elif isinstance(node.value, ast.Call) and _name_of(node.value.func):
+                yield from (fact("assign", t.id, _name_of(node.value.func), line=line, end=end, owner=owner, detail=module) for t in node.targets if isinstance(t, ast.Name))
+        elif isinstance(node, ast.Import):
+            yield from (fact("import", a.asname or a.name.split(".")[0], f"{project}.{a.name}", line=line, end=end, owner=module, detail=module) for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            up = module.split(".")[: -node.level] if node.level else [project]
+            base = ".".join([*up, *([node.module] if node.module else [])])
+            yield from (fact("import", a.asname or a.name, f"{base}.{a.name}", line=line, end=end, owner=module, detail=module) for a in node.names)
+        elif isinstance(node, ast.Call) and _name_of(node.func):
+            callee = _name_of(node.func)
+            yield fact("call", callee, line=line, end=end, owner=owner, detail=module)
+            if callee in ("os.getenv", "os.environ.get") and node.args and isinstance(node.args[0], ast.Constant):
+                yield fact("env", str(node.args[0].value), line=line, end=end, owner=owner, detail=module)
+        elif isinstance(node, ast.Raise) and node.exc is not None:
+            if target := _name_of(node.exc.func if isinstance(node.exc, ast.Call) else node.exc):
+                yield fact("raise", target, line=line, end=end, owner=owner, detail=module)
+        elif isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Store):
+            yield fact("read", node.id, line=line, end=end, owner=owner, detail=module)
+        elif isinstance(node, ast.Name) and node.id in shared:
+            yield fact("write", node.id, line=line, end=end, owner=owner, detail=module)
+        elif isinstance(node, ast.Attribute) and isinstance(node.ctx, ast.Store) and _name_of(node).split(".")[0] not in ("", "()", "self", "cls"):
+            yield fact("write", _name_of(node), line=line, end=end, owner=owner, detail=module)
+        open_.extend((child, *below) for child in ast.iter_child_nodes(node))
+
+
+def python_facts(files: DataFrame, errors: bool = False) -> DataFrame:
+    """Facts of Python files (project, rel_path, text), file by file in workers. With
+    `errors` a file that can't be parsed gives a fact that says so."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in FACTS.split(", ")]
@@ -182,14 +286,13 @@ def python_facts(files: DataFrame) -> DataFrame:
             for project, path, text in zip(batch["project"], batch["rel_path"], batch["text"]):
                 yield pd.DataFrame(list(_facts(path, project, text or "")), columns=columns)
 
-    return files.where(F.endswith(base_name("rel_path"), F.lit(".py"))).select("project", "rel_path", "text").mapInPandas(run, FACTS)
+    found = files.where(F.endswith(base_name("rel_path"), F.lit(".py"))).select("project", "rel_path", "text").mapInPandas(run, FACTS)
+    return found if errors else found.where("kind <> 'error'")
 
 
 def json_urls(text: str, depth: int = 20, most: int | None = 20) -> list[tuple[str, str]]:
     """(key path, URL) of a JSON text, by keys that name addresses; bounded in
     depth, and in number unless `most` is None."""
-    import json
-
     try:
         tree = json.loads(text)
     except ValueError:
@@ -210,30 +313,3 @@ def json_urls(text: str, depth: int = 20, most: int | None = 20) -> list[tuple[s
 
     walk(tree, "", depth)
     return out
-
-
-def infra_facts(files: DataFrame) -> DataFrame:
-    """(project, rel_path, kind, key, value) of Dockerfiles, dotenv, shell and Terraform
-    files: base images, ports, variables, sources, blocks. Secrets are left out."""
-    from .text import is_secret, lines
-
-    rows = lines(files.select("project", "rel_path", "text"))
-    name, c = F.lower(base_name("rel_path")), F.col("content")
-    docker, env = name.rlike(r"^dockerfile|\.dockerfile$"), name.rlike(r"^\.env|\.env$")
-    shell, terraform = name.rlike(r"\.(sh|bash)$"), name.rlike(r"\.tf$")
-    kinds = [
-        (docker, "base_image", r"(?i)^\s*(FROM)\s+(?:--\S+\s+)?(\S+)"), (docker, "port", r"(?i)^\s*(EXPOSE)\s+(\d+)"), (docker, "variable", r"(?i)^\s*(?:ENV|ARG)\s+(\w+)[= ]\s*\"?([^\"\s]*)"),
-        (docker, "entry", r"(?i)^\s*(CMD|ENTRYPOINT)\s+(.+)$"), (env, "variable", r"^\s*(?:export\s+)?(\w+)\s*=\s*[\"']?([^\"'#\s]*)"), (shell, "variable", r"^\s*(?:export\s+)?([A-Za-z_]\w*)=[\"']?([^\"'\s]*)"),
-        (shell, "source", r"^\s*(source|\.)\s+(\S+)"), (shell, "docker", r"^\s*(docker(?:-compose)?)\s+(\w+)"), (terraform, "block", r"^\s*(resource|variable|output|provider|module|data)\s+\"([^\"]+)\""),
-    ]
-    found = F.array_compact(F.array(*(F.when(where & c.rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(c, p, 1).alias("key"), F.regexp_extract(c, p, 2).alias("value"))) for where, kind, p in kinds)))
-    out = rows.select("project", "rel_path", F.explode(found).alias("f")).select("project", "rel_path", "f.*")
-    return out.where(~((F.col("kind") == "variable") & is_secret("key", "value"))).distinct()
-
-
-def infra_nodes(facts: DataFrame) -> DataFrame:
-    """InfraFile nodes with their facts as properties; of several base images the last
-    stage's isn't told from the others by lines alone, so all are listed."""
-    grouped = facts.groupBy("project", "rel_path").agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, v))).alias(n) for k, v, n in (("base_image", F.col("value"), "base_images"), ("port", F.col("value"), "ports"), ("variable", F.col("key"), "variables"), ("block", F.concat_ws(".", "key", "value"), "blocks"))))
-    qn = F.concat("project", F.lit(".__infra__."), F.translate("rel_path", "/", "."))
-    return grouped.select(F.xxhash64("project", qn).alias("id"), "project", F.lit("InfraFile").alias("label"), base_name("rel_path").alias("name"), qn.alias("qualified_name"), F.col("rel_path").alias("file_path"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.to_json(F.struct("base_images", "ports", "variables", "blocks")).alias("properties"))

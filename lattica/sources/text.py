@@ -53,11 +53,12 @@ def git_names(status: DataFrame, *within: str) -> DataFrame:
 
 
 def env_bindings(files: DataFrame) -> DataFrame:
-    """(rel_path, key, value) of URLs that Dockerfiles, YAML, HCL, shell and dotenv files
+    """The columns of files but their text, key and value of URLs that Dockerfiles, YAML, HCL, shell and dotenv files
     set; names and values that look like secrets are left out."""
-    rows = lines(files.select("rel_path", "text"))
+    rest = [c for c in files.columns if c != "text"]
+    rows = lines(files)
     pattern = r"""^\s*(?:-\s+)?(?:export\s+|ENV\s+|ARG\s+|set\s+)?["']?([A-Za-z_][A-Za-z0-9_.\-]*)["']?\s*(?:=|:|\s)\s*["']?(https?://[^\s"'#,]+)"""
-    found = rows.select("rel_path", F.regexp_extract("content", pattern, 1).alias("key"), F.regexp_extract("content", pattern, 2).alias("value")).where("key <> ''")
+    found = rows.select(*rest, F.regexp_extract("content", pattern, 1).alias("key"), F.regexp_extract("content", pattern, 2).alias("value")).where("key <> ''")
     return found.where(~is_secret("key", "value")).distinct()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,9 @@ class Cuts:
         if self.count == 1:
             delete_at_exit(self.spark, self.root)
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+def cutter(spark: SparkSession, name: str) -> Callable[[str, DataFrame], DataFrame]:
+    """Writes a table, whatever it is called, and gives it back."""
+    cuts = Cuts(spark, name)
+    return lambda _, df: cuts.cut(df)
