@@ -221,6 +221,44 @@ def _fitting(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return met.withColumn("base", path_score(F.col("call"), F.col("route"))).where("base > 0")
 
 
+#: Rows of one path that meet rows of another as one group, about so many on either side.
+BLOCK = 512
+
+
+def _paired(s: DataFrame, r: DataFrame, fitting: DataFrame) -> DataFrame:
+    """Sites (call, ...) and routes (route, ...) of fitting (call, route, base) paths. A
+    path's rows are dealt into blocks by hash, and each two blocks meet as a group of
+    their own, so that a path that many have makes many tasks. Their number isn't left to
+    Spark, which would judge by the bytes that go in, not by the pairs that come out."""
+    sized = lambda rows, path, n: rows.groupBy(path).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(n))
+    calls, served = sized(s, "call", "_n"), sized(r, "route", "_m")
+    block = lambda rows, n: F.pmod(F.xxhash64(*rows.columns), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    blocks = fitting.join(calls, "call").join(served, "route").withColumn("_i", upto("_n")).withColumn("_j", upto("_m")).drop("_n", "_m")
+    left = s.join(calls, "call").withColumn("_i", block(s, "_n")).drop("_n").join(blocks, ["call", "_i"])
+    right = r.join(served, "route").withColumn("_j", block(r, "_m")).drop("_m").join(blocks.drop("base"), ["route", "_j"])
+    key, tasks = F.concat_ws(" ", "_i", "_j", F.length("call"), "call", "route"), int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows: rows.withColumn("_block", key).drop("_i", "_j").repartition(tasks, "_block")
+    return dealt(left).hint("merge").join(dealt(right).drop("call", "route"), "_block").drop("_block")
+
+
+def _sides(sites: DataFrame, routes: DataFrame, excluded: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Different sites and routes with their normalised paths and folders, and which paths fit."""
+    s = sites.withColumn("call", normal_path("path")).select(F.col("path").alias("url_path"), "call", F.upper("method").alias("call_method"), "source_qualified_name", "source_label", "is_async").where("call <> ''").distinct()
+    low = [p.rstrip("/") for p in excluded]
+    r = routes.withColumn("route", normal_path("path")).select(F.col("path").alias("route_path"), "route", F.upper("method").alias("route_method"), F.col("qualified_name").alias("route_qn")).where("route <> ''").where(~F.lower(F.regexp_replace("route_path", "/+$", "")).isin(*low)).distinct()
+    fitting = _fitting(s.select("call").distinct(), r.select("route").distinct())
+    return s.withColumn("_from", _folder(F.col("source_qualified_name"))), r.withColumn("_to", _folder(F.col("route_qn"))), fitting
+
+
+def _scored(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs of sites and routes of different services that are certain enough, with confidence."""
+    weight = F.when(F.col("source_label").isin("Function", "Method"), 1.0).otherwise(0.85)
+    bonus = F.when((F.coalesce("call_method", F.lit("")) == "") | (F.coalesce("route_method", F.lit("")) == ""), 0.0).when(F.col("call_method") == F.col("route_method"), 0.10).otherwise(-0.15)
+    scored = pairs.withColumn("confidence", F.least(F.lit(1.0), F.col("base") * weight + bonus))
+    return scored.where((F.col("confidence") >= least) & ~((F.col("_from") != "") & (F.col("_from") == F.col("_to"))))
+
+
 def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> DataFrame:
     """Call sites (path, method, source_qualified_name, source_label, is_async) joined to
     routes (path, method, qualified_name) of other services with confidence and band;
@@ -228,23 +266,22 @@ def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, exclu
 
     Paths are scored once for each two different ones, whoever calls or serves them.
     """
-    s = sites.withColumn("call", normal_path("path")).select(F.col("path").alias("url_path"), "call", F.upper("method").alias("call_method"), "source_qualified_name", "source_label", "is_async").distinct()
-    low = [p.rstrip("/") for p in excluded]
-    r = routes.withColumn("route", normal_path("path")).select(F.col("path").alias("route_path"), "route", F.upper("method").alias("route_method"), F.col("qualified_name").alias("route_qn")).where("route <> ''").where(~F.lower(F.regexp_replace("route_path", "/+$", "")).isin(*low)).distinct()
-    fitting = _fitting(s.select("call").where("call <> ''").distinct(), r.select("route").distinct())
-    scored = s.join(fitting, "call").join(r, "route")
-    weight = F.when(F.col("source_label").isin("Function", "Method"), 1.0).otherwise(0.85)
-    bonus = F.when((F.coalesce("call_method", F.lit("")) == "") | (F.coalesce("route_method", F.lit("")) == ""), 0.0).when(F.col("call_method") == F.col("route_method"), 0.10).otherwise(-0.15)
-    scored = scored.withColumn("confidence", F.least(F.lit(1.0), F.col("base") * weight + bonus))
-    out = scored.where((F.col("confidence") >= least) & ~same_service(F.col("source_qualified_name"), F.col("route_qn")))
-    return out.select("source_qualified_name", "route_qn", "url_path", "route_path", F.col("call_method").alias("method"), "confidence", confidence_band(F.col("confidence")).alias("band"), F.when(F.col("is_async"), "ASYNC_CALLS").otherwise("HTTP_CALLS").alias("type"))
+    out = _scored(_paired(*_sides(sites, routes, excluded)), least)
+    return out.select("source_qualified_name", "route_qn", "url_path", "route_path", F.col("call_method").alias("method"), "confidence", confidence_band(F.col("confidence")).alias("band"), _type().alias("type"))
+
+
+def _folder(qualified_name: Column) -> Column:
+    return F.regexp_extract(qualified_name, r"^(.+)\.[^.]*\.[^.]*$", 1)
+
+
+def _type() -> Column:
+    return F.when(F.col("is_async"), "ASYNC_CALLS").otherwise("HTTP_CALLS")
 
 
 def same_service(a: Column, b: Column) -> Column:
     """Whether two qualified names lie in one folder: what stands before their last two
     parts, module and name, is the same, and there is something."""
-    folder = lambda q: F.regexp_extract(q, r"^(.+)\.[^.]*\.[^.]*$", 1)
-    return (folder(a) != "") & (folder(a) == folder(b))
+    return (_folder(a) != "") & (_folder(a) == _folder(b))
 
 
 def protocol(text: Column | str) -> Column:
