@@ -290,10 +290,22 @@ def protocol(text: Column | str) -> Column:
     return F.when(shown(SOCKET_WORDS), "ws").when(shown(EVENT_WORDS), "sse").otherwise("")
 
 
-def link_edges(matches: DataFrame, graph: Graph) -> DataFrame:
-    """HTTP_CALLS and ASYNC_CALLS edges; of several matches of a pair the most certain."""
+def link_edges(sites: DataFrame, routes: DataFrame, graph: Graph, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> DataFrame:
+    """HTTP_CALLS and ASYNC_CALLS edges of what `match` finds; of several matches of a pair
+    the most certain.
+
+    Ids are looked up before pairs are made. Of a source with one site and a name with one
+    route there is but one match, so that only pairs of the others are shuffled.
+    """
     ids = graph.nodes.select("project", "qualified_name", "id")
-    src = ids.select("project", F.col("qualified_name").alias("source_qualified_name"), F.col("id").alias("source_id"))
-    dst = ids.select(F.col("qualified_name").alias("route_qn"), F.col("id").alias("target_id"))
-    best = matches.groupBy("source_qualified_name", "route_qn", "type").agg(F.max_by(F.struct("url_path", "method", F.round("confidence", 4).alias("confidence"), F.col("band").alias("confidence_band")), F.struct("confidence", "url_path")).alias("p"))
-    return best.join(src, "source_qualified_name").join(dst, "route_qn").select(F.xxhash64("type", "source_id", "target_id").alias("id"), "project", "source_id", "target_id", "type", F.to_json("p").alias("properties"))
+    s, r, fitting = _sides(sites, routes, excluded)
+    s = s.join(ids.select("project", F.col("qualified_name").alias("source_qualified_name"), F.col("id").alias("source_id")), "source_qualified_name").drop("source_qualified_name")
+    r = r.join(ids.select(F.col("qualified_name").alias("route_qn"), F.col("id").alias("target_id")), "route_qn").drop("route_qn", "route_path")
+    parted = lambda rows, key: [rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_k")), key).where(w).drop("_k") for w in ("_k = 1", "_k > 1")]
+    (s_one, s_more), (r_one, r_more) = parted(s, "source_id"), parted(r, "target_id")
+    key = ["project", "source_id", "target_id", "type"]
+    found = lambda a, b: _scored(_paired(a, b, fitting), least).withColumn("type", _type())
+    props = F.struct("url_path", F.col("call_method").alias("method"), F.round("confidence", 4).alias("confidence"), confidence_band(F.col("confidence")).alias("confidence_band"))
+    several = found(s_more, r).unionByName(found(s_one, r_more)).groupBy(*key).agg(F.max_by(props, F.struct("confidence", "url_path")).alias("p"))
+    rows = found(s_one, r_one).select(*key, props.alias("p")).unionByName(several)
+    return rows.select(F.xxhash64("type", "source_id", "target_id").alias("id"), "project", "source_id", "target_id", "type", F.to_json("p").alias("properties"))

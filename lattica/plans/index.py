@@ -237,7 +237,7 @@ def derive_graph(facts: Facts, refs: DataFrame, maps: DataFrame, known: DataFram
     edges = _linked(reduce(DataFrame.unionByName, rows), nodes)
     if routes is not None and n["site"]:
         sites = facts.of("site").select(F.col("detail").alias("path"), F.col("name").alias("method"), F.col("owner").alias("source_qualified_name"), F.col("label").alias("source_label"), (F.size("extra") > 0).alias("is_async"))
-        edges = edges.unionByName(http.link_edges(http.match(sites, routes), Graph(nodes, edges)))
+        edges = edges.unionByName(http.link_edges(sites, routes, Graph(nodes, edges)))
     edges = cut("edges", edges.select(*EDGE_SCHEMA.names))
     graph, late = Graph(nodes, edges), []
     if n["interface"]:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lattica.model import EDGE_SCHEMA, Graph
 from lattica.operators import http
 
 
@@ -16,3 +17,25 @@ def test_pairs_of_one_path_are_spread(spark):
     """Two thousand sites and routes of one path: all pairs, and no task makes most of them."""
     found = http.match(*_one_path(spark, 2000)).groupBy(F.spark_partition_id()).agg(F.count("route_qn").alias("n")).collect()
     assert sum(r["n"] for r in found) == 4_000_000 and max(r["n"] for r in found) <= 3_000_000
+
+
+def _named(spark, names):
+    return Graph(spark.createDataFrame([(i, "p", q) for i, q in enumerate(names)], "id long, project string, qualified_name string"), spark.createDataFrame([], EDGE_SCHEMA))
+
+
+def test_edges_of_one_path_are_spread(spark):
+    """The most certain match of each pair, and no task that makes most of them."""
+    sites, routes = _one_path(spark, 300)
+    more = spark.createDataFrame([("/x/api/o0", "GET", "s1", "Function", False), ("/api/o0/", "POST", "s2", "Function", False), ("/api/o0", "", "s3", "Function", True)], sites.schema)
+    more_routes = spark.createDataFrame([("/api/o0", "POST", "r1"), ("/x/api/o0", "GET", "r2")], routes.schema)
+    names = [f"{k}{i}" for k in "sr" for i in range(300)]
+    edges = http.link_edges(sites.union(more), routes.union(more_routes), _named(spark, names))
+    best = {}
+    for x in http.match(sites.union(more), routes.union(more_routes)).collect():
+        k = (x["source_qualified_name"], x["route_qn"], x["type"])
+        best[k] = max(best.get(k, (0, "")), (round(x["confidence"], 4), x["url_path"]))
+    p = lambda n: F.get_json_object("properties", f"$.{n}")
+    got = edges.select("source_id", "target_id", "type", p("confidence").cast("double").alias("c"), p("url_path").alias("u")).collect()
+    assert {(names[x["source_id"]], names[x["target_id"]], x["type"]): (x["c"], x["u"]) for x in got} == best and len(got) == len(best)
+    found = http.link_edges(*_one_path(spark, 2000), _named(spark, [f"{k}{i}" for k in "sr" for i in range(2000)])).groupBy(F.spark_partition_id()).agg(F.count("target_id").alias("n")).collect()
+    assert sum(r["n"] for r in found) == 4_000_000 and max(r["n"] for r in found) <= 3_000_000
