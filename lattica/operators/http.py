@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import any_of, confidence_band
 from ..model import Graph
+from .joins import in_blocks
 
 #: Words that show an HTTP client, a queue, and a protocol of a handler.
 CLIENT_WORDS = (
@@ -221,27 +222,6 @@ def _fitting(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return met.withColumn("base", path_score(F.col("call"), F.col("route"))).where("base > 0")
 
 
-#: Rows of one path that meet rows of another as one group, about so many on either side.
-BLOCK = 512
-
-
-def _paired(s: DataFrame, r: DataFrame, fitting: DataFrame) -> DataFrame:
-    """Sites (call, ...) and routes (route, ...) of fitting (call, route, base) paths. A
-    path's rows are dealt into blocks by hash, and each two blocks meet as a group of
-    their own, so that a path that many have makes many tasks. Their number isn't left to
-    Spark, which would judge by the bytes that go in, not by the pairs that come out."""
-    sized = lambda rows, path, n: rows.groupBy(path).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(n))
-    calls, served = sized(s, "call", "_n"), sized(r, "route", "_m")
-    block = lambda rows, n: F.pmod(F.xxhash64(*rows.columns), F.col(n))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    blocks = fitting.join(calls, "call").join(served, "route").withColumn("_i", upto("_n")).withColumn("_j", upto("_m")).drop("_n", "_m")
-    left = s.join(calls, "call").withColumn("_i", block(s, "_n")).drop("_n").join(blocks, ["call", "_i"])
-    right = r.join(served, "route").withColumn("_j", block(r, "_m")).drop("_m").join(blocks.drop("base"), ["route", "_j"])
-    key, tasks = F.concat_ws(" ", "_i", "_j", F.length("call"), "call", "route"), int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda rows: rows.withColumn("_block", key).drop("_i", "_j").repartition(tasks, "_block")
-    return dealt(left).hint("merge").join(dealt(right).drop("call", "route"), "_block").drop("_block")
-
-
 def _sides(sites: DataFrame, routes: DataFrame, excluded: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Different sites and routes with their normalised paths and folders, and which paths fit."""
     s = sites.withColumn("call", normal_path("path")).select(F.col("path").alias("url_path"), "call", F.upper("method").alias("call_method"), "source_qualified_name", "source_label", "is_async").where("call <> ''").distinct()
@@ -266,7 +246,7 @@ def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, exclu
 
     Paths are scored once for each two different ones, whoever calls or serves them.
     """
-    out = _scored(_paired(*_sides(sites, routes, excluded)), least)
+    out = _scored(in_blocks(*_sides(sites, routes, excluded), "call", "route"), least)
     return out.select("source_qualified_name", "route_qn", "url_path", "route_path", F.col("call_method").alias("method"), "confidence", confidence_band(F.col("confidence")).alias("band"), _type().alias("type"))
 
 
@@ -304,7 +284,7 @@ def link_edges(sites: DataFrame, routes: DataFrame, graph: Graph, least: float =
     parted = lambda rows, key: [rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_k")), key).where(w).drop("_k") for w in ("_k = 1", "_k > 1")]
     (s_one, s_more), (r_one, r_more) = parted(s, "source_id"), parted(r, "target_id")
     key = ["project", "source_id", "target_id", "type"]
-    found = lambda a, b: _scored(_paired(a, b, fitting), least).withColumn("type", _type())
+    found = lambda a, b: _scored(in_blocks(a, b, fitting, "call", "route"), least).withColumn("type", _type())
     props = F.struct("url_path", F.col("call_method").alias("method"), F.round("confidence", 4).alias("confidence"), confidence_band(F.col("confidence")).alias("confidence_band"))
     several = found(s_more, r).unionByName(found(s_one, r_more)).groupBy(*key).agg(F.max_by(props, F.struct("confidence", "url_path")).alias("p"))
     rows = found(s_one, r_one).select(*key, props.alias("p")).unionByName(several)

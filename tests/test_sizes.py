@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lattica.model import EDGE_SCHEMA, Graph
-from lattica.operators import http
+from lattica.operators import http, joins
 
 
 def _one_path(spark, n):
@@ -39,3 +39,10 @@ def test_edges_of_one_path_are_spread(spark):
     assert {(names[x["source_id"]], names[x["target_id"]], x["type"]): (x["c"], x["u"]) for x in got} == best and len(got) == len(best)
     found = http.link_edges(*_one_path(spark, 2000), _named(spark, [f"{k}{i}" for k in "sr" for i in range(2000)])).groupBy(F.spark_partition_id()).agg(F.count("target_id").alias("n")).collect()
     assert sum(r["n"] for r in found) == 4_000_000 and max(r["n"] for r in found) <= 3_000_000
+
+
+def test_keys_of_one_name_are_spread(spark):
+    """Two thousand keys and symbols of one name: all pairs, and no task makes most of them."""
+    rows = spark.range(2000).select("id", F.concat(F.lit("base"), F.translate((F.col("id") * 0).cast("string"), "0", "_"), F.lit("limit")).alias("name"))
+    found = joins.config_key_symbols(rows, rows).groupBy(F.spark_partition_id()).agg(F.count("code_id").alias("n"), F.count_if(F.col("confidence") == 0.85).alias("k")).collect()
+    assert sum(r["n"] for r in found) == sum(r["k"] for r in found) == 4_000_000 and max(r["n"] for r in found) <= 3_000_000
