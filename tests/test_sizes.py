@@ -46,3 +46,15 @@ def test_keys_of_one_name_are_spread(spark):
     rows = spark.range(2000).select("id", F.concat(F.lit("base"), F.translate((F.col("id") * 0).cast("string"), "0", "_"), F.lit("limit")).alias("name"))
     found = joins.config_key_symbols(rows, rows).groupBy(F.spark_partition_id()).agg(F.count("code_id").alias("n"), F.count_if(F.col("confidence") == 0.85).alias("k")).collect()
     assert sum(r["n"] for r in found) == sum(r["k"] for r in found) == 4_000_000 and max(r["n"] for r in found) <= 3_000_000
+
+
+def test_nodes_of_few_hunks_are_not_shuffled(spark, make_graph, monkeypatch):
+    """Few hunks go to the nodes; with many, the result is the same."""
+    g, _ = make_graph([(f"n{i}", "Function", "f", f"t.f{i}", "src/main.js", i, i, "{}") for i in range(50)], [])
+    hunks = spark.createDataFrame([("main.js", 3, 5), ("src/main.js", 40, 90)], "path string, start_line int, end_line int")
+    few = joins.overlapping(g.nodes, hunks)
+    monkeypatch.setattr(joins, "SENT_HUNKS", 1)
+    many = joins.overlapping(g.nodes, hunks)
+    assert sorted(r["start_line"] for r in few.collect()) == sorted(r["start_line"] for r in many.collect()) == [3, 4, 5, *range(40, 50)]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
