@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lattica.model import EDGE_SCHEMA, Graph
-from lattica.operators import http, joins
+from lattica.operators import http, joins, search
 
 
 def _one_path(spark, n):
@@ -58,3 +58,13 @@ def test_nodes_of_few_hunks_are_not_shuffled(spark, make_graph, monkeypatch):
     assert sorted(r["start_line"] for r in few.collect()) == sorted(r["start_line"] for r in many.collect()) == [3, 4, 5, *range(40, 50)]
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_degrees_of_one_label_read_its_edges_only(spark, make_graph):
+    """Edges of other labels aren't counted; loops and nodes without edges are right."""
+    g, ids = make_graph([(k, label, k, k, "a.py", 1, 1, "{}") for k, label in (("a", "A"), ("b", "A"), ("c", "A"), ("x", "B"), ("y", "B"))], [("a", "b", "E", "{}"), ("b", "b", "E", "{}"), ("b", "x", "E", "{}"), ("x", "y", "E", "{}"), ("y", "x", "F", "{}")])
+    found = lambda **k: {r["name"]: (r["in_degree"], r["out_degree"]) for r in search.search(g, **k).collect()}
+    assert found(label="A") == {"a": (0, 1), "b": (2, 2), "c": (0, 0)} and found(label="none") == {}
+    assert found(label="B", relationship="E") == {"x": (1, 1), "y": (1, 0)}
+    counted = search.search(g, label="A").where("in_degree + out_degree > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert f"<= {ids['c']}" in counted
