@@ -68,3 +68,13 @@ def test_degrees_of_one_label_read_its_edges_only(spark, make_graph):
     assert found(label="B", relationship="E") == {"x": (1, 1), "y": (1, 0)}
     counted = search.search(g, label="A").where("in_degree + out_degree > 0")._jdf.queryExecution().optimizedPlan().toString()
     assert f"<= {ids['c']}" in counted
+
+
+def test_summary_sends_no_members(spark, make_graph):
+    """Members are joined by a shuffle, however small their files are."""
+    from lattica.operators import community
+
+    g, ids = make_graph([(k, "Function", k, f"p.{k}", "a.py", 1, 1, "{}") for k in "ab"], [("a", "b", "CALLS", "{}")])
+    members = spark.sql(f"SELECT 'test' AS project, id, {ids['a']}L AS community FROM VALUES ({ids['a']}L), ({ids['b']}L) t(id)")
+    rows = community.cluster_summary(g, members)
+    assert [(r["members"], r["cohesion"], r["top"]) for r in rows.collect()] == [(2, 1.0, ["b", "a"])]
