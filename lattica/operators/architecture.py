@@ -15,6 +15,20 @@ def _flag(name: str) -> Column:
     return F.coalesce(json_property(F.col("properties"), name), F.lit("false")) == "true"
 
 
+#: Joins of edges with so many nodes at most are left to Spark.
+FEW_NODES = 500_000
+
+
+def _with_ends(nodes: DataFrame, edges: DataFrame, value: Column, name: str) -> DataFrame:
+    """(source_id, target_id, type, source_<name>, target_<name>): edges with a value of the
+    nodes at both ends. Where nodes are many, a task holds its share of them in a hash table
+    and passes its edges by: those, several times as many, are neither sorted nor held."""
+    many = nodes.count() > FEW_NODES
+    ends = (nodes.select(F.col("id").alias(f"{side}_id"), value.alias(f"{side}_{name}")) for side in ("source", "target"))
+    src, dst = (rows.hint("shuffle_hash") if many else rows for rows in ends)
+    return edges.select("source_id", "target_id", "type").join(src, "source_id").join(dst, "target_id")
+
+
 def label_counts(graph: Graph) -> DataFrame:
     return graph.nodes.groupBy("label").count().orderBy(F.desc("count"), "label")
 
@@ -25,9 +39,7 @@ def type_counts(graph: Graph) -> DataFrame:
 
 def patterns(graph: Graph, limit: int | None = 25) -> DataFrame:
     """(source_label, type, target_label, count, pattern), most frequent first."""
-    src = graph.nodes.select(F.col("id").alias("source_id"), F.col("label").alias("source_label"))
-    dst = graph.nodes.select(F.col("id").alias("target_id"), F.col("label").alias("target_label"))
-    rows = graph.edges.select("source_id", "target_id", "type").join(src, "source_id").join(dst, "target_id").groupBy("source_label", "type", "target_label").count()
+    rows = _with_ends(graph.nodes, graph.edges, F.col("label"), "label").groupBy("source_label", "type", "target_label").count()
     rows = rows.withColumn("pattern", F.format_string("(:%s)-[:%s]->(:%s) [%dx]", "source_label", "type", "target_label", "count")).orderBy(F.desc("count"), "source_label", "type", "target_label")
     return rows.limit(limit) if limit else rows
 
@@ -60,9 +72,8 @@ def hotspots(graph: Graph, limit: int = 10, types: tuple[str, ...] = CALLS, labe
 
 
 def _rolled(graph: Graph, types: tuple[str, ...], package) -> DataFrame:
-    src = graph.nodes.select(F.col("id").alias("source_id"), package("qualified_name").alias("from_package"))
-    dst = graph.nodes.select(F.col("id").alias("target_id"), package("qualified_name").alias("to_package"))
-    return graph.typed(*types).select("source_id", "target_id", "type").join(src, "source_id").join(dst, "target_id").where("from_package <> '' and to_package <> ''")
+    rows = _with_ends(graph.nodes, graph.typed(*types), package("qualified_name"), "package").withColumnsRenamed({"source_package": "from_package", "target_package": "to_package"})
+    return rows.where("from_package <> '' and to_package <> ''")
 
 
 def boundaries(graph: Graph, limit: int | None = 10, types: tuple[str, ...] = CALLS) -> DataFrame:

@@ -6,6 +6,7 @@ leaves only the branches that it needs, and only their columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -53,6 +54,22 @@ def _edge(rows: DataFrame, kind: str, source: tuple[str, str], target: tuple[str
     )
 
 
+#: Rows of a task, about, where a large table is dealt out before it is grouped.
+DEALT_ROWS = 250_000
+
+
+def _dealer(rows: DataFrame) -> Callable[..., DataFrame]:
+    """Gives rows to be grouped by keys that hardly any two of them share. A table of more
+    than DEALT_ROWS a core is dealt out first, over all shuffle partitions at most: an
+    aggregate in the scan would hold nearly all rows of its split and make them no fewer, and
+    Spark would then put partitions together until few are left, however many groups each holds."""
+    spark, n = rows.sparkSession, rows.count()
+    if n <= DEALT_ROWS * spark.sparkContext.defaultParallelism:
+        return lambda *keys: rows
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // DEALT_ROWS))
+    return lambda *keys: rows.repartition(tasks, *keys)
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers, parts, orders, users and events."""
     t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
@@ -66,7 +83,8 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _node(t["events"].select("user_id").distinct(), "User", "user_id", F.col("user_id")),
         _node(t["events"].withColumn("k", F.get_json_object("props", "$.k").cast("long")), "Event", "event_id", F.col("event_type"), k="k", value="value"),
     ]
-    contains = t["lineitem"].groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("quantity"))
+    items = _dealer(t["lineitem"])
+    contains = items("l_orderkey", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("quantity"))
     chain = t["events"].select("event_id", F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("next_id")).where("next_id is not null")
     edges = [
         _edge(t["nation"], "IN_REGION", ("Nation", "n_nationkey"), ("Region", "n_regionkey")),
@@ -74,7 +92,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _edge(t["supplier"], "IN_NATION", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey")),
         _edge(t["orders"], "PLACED", ("Customer", "o_custkey"), ("Order", "o_orderkey")),
         _edge(contains, "CONTAINS", ("Order", "l_orderkey"), ("Part", "l_partkey"), F.to_json(F.struct("quantity"))),
-        _edge(t["lineitem"].select("l_partkey", "l_suppkey").distinct(), "SUPPLIED_BY", ("Part", "l_partkey"), ("Supplier", "l_suppkey")),
+        _edge(items("l_partkey", "l_suppkey").select("l_partkey", "l_suppkey").distinct(), "SUPPLIED_BY", ("Part", "l_partkey"), ("Supplier", "l_suppkey")),
         _edge(chain, "NEXT", ("Event", "event_id"), ("Event", "next_id")),
     ]
     return Graph(reduce(DataFrame.unionByName, nodes).select(*NODE_SCHEMA.names), reduce(DataFrame.unionByName, edges).select(*EDGE_SCHEMA.names), closed=True)

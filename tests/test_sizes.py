@@ -78,3 +78,41 @@ def test_summary_sends_no_members(spark, make_graph):
     members = spark.sql(f"SELECT 'test' AS project, id, {ids['a']}L AS community FROM VALUES ({ids['a']}L), ({ids['b']}L) t(id)")
     rows = community.cluster_summary(g, members)
     assert [(r["members"], r["cohesion"], r["top"]) for r in rows.collect()] == [(2, 1.0, ["b", "a"])]
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_edges_are_not_sorted_to_meet_their_ends(spark, make_graph, monkeypatch):
+    """With many nodes each task holds nodes alone; the result is that of few nodes. An end
+    that is no node doesn't count, a node that is there twice counts twice."""
+    from lattica.operators import architecture
+
+    g, ids = make_graph([(k, label, k, f"t.{k}.f", "a.py", 1, 1, "{}") for k, label in (("a", "A"), ("b", "A"), ("x", "B"))], [("a", "b", "E", "{}"), ("b", "b", "E", "{}"), ("b", "x", "F", "{}"), ("a", "x", "F", "{}")])
+    lost = g.edges.limit(1).withColumn("target_id", F.lit(99).cast("long"))
+    g = Graph(g.nodes.union(g.nodes.where("name = 'x'")), g.edges.union(lost))
+    few = architecture.patterns(g).collect(), sorted(architecture.boundaries(g, None, ("E", "F")).collect())
+    monkeypatch.setattr(architecture, "FEW_NODES", 1)
+    many, crossed = architecture.patterns(g), architecture.boundaries(g, None, ("E", "F"))
+    assert (many.collect(), sorted(crossed.collect())) == few
+    assert [r["pattern"] for r in few[0]] == ["(:A)-[:F]->(:B) [4x]", "(:A)-[:E]->(:A) [2x]"]
+    for rows in (many, crossed):
+        assert "ShuffledHashJoin" in _plan(rows) and "SortMergeJoin" not in _plan(rows)
+
+
+def test_large_tables_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """Edges of a large lineitem: all partitions stay, and the result is that of a small one."""
+    from lattica.sources import star
+
+    kinds = "type in ('CONTAINS', 'SUPPLIED_BY')"
+    rows = lambda: star.star_graph(spark, "/root/testdata/sf0.001").edges.where(kinds)
+    small = rows()
+    monkeypatch.setattr(star, "DEALT_ROWS", 100)
+    large = rows()
+    assert sorted(small.collect()) == sorted(large.collect())
+    plan = _plan(large)
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert large.groupBy("type", F.spark_partition_id()).count().count() == 2 * tasks
