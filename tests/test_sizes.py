@@ -6,6 +6,21 @@ from lattica.model import EDGE_SCHEMA, Graph
 from lattica.operators import http, joins, search
 
 
+def _shuffled(spark, df):
+    """Rows that df writes to shuffles as it runs."""
+    told = lambda: {x.stageId(): x.shuffleWriteRecords() for x in _stages(spark)}
+    before = told()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in told().items() if k not in before)
+
+
+def _stages(spark):
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
 def _one_path(spark, n):
     """Sites and routes that all have one path."""
     ids = spark.range(n).select(F.col("id").cast("string").alias("k"), F.concat(F.lit("/api/o"), (F.col("id") * 0).cast("string")).alias("path"))
@@ -48,6 +63,25 @@ def test_keys_of_one_name_are_spread(spark):
     assert sum(r["n"] for r in found) == sum(r["k"] for r in found) == 4_000_000 and max(r["n"] for r in found) <= 3_000_000
 
 
+def test_keys_of_one_name_travel_as_lists(spark):
+    """Six thousand keys of one name: rows are dealt once, not once for each block they meet."""
+    rows = spark.range(6000).select("id", F.concat(F.lit("base"), F.translate((F.col("id") * 0).cast("string"), "0", "_"), F.lit("limit")).alias("name"))
+    found = joins.config_key_symbols(rows, rows)
+    assert found.count() == 36_000_000 and _shuffled(spark, found) <= 40_000
+
+
+def test_different_names_are_normalised_once(spark):
+    """No step that meets every row has a regular expression in it."""
+    rows = spark.sql("SELECT id, concat('base_', id % 2, 'limit') AS name FROM range(100) WHERE id < 50")
+    plan = joins.config_key_symbols(rows, rows)._jdf.queryExecution().optimizedPlan().toString()
+    over = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "regexp_replace" in line:
+            under = next(x for x in lines[i + 1 :] if over(x) > over(line) and not x.lstrip(" :+-").startswith(("Filter", "Project")))
+            assert under.lstrip(" :+-").startswith("Aggregate")
+
+
 def test_nodes_of_few_hunks_are_not_shuffled(spark, make_graph, monkeypatch):
     """Few hunks go to the nodes; with many, the result is the same."""
     g, _ = make_graph([(f"n{i}", "Function", "f", f"t.f{i}", "src/main.js", i, i, "{}") for i in range(50)], [])
