@@ -222,42 +222,48 @@ def _fitting(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return met.withColumn("base", path_score(F.col("call"), F.col("route"))).where("base > 0")
 
 
-def _sides(sites: DataFrame, routes: DataFrame, excluded: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Different sites and routes with their normalised paths and folders, and which paths fit."""
+def _sides(sites: DataFrame, routes: DataFrame, excluded: tuple[str, ...], least: float, digits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Different sites and routes with their folders and classes (_call, _route), and which
+    classes match: confidence, as shown (rounded to so many digits) and band. A class is all
+    that a score depends on, so that it is reckoned once for two classes, not for each pair."""
+    weight = F.when(F.col("source_label").isin("Function", "Method"), 1.0).otherwise(0.85)
+    verb, kind = (lambda c: F.coalesce(c, F.lit(""))), (lambda *c: F.concat_ws(" ", F.length("_verb"), "_verb", *c))
     s = sites.withColumn("call", normal_path("path")).select(F.col("path").alias("url_path"), "call", F.upper("method").alias("call_method"), "source_qualified_name", "source_label", "is_async").where("call <> ''").distinct()
+    s = s.withColumns({"_verb": verb("call_method"), "_weight": weight}).withColumn("_call", kind("_weight", "call"))
     low = [p.rstrip("/") for p in excluded]
     r = routes.withColumn("route", normal_path("path")).select(F.col("path").alias("route_path"), "route", F.upper("method").alias("route_method"), F.col("qualified_name").alias("route_qn")).where("route <> ''").where(~F.lower(F.regexp_replace("route_path", "/+$", "")).isin(*low)).distinct()
-    fitting = _fitting(s.select("call").distinct(), r.select("route").distinct())
-    return s.withColumn("_from", _folder(F.col("source_qualified_name"))), r.withColumn("_to", _folder(F.col("route_qn"))), fitting
+    r = r.withColumn("_verb", verb("route_method")).withColumn("_route", kind("route"))
+    calls, served = s.select("call", "_call", "_verb", "_weight").distinct(), r.select("route", "_route", F.col("_verb").alias("_served")).distinct()
+    fitting = _fitting(calls.select("call").distinct(), served.select("route").distinct())
+    bonus = F.when((F.col("_verb") == "") | (F.col("_served") == ""), 0.0).when(F.col("_verb") == F.col("_served"), 0.10).otherwise(-0.15)
+    scored = fitting.join(calls, "call").join(served, "route").withColumn("confidence", F.least(F.lit(1.0), F.col("base") * F.col("_weight") + bonus)).where(F.col("confidence") >= least)
+    shown = F.col("confidence") if digits is None else F.round("confidence", digits)
+    classes = scored.select("_call", "_route", "confidence", shown.alias("shown"), confidence_band(F.col("confidence")).alias("band"))
+    s = s.withColumn("_from", _folder(F.col("source_qualified_name"))).drop("call", "_verb", "_weight")
+    return s, r.withColumn("_to", _folder(F.col("route_qn"))).drop("route", "_verb"), classes
 
 
-def _scored(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs of sites and routes of different services that are certain enough, with confidence."""
-    weight = F.when(F.col("source_label").isin("Function", "Method"), 1.0).otherwise(0.85)
-    bonus = F.when((F.coalesce("call_method", F.lit("")) == "") | (F.coalesce("route_method", F.lit("")) == ""), 0.0).when(F.col("call_method") == F.col("route_method"), 0.10).otherwise(-0.15)
-    scored = pairs.withColumn("confidence", F.least(F.lit(1.0), F.col("base") * weight + bonus))
-    return scored.where((F.col("confidence") >= least) & ~((F.col("_from") != "") & (F.col("_from") == F.col("_to"))))
+def _pairs(sites: DataFrame, routes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Sites and routes of matching classes and of different services, with their type."""
+    met = in_blocks(sites, routes, classes, "_call", "_route").where(~((F.col("_from") != "") & (F.col("_from") == F.col("_to"))))
+    return met.withColumn("type", F.when(F.col("is_async"), "ASYNC_CALLS").otherwise("HTTP_CALLS"))
 
 
-def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> DataFrame:
+def match(sites: DataFrame, routes: DataFrame, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS, digits: int | None = None) -> DataFrame:
     """Call sites (path, method, source_qualified_name, source_label, is_async) joined to
-    routes (path, method, qualified_name) of other services with confidence and band;
-    routes of excluded paths don't match.
+    routes (path, method, qualified_name) of other services with confidence (rounded to so
+    many digits, if told) and band; routes of excluded paths don't match.
 
     Paths are scored once for each two different ones, whoever calls or serves them.
     """
-    out = _scored(in_blocks(*_sides(sites, routes, excluded), "call", "route"), least)
-    return out.select("source_qualified_name", "route_qn", "url_path", "route_path", F.col("call_method").alias("method"), "confidence", confidence_band(F.col("confidence")).alias("band"), _type().alias("type"))
+    out = _pairs(*_sides(sites, routes, excluded, least, digits))
+    return out.select("source_qualified_name", "route_qn", "url_path", "route_path", F.col("call_method").alias("method"), F.col("shown").alias("confidence"), "band", "type")
 
 
 def _folder(qualified_name: Column) -> Column:
     return F.regexp_extract(qualified_name, r"^(.+)\.[^.]*\.[^.]*$", 1)
 
 
-def _type() -> Column:
-    return F.when(F.col("is_async"), "ASYNC_CALLS").otherwise("HTTP_CALLS")
-
-
 def same_service(a: Column, b: Column) -> Column:
     """Whether two qualified names lie in one folder: what stands before their last two
     parts, module and name, is the same, and there is something."""
@@ -270,22 +276,27 @@ def protocol(text: Column | str) -> Column:
     return F.when(shown(SOCKET_WORDS), "ws").when(shown(EVENT_WORDS), "sse").otherwise("")
 
 
-def link_edges(sites: DataFrame, routes: DataFrame, graph: Graph, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> DataFrame:
-    """HTTP_CALLS and ASYNC_CALLS edges of what `match` finds; of several matches of a pair
-    the most certain.
+def links(sites: DataFrame, routes: DataFrame, graph: Graph, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> DataFrame:
+    """(project, source_id, target_id, type, p): what `match` finds between nodes, with the
+    path, method, confidence and its band (p); of several matches of a pair the most certain.
 
     Ids are looked up before pairs are made. Of a source with one site and a name with one
     route there is but one match, so that only pairs of the others are shuffled.
     """
     ids = graph.nodes.select("project", "qualified_name", "id")
-    s, r, fitting = _sides(sites, routes, excluded)
-    s = s.join(ids.select("project", F.col("qualified_name").alias("source_qualified_name"), F.col("id").alias("source_id")), "source_qualified_name").drop("source_qualified_name")
-    r = r.join(ids.select(F.col("qualified_name").alias("route_qn"), F.col("id").alias("target_id")), "route_qn").drop("route_qn", "route_path")
+    s, r, classes = _sides(sites, routes, excluded, least, 4)
+    s = s.join(ids.select("project", F.col("qualified_name").alias("source_qualified_name"), F.col("id").alias("source_id")), "source_qualified_name").drop("source_qualified_name", "source_label")
+    r = r.join(ids.select(F.col("qualified_name").alias("route_qn"), F.col("id").alias("target_id")), "route_qn").drop("route_qn", "route_path", "route_method")
     parted = lambda rows, key: [rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_k")), key).where(w).drop("_k") for w in ("_k = 1", "_k > 1")]
     (s_one, s_more), (r_one, r_more) = parted(s, "source_id"), parted(r, "target_id")
     key = ["project", "source_id", "target_id", "type"]
-    found = lambda a, b: _scored(in_blocks(a, b, fitting, "call", "route"), least).withColumn("type", _type())
-    props = F.struct("url_path", F.col("call_method").alias("method"), F.round("confidence", 4).alias("confidence"), confidence_band(F.col("confidence")).alias("confidence_band"))
+    found = lambda a, b: _pairs(a, b, classes)
+    props = F.struct("url_path", F.col("call_method").alias("method"), F.col("shown").alias("confidence"), F.col("band").alias("confidence_band"))
     several = found(s_more, r).unionByName(found(s_one, r_more)).groupBy(*key).agg(F.max_by(props, F.struct("confidence", "url_path")).alias("p"))
-    rows = found(s_one, r_one).select(*key, props.alias("p")).unionByName(several)
+    return found(s_one, r_one).select(*key, props.alias("p")).unionByName(several)
+
+
+def link_edges(sites: DataFrame, routes: DataFrame, graph: Graph, least: float = LEAST_SCORE, excluded: tuple[str, ...] = EXCLUDED_PATHS) -> DataFrame:
+    """HTTP_CALLS and ASYNC_CALLS edges of `links`."""
+    rows = links(sites, routes, graph, least, excluded)
     return rows.select(F.xxhash64("type", "source_id", "target_id").alias("id"), "project", "source_id", "target_id", "type", F.to_json("p").alias("properties"))

@@ -104,8 +104,7 @@ def _page_sites(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _http(s: SparkSession, d: str) -> DataFrame:
     sites, routes = _page_sites(s, d)
-    found = http.match(sites, routes)
-    return found.select("source_qualified_name", "route_qn", F.round("confidence", 6).alias("confidence"), "band")
+    return http.match(sites, routes, digits=6).select("source_qualified_name", "route_qn", "confidence", "band")
 
 
 def _urls(s: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Work that is spread over tasks, however rows are dealt over keys."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.model import EDGE_SCHEMA, Graph
@@ -34,6 +35,25 @@ def test_pairs_of_one_path_are_spread(spark):
     assert sum(r["n"] for r in found) == 4_000_000 and max(r["n"] for r in found) <= 3_000_000
 
 
+def _many_paths(spark, n, wild):
+    """Sites and routes of n paths each: on the side that is `wild` they are one path when
+    normalised, on the other all differ, and each two match."""
+    one, other = F.concat(F.lit("/en/"), F.col("id").cast("string")), F.concat(F.lit("/en/p"), F.col("id").cast("string"), F.lit(".html"))
+    call, route = (one, other) if wild == "sites" else (other, one)
+    rows = spark.range(n)
+    sites = rows.select(call.alias("path"), F.lit("GET").alias("method"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source_qualified_name"), F.lit("Function").alias("source_label"), F.lit(False).alias("is_async"))
+    return sites, rows.select(route.alias("path"), F.lit("GET").alias("method"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("qualified_name"))
+
+
+@pytest.mark.parametrize("wild", ["sites", "routes"])
+def test_sites_are_not_sent_to_each_path(spark, wild):
+    """A path that a thousand others match: rows are dealt once, not once for each of them."""
+    found = http.match(*_many_paths(spark, 1000, wild), digits=6)
+    told = found.groupBy("confidence", "band").count().collect()
+    assert [(r["confidence"], r["band"], r["count"]) for r in told] == [(0.420833, "speculative", 1_000_000)]
+    assert _shuffled(spark, found) <= 60_000
+
+
 def _named(spark, names):
     return Graph(spark.createDataFrame([(i, "p", q) for i, q in enumerate(names)], "id long, project string, qualified_name string"), spark.createDataFrame([], EDGE_SCHEMA))
 
