@@ -161,8 +161,8 @@ def _http_edges(s: SparkSession, d: str) -> DataFrame:
     for n, kind in enumerate(("page", "caller", "route")):
         some = _nodes(pages, id=3 * F.col("page_id") + n, label=F.lit("Function"), qualified_name=F.concat(F.lit(f"{kind}."), F.col("page_id").cast("string")))
         nodes = some if nodes is None else nodes.unionByName(some)
-    edges = http.link_edges(sites, routes, Graph(nodes, s.createDataFrame([], EDGE_SCHEMA)))
-    return edges.select("source_id", "target_id", "type", F.get_json_object("properties", "$.confidence_band").alias("band"))
+    found = http.links(sites, routes, Graph(nodes, s.createDataFrame([], EDGE_SCHEMA)))
+    return found.select("source_id", "target_id", "type", F.col("p.confidence_band").alias("band"))
 
 
 def _routes(s: SparkSession, d: str) -> DataFrame:

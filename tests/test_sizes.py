@@ -76,6 +76,21 @@ def test_edges_of_one_path_are_spread(spark):
     assert sum(r["n"] for r in found) == 4_000_000 and max(r["n"] for r in found) <= 3_000_000
 
 
+@pytest.mark.parametrize("wild", ["sites", "routes"])
+def test_linked_sites_are_not_sent_to_each_path(spark, wild):
+    """The same for edges."""
+    found = http.link_edges(*_many_paths(spark, 1000, wild), _named(spark, [f"{k}{i}" for k in "sr" for i in range(1000)]))
+    assert [tuple(r) for r in found.groupBy(F.get_json_object("properties", "$.confidence")).count().collect()] == [("0.4208", 1_000_000)]
+    assert _shuffled(spark, found) <= 120_000
+
+
+def test_edges_are_not_written_as_json_to_be_read_again(spark):
+    from lattica.queries import links
+
+    plan = links.QUERIES["http_call_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "json" not in plan
+
+
 def test_keys_of_one_name_are_spread(spark):
     """Two thousand keys and symbols of one name: all pairs, and no task makes most of them."""
     rows = spark.range(2000).select("id", F.concat(F.lit("base"), F.translate((F.col("id") * 0).cast("string"), "0", "_"), F.lit("limit")).alias("name"))
